@@ -80,3 +80,17 @@ def byte_list(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def text_table(docs: DataFrame, label: str) -> DataFrame:
+    """Each text of ``docs`` (doc_id, text) once: c1, c2, text, copies and first_id (the smallest doc_id).
+
+    It is written as a table bucketed by (c1, c2) in the shared folder, so that later joins on the key move only the other,
+    narrow side.  Copies meet in the map-side aggregate, so a large group of them is one row a task in the shuffle.
+    """
+    spark = docs.sparkSession
+    once = docs.groupBy(*text_key(F.col("text"))).agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    name, buckets = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = once.write.format("parquet").bucketBy(buckets, "c1", "c2").option("path", new_dir(spark, label)).option("compression", "zstd")
+    writer.saveAsTable(name)
+    return spark.table(name)

@@ -103,11 +103,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""
 
 
+SUBSTRINGS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS c FROM g) WHERE c > 1),
+c AS (SELECT r, list(DISTINCT q) AS gone FROM (SELECT r, unnest(range(i, i + 35)) AS q FROM h) GROUP BY r),
+p AS (SELECT r, j, w[j] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS j FROM d)),
+x AS (SELECT DISTINCT r, q FROM (SELECT r, unnest(gone) AS q FROM c)),
+k AS (SELECT p.r, string_agg(word, ' ' ORDER BY j) AS kept FROM p LEFT JOIN x ON p.r = x.r AND p.j = x.q WHERE x.q IS NULL GROUP BY p.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY,
         "op2_pfair_mixing": MIXING,
         "op5_chat_format": CHAT,
+        "op7_substring_graph": SUBSTRINGS,
         "op8_warc_writer": WARC,
         "op9_decontamination": DECONTAMINATION,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, packed_ids, quality, warc
+from . import chat, decontaminate, langid, line_chunks, mixing, packed_ids, quality, simhash, substrings, warc
 from .common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,16 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, ["doc_id", "text_md5"]).select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "mix_balanced")
 
 
+def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_language(docs, langid.train(docs))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -32,6 +42,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns.unionByName(extra), BYTE_TOKENIZER), BYTE_TOKENIZER).drop("n_tokens")
 
 
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages"))).drop("url")
 
@@ -46,5 +64,5 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_pfair_mixing, op5_chat_format, op8_warc_writer, op9_decontamination, op10_packed_ids]
+    found = [op1_quality_rules, op2_pfair_mixing, op3_simhash_anchors, op4_byte_cnn, op5_chat_format, op6_line_chunks, op7_substring_graph, op8_warc_writer, op9_decontamination, op10_packed_ids]
     return {f.__name__: f for f in found}
