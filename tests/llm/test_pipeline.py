@@ -1,0 +1,70 @@
+"""The pipeline against a brute-force version of its stages, on a small fixture."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from test_operators import brute_components, brute_fingerprint, brute_hits, rows
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tidewell.llm import mixing, quality, queries
+
+
+def brute_mix(docs, sizes_weights):
+    """Earliest deadline first, slot by slot, over blocks of each source."""
+    period, block = mixing.PERIOD, mixing.BLOCK
+    given, out, t = {s: 0 for s in docs}, [], 0
+    while any(given[s] * block < len(docs[s]) for s in docs):
+        ready = [(-(-(given[s] + 1) * period // w), s) for s, w in sizes_weights.items() if given[s] * period // w <= t]
+        s = min(ready)[1]
+        out += docs[s][given[s] * block : (given[s] + 1) * block]
+        given[s] += 1
+        t += 1
+    return out
+
+
+def test_pipeline(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = {r["doc_id"]: r for r in table.collect()}
+    good = {r["doc_id"] for r in rows(quality.quality(table, ["doc_id"])) if r["kept"]}
+    one = {c for _, _, c in brute_components([(d, brute_fingerprint(docs[d]["text"])) for d in sorted(good)])}
+    clean = [d for d, _, n, _ in brute_hits([(d, docs[d]["text"]) for d in sorted(one)], bench) if not n]
+    assert len(docs) > len(good) > len(one) >= len(clean) > 50
+
+    left = table.where(F.col("doc_id").isin(clean))
+    mixed = sorted(rows(mixing.mix(left, ["doc_id", "text"])), key=lambda r: r["mix_position"])
+    weights = {r["src"]: r["weight"] for r in mixing.target_weights(left.groupBy(F.concat(F.lit("="), "source").alias("src")).agg(F.count("*").alias("n"))).collect()}
+    by_source = {}
+    for r in mixed:
+        by_source.setdefault("=" + r["source"], []).append(r["doc_id"])
+    order = brute_mix(by_source, weights)
+    assert order == [r["doc_id"] for r in mixed]
+
+    tokenizer, at, want = Tokenizer.from_file(queries.WORD_TOKENIZER), 0, []
+    for d in order:
+        ids = np.array(tokenizer.encode(docs[d]["text"], add_special_tokens=False).ids + [queries.END_ID], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    got = [tuple(r[k] for k in ("doc_id", "start", "n_tokens", "ids_crc32")) for r in rows(corpus_pipeline.run(spark, sf))]
+    assert sorted(got) == sorted(want)
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf, odd_docs, no_docs, tmp_path):
+    for name, docs in (("odd", odd_docs), ("empty", no_docs)):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{name}{k}"
+            out = stage(spark, docs, sf)
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == columns
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+        assert (docs.count() > 0) == (name == "odd")
+
+
+@pytest.mark.parametrize("name", ["near-dedup", "decontamination", "mixing", "token-id output"])
+def test_each_stage_takes_raw_odd_rows(name, spark, sf, odd_docs):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert 0 < stage(spark, odd_docs, sf).count() <= odd_docs.count()
