@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ["features", "cleaning", "validation"]
+MODULES = ["cleaning", "features", "validation", "aggregation"]
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
