@@ -256,7 +256,7 @@ def ols(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     rss = m[k, k] - beta @ m[:k, k]
     tss = m[k, k] - m[0, k] ** 2 / n
     se = np.sqrt(rss / (n - k) * np.diag(inv))
-    out = [(f, float(b), float(s), float(b / s), tails.t_two_sided(float(b / s), n - k), float(1 - rss / tss)) for f, b, s in zip(["intercept", *features], beta, se)]
+    out = [(f, float(b), float(s), float(b / s), float(tails.t_two_sided(float(b / s), float(n - k))), float(1 - rss / tss)) for f, b, s in zip(["intercept", *features], beta, se)]
     return df.sparkSession.createDataFrame(out, "feature string, coef double, se double, t double, p double, r2 double")
 
 
