@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ["cleaning", "features", "validation", "aggregation", "ordering", "statistics", "drift", "regulatory", "governance", "learning", "streams"]
+MODULES = ["sources", "cleaning", "features", "validation", "aggregation", "ordering", "statistics", "drift", "regulatory", "governance", "learning", "streams", "metadata", "advisors"]
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
