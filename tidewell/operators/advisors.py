@@ -80,3 +80,30 @@ def retry_strategy(df: DataFrame) -> tuple[DataFrame, str]:
     if duplicate_stats(df).first()["duplicate_rate"] > 0:
         return C.drop_duplicates(df), "aggressive_clean"
     return C.cap_outliers(df, numeric_columns(df)), "outlier_clip"
+
+
+def name_tokens(names: DataFrame, column: str = "column") -> DataFrame:
+    """``names`` with tokens: camelCase split, separators removed, lower-cased."""
+    spaced = F.regexp_replace(F.regexp_replace(column, "([a-z0-9])([A-Z])", "$1 $2"), r"[^0-9A-Za-z]+", " ")
+    return names.withColumn("tokens", F.array_remove(F.split(F.lower(F.trim(spaced)), " +"), ""))
+
+
+# Name tokens of dataset domains.
+DOMAIN_TOKENS = {"retail": ["order", "customer", "price", "part", "supplier", "ship", "discount", "quantity"], "banking": ["account", "loan", "balance", "acctbal"], "web": ["url", "html", "event", "user", "session"], "text": ["text", "lang", "doc"]}
+
+
+def dataset_domain(columns: DataFrame) -> DataFrame:
+    """table, domain, n_hits from (table, column): the domain most of whose tokens occur within the table's column names."""
+    words = columns.sparkSession.createDataFrame([(d, t) for d, ts in DOMAIN_TOKENS.items() for t in ts], "domain string, word string")
+    hits = columns.join(F.broadcast(words), F.contains(F.lower("column"), F.col("word"))).groupBy("table", "domain").agg(F.count_distinct("word").alias("n_hits"))
+    return hits.groupBy("table").agg(F.min_by(F.struct("domain", "n_hits"), F.struct(-F.col("n_hits"), F.col("domain"))).alias("b")).select("table", "b.*")
+
+
+def analyst_semantic_types(df: DataFrame) -> DataFrame:
+    """column, kind, advice: a coarse type from one profile pass, with what to do about it."""
+    numeric = set(numeric_columns(df))
+    parts = {c: [F.avg(value(df, c).isNull().cast("int")), F.count_distinct(c), F.count(c), F.skewness(value(df, c)) if c in numeric else F.lit(None).cast("double"), F.avg(F.length(F.col(c).cast("string"))), F.lit(c in numeric), F.lit(dict(df.dtypes)[c].startswith(("timestamp", "date")))] for c in df.columns}
+    p = long_form(df, parts, ["null_rate", "d", "n", "skew", "length", "numeric", "temporal"])
+    kind = F.when(F.col("d") <= 1, "constant").when(F.col("temporal"), "datetime").when((F.col("d") == F.col("n")) & ((~F.col("numeric")) | (F.col("length") < 12)) & (F.col("length") < 40), "identifier").when(F.col("d") == 2, "binary").when(F.col("numeric") & (F.col("d") <= 20), "discrete").when(F.col("numeric"), "continuous").when(F.col("d") <= 50, "category").when(F.col("length") > 40, "text").otherwise("high_cardinality")
+    advice = F.when(F.col("null_rate") > 0.9, "drop").when(F.col("kind").isin("constant", "identifier"), "drop").when(F.col("null_rate") > 0, "impute").when(F.abs("skew") > 2, "log1p").when(F.col("kind") == "category", "one_hot").otherwise("keep")
+    return p.withColumn("kind", kind).select("column", "kind", advice.alias("advice"))

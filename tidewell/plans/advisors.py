@@ -63,3 +63,27 @@ def route_proposals(spark, sf):
 @query("WITH m AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS disc FROM lineitem) SELECT l_orderkey, l_linenumber, coalesce(disc, (SELECT median(disc) FROM m)) AS disc FROM m")
 def retry_strategy_apply(spark, sf):
     return V.retry_strategy(messy(spark, sf).select("l_orderkey", "l_linenumber", "disc"))[0]
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'identifier', 'drop'), ('o_orderstatus', 'category', 'one_hot'), ('same', 'constant', 'drop'), ('o_orderdate', 'datetime', 'keep')) t(\"column\", kind, advice)")
+def analyst_semantic_types(spark, sf):
+    return V.analyst_semantic_types(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", F.lit(1).alias("same")))
+
+
+def names(spark, sf):
+    return spark.createDataFrame([(t, c) for t in ("orders", "lineitem", "events", "documents", "pages") for c in read(spark, sf, t).columns], "`table` string, `column` string")
+
+
+_WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in V.DOMAIN_TOKENS.items() for w in ws)
+
+
+@query(f"""WITH h AS (SELECT table_name AS "table", domain, count(DISTINCT word) AS n_hits FROM duckdb_columns() JOIN (VALUES {_WORDS}) v(domain, word) ON contains(lower(column_name), word) WHERE table_name IN ('orders', 'lineitem', 'events', 'documents', 'pages') GROUP BY 1, 2)
+SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY n_hits DESC, domain) = 1""")
+def dataset_domain(spark, sf):
+    return V.dataset_domain(names(spark, sf))
+
+
+@query("SELECT event_id, event_type, array_to_string(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(event_type || 'Count_' || user_id, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^0-9A-Za-z]+', ' ', 'g')), ' +'), lambda x: x <> ''), ' ') AS tokens FROM events")
+def normalise_name_tokens(spark, sf):
+    df = read(spark, sf, "events").select("event_id", "event_type", F.concat("event_type", F.lit("Count_"), F.col("user_id").cast("string")).alias("column"))
+    return V.name_tokens(df).select("event_id", "event_type", F.array_join("tokens", " ").alias("tokens"))

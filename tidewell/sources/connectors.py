@@ -10,7 +10,7 @@ import urllib.request
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # JDBC URLs and drivers.
 JDBC = {
@@ -150,3 +150,42 @@ def scan_rest_api(spark: SparkSession, schema: str, **options: str) -> DataFrame
 
     spark.dataSource.register(RestSource)
     return spark.read.format("tidewell_rest").options(**options).load().select(F.from_json("record", schema).alias("r")).select("r.*")
+
+
+class PollReader(DataSourceStreamReader):
+    """Polls device gateways: one partition a device, offsets count polls."""
+
+    def __init__(self, options: dict[str, str]):
+        self.o = options
+
+    def initialOffset(self) -> dict:
+        return {"poll": 0}
+
+    def latestOffset(self) -> dict:
+        self.polls = getattr(self, "polls", 0) + 1
+        return {"poll": min(self.polls, int(self.o.get("polls", "1000000000")))}
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        return [Page(u.strip()) for u in self.o["urls"].split(",")] if end["poll"] > start["poll"] else []
+
+    def read(self, page: Page) -> Iterator[tuple[str, str]]:
+        with urllib.request.urlopen(page.url, timeout=float(self.o.get("timeout", "30"))) as answer:
+            for record in record_path(json.load(answer), self.o.get("records", "")):
+                yield page.url, json.dumps(record)
+
+    def commit(self, end: dict) -> None:
+        """Polls can't be asked for again, so there is nothing to release."""
+
+
+class PollSource(DataSource):
+    """``spark.dataSource.register(PollSource)``, then ``spark.readStream.format("tidewell_poll").option("urls", "a,b")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidewell_poll"
+
+    def schema(self) -> str:
+        return "device string, record string"
+
+    def streamReader(self, schema) -> PollReader:
+        return PollReader(self.options)

@@ -29,13 +29,20 @@ def guess_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str | None = None, header: bool = True, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantined lines): malformed lines are set apart, rows of nulls dropped."""
-    reader = spark.read.option("sep", sep or guess_delimiter(spark, path)).option("header", header).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    if not schema:
-        df = reader.csv(path)
-        return df.dropna("all"), df.select(F.lit(None).cast("string").alias("_bad")).where("false")
-    df = reader.schema(f"{schema}, _bad STRING").csv(path)
-    return df.where("_bad IS NULL").drop("_bad").dropna("all"), df.select("*").where("_bad IS NOT NULL").select("_bad")
+    """(rows, quarantined lines as ``value``): malformed lines are set apart, rows of nulls dropped.
+
+    With a schema and UTF-8, each line is one record.  Otherwise Spark's CSV reader is used, and nothing is set apart.
+    """
+    sep = sep or guess_delimiter(spark, path)
+    lines = spark.read.text(path)
+    if not schema or encoding.upper() not in ("UTF-8", "UTF8"):
+        reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
+        return (reader.schema(schema) if schema else reader).csv(path).dropna("all"), lines.where("false")
+    head = lines.first() if header else None
+    lines = lines.where(F.col("value") != head["value"]) if head else lines
+    parsed = F.from_csv("value", f"{schema}, _bad STRING", {"sep": sep, "columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    both = lines.select("value", parsed.alias("r"))
+    return both.where("r._bad IS NULL").select("r.*").drop("_bad").dropna("all"), both.where("r._bad IS NOT NULL").select("value")
 
 
 def scan_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
