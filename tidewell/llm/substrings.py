@@ -154,13 +154,14 @@ def repeated_spans(texts: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """c1, c2, start, n: runs of windows of the distinct ``texts`` (see text_table) that also start elsewhere."""
     found = texts.select("c1", "c2", "text").mapInArrow(lambda b: _map_runs(b, k, m), "c1 long, c2 long, mh long, rh long, start int, n int")
     paths = stash(found, "runs")
-    nodes = paths.groupBy("mh").agg(F.count("*").alias("total"), (F.min("rh") == F.max("rh")).alias("single")).where("total > 1").select("mh", "single")
+    nodes = stash(paths.groupBy("mh").agg(F.count("*").alias("total"), (F.min("rh") == F.max("rh")).alias("single")).where("total > 1").select("mh", "single"), "nodes")
     joined = stash(paths.select("c1", "c2", "mh", "start", "n").join(nodes, "mh").select("c1", "c2", "start", "n", "single"), "repeated-runs")
     whole = joined.where("single").select("c1", "c2", "start", "n")
     # a text's branching runs: bounded by its length
     branching = joined.where("not single").groupBy("c1", "c2").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     edges = stash(texts.select("c1", "c2", "text").join(branching, ["c1", "c2"]).mapInArrow(lambda b: _map_edges(b, k), "c1 long, c2 long, e1 long, e2 long, start int"), "edges")
-    twice = edges.groupBy("e1", "e2").agg(F.count("*").alias("total")).where("total > 1").drop("total")
+    # read from a table, so that both sides of the join are plain exchanges and an edge of a hot passage can be split
+    twice = stash(edges.groupBy("e1", "e2").agg(F.count("*").alias("total")).where("total > 1").drop("total"), "repeated-edges")
     single = edges.join(twice, ["e1", "e2"]).select("c1", "c2", "start", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
