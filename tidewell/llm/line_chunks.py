@@ -117,18 +117,20 @@ def dedup_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = text_table(docs, "lines")
     found = stash(texts.select("c1", "c2", "text").mapInArrow(_map_chunks, "c1 long, c2 long, idx int, h long"), "chunks")
-    owners = texts.select("c1", "c2", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("first_id"))
+    # not bucketed as texts is: both sides of its joins are plain exchanges, so a large group of copies can be split
+    firsts_of = stash(texts.select("c1", "c2", "first_id"), "owners")
+    owners = firsts_of.select("c1", "c2", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("first_id"))
     place = F.struct("first_id", "c1", "c2", "idx")
-    repeats = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeats = stash(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeats")
     members = stash(found.join(repeats, "h").join(owners, ["c1", "c2"]), "members")
     # a text's repeated chunks: bounded by its length
     listed = members.groupBy("c1", "c2").agg(F.collect_list(F.struct("idx", "h")).alias("found"))
     data = texts.select("c1", "c2", "text").join(listed, ["c1", "c2"]).mapInArrow(_map_bytes, "h long, data binary")
     same = data.groupBy("h").agg(F.min("data").alias("least"), F.max("data").alias("most")).where("least = most").select("h")
-    firsts = members.groupBy("h").agg(F.min(place).alias("first")).join(same, "h")
+    firsts = stash(members.groupBy("h").agg(F.min(place).alias("first")).join(same, "h"), "firsts")
     gone = members.join(firsts, "h").where(place != F.col("first")).groupBy("c1", "c2").agg(F.collect_list("idx").alias("idx"))
     schema = "c1 long, c2 long, later boolean, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     done = texts.select("c1", "c2", "text", "copies").join(gone, ["c1", "c2"], "left").mapInArrow(lambda b: _map_cut(b, with_text), schema)
-    rows = docs.select("doc_id", *text_key(F.col("text"))).join(texts.select("c1", "c2", "first_id"), ["c1", "c2"])
+    rows = docs.select("doc_id", *text_key(F.col("text"))).join(firsts_of, ["c1", "c2"])
     rows = rows.withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("first_id")
     return rows.join(done, ["c1", "c2", "later"]).select("doc_id", "n_lines", "n_removed", "kept_sha256", *["kept_text"] * with_text)
