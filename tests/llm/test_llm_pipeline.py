@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_components, brute_fingerprint, brute_hits, rows
+from test_llm_operators import brute_components, brute_fingerprint, brute_hits, rows
 from tokenizers import Tokenizer
 
 import corpus_pipeline
