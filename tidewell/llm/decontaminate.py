@@ -84,7 +84,8 @@ def contamination(docs: DataFrame, bench: DataFrame, keys: list[str], size: int
     docs = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "text")
     hits = window_hits(docs, bench, size)
     # an array holds one text's spans or items: bounded by the text and the test set
-    per_text = hits.groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    # read from a table: both sides of the join are plain exchanges, so a large group of copies can be split
+    per_text = stash(hits.groupBy("c1", "c2").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")), "hits")
     rows = docs.select(*[f"k{i}" for i in range(len(keys))], *text_key(F.col("text")), F.size(normal_words(F.col("text"))).cast("long").alias("n_words"))
     out = rows.join(per_text, ["c1", "c2"], "left")
     empty = F.array().cast("array<string>")
