@@ -124,14 +124,18 @@ def fit_sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     """lang, piece: one stretch of text from each of at most ``limit`` labelled rows outside the held-out quarter.
 
     Rows go by a random priority times their language's count, so the least priorities hold about equally many rows of
-    each language: a top-k, for which each task sends ``limit`` rows at most.
+    each language.  A cut on the priority leaves about three times ``limit`` rows in all before the top-k, however many tasks
+    there are; a language with few rows gives all of them.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(), F.lit(False)))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30))
     spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("spot")), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int")
     slim = rows.select("lang", h.alias("h"), F.substring(F.col("text"), spot + 1, F.lit(WINDOW)).alias("piece"))
-    return slim.join(counts, "lang").orderBy(F.col("h") * F.col("n"), "h", "lang").limit(limit).select("lang", "piece")
+    # about limit / languages rows of each language have a priority under this, so three times that many hold the top ones
+    near = 3 * limit * (1 << 30) // max(1, counts.count())
+    ranked = slim.join(counts, "lang").withColumn("priority", F.col("h") * F.col("n")).where(F.col("priority") <= near)
+    return ranked.orderBy("priority", "h", "lang").limit(limit).select("lang", "piece")
 
 
 def train(docs: DataFrame, limit: int = SAMPLE_DOCS) -> ByteCNN | None:
