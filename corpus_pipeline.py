@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, mixing, packed_ids, quality, simhash
-from tidewell.llm.common import new_dir, table, text_key
+from tidewell.llm.common import new_dir, stash, table, text_key
 from tidewell.llm.queries import END_ID, WORD_TOKENIZER
 
 
@@ -19,6 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
     keyed = docs.select(*text_key(F.col("text")), lang.alias("l"), "text", "lang")
     kept = quality.quality(keyed, ["c1", "c2", "l"]).where("kept").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("l").alias("_l")).distinct()
+    # read from a table: both sides of the join are plain exchanges, so a large group of copies can be split
+    kept = stash(kept, "kept")
     c1, c2 = text_key(F.col("text"))
     return docs.join(kept, (c1 == F.col("_c1")) & (c2 == F.col("_c2")) & (lang == F.col("_l")), "left_semi")
 
