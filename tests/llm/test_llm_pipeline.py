@@ -64,6 +64,24 @@ def test_stages_take_odd_and_empty_tables(spark, sf, odd_docs, no_docs, tmp_path
         assert (docs.count() > 0) == (name == "odd")
 
 
+CLASHES = "_c1 _c2 _l _id n m k b a w src s bucket offset share whole left weight _src _h _bucket _rank d0 d1 p_src p_n mix_block mix_position mix_slot l c1 c2 k0 _t _spans _w root node first component_id other0 other9 item win len start spans a.b".split()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_of_any_name(name, spark, sf):
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out, want = stage(spark, docs, sf), stage(spark, plain, sf)
+    if name == "token-id output":
+        assert sorted(rows(out), key=repr) == sorted(rows(want), key=repr)
+        return
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in want.select("doc_id").collect())
+    assert all(r[c] == f"{c}:{r['doc_id']}" for r in got for c in CLASHES)
+
+
 @pytest.mark.parametrize("name", ["near-dedup", "decontamination", "mixing", "token-id output"])
 def test_each_stage_takes_raw_odd_rows(name, spark, sf, odd_docs):
     stage = dict(corpus_pipeline.STAGES)[name]

@@ -44,6 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sheltered(docs: DataFrame, used: list[str]) -> DataFrame:
+    """``docs`` with every column but ``used`` under a name that no operator uses; :func:`unsheltered` names them back."""
+    return docs.toDF(*[c if c in used else f"other{i}" for i, c in enumerate(docs.columns)])
+
+
+def unsheltered(out: DataFrame, columns: list[str], used: list[str]) -> DataFrame:
+    return out.select(*[F.col(c if c in used else f"other{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes: rows whose text is equal (null counts as empty) have an equal key."""
     text = F.coalesce(text, F.lit(""))

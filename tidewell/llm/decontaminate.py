@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stash, text_key
+from .common import ascii_lower, sheltered, stash, text_key, unsheltered
 
 #: What separates words: ASCII other than letters and digits (texts are lower-cased before).
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,18 +100,21 @@ def contamination(docs: DataFrame, bench: DataFrame, keys: list[str], size: int
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` (all columns) without the rows that hold a test window."""
+    """``docs`` (all columns, of any names) without the rows that hold a test window."""
+    columns, docs = docs.columns, sheltered(docs, ["text"])
     hits = window_hits(docs, bench, size).select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2")).distinct()
     c1, c2 = text_key(F.col("text"))
-    return docs.join(hits, (c1 == F.col("_c1")) & (c2 == F.col("_c2")), "left_anti")
+    return unsheltered(docs.join(hits, (c1 == F.col("_c1")) & (c2 == F.col("_c2")), "left_anti"), columns, ["text"])
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` with the hit words cut out of ``text``: untouched texts stay as they are, others become their other
-    normalised words joined by blanks."""
+    """``docs`` (all columns, of any names) with the hit words cut out of ``text``: untouched texts stay as they are, others
+    become their other normalised words joined by blanks."""
+    columns, docs = docs.columns, sheltered(docs, ["text"])
     hits = window_hits(docs, bench, size).groupBy(F.col("c1").alias("_c1"), F.col("c2").alias("_c2")).agg(F.collect_set(F.struct("start", "len")).alias("_spans"))
     c1, c2 = text_key(F.col("text"))
     out = docs.join(hits, (c1 == F.col("_c1")) & (c2 == F.col("_c2")), "left").withColumn("_w", normal_words(F.col("text")))
     inside = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
     left = F.array_join(F.filter("_w", lambda x, i: ~inside(i)), " ")
-    return out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left)).drop("_c1", "_c2", "_spans", "_w")
+    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left))
+    return unsheltered(out, columns, ["text"])

@@ -18,6 +18,7 @@ PERIOD = 1000
 BLOCK = 32
 #: Hash buckets of a source in which rows are numbered; 16^3 of them keep a bucket small at any size of source.
 BUCKET_DIGITS = 3
+RESULTS = ["mix_block", "mix_slot", "mix_position", "mix_balanced"]
 
 
 def target_weights(sizes: DataFrame, power: float = 0.5, period: int = PERIOD) -> DataFrame:
@@ -61,11 +62,13 @@ def mix(docs: DataFrame, keys: list[str], source: str = "source", power: float =
 
     No row is dropped: when a source runs out its slots are skipped and the others go on in their proportions.  Rows of a
     source are ordered by md5 of the seed and ``keys``; equal rows are numbered arbitrarily but each once.  A null source is
-    a source of its own.  Targets go by ``weights`` (src, weight: integers summing to ``period``) or by :func:`target_weights`.
+    a source of its own.  Further columns may have any names; one named like a result column is replaced.  Targets go by ``weights`` (src, weight: integers summing to ``period``) or by :func:`target_weights`.
     """
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     order = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
-    rows = docs.withColumns({"_src": src, "_h": order}).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
+    names = docs.columns
+    rows = docs.select("*", src, order).toDF(*[f"d{i}" for i in range(len(names))], "_src", "_h")
+    rows = rows.withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
     counts = rows.groupBy(F.col("_src").alias("src"), F.col("_bucket").alias("bucket")).agg(F.count("*").alias("m"))
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # 16^BUCKET_DIGITS rows at most
     offsets = counts.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, keys: list[str], source: str = "source", power: float =
     earlier = F.aggregate("p_before", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], (x["weight"] * cycle + x["given"]) * block))
     full = F.forall("p_before", lambda x: F.floor(x["n"] / block) >= x["weight"] * cycle + x["given"])
     own = own.withColumns({"mix_position": (earlier + F.pmod("_rank", F.lit(block))).cast("long"), "mix_balanced": full & ((F.col("mix_block") + 1) * block <= F.col("p_n"))})
-    return own.drop("_src", "_h", "_bucket", "_rank", "p_src", "p_k", "p_slot", "p_weight", "p_n", "p_before")
+    return own.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names) if c not in RESULTS], *RESULTS)
 
 
 def _unrolled(plan: DataFrame, period: int, block: int) -> DataFrame:

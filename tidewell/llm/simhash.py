@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_key
+from .common import sheltered, stash, text_key, unsheltered
 
 MAX_BITS = 3
 WIDTH = 31
@@ -214,13 +214,16 @@ def hex16(fp: Column) -> Column:
 def drop_near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` (all columns) with one row of each component: that of the smallest doc_id.
 
-    Rows that share that doc_id and component are told apart by their text's key; full repeats collapse to one row.
+    Rows that share that doc_id and component are told apart by their text's key; full repeats collapse to one row.  Further
+    columns may have any names.
     """
+    columns, used = docs.columns, ["doc_id", "text"]
+    docs = sheltered(docs, used)
     found = near_duplicates(docs, size, max_bits)
     chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "c1", "c2")).alias("k"), F.count("*").alias("n"))
     chosen = stash(chosen.select(F.col("k.doc_id").alias("_id"), F.col("k.c1").alias("_c1"), F.col("k.c2").alias("_c2"), "n"), "kept")
     c1, c2 = text_key(docs["text"])
     match = F.col("doc_id").eqNullSafe(F.col("_id")) & (c1 == F.col("_c1")) & (c2 == F.col("_c2"))
     once = docs.join(chosen.where("n = 1"), match, "left_semi")
-    again = docs.join(chosen.where("n > 1"), match, "inner").dropDuplicates(["_id", "_c1", "_c2"]).select(*[docs[c] for c in docs.columns])
-    return once.unionByName(again)
+    again = docs.join(chosen.where("n > 1"), match, "inner").dropDuplicates(["_id", "_c1", "_c2"]).select(*docs.columns)
+    return unsheltered(once.unionByName(again), columns, used)
