@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, mixing, packed_ids, quality, simhash
-from tidewell.llm.common import new_dir, stash, table, text_key
+from tidewell.llm.common import new_dir, sheltered, stash, table, text_key, unsheltered
 from tidewell.llm.queries import END_ID, WORD_TOKENIZER
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep.  The verdict depends on text and lang alone, so it is joined by their key."""
+    columns, used = docs.columns, ["text", "lang"]
+    docs = sheltered(docs, used)
     lang = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("null"))
     keyed = docs.select(*text_key(F.col("text")), lang.alias("l"), "text", "lang")
     kept = quality.quality(keyed, ["c1", "c2", "l"]).where("kept").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("l").alias("_l")).distinct()
     # read from a table: both sides of the join are plain exchanges, so a large group of copies can be split
     kept = stash(kept, "kept")
     c1, c2 = text_key(F.col("text"))
-    return docs.join(kept, (c1 == F.col("_c1")) & (c2 == F.col("_c2")) & (lang == F.col("_l")), "left_semi")
+    return unsheltered(docs.join(kept, (c1 == F.col("_c1")) & (c2 == F.col("_c2")) & (lang == F.col("_l")), "left_semi"), columns, used)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in the order of the mixture: the files, by name, hold it from first to last."""
-    mixed = mixing.mix(docs, ["doc_id", "text"])
+    used = ["doc_id", "text", "source"]
+    mixed = mixing.mix(sheltered(docs, used), ["doc_id", "text"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return unsheltered(mixed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position"), docs.columns, used)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
