@@ -288,3 +288,30 @@ def test_retry_strategy_names(spark):
     null = spark.createDataFrame([(1, None), (2, None), (3, 1.0)], "a int, b double")
     assert advisors.retry_strategy(null)[1] == "drop_high_null"
     assert advisors.retry_strategy(spark.createDataFrame([(1, 1.0), (1, 1.0)], "a int, b double"))[1] == "aggressive_clean"
+
+
+@pytest.mark.parametrize("spread", [3, 40, 100000])
+def test_kendall_against_all_pairs(spark, spread):
+    data = [((i * 7919 % 1009) % spread + 0.5 * (i % 2), (i * 104729 % 733) % spread) for i in range(300)] + [(None, 1), (float("nan"), 2)]
+    known = [(x, y) for x, y in data if x is not None and x == x]
+    sign = lambda v: (v > 0) - (v < 0)
+    pairs = [(sign(x - u), sign(y - v)) for i, (x, y) in enumerate(known) for u, v in known[:i]]
+    want = sum(a * b for a, b in pairs) / math.sqrt(sum(a * a for a, _ in pairs) * sum(b * b for _, b in pairs))
+    df = spark.createDataFrame(data, "x double, y long")
+    assert statistics.corr_kendall(df, "x", "y").first()["tau"] == pytest.approx(want)
+    assert statistics.corr_kendall(df.where("false"), "x", "y").first()["tau"] is None
+
+
+def test_ranks_over_many_partitions(spark):
+    from tidewell.operators import ordering
+
+    df = spark.range(5000).selectExpr("cast(id % 1700 as double) AS v")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        cuts = ordering.range_cuts(df, ["v"])["v"]
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        got = {r["v"]: r["rank"] for r in rows(ordering.dense_ranks(df, "v", cuts))}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(cuts) > 1000 and got == {float(i): i for i in range(1700)}

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions import tails
 from tidewell.functions.columns import agg_row, value
+from tidewell.operators.ordering import by_ranges, range_cuts
 
 
 def _both(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
@@ -127,9 +128,7 @@ def js_divergence(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
 def _distribution(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     """Distinct values with both cumulative shares.  Values are dealt out by range; each range starts from the sums before it."""
     counts = _both(base, now, column).groupBy("v").agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
-    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = agg_row(counts, {"q": F.percentile_approx(F.col("v").cast("double"), F.array(*[F.lit((i + 1) / parts) for i in range(max(1, parts - 1))]), F.lit(1000))})["q"] or []
-    counts = counts.withColumn("p", sum(((F.col("v") > c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    counts = by_ranges(counts, "v", range_cuts(counts, ["v"])["v"], "p")
     before, all_ = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()  # one row a range
     sums = counts.groupBy("p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.min("v").alias("first"))
     sums = sums.select("p", *[F.coalesce(F.sum(f"s{x}").over(before), F.lit(0)).alias(f"o{x}") for x in "ab"], *[F.sum(f"s{x}").over(all_).alias(f"n{x}") for x in "ab"], F.lead("first").over(W.orderBy("p")).alias("next_first"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +25,32 @@ def windowed_aggregation(df: DataFrame, column: str, ts: str, seconds: int, by:
     return df.withColumns({f"{column}_mean": F.avg(column).over(w), f"{column}_n": F.count(column).over(w)})
 
 
+def range_cuts(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """For each numeric column about as many cuts as there are shuffle partitions, from one pass."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)] or [F.lit(0.5)])
+    got = agg_row(df, {c: F.percentile_approx(F.col(c).cast("double"), shares, F.lit(max(1000, 2 * parts))) for c in columns})
+    return {c: sorted({x for x in got[c] or [] if math.isfinite(x)}) for c in columns}
+
+
+def by_ranges(df: DataFrame, column: str, cuts: list[float], name: str = "_p") -> DataFrame:
+    """Adds ``name``: the number of the range between ``cuts`` that holds a value, found by binary search; NaN comes last."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    splits = [-math.inf, *cuts, math.inf]
+    found = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(df.withColumn("_v", F.col(column).cast("double")))
+    return found.withColumn(name, F.col("_b").cast("int")).drop("_v", "_b")
+
+
+def dense_ranks(df: DataFrame, column: str, cuts: list[float], name: str = "rank") -> DataFrame:
+    """Distinct non-null values of a numeric column with their places from 0, numbered range by range."""
+    values = by_ranges(df.where(F.col(column).isNotNull()).select(column).distinct(), column, cuts)
+    sums = values.groupBy("_p").agg(F.count("*").alias("_m"))
+    base = sums.select("_p", F.coalesce(F.sum("_m").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a range
+    place = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1 + F.col("_base")
+    return values.join(F.broadcast(base), "_p").select(column, place.alias(name))
+
+
 def average_ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     """Distinct values with their count and average rank: (by, column, n, rank).
 
@@ -30,12 +58,7 @@ def average_ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     task sees more than one range of distinct values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = agg_row(counts, {"q": F.percentile_approx(F.col(column).cast("double"), F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)] or [F.lit(0.5)]), F.lit(1000))})["q"] or []
-    piece = F.lit(0)
-    for c in sorted(set(cuts)):
-        piece = piece + (F.col(column) > c).cast("int")
-    counts = counts.withColumn("_p", piece)
+    counts = by_ranges(counts, column, range_cuts(counts, [column])[column])
     sums = counts.groupBy(*by, "_p").agg(F.sum("n").alias("_m"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_m").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
     out = counts.join(F.broadcast(base), [*by, "_p"])  # one row a range and group

@@ -6,6 +6,7 @@ All sums run in Spark over all rows; only scalars, or matrices the size of the n
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions import tails
 from tidewell.functions.columns import agg_row, long_form, value
-from tidewell.operators.ordering import average_ranks, rank_average
+from tidewell.operators.ordering import average_ranks, dense_ranks, range_cuts, rank_average
 
 
 def corr_pearson(df: DataFrame, columns: list[str], least: int = 5) -> DataFrame:
@@ -29,26 +30,32 @@ def corr_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return rank_average(rank_average(rows, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
 
 
-def corr_kendall(df: DataFrame, a: str, b: str, bins: int = 64) -> DataFrame:
-    """tau-b, exact on the distinct (a, b) cells.
+def corr_kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """tau-b over rows in which both are given; exact for any number of distinct values.
 
-    Pairs are counted by dominance: for each distinct value of ``a``, running sums over the cells' b-values.  It suits columns
-    with up to some thousand distinct values each; wider ones should be ranked into bins first.
+    Values become dense ranks, written in digits of base 4.  Two ranks differ first in exactly one digit, so every pair of rows
+    is counted once, at its first differing digit of ``a`` and of ``b``, from 16 sums by (digit of a, digit of b) of the group
+    that shares the digits before.  One aggregate, combined before its shuffle; no pair of rows is ever built.
     """
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
-    # sums of n over x' < x for each y, then over y' < y: two running sums over dense grids of distinct values
-    ys = cells.select("y").distinct()
-    xs = cells.select("x").distinct()
-    grid = xs.join(ys, how="cross").join(cells, ["x", "y"], "left").na.fill(0, ["n"])
-    left = grid.withColumn("c", F.coalesce(F.sum("n").over(W.partitionBy("y").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    wx = W.partitionBy("x").orderBy("y")
-    less = F.coalesce(F.sum("c").over(wx.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    more = F.coalesce(F.sum("c").over(wx.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
-    cd = left.withColumns({"lo": less, "hi": more}).agg(F.sum(F.col("n") * F.col("lo")).alias("conc"), F.sum(F.col("n") * F.col("hi")).alias("disc"))
+    rows = df.select(value(df, a).cast("double").alias("x"), value(df, b).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    cells = rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+    cuts, sizes = range_cuts(cells, ["x", "y"]), agg_row(cells, {c: F.count_distinct(c) for c in "xy"})
+    ranked = cells
+    for c in "xy":
+        ranked = ranked.join(dense_ranks(cells, c, cuts[c], f"r{c}"), c)
+    digits = {c: max(1, math.ceil(max(1, sizes[c] - 1).bit_length() / 2)) for c in "xy"}
+    places = lambda c: F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(f"r{c}", 2 * k + 2).alias("head"), F.shiftright(f"r{c}", 2 * k).bitwiseAND(F.lit(3)).alias("d")) for k in range(digits[c])])
+    dealt = ranked.select("n", F.explode(places("x")).alias("p"), places("y").alias("ys")).select("n", "p", F.explode("ys").alias("q"))
+    sums = [F.sum(F.when((F.col("p.d") == i) & (F.col("q.d") == j), F.col("n")).otherwise(0.0)).alias(f"c{i}{j}") for i in range(4) for j in range(4)]
+    groups = dealt.groupBy(F.col("p.k").alias("kx"), F.col("p.head").alias("hx"), F.col("q.k").alias("ky"), F.col("q.head").alias("hy")).agg(*sums)
+    total = lambda cells_: reduce(lambda s, t: s + t, cells_)
+    up = total([F.col(f"c{i}{j}") * total([F.col(f"c{k}{m}") for k in range(i + 1, 4) for m in range(j + 1, 4)]) for i in range(3) for j in range(3)])
+    down = total([F.col(f"c{i}{j}") * total([F.col(f"c{k}{m}") for k in range(i + 1, 4) for m in range(j)]) for i in range(3) for j in range(1, 4)])
+    cd = groups.agg(F.sum(up).alias("conc"), F.sum(down).alias("disc"))
     tie = lambda c: cells.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"), F.sum("m").alias(f"n{c}"))
     one = cd.crossJoin(tie("x")).crossJoin(tie("y"))  # one row each
     pairs = F.col("nx") * (F.col("nx") - 1) / 2
-    return one.select(((F.col("conc") - F.col("disc")) / F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"))
+    return one.select(F.try_divide(F.col("conc") - F.col("disc"), F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -390,8 +397,6 @@ def ar_forecast(df: DataFrame, column: str, order: str, by: list[str], p: int =
 
 def statistical_test_battery(df: DataFrame, columns: list[str], group: str) -> DataFrame:
     """column, test, stat, p: normality and equality of variances of every column."""
-    from functools import reduce
-
     parts = []
     for c in columns:
         parts.append(dagostino_pearson(df, c).select(F.lit(c).alias("column"), F.lit("dagostino").alias("test"), F.col("k2").alias("stat"), "p"))
