@@ -286,6 +286,66 @@ def test_line_chunks_odd(odd_docs, no_docs):
     assert line_chunks.dedup_lines(no_docs).count() == 0
 
 
+def removed_pairs(docs):
+    """{doc: (lines, removed line numbers)} over distinct texts in order of doc_id, by a set of pairs."""
+    firsts, out = {}, {}
+    for doc, text in docs:
+        lines, gone = text.split("\n"), set()
+        for i in range(len(lines) - 1):
+            at = firsts.setdefault((lines[i], lines[i + 1]), (doc, i))
+            if at != (doc, i):
+                gone |= {i + 1} if at == (doc, i - 1) else {i, i + 1}
+        out[doc] = lines, gone
+    return out
+
+
+def caught_share(cut, least):
+    """Of the lines in later occurrences of runs of ``least`` lines and 10 words or more: (removed, all)."""
+    seen, caught, total = {}, 0, 0
+    for doc, (lines, gone) in cut.items():
+        again = set()
+        for i in range(len(lines) - least + 1):
+            first = seen.setdefault(tuple(lines[i : i + least]), (doc, i))
+            if first[0] != doc or first[1] + least <= i:
+                again |= set(range(i, i + least))
+        starts = [i for i in sorted(again) if i - 1 not in again]
+        for i in starts:
+            run = range(i, next(j for j in range(i, len(lines) + 1) if j not in again))
+            if sum(len(lines[j].split()) for j in run) >= 10:
+                caught, total = caught + len(gone.intersection(run)), total + len(run)
+    return caught, total
+
+
+def test_op6_removes_every_repeated_run_of_lines(spark, sf, documents):
+    once = {}
+    for r in sorted(documents.collect(), key=lambda r: r["doc_id"]):
+        once.setdefault(r["text"] or "", r["doc_id"])
+    cut = removed_pairs([(d, t) for t, d in once.items()])
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in rows(queries.op6_line_chunks(spark, sf))}
+    for doc, (lines, gone) in cut.items():
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        assert got[doc] == (len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()), doc
+    for r in documents.collect():
+        n = len((r["text"] or "").split("\n"))
+        assert r["doc_id"] == once[r["text"] or ""] or got[r["doc_id"]][:2] == (n, n if n > 1 else 0)
+    for least in (2, 4, 6):
+        caught, total = caught_share(cut, least)
+        assert caught == total and (total or least > 2)
+
+
+def test_line_pairs_keep_first_places(spark):
+    run = "a longer line\nand the next one"
+    texts = [f"x\n{run}\ny", f"{run}\nz", f"new\n{run}", "a\na\na\na", "one", "one", "y\nz\ny\nz", f"x\n{run}\ny", None, "", "\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_text"] for r in rows(line_chunks.dedup_lines(docs, with_text=True, pairs=True))}
+    assert got == dict(enumerate([texts[0], "z", "new", "a\na", "one", "one", "y\nz", "", "", "", "\n"]))
+
+
+def test_line_pairs_odd(odd_docs, no_docs):
+    assert len(rows(line_chunks.dedup_lines(odd_docs, with_text=True, pairs=True))) == odd_docs.count()
+    assert line_chunks.dedup_lines(no_docs, pairs=True).count() == 0
+
+
 # --- substrings ----------------------------------------------------------------------------------------------------------
 
 

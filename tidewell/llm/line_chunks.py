@@ -3,12 +3,16 @@
 A rolling hash over the hashes of the last lines chooses the boundaries, so that an inserted or lost line shifts only the
 chunk it lies in.  Chunks of several lines that occur more than once in all texts are removed but for the first occurrence
 (smallest doc_id, then place), after all their bytes have been compared.
+
+Chunks miss a repeated passage whose boundaries depend on its surroundings.  With ``pairs`` the finest cut is taken instead:
+every line is a boundary and each two adjacent lines are a chunk, so that all lines of a repeated run of two lines or more
+are found, wherever the run begins.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,7 +57,13 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def _map_chunks(batches: Iterable):
+def line_pairs(text: bytes) -> list[tuple[int, int, bytes]]:
+    """As :func:`chunks`, each two adjacent lines; they overlap."""
+    lines = text.split(b"\n")
+    return [(i, 2, lines[i] + b"\n" + lines[i + 1]) for i in range(len(lines) - 1)]
+
+
+def _map_chunks(batches: Iterable, cut_up: Callable):
     import pyarrow as pa
     import xxhash
 
@@ -62,7 +72,7 @@ def _map_chunks(batches: Iterable):
         c1, c2 = (batch.column(x).to_numpy() for x in ("c1", "c2"))
         row, idx, hashes = [], [], []
         for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-            for j, (_, n, data) in enumerate(chunks(text or b"")):
+            for j, (_, n, data) in enumerate(cut_up(text or b"")):
                 if n > 1:
                     row.append(i)
                     idx.append(j)
@@ -71,13 +81,13 @@ def _map_chunks(batches: Iterable):
         yield pa.RecordBatch.from_arrays([pa.array(c1[at]), pa.array(c2[at]), pa.array(idx, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))], schema=schema)
 
 
-def _map_bytes(batches: Iterable):
+def _map_bytes(batches: Iterable, cut_up: Callable):
     import pyarrow as pa
 
     for batch in batches:
         seen, hashes, data = set(), [], []
         for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("found").to_pylist()):
-            cut = chunks(text or b"")
+            cut = cut_up(text or b"")
             for x in found:
                 item = (x["h"], cut[x["idx"]][2])
                 if item not in seen:  # the same bytes once a batch
@@ -87,7 +97,7 @@ def _map_bytes(batches: Iterable):
         yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(data, pa.binary())], ["h", "data"])
 
 
-def _map_cut(batches: Iterable, with_text: bool):
+def _map_cut(batches: Iterable, with_text: bool, pairs: bool):
     import pyarrow as pa
 
     names = ["c1", "c2", "later", "n_lines", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
@@ -95,11 +105,12 @@ def _map_cut(batches: Iterable, with_text: bool):
         rows = [[] for _ in names]
         columns = [batch.column(x).to_pylist() for x in ("c1", "c2", "copies", "idx")]
         for c1, c2, copies, gone, text in zip(*columns, batch.column("text").cast(pa.large_binary()).to_pylist()):
-            cut = chunks(text or b"")
+            # of pairs the single lines are listed in idx
+            cut = [(i, 1, line) for i, line in enumerate((text or b"").split(b"\n"))] if pairs else chunks(text or b"")
             n_lines = sum(n for _, n, _ in cut)
             for later in (False, True)[: 1 + (copies > 1)]:
                 # to a later copy, all chunks of several lines are repeats of the first copy's
-                out = {j for j, (_, n, _) in enumerate(cut) if n > 1} if later else set(gone or ())
+                out = {j for j, (_, n, _) in enumerate(cut) if n > 1 or (pairs and len(cut) > 1)} if later else set(gone or ())
                 kept = b"\n".join(data for j, (_, _, data) in enumerate(cut) if j not in out)
                 values = [c1, c2, later, n_lines, sum(cut[j][1] for j in out), hashlib.sha256(kept).hexdigest()] + [kept.decode()] * with_text
                 for column, value in zip(rows, values):
@@ -108,15 +119,17 @@ def _map_cut(batches: Iterable, with_text: bool):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names)
 
 
-def dedup_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, with_text: bool = False, pairs: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (and kept_text) for each row of ``docs`` (doc_id, text).
 
     Rows with equal text and the text's smallest doc_id count as one document.  Null doc_ids come last; null text is one empty
-    line; a chunk hash under which different bytes are found removes nothing; other columns are ignored.
+    line; a chunk hash under which different bytes are found removes nothing; other columns are ignored.  With ``pairs`` a line
+    goes if it lies in a later occurrence of two adjacent lines; the first place of every line stays.
     """
+    cut_up = line_pairs if pairs else chunks
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = text_table(docs, "lines")
-    found = stash(texts.select("c1", "c2", "text").mapInArrow(_map_chunks, "c1 long, c2 long, idx int, h long"), "chunks")
+    found = stash(texts.select("c1", "c2", "text").mapInArrow(lambda b: _map_chunks(b, cut_up), "c1 long, c2 long, idx int, h long"), "chunks")
     # not bucketed as texts is: both sides of its joins are plain exchanges, so a large group of copies can be split
     firsts_of = stash(texts.select("c1", "c2", "first_id"), "owners")
     owners = firsts_of.select("c1", "c2", F.coalesce("first_id", F.lit((1 << 63) - 1)).alias("first_id"))
@@ -125,12 +138,18 @@ def dedup_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
     members = stash(found.join(repeats, "h").join(owners, ["c1", "c2"]), "members")
     # a text's repeated chunks: bounded by its length
     listed = members.groupBy("c1", "c2").agg(F.collect_list(F.struct("idx", "h")).alias("found"))
-    data = texts.select("c1", "c2", "text").join(listed, ["c1", "c2"]).mapInArrow(_map_bytes, "h long, data binary")
+    data = texts.select("c1", "c2", "text").join(listed, ["c1", "c2"]).mapInArrow(lambda b: _map_bytes(b, cut_up), "h long, data binary")
     same = data.groupBy("h").agg(F.min("data").alias("least"), F.max("data").alias("most")).where("least = most").select("h")
     firsts = stash(members.groupBy("h").agg(F.min(place).alias("first")).join(same, "h"), "firsts")
-    gone = members.join(firsts, "h").where(place != F.col("first")).groupBy("c1", "c2").agg(F.collect_list("idx").alias("idx"))
+    gone = members.join(firsts, "h").where(place != F.col("first"))
+    if pairs:
+        # a pair right behind its own first place (equal lines in a row) shares a line with it, which stays
+        overlaps = (F.col("c1") == F.col("first.c1")) & (F.col("c2") == F.col("first.c2")) & (F.col("idx") == F.col("first.idx") + 1)
+        lines = F.when(overlaps, F.array(F.col("idx") + 1)).otherwise(F.array(F.col("idx"), F.col("idx") + 1))
+        gone = gone.select("c1", "c2", F.explode(lines).alias("idx"))
+    gone = gone.groupBy("c1", "c2").agg((F.collect_set if pairs else F.collect_list)("idx").alias("idx"))
     schema = "c1 long, c2 long, later boolean, n_lines long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    done = texts.select("c1", "c2", "text", "copies").join(gone, ["c1", "c2"], "left").mapInArrow(lambda b: _map_cut(b, with_text), schema)
+    done = texts.select("c1", "c2", "text", "copies").join(gone, ["c1", "c2"], "left").mapInArrow(lambda b: _map_cut(b, with_text, pairs), schema)
     rows = docs.select("doc_id", *text_key(F.col("text"))).join(firsts_of, ["c1", "c2"])
     rows = rows.withColumn("later", ~F.col("doc_id").eqNullSafe(F.col("first_id"))).drop("first_id")
     return rows.join(done, ["c1", "c2", "later"]).select("doc_id", "n_lines", "n_removed", "kept_sha256", *["kept_text"] * with_text)

@@ -43,7 +43,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"), pairs=True)
 
 
 def op7_substring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
