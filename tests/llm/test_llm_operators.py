@@ -92,6 +92,37 @@ def test_mixing_odd(odd_docs, no_docs):
     assert mixing.mix(no_docs, ["doc_id"]).count() == 0
 
 
+def test_mixing_takes_more_sources_than_slots(spark):
+    sources = 1100
+    df = spark.range(3 * sources).select(F.col("id").alias("doc_id"), F.when(F.col("id") < sources, F.concat(F.lit("s"), F.col("id").cast("string"))).otherwise("hot").alias("source"))
+    weights = {r["src"]: r["weight"] for r in mixing.target_weights(df.groupBy(F.col("source").alias("src")).agg(F.count("*").alias("n"))).collect()}
+    assert len(weights) == sources + 1 and min(weights.values()) == 1 and sum(weights.values()) == 2 * mixing.PERIOD
+    got = rows(mixing.mix(df, ["doc_id"]))
+    assert sorted(r["mix_position"] for r in got) == list(range(3 * sources))
+    assert len({r["doc_id"] for r in got}) == 3 * sources
+    slots = {(r["mix_slot"], r["source"], r["mix_block"]) for r in got}
+    assert len({s for s, _, _ in slots}) == len(slots)
+
+
+def test_mixing_takes_blocks_beyond_a_longer_period(spark):
+    df = spark.range(700).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, F.concat(F.lit("s"), (F.col("id") % 20).cast("string"))).otherwise("hot").alias("source"))
+    got = sorted(rows(mixing.mix(df, ["doc_id"], block=1, period=10)), key=lambda r: r["mix_position"])
+    assert [r["mix_position"] for r in got] == list(range(700))
+    assert [r["mix_slot"] for r in got] == sorted({r["mix_slot"] for r in got}) and got[-1]["mix_slot"] > 30
+
+
+def test_mixing_keeps_sources_without_a_weight(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
+    for given, period in (([("s0", 600), ("s1", 400)], 1002), ([("s0", 600), ("s1", 100), ("gone", 300)], 1000)):
+        weights = spark.createDataFrame(given, "src string, weight int")
+        got = sorted(rows(mixing.mix(df, ["doc_id"], weights=weights, block=1)), key=lambda r: r["mix_position"])
+        assert [r["mix_position"] for r in got] == list(range(2000))
+        slots = [r["mix_slot"] for r in got if r["source"] == "s3"]
+        assert {b - a for a, b in zip(slots, slots[1:])} == {period}
+    with pytest.raises(Exception, match="weight under 1 of source =s1"):
+        mixing.mix(df, ["doc_id"], weights=spark.createDataFrame([("s0", 600), ("s1", 0)], "src string, weight int")).collect()
+
+
 # --- simhash -------------------------------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Slots in a period: weights are rounded to multiples of 1/PERIOD (largest remainder), at least one slot a source.
+#: Slots in a period: weights are rounded to multiples of 1/PERIOD (largest remainder), at least one slot a source.  With as
+#: many sources or more, a period has the next multiple of PERIOD above their number.
 PERIOD = 1000
 BLOCK = 32
 #: Hash buckets of a source in which rows are numbered; 16^3 of them keep a bucket small at any size of source.
@@ -22,38 +23,50 @@ RESULTS = ["mix_block", "mix_slot", "mix_position", "mix_balanced"]
 
 
 def target_weights(sizes: DataFrame, power: float = 0.5, period: int = PERIOD) -> DataFrame:
-    """src, n, weight: default targets in proportion to n ** power, as integers that sum to ``period``.
+    """src, n, weight: default targets in proportion to n ** power, as integers that sum to ``period``, or to its
+    least multiple above the number of sources.
 
     ``sizes`` (src, n) has one row a source.  Every source gets a slot; the rest go by largest remainder, ties by source.
     """
-    # one row a source; the check keeps a period long enough for all of them
+    # one row a source
     all_ = W.partitionBy()
     share = F.pow(F.col("n").cast("double"), F.lit(power))
-    out = sizes.withColumn("s", F.count("*").over(all_)).withColumn("share", share / F.sum(share).over(all_) * (F.lit(period) - F.col("s")))
+    out = sizes.withColumn("s", F.count("*").over(all_))
+    out = out.withColumn("free", (F.floor(F.col("s") / period) + 1) * period - F.col("s")).withColumn("share", share / F.sum(share).over(all_) * F.col("free"))
     out = out.withColumn("whole", F.floor("share"))
-    left = F.lit(period) - F.col("s") - F.sum("whole").over(all_)
+    left = F.col("free") - F.sum("whole").over(all_)
     out = out.withColumn("left", left)
     rank = F.row_number().over(W.partitionBy().orderBy((F.col("share") - F.col("whole")).desc(), "src"))
     return out.select("src", "n", (1 + F.col("whole") + F.when(rank <= F.col("left"), 1).otherwise(0)).cast("long").alias("weight"))
 
 
 def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
-    """One row: srcs (array of src, n, weight in order of src) and slots (for each slot of a period, the index of its source).
+    """One row: period (``period``, or the sum of all weights where that is more), srcs (array of src, n, weight in order of src)
+    and slots (for each slot of a period, the index of its source).
 
     Earliest deadline first over released blocks, ties to the first source.  ``weights`` is one row a source.
     """
-    out = weights.agg(F.array_sort(F.collect_list(F.struct("src", "n", "weight"))).alias("srcs"))
+    out = weights.agg(F.array_sort(F.collect_list(F.struct("src", "n", "weight"))).alias("srcs"), F.greatest(F.lit(period).cast("long"), F.sum("weight")).alias("period"))
+    period = F.col("period")
     size = F.size("srcs")
-    # state: blocks given so far by source; the slot's choice is the least (deadline, index) among released blocks
+    # state: every source's next block k with its release and deadline; the slot's choice is the least (due, i) among released
+    # blocks, and only the chosen source's entry is made anew
+    def upcoming(i: Column, k: Column, weight: Column) -> Column:
+        release, due = F.floor(k * period / weight), F.ceil((k + 1) * period / weight)
+        return F.struct(due.cast("long").alias("due"), i.cast("int").alias("i"), release.cast("long").alias("release"), k.cast("long").alias("k"), weight.alias("weight"))
+
     def step(state: Column, t: Column) -> Column:
-        due = F.transform("srcs", lambda s, i: F.when(F.floor(F.get(state["given"], i) * period / s["weight"]) <= t, F.struct(F.ceil((F.get(state["given"], i) + 1) * period / s["weight"]).alias("due"), i.alias("i"))))
-        chosen = F.array_min(F.filter(due, lambda x: x.isNotNull()))["i"]
-        one = F.transform(F.array(chosen), lambda c: F.struct(F.transform(state["given"], lambda g, i: g + F.when(i == c, 1).otherwise(0)).alias("given"), F.concat(state["slots"], F.array(c)).alias("slots")))
-        return one[0]
+        chosen = F.array_min(F.filter(state["next"], lambda x: x["release"] <= t))
+
+        def give(c: Column) -> Column:
+            after = F.concat(F.slice(state["next"], F.lit(1), c["i"]), F.array(upcoming(c["i"], c["k"] + 1, c["weight"])), F.slice(state["next"], c["i"] + 2, size))
+            return F.struct(F.when(c.isNull(), state["next"]).otherwise(after).alias("next"), F.concat(state["slots"], F.array(c["i"])).alias("slots"))
+
+        return F.transform(F.array(chosen), give)[0]
 
-    start = F.struct(F.transform("srcs", lambda s: F.lit(0)).alias("given"), F.array().cast("array<int>").alias("slots"))
-    slots = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda s: s["slots"])
-    return out.where(size > 0).select("srcs", slots.alias("slots"))
+    start = F.struct(F.transform("srcs", lambda s, i: upcoming(i, F.lit(0), s["weight"])).alias("next"), F.array().cast("array<int>").alias("slots"))
+    slots = F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step, lambda s: s["slots"])
+    return out.where(size > 0).select("period", "srcs", slots.alias("slots"))
 
 
 def mix(docs: DataFrame, keys: list[str], source: str = "source", power: float = 0.5, block: int = BLOCK, period: int = PERIOD, seed: str = "mix", weights: DataFrame | None = None) -> DataFrame:
@@ -62,7 +75,8 @@ def mix(docs: DataFrame, keys: list[str], source: str = "source", power: float =
 
     No row is dropped: when a source runs out its slots are skipped and the others go on in their proportions.  Rows of a
     source are ordered by md5 of the seed and ``keys``; equal rows are numbered arbitrarily but each once.  A null source is
-    a source of its own.  Further columns may have any names; one named like a result column is replaced.  Targets go by ``weights`` (src, weight: integers summing to ``period``) or by :func:`target_weights`.
+    a source of its own.  Further columns may have any names; one named like a result column is replaced.  Targets go by ``weights`` (src, weight: integers from 1 summing to ``period``)
+    or by :func:`target_weights`.  A source that ``weights`` lacks gets one slot, and the period grows where it has no slot left.
     """
     src = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     order = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
@@ -73,27 +87,34 @@ def mix(docs: DataFrame, keys: list[str], source: str = "source", power: float =
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)  # 16^BUCKET_DIGITS rows at most
     offsets = counts.withColumn("offset", F.coalesce(F.sum("m").over(before), F.lit(0)))
     sizes = counts.groupBy("src").agg(F.sum("m").alias("n"))
-    targets = target_weights(sizes, power, period) if weights is None else sizes.join(weights.select(F.coalesce(F.concat(F.lit("="), F.col("src")), F.lit("null")).alias("src"), F.col("weight").cast("long")), "src")
-    plan = _unrolled(schedule(targets, period), period, block)
+    if weights is None:
+        targets = target_weights(sizes, power, period)
+    else:
+        given = weights.select(F.coalesce(F.concat(F.lit("="), F.col("src")), F.lit("null")).alias("src"), F.col("weight").cast("long").alias("given"), F.lit(True).alias("named"))
+        bad = F.raise_error(F.concat(F.lit("weight under 1 of source "), F.col("src"))).cast("long")
+        targets = sizes.join(given, "src", "left").select("src", "n", F.when(F.col("named").isNull(), 1).when(F.col("given") >= 1, F.col("given")).otherwise(bad).alias("weight"))
+    plan = _unrolled(schedule(targets, period))
     rows = rows.join(offsets, (F.col("_src") == F.col("src")) & (F.col("_bucket") == F.col("bucket")))
     place = F.row_number().over(W.partitionBy("src", "bucket").orderBy("_h")) - 1 + F.col("offset")
     rows = rows.withColumn("_rank", place).withColumn("mix_block", F.floor(F.col("_rank") / block))
     rows = rows.drop("src", "bucket", "m", "offset")
-    # a period's plan has at most PERIOD rows
+    # a period's plan has a row a slot: PERIOD, or up to PERIOD more than sources
     own = rows.join(F.broadcast(plan), (F.col("_src") == F.col("p_src")) & (F.pmod("mix_block", F.col("p_weight")) == F.col("p_k")))
     cycle = F.floor(F.col("mix_block") / F.col("p_weight"))
-    own = own.withColumn("mix_slot", cycle * period + F.col("p_slot"))
+    own = own.withColumn("mix_slot", cycle * F.col("p_period") + F.col("p_slot"))
     earlier = F.aggregate("p_before", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], (x["weight"] * cycle + x["given"]) * block))
     full = F.forall("p_before", lambda x: F.floor(x["n"] / block) >= x["weight"] * cycle + x["given"])
     own = own.withColumns({"mix_position": (earlier + F.pmod("_rank", F.lit(block))).cast("long"), "mix_balanced": full & ((F.col("mix_block") + 1) * block <= F.col("p_n"))})
     return own.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(names) if c not in RESULTS], *RESULTS)
 
 
-def _unrolled(plan: DataFrame, period: int, block: int) -> DataFrame:
-    """A row for each slot of a period: p_src, p_k (its block's index within the period), p_weight, p_n, p_slot and p_before
-    (for every source n, weight and the blocks given in the period before the slot)."""
-    slots = plan.select("srcs", "slots", F.posexplode("slots").alias("p_slot", "i"))
-    earlier = F.slice("slots", F.lit(1), F.col("p_slot"))
-    given = F.transform("srcs", lambda s, i: F.struct(s["n"].alias("n"), s["weight"].alias("weight"), (F.size(earlier) - F.size(F.array_remove(earlier, i))).cast("long").alias("given")))
+def _unrolled(plan: DataFrame) -> DataFrame:
+    """A row for each slot of a period: p_src, p_k (its block's index within the period), p_weight, p_n, p_period, p_slot and
+    p_before (for every source n, weight and the blocks given in the period before the slot)."""
+    # each source's own slots, so that a row looks at every slot once
+    places = F.transform("srcs", lambda _, i: F.filter(F.transform("slots", lambda x, t: F.when(x == i, t)), lambda t: t.isNotNull()))
+    slots = plan.select("period", "srcs", "slots", places.alias("places")).select("period", "srcs", "places", F.posexplode("slots").alias("p_slot", "i")).where("i IS NOT NULL")
+    given = lambda i: F.size(F.filter(F.get("places", i), lambda t: t < F.col("p_slot"))).cast("long")
+    before = F.transform("srcs", lambda s, i: F.struct(s["n"].alias("n"), s["weight"].alias("weight"), given(i).alias("given")))
     own = F.get("srcs", F.col("i"))
-    return slots.withColumn("p_before", given).select(own["src"].alias("p_src"), F.get("p_before", F.col("i"))["given"].alias("p_k"), own["weight"].alias("p_weight"), own["n"].alias("p_n"), F.col("p_slot").cast("long").alias("p_slot"), "p_before")
+    return slots.select(own["src"].alias("p_src"), given(F.col("i")).alias("p_k"), own["weight"].alias("p_weight"), own["n"].alias("p_n"), F.col("period").alias("p_period"), F.col("p_slot").cast("long").alias("p_slot"), before.alias("p_before"))
