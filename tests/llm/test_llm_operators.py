@@ -531,6 +531,23 @@ def test_word_encoder_equals_whole_encoding(documents):
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_word_encoder_on_random_mixes(name):
+    """Any tokenizer gets the library's ids, also for control strings in other spellings and letters with loose marks."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    encoder = packed_ids.WordEncoder(public_tokenizers.path(name), memo_words=300)
+    assert encoder.by_words == name.startswith("word")
+    random.seed(5)
+    odd = [*map(chr, range(1, 0x180)), *"ΣςK\u030c\u0301\u0307\u2028\u3000\ufeff日😀½²", "J\u030c", "h\u0331", "<|endoftext|>", "<|ENDOFTEXT|>x", "<|", "'LL", "n't", " ", "\n"]
+    for _ in range(4000):
+        text = "".join(random.choice(odd) if random.random() < 0.4 else random.choice("abcdeTHE'.,!-<|> é\tüß09") for _ in range(random.randint(0, 30)))
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("name", ["documents", "odd_docs"])
 def test_packed_output(name, request):
     from tokenizers import Tokenizer

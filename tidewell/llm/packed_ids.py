@@ -15,6 +15,7 @@ ids ``[a, b)`` are read by unpacking only blocks ``a // block_ids .. (b - 1) //
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -137,18 +138,33 @@ class ShardReader:
             start = stop
 
 
-#: Lower-case letters that normalisation leaves as they are; a word of these is one piece for the model.
-PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
-#: ASCII marks: between a letter and one of these the pre-tokenizer always cuts. The apostrophe starts contractions, so it is none.
-MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# What the word tokenizer does before its model.  Only a tokenizer that does exactly this is taken apart by words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+#: A LATIN text has these bytes and, in UTF-8, À to ÿ without the two signs among them.  It is normalised by lower-casing
+#: alone, and for it LETTERS are all of \p{L}, 0-9 all of \p{N}.
+ASCII = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
+UPPER_LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*").fullmatch
+LETTERS = "a-zß-öø-ÿ"
+#: SPLIT's pattern on lines of lower-cased words of LATIN; a line end is a piece of its own.
+CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|\n|[^{LETTERS}0-9\n]+").findall
+#: Stands for a line end among ids: no id has four bytes of this value in a row, or beside those of its neighbour.
+LINE_END = b"\xff" * 4
+
+
+def is_latin(text: bytes) -> bool:
+    return bool(UPPER_LATIN(text.translate(None, ASCII)))
 
 
 class WordEncoder:
     """``encode(text)`` gives the little-endian uint32 ids that the tokenizers library gives for the whole text.
 
-    The tokenizer drops white space and never joins pieces across it, so a text's ids are its words' ids in a row, and a
-    bounded memo of words saves most of the work.  A new word of plain letters with trailing marks goes straight to the
-    library's BPE model; every other word goes through the library's whole encode().
+    The word tokenizer drops white space and never joins pieces across it, so a text's ids are its words' ids in a row, and
+    bounded memos of words and of pieces save most of the work.  A text's new words of LATIN characters are cut together by
+    the tokenizer's own pattern and their pieces go to the library's BPE model; other words go through the library's encode().
+    So does the whole of a text that holds an added token, and every text if the tokenizer has another normaliser or pre-tokenizer.
     """
 
     def __init__(self, path: str, memo_words: int = 300_000):
@@ -160,49 +176,62 @@ class WordEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model, self.memo_words = self.tokenizer.model, memo_words
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_as = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x61, 0x7B), *range(0xDF, 0x100)] if c != 0xF7}
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.bytes_as = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added] + [t.content.lower() for t in added]
+        self.by_words = self._takes_words(added)
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(32)]
+        self.words: dict[str, bytes] = {}
+        self.pieces = {"\n": LINE_END}
+
+    def _takes_words(self, added: list) -> bool:
+        from tokenizers.models import BPE
+
+        t, made = self.tokenizer, lambda part: json.loads(part.__getstate__()) if part is not None else None
+        same = made(t.normalizer) == NORMALIZER and made(t.pre_tokenizer) == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
+        plain = t.post_processor is None and t.truncation is None and t.padding is None and isinstance(self.model, BPE) and not self.model.dropout
+        # an added token that is sought after normalisation may be found in other spellings than its own
+        return same and plain and not any(x.normalized for x in added) and self.vocabulary < 1 << 24
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: bytes) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            text = piece.decode("utf-8", "replace")
-            if PLAIN(text):
-                found = np.array([t.id for t in self.model.tokenize(text.translate(self.bytes_as))], "<u4").tobytes()
-            else:
-                found = self._whole(text)
-            if len(self.pieces) >= self.memo_words:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        core = word.rstrip(MARKS)
-        low = core.lower()
-        if core and len(core) < len(word) and PLAIN(low.decode("utf-8", "replace")):
-            return self._piece(low) + self._piece(word[len(core) :])
-        return self._piece(low if len(core) == len(word) else word)
-
-    def encode(self, text: bytes) -> bytes:
-        memo, words = self.memo, text.split()
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        new = {w for w in words if w not in memo}
-        if len(memo) + len(new) > self.memo_words:
-            memo.clear()
-            new = set(words)
-        for w in new:
-            memo[w] = self._word(w)
-        out = b"".join([memo[w] for w in words])
-        if len(memo) > self.memo_words:
-            memo.clear()
-        return out
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes_as))]
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str], latin: bool) -> None:
+        """Put the ids of these words into the memo."""
+        if not latin:
+            own = [is_latin(w.encode()) for w in new]
+            self.words.update((w, self._whole(w)) for w, x in zip(new, own) if not x)
+            new = [w for w, x in zip(new, own) if x]
+        if not new:
+            return
+        cut = CUT("\n".join(new).lower())
+        for piece in set(cut).difference(self.pieces):
+            self.pieces[piece] = self._piece(piece)
+        self.words.update(zip(new, b"".join(map(self.pieces.__getitem__, cut)).split(LINE_END)))
+
+    def encode(self, data: bytes) -> bytes:
+        text, latin = data.decode("utf-8", "replace"), self.by_words and is_latin(data)
+        if latin:
+            text = text.lower()
+        if not self.by_words or any(a in text for a in self.added):
+            return self._whole(data.decode("utf-8", "replace"))
+        # a str is cut at more characters than bytes are, but at none of them in a LATIN text
+        words = text.split() if latin else [w.decode("utf-8", "replace") for w in data.split()]
+        found = list(map(self.words.get, words))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking:
+            self._learn(list({words[i] for i in lacking}), latin)
+            for i in lacking:
+                found[i] = self.words[words[i]]
+            if len(self.words) > self.memo_words:
+                self.words.clear()
+            if len(self.pieces) > self.memo_words:
+                self.pieces = {"\n": LINE_END}
+        return b"".join(found)
 
 
 def _write_partition(batches: Iterable, folder: str, tokenizer: str, end_id: int, block_ids: int, shard_ids: int):
