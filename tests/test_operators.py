@@ -1,18 +1,21 @@
 """Properties of operators without a SQL form, canary tables and small helpers."""
 
+import itertools
 import json
 import math
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.functions import columns as K
+from tidewell.functions import quantiles
 from tidewell.functions import tails
-from tidewell.operators import advisors, aggregates, cleaning, drift, governance, learning, metadata, ordering, regulatory, statistics, validators
+from tidewell.operators import advisors, aggregates, cleaning, drift, features, governance, learning, metadata, ordering, regulatory, resampling, statistics, validators
 from tidewell.sources import connectors, files
 from tidewell.streaming import windows
 
@@ -74,11 +77,84 @@ def test_capping_is_idempotent_within_bounds(canary, method):
 
 def test_imputers_keep_rows_and_known_values(spark):
     df = spark.createDataFrame([(i, float(i) if i % 6 else None, float(2 * i)) for i in range(1, 80)], "id long, a double, b double")
-    for out, near in ((cleaning.impute_knn(df, ["a", "b"], "id"), 80), (cleaning.impute_iterative(df, ["a", "b"]), 1)):
+    for out, near in ((cleaning.impute_knn(df, ["a", "b"]), 2), (cleaning.impute_iterative(df, ["a", "b"]), 1)):
         got = {r["id"]: r for r in rows(out)}
         assert len(got) == 79 and all(got[i]["a"] is not None for i in got)
         assert all(got[i]["a"] == i for i in got if i % 6)
-        assert all(abs(got[i]["a"] - i) < near for i in got if i % 6 == 0)
+        assert all(abs(got[i]["a"] - i) <= near for i in got if i % 6 == 0)
+
+
+def brute_knn(data, k):
+    """Means of the k nearest complete rows over the standardised columns that are given; ties at the k-th place share it."""
+    x = np.array(data, float)
+    scale = np.nanstd(x, axis=0)
+    scale[scale == 0] = 1
+    whole = x[~np.isnan(x).any(axis=1)]
+    out = []
+    for row in x:
+        gap = np.isnan(row)
+        if gap.any():
+            d = ((whole - row) ** 2 / scale**2)[:, ~gap].sum(axis=1)
+            left, total = min(k, len(whole)), 0.0
+            for v in np.unique(d):
+                at = whole[d == v]
+                take = min(left, len(at))
+                total, left = total + at.mean(axis=0) * take, left - take
+                if not left:
+                    break
+            row = np.where(gap, total / min(k, len(whole)), row)
+        out.append(row)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("shape", ["clusters", "grid", "few", "line"])
+def test_knn_imputation_against_all_pairs(spark, shape):
+    rng = np.random.default_rng(3)
+    if shape == "clusters":  # a dense cluster, a small one and far outliers
+        x = np.concatenate([rng.normal(0, 1e-4, (900, 2)), rng.normal(50, 1, (60, 2)), rng.uniform(-1000, 1000, (40, 2))])
+    elif shape == "grid":  # many equal rows and ties
+        x = rng.integers(0, 6, (800, 3)).astype(float)
+    elif shape == "few":
+        x = rng.normal(0, 1, (8, 2))
+    else:
+        x = np.column_stack([np.arange(700.0), np.arange(700.0) * 3, np.full(700, 4.0)])
+    x[rng.random(x.shape) < (0.3 if shape == "few" else 0.08)] = np.nan
+    data = [[i, *(None if math.isnan(v) else float(v) for v in r)] for i, r in enumerate(x)]
+    names = [f"c{i}" for i in range(x.shape[1])]
+    out = cleaning.impute_knn(spark.createDataFrame(data, "id long, " + ", ".join(f"{c} double" for c in names)), names)
+    got = np.array([[r[c] for c in names] for r in sorted(rows(out), key=lambda r: r["id"])])
+    assert np.allclose(got, brute_knn(x, 5), rtol=1e-6, atol=1e-9)
+
+
+def test_knn_without_gaps_or_donors(spark):
+    full = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    assert rows(cleaning.impute_knn(full, ["a", "b"])) == [{"a": 1.0, "b": 2.0}]
+    none = spark.createDataFrame([(1.0, None), (3.0, None), (None, 6.0)], "a double, b double")
+    assert all(r["a"] is not None and r["b"] == 6.0 for r in rows(cleaning.impute_knn(none, ["a", "b"])))
+
+
+def test_smote_lies_between_minority_vectors(spark):
+    data = [(i, "m", float(i), float(-i)) for i in range(40)] + [(i, "x", 100.0, 100.0) for i in range(40, 300)]
+    got = rows(features.smote(spark.createDataFrame(data, "id long, y string, a double, b double"), "y", "m", ["a", "b"], "id"))
+    assert len(got) == 40 and all(abs(r["a"] + r["b"]) < 1e-9 and 0 <= r["a"] <= 39 and abs(r["a"] - r["id"]) <= 5 for r in got)
+
+
+@pytest.mark.parametrize("kind", ["double", "timestamp"])
+def test_fill_over_a_whole_table_equals_one_window(spark, kind):
+    data = [(float(i) if i % 50 else None, i, float(i) if i % 17 == 3 else None, "x" if i > 900 else None) for i in range(1000)]
+    df = spark.createDataFrame(data, "t double, id long, v double, s string").withColumn("t", F.col("t").cast(kind))
+    out = rows(cleaning.impute_ffill_bfill(df, ["v", "s"], ["t", "id"]))
+    alone = rows(cleaning.impute_ffill_bfill(df.withColumn("g", F.lit(1)), ["v", "s"], ["t", "id"], ["g"]))
+    assert {(r["id"], r["v"], r["s"]) for r in out} == {(r["id"], r["v"], r["s"]) for r in alone} and len(out) == 1000
+    with pytest.raises(ValueError):
+        cleaning.impute_ffill_bfill(df, ["v"], ["s"])
+
+
+def test_label_codes_are_sorted(spark):
+    df = spark.createDataFrame([(w,) for w in ["b", "ä", "a", None, "b", "Z", "zz", ""] * 3], "w string")
+    got = {r["w"]: r["w_code"] for r in rows(features.label_encode(df, "w"))}
+    assert got.pop(None) is None
+    assert got == {w: i for i, w in enumerate(sorted({"b", "ä", "a", "Z", "zz", ""}))}
 
 
 def test_constant_and_single_row(spark):
@@ -113,12 +189,103 @@ def test_ols_finds_a_line(spark):
     assert got["a"]["coef"] == pytest.approx(2) and got["b"]["coef"] == pytest.approx(-0.5) and got["intercept"]["r2"] == pytest.approx(1)
 
 
-def test_resampling_is_repeatable_and_bounded(spark):
-    df = spark.createDataFrame([(i, float(i % 10), "a" if i % 2 else "b") for i in range(400)], "id long, v double, g string")
-    one, two = (rows(statistics.bootstrap_ci(df, "v", "id", reps=50)) for _ in range(2))
-    assert one == two and one[0]["lo"] < one[0]["mean"] < one[0]["hi"]
-    p = rows(statistics.permutation_test(df, "v", "g", "a", "b", "id", reps=50))[0]["p"]
-    assert 0 < p <= 0.05  # odd and even digits differ in mean
+def test_bootstrap_is_repeatable_and_close_to_normal_theory(spark):
+    df = spark.createDataFrame([(i, float(i % 10), None if i % 3 else 1.0) for i in range(400)], "id long, v double, c double")
+    for method in ("percentile", "bca"):
+        one, two = (rows(resampling.bootstrap_ci(d, "v", "id", method=method))[0] for d in (df, df.repartition(7)))
+        assert one["lo"] == pytest.approx(two["lo"]) and one["hi"] == pytest.approx(two["hi"])
+        half = 1.96 * math.sqrt(8.25 / 400)
+        assert one["lo"] == pytest.approx(4.5 - half, abs=0.02) and one["hi"] == pytest.approx(4.5 + half, abs=0.02)
+    assert rows(resampling.bootstrap_ci(df, "c", "id", reps=100))[0] == {"mean": 1.0, "lo": 1.0, "hi": 1.0}
+    assert rows(resampling.bootstrap_ci(df.where("false"), "v", "id"))[0]["mean"] is None
+
+
+def test_bca_follows_the_skew(spark):
+    df = spark.createDataFrame([(i, math.exp(i % 60 / 10)) for i in range(60)], "id long, v double")
+    plain, bca = (rows(resampling.bootstrap_ci(df, "v", "id", method=m))[0] for m in ("percentile", "bca"))
+    assert bca["lo"] > plain["lo"] and bca["hi"] > plain["hi"]  # a long right tail moves both ends up
+
+
+def test_permutation_p_against_all_permutations(spark):
+    x, g = [1.0, 4.0, 2.0, 8.0, 5.0, 7.0, 9.0, 3.0], "aabababb"
+    df = spark.createDataFrame([(i, v, c, v * v % 7) for i, (v, c) in enumerate(zip(x, g))], "id long, v double, g string, w double")
+    mean = lambda z: sum(z) / len(z)
+    own = abs(mean([v for v, c in zip(x, g) if c == "a"]) - mean([v for v, c in zip(x, g) if c == "b"]))
+    splits = [set(s) for s in itertools.combinations(range(8), 4)]
+    exact = mean([abs(mean([x[i] for i in s]) - mean([x[i] for i in range(8) if i not in s])) >= own - 1e-12 for s in splits])
+    got = rows(resampling.permutation_test(df, "v", "g", "a", "b", "id"))[0]
+    assert abs(got["diff"]) == pytest.approx(own) and got["p"] == pytest.approx(exact, abs=0.03)
+    # two groups: F is monotone in the difference
+    assert rows(resampling.permutation_anova(df, "v", "g", "id"))[0]["p"] == pytest.approx(exact, abs=0.03)
+    y = [v * v % 7 for v in x]
+    r = lambda a: abs(np.corrcoef(a, y)[0, 1])
+    exact = mean([r(p) >= r(x) - 1e-12 for p in itertools.permutations(x)])
+    assert rows(resampling.permutation_correlation(df, "v", "w", "id"))[0]["p"] == pytest.approx(exact, abs=0.03)
+
+
+def test_permutations_over_many_blocks(spark):
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 101).cast("double").alias("v"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"))
+    shifted = df.withColumn("v", F.col("v") + F.when(F.col("g") == "a", 2.0).otherwise(0.0))
+    assert rows(resampling.permutation_test(df, "v", "g", "a", "b", "id", reps=500))[0]["p"] > 0.05
+    assert rows(resampling.permutation_test(shifted, "v", "g", "a", "b", "id", reps=500))[0]["p"] == pytest.approx(1 / 501)
+    assert rows(resampling.permutation_test(df.where("g = 'a'"), "v", "g", "a", "b", "id", reps=50))[0]["p"] is None
+    assert rows(resampling.permutation_correlation(df.withColumn("z", F.lit(1.0)), "v", "z", "id", reps=50))[0]["p"] is None
+
+
+def test_adjusted_p_with_ties_and_nulls(spark):
+    p = [0.01, 0.04, 0.03, 0.03, 0.5, 0.5, 0.9, 1.0, 0.03]
+    df = spark.createDataFrame([*enumerate(p), (99, None)], "id long, p double")
+    got = {r["id"]: r for r in rows(statistics.multiple_testing(df, "id"))}
+    order, m = sorted(range(9), key=lambda i: p[i]), 9
+    top, low = 0.0, 1.0
+    holm, bh = {}, {}
+    for k, i in enumerate(order):
+        holm[i] = top = max(top, min(1, p[i] * (m - k)))
+    for k, i in reversed(list(enumerate(order))):
+        bh[i] = low = min(low, p[i] * m / (k + 1))
+    for i in range(9):
+        assert got[i]["holm"] == pytest.approx(holm[i]) and got[i]["bh"] == pytest.approx(bh[i])
+        assert got[i]["by"] == pytest.approx(min(1, bh[i] * sum(1 / j for j in range(1, 10)))) and got[i]["bonferroni"] == pytest.approx(min(1, p[i] * 9))
+    assert got[99]["holm"] is None
+
+
+@pytest.mark.parametrize("shape", ["spread", "ties", "steps", "wide"])
+def test_quantiles_of_large_columns_equal_percentile(spark, shape):
+    make = {"spread": "id * 7919 % 20011 / 7.0", "ties": "CASE WHEN id % 3 = 0 THEN 5.0 ELSE id % 1009 / 10.0 END", "steps": "floor(id / 5000)", "wide": "CASE WHEN id < 20 THEN 1e300 * (id - 10) ELSE id * 1e-9 END"}
+    df = spark.range(20_000).selectExpr(f"CASE WHEN id % 11 = 0 THEN NULL ELSE double({make[shape]}) END AS v", "double(id) AS w")
+    qs = [0.0, 0.001, 0.25, 1 / 3, 0.5, 0.75, 0.95, 1.0]
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, qs)))).first()[0]
+    got = quantiles.quantiles(df, {"v": (F.col("v"), qs), "w": (F.col("w"), [0.5]), "none": (F.lit(None).cast("double"), [0.5])}, limit=50)
+    assert got["v"] == pytest.approx(want, rel=1e-9) and got["w"] == pytest.approx([9999.5]) and got["none"] is None
+
+
+def test_group_medians_keep_null_groups(spark):
+    df = spark.range(1000).selectExpr("CASE WHEN id % 4 = 3 THEN NULL ELSE id % 4 END AS g", "double(id * id % 97) AS v")
+    want = {r["g"]: r["m"] for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert {r["g"]: r["median"] for r in rows(ordering.group_medians(df, "v", ["g"]))} == want
+
+
+def test_modes_prefer_the_least_of_ties(spark):
+    df = spark.createDataFrame([(10, "b", 1.5), (9, "a", 1.5), (10, "a", None), (9, "b", None), (None, None, None)], "i int, s string, d double")
+    got = cleaning.impute_simple(df, {"i": "mode", "s": "mode", "d": "mode"}).collect()[-1]
+    assert (got["i"], got["s"], got["d"]) == (9, "a", 1.5)
+
+
+def test_correlation_with_a_constant_is_null(spark):
+    df = spark.range(50).selectExpr("double(id) AS a", "2.0D AS b", "CASE WHEN id > 40 THEN NULL ELSE double(id * 2) END AS c")
+    got = {(r["a"], r["b"]): r["r"] for r in rows(statistics.corr_pearson(df, ["a", "b", "c"]))}
+    assert got["a", "b"] is None and got["a", "c"] == pytest.approx(1)
+
+
+def test_harmonic_numbers_meet():
+    assert statistics.harmonic(10) == pytest.approx(sum(1 / i for i in range(1, 11)))
+    assert statistics.harmonic(1_000_001) == pytest.approx(statistics.harmonic(1_000_000) + 1 / 1_000_001, abs=1e-12)
+
+
+def test_chi_square_tails_as_expressions(spark):
+    df = spark.createDataFrame([(x, d) for x in (0.0, 0.3, 2.0, 9.5, 40.0) for d in (1, 2, 3, 4, 5, 9, 10)], "x double, d int")
+    for r in df.select("x", "d", statistics._chi2_upper(F.col("x"), F.col("d")).alias("p")).collect():
+        assert r["p"] == pytest.approx(tails.chi2_upper(r["x"], r["d"]), rel=1e-5, abs=1e-12)
 
 
 def test_same_tables_do_not_drift(spark):

@@ -55,6 +55,12 @@ def agg_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return out
 
 
+def corr(a: Column, b: Column) -> Column:
+    """Pearson's correlation over rows in which both are given; null where one of them is constant, which ``F.corr`` fails on."""
+    a, b = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def long_form(df: DataFrame, parts: dict[str, list[Column]], names: list[str]) -> DataFrame:
     """Aggregates of many columns in one pass, as one row a column: parts[column] are its aggregate expressions."""
     wide = df.agg(*[e.alias(f"{i}_{j}") for i, es in enumerate(parts.values()) for j, e in enumerate(es)])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import agg_row, long_form, numeric_columns, skewness_adjusted, string_columns, value
+from tidewell.functions.quantiles import quantiles
 
 
 def suggest_encoding(df: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def suggest_encoding(df: DataFrame) -> DataFrame:
 def suggest_transform(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, suggestions: log1p, standard_scale, robust_scale, bucketize."""
     own = columns or numeric_columns(df)
-    got = agg_row(df, {c: F.percentile(value(df, c), F.array(F.lit(0.25), F.lit(0.75))) for c in own})
+    got = quantiles(df, {c: (value(df, c), [0.25, 0.75]) for c in own})
     parts = {}
     for c in own:
         v, q = value(df, c).cast("double"), got[c] or [0, 0]

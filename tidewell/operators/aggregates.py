@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.functions.columns import agg_row, kurtosis_adjusted, long_form, numeric_columns, skewness_adjusted, value
+from tidewell.functions.columns import agg_row, corr, kurtosis_adjusted, long_form, numeric_columns, skewness_adjusted, value
+from tidewell.functions.quantiles import quantile_exprs, quantiles
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -25,10 +26,10 @@ def aggregation_rollup(df: DataFrame, by: list[str], aggs: dict[str, tuple[str,
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     own = columns or numeric_columns(df)
-    parts = {}
+    parts, q = {}, quantile_exprs(df, {c: (value(df, c), QUANTILES) for c in own})
     for c in own:
         v = value(df, c).cast("double")
-        parts[c] = [F.count(v), F.sum(v.isNull().cast("long")), F.count_distinct(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), F.var_samp(v), F.skewness(v), F.kurtosis(v), F.percentile(v, F.array(*map(F.lit, QUANTILES)))]
+        parts[c] = [F.count(v), F.sum(v.isNull().cast("long")), F.count_distinct(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v), F.var_samp(v), F.skewness(v), F.kurtosis(v), q[c]]
     out = long_form(df, parts, ["n", "n_null", "n_distinct", "min", "max", "mean", "std", "variance", "skewness", "kurtosis", "q"])
     names = ["q05", "q25", "median", "q75", "q95"]
     return out.select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], (F.col("q")[3] - F.col("q")[1]).alias("iqr")).drop("q")
@@ -36,10 +37,11 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def profile_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n_iqr (beyond Tukey fences), n_z (|z| > 3, population deviation), pct of each."""
-    got = agg_row(df, {f"{k}|{c}": e for c in columns for k, e in (("q", F.percentile(value(df, c), F.array(F.lit(0.25), F.lit(0.75)))), ("m", F.avg(value(df, c))), ("s", F.stddev_pop(value(df, c))))})
+    q = quantile_exprs(df, {c: (value(df, c), [0.25, 0.75]) for c in columns})
+    got = agg_row(df, {f"{k}|{c}": e for c in columns for k, e in (("q", q[c]), ("m", F.avg(value(df, c))), ("s", F.stddev_pop(value(df, c))))})
     parts = {}
     for c in columns:
-        v, (a, b) = value(df, c), got[f"q|{c}"]
+        v, (a, b) = value(df, c), got[f"q|{c}"] or (0.0, 0.0)
         iqr = F.sum(((v < a - 1.5 * (b - a)) | (v > b + 1.5 * (b - a))).cast("long"))
         z = F.sum((F.abs(v - got[f"m|{c}"]) > 3 * got[f"s|{c}"]).cast("long"))
         parts[c] = [iqr, z, F.count(v)]
@@ -47,11 +49,11 @@ def profile_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def profile_datetime(df: DataFrame, column: str) -> DataFrame:
-    """min, max, range_days and the upper-middle median, found over distinct values by their counts."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum("n").alias("n"), F.percentile(F.unix_micros(F.col("v").cast("timestamp")), 0.5, F.col("n")).alias("m"))
-    upper = counts.join(F.broadcast(ends), F.unix_micros(F.col("v").cast("timestamp")) >= F.col("m")).agg(F.min("v").alias("median"))
-    return ends.crossJoin(upper).select("min", "max", F.datediff("max", "min").alias("range_days"), "median")  # one row each
+    """min, max, range_days and the upper-middle median."""
+    at = F.unix_micros(F.col(column).cast("timestamp"))
+    middle = quantiles(df, {"m": (at, [0.5])})["m"]
+    ends = df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.min(F.when(at >= F.lit(middle[0] if middle else None), F.col(column))).alias("median"))
+    return ends.select("min", "max", F.datediff("max", "min").alias("range_days"), "median")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,8 +98,9 @@ def column_metadata(df: DataFrame) -> DataFrame:
 
 def descriptive_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts, moments with sample-adjusted skewness and kurtosis, cv, range, zero/negative/unique counts."""
-    parts = {c: [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v), F.percentile(v, 0.5), F.skewness(v), F.kurtosis(v), F.sum((v == 0).cast("long")), F.sum((v < 0).cast("long")), F.count_distinct(v)] for c in columns for v in [value(df, c).cast("double")]}
-    out = long_form(df, parts, ["n", "mean", "std", "min", "max", "median", "g1", "g2", "n_zero", "n_negative", "n_unique"])
+    q = quantile_exprs(df, {c: (value(df, c), [0.5]) for c in columns})
+    parts = {c: [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v), q[c], F.skewness(v), F.kurtosis(v), F.sum((v == 0).cast("long")), F.sum((v < 0).cast("long")), F.count_distinct(v)] for c in columns for v in [value(df, c).cast("double")]}
+    out = long_form(df, parts, ["n", "mean", "std", "min", "max", "median", "g1", "g2", "n_zero", "n_negative", "n_unique"]).withColumn("median", F.get("median", F.lit(0)))
     n = F.col("n").cast("double")
     return out.select("column", "n", "mean", "std", "min", "max", "median", (F.col("std") / F.nullif(F.abs("mean"), F.lit(0.0))).alias("cv"), (F.col("max") - F.col("min")).alias("range"), skewness_adjusted(n, F.col("g1")).alias("skewness"), kurtosis_adjusted(n, F.col("g2")).alias("kurtosis"), "n_zero", "n_negative", "n_unique")
 
@@ -131,12 +134,12 @@ def null_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     from itertools import combinations
 
     z = lambda c: value(df, c).isNull().cast("double")
-    return long_form(df, {f"{a}|{b}": [F.corr(z(a), z(b))] for a, b in combinations(columns, 2)}, ["r"]).select(F.split_part("column", F.lit("|"), F.lit(1)).alias("a"), F.split_part("column", F.lit("|"), F.lit(2)).alias("b"), "r")
+    return long_form(df, {f"{a}|{b}": [corr(z(a), z(b))] for a, b in combinations(columns, 2)}, ["r"]).select(F.split_part("column", F.lit("|"), F.lit(1)).alias("a"), F.split_part("column", F.lit("|"), F.lit(2)).alias("b"), "r")
 
 
 def missingness_mechanism(df: DataFrame, columns: list[str], others: list[str], r: float = 0.3, high: float = 0.3) -> DataFrame:
     """column, null_rate, mechanism: MAR if its null indicator correlates with another column, else MNAR_SUSPECTED or MCAR."""
-    parts = {c: [F.avg(value(df, c).isNull().cast("int")), F.greatest(*[F.coalesce(F.abs(F.corr(value(df, c).isNull().cast("double"), value(df, o).cast("double"))), F.lit(0.0)) for o in others if o != c], F.lit(0.0))] for c in columns}
+    parts = {c: [F.avg(value(df, c).isNull().cast("int")), F.greatest(*[F.coalesce(F.abs(corr(value(df, c).isNull().cast("double"), value(df, o).cast("double"))), F.lit(0.0)) for o in others if o != c], F.lit(0.0))] for c in columns}
     out = long_form(df, parts, ["null_rate", "max_r"])
     return out.select("column", "null_rate", F.when(F.col("null_rate") == 0, "NONE").when(F.col("max_r") >= r, "MAR").when(F.col("null_rate") >= high, "MNAR_SUSPECTED").otherwise("MCAR").alias("mechanism"))
 
@@ -214,7 +217,7 @@ def category_counts(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 
 def correlation_heatmap_data(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, r of all ordered pairs."""
-    out = long_form(df, {f"{a}|{b}": [F.corr(value(df, a), value(df, b))] for a in columns for b in columns if a < b}, ["r"])
+    out = long_form(df, {f"{a}|{b}": [corr(value(df, a), value(df, b))] for a in columns for b in columns if a < b}, ["r"])
     pair = out.select(F.split_part("column", F.lit("|"), F.lit(1)).alias("a"), F.split_part("column", F.lit("|"), F.lit(2)).alias("b"), "r")
     own = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, r double")
     return pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionByName(own)

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tidewell.functions.columns import FALSE_WORDS, NULL_STRINGS, NUMERIC_SENTINELS, STRING_SENTINELS, TRUE_WORDS, agg_row, any_of, numeric_columns, share, string_columns, value
+from tidewell.functions.quantiles import quantiles
+from tidewell.operators.neighbours import nearest
+from tidewell.operators.ordering import by_ranges, range_cuts
 
 
 def normalise_column_names(df: DataFrame) -> DataFrame:
@@ -61,8 +64,9 @@ def stringify_complex(df: DataFrame) -> DataFrame:
 
 
 def encode_binary_base64(df: DataFrame) -> DataFrame:
+    """Binary columns become base64 text on one line; Spark may break lines after 76 characters."""
     raw = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)]
-    return df.withColumns({c: F.base64(c) for c in raw}) if raw else df
+    return df.withColumns({c: F.translate(F.base64(c), "\r\n", "") for c in raw}) if raw else df
 
 
 def flatten_struct(df: DataFrame, depth: int = 3, sep: str = ".") -> DataFrame:
@@ -206,18 +210,24 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
-def mode_of(df: DataFrame, column: str) -> Column:
-    """Most frequent value, the least one on ties."""
-    return F.mode(column, deterministic=True)
+def modes(df: DataFrame, columns: list[str]) -> dict:
+    """The most frequent value of each column, the least one on ties; counted in one pass, combined before its shuffle."""
+    numeric, kinds = set(numeric_columns(df)), dict(df.dtypes)
+    # numbers are compared as numbers, all else as text
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("o")) for c in columns])
+    counts = df.select(F.explode(pairs).alias("p")).select("p.*").where("v IS NOT NULL").groupBy("c", "v", "o").agg(F.count("*").alias("n"))
+    best = {r["c"]: r["v"] for r in counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), "o", "v")).alias("v")).collect()}  # one row a column
+    return {c: F.lit(best[c]).cast(kinds[c]) for c in columns if c in best}
 
 
 def impute_simple(df: DataFrame, how: dict[str, str | float]) -> DataFrame:
     """``how``: column -> mean, median, mode, or a constant."""
-    named = {c: h for c, h in how.items() if h in ("mean", "median", "mode")}
-    make = {"mean": lambda c: F.avg(value(df, c)), "median": lambda c: F.percentile(value(df, c), 0.5), "mode": lambda c: mode_of(df, c)}
-    fills = agg_row(df, {c: make[h](c) for c, h in named.items()}) if named else {}
-    fills |= {c: h for c, h in how.items() if c not in named}
-    return df.withColumns({c: F.coalesce(value(df, c), F.lit(v)) for c, v in fills.items() if v is not None})
+    named = {h: [c for c in how if how[c] == h] for h in ("mean", "median", "mode")}
+    fills = agg_row(df, {c: F.avg(value(df, c)) for c in named["mean"]}) if named["mean"] else {}
+    fills |= {c: q[0] for c, q in quantiles(df, {c: (value(df, c), [0.5]) for c in named["median"]}).items() if q}
+    fills |= modes(df, named["mode"]) if named["mode"] else {}
+    fills |= {c: h for c, h in how.items() if h not in named}
+    return df.withColumns({c: F.coalesce(value(df, c), v if isinstance(v, Column) else F.lit(v)) for c, v in fills.items() if v is not None})
 
 
 def impute_tiered(df: DataFrame, order: list[str] | None = None, by: list[str] | None = None, high: float = 0.9, low: float = 0.25) -> DataFrame:
@@ -232,11 +242,34 @@ def impute_tiered(df: DataFrame, order: list[str] | None = None, by: list[str] |
 
 
 def impute_ffill_bfill(df: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Last value before a row, else the first one after it, within ``by``."""
-    w = W.partitionBy(*(by or [])).orderBy(*order)
+    """Last value before a row, else the first one after it, within ``by``.
+
+    Without ``by`` the whole table is one series, dealt out by ranges of its first order column (a number, date or time): a
+    range's first and last values are carried over to the other ranges, so no task sees more than a range.
+    """
+    own, given, names = {c: value(df, c) for c in columns}, list(order), df.columns
+    if not by:
+        kind = dict(df.dtypes)[order[0]]
+        at = F.col(order[0]).cast("timestamp").cast("double") if kind.startswith(("date", "timestamp")) else F.col(order[0]).cast("double")
+        if not kind.startswith(("date", "timestamp", "decimal")) and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+            raise ValueError(f"{order[0]} is {kind}: give by, or a number, date or time as the first of order")
+        df = df.withColumn("_at", at)
+        df = by_ranges(df, "_at", range_cuts(df, ["_at"])["_at"]).withColumn("_p", F.when(F.col("_at").isNull(), -1).otherwise(F.col("_p")))
+        # one row a range
+        place = F.struct(*given)
+        ends = df.groupBy("_p").agg(*[f(own[c], F.when(own[c].isNotNull(), place)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("_first", F.min_by), ("_last", F.max_by))])
+        past, later = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_p").rowsBetween(1, W.unboundedFollowing)
+        carried = ends.select("_p", *[F.last(f"_last{i}", ignorenulls=True).over(past).alias(f"_from{i}") for i in range(len(columns))], *[F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_next{i}") for i in range(len(columns))])
+        df = df.join(F.broadcast(carried), "_p")
+    w = W.partitionBy(*(by or ["_p"])).orderBy(*given)
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    fill = lambda c: F.coalesce(F.last(value(df, c), ignorenulls=True).over(back), F.first(value(df, c), ignorenulls=True).over(ahead))
-    return df.withColumns({c: fill(c) for c in columns})
+    extra = lambda i: [] if by else [F.col(f"_from{i}"), F.col(f"_next{i}")]
+
+    def fill(i: int, c: str) -> Column:
+        last, following = F.last(own[c], ignorenulls=True).over(back), F.first(own[c], ignorenulls=True).over(ahead)
+        return F.coalesce(last, *extra(i)[:1], following, *extra(i)[1:])
+
+    return df.withColumns({c: fill(i, c) for i, c in enumerate(columns)}).select(*names)
 
 
 def add_null_indicators(df: DataFrame, columns: list[str] | None = None, min_rate: float = 0.0, suffix: str = "_was_null") -> DataFrame:
@@ -266,7 +299,7 @@ def cap_outliers(df: DataFrame, columns: list[str], method: str = "iqr", k: floa
         got = agg_row(df, {f"{s}|{c}": f(value(df, c)) for c in columns for s, f in (("m", F.avg), ("s", F.stddev_samp))})
         ends = {c: (got[f"m|{c}"] - k * got[f"s|{c}"], got[f"m|{c}"] + k * got[f"s|{c}"]) for c in columns if got[f"s|{c}"] is not None}
     else:
-        got = agg_row(df, {c: F.percentile(value(df, c), F.array(*map(F.lit, spec[method]))) for c in columns})
+        got = quantiles(df, {c: (value(df, c), spec[method]) for c in columns})
         ends = {c: q if method == "winsorise" else (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, q in got.items() if q}
     if method == "flag":
         return df.withColumns({f"{c}_outlier": ((F.col(c) < lo) | (F.col(c) > hi)).cast("int") for c, (lo, hi) in ends.items()})
@@ -310,37 +343,66 @@ def missing_data_pipeline(df: DataFrame, limit: float = 0.8) -> DataFrame:
     return clean_pipeline(add_null_indicators(drop_high_null_columns(kept), min_rate=0.2, suffix="_is_missing"))
 
 
-def impute_knn(df: DataFrame, columns: list[str], key: str, k: int = 5, bucket: float = 2.0) -> DataFrame:
-    """Nulls become the mean of up to ``k`` nearest complete rows, found by LSH over the other numeric columns.
+def impute_knn(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+    """Nulls become the mean of the ``k`` nearest complete rows; distances go over the standardised columns that a row has.
 
-    Distances are over standardised columns; rows without a neighbour in reach get the column's median.
+    Exact: rows are reduced to distinct vectors, which are met by :func:`neighbours.nearest` once a pattern of gaps.  Donors at
+    the distance of the k-th share its place.  With fewer than ``k`` complete rows all of them count; with none the columns'
+    medians are taken.
+    """
+    spread = agg_row(df, {c: F.stddev_pop(value(df, c)) for c in columns})
+    raw = lambda c: value(df, c).cast("double")
+    mask = sum((F.when(raw(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(columns)), F.lit(0))
+    # a position without a value is 0 on both sides and adds nothing to a distance
+    keyed = df.withColumns({"_mask": mask, "_q": F.array(*[F.coalesce(raw(c), F.lit(0.0)) for c in columns])})
+    needy = keyed.where("_mask > 0").select(F.col("_mask").alias("mask"), F.col("_q").alias("q")).distinct()
+    masks = [r["mask"] for r in needy.select("mask").distinct().collect()]  # patterns of gaps in these columns
+    if not masks:
+        return df
+    whole = keyed.where("_mask = 0").groupBy(*columns, "_q").agg(F.count("*").alias("n"))
+    dealt = whole.select(F.explode(F.array(*map(F.lit, masks))).alias("mask"), "_q", "n", F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    seen = F.transform("_q", lambda x, i: F.when(F.call_function("getbit", F.col("mask"), i) == 0, x).otherwise(0.0))
+    dealt = dealt.select("mask", seen.alias("x"), "n", "v").groupBy("mask", "x").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i] * F.col("n")).alias(f"s{i}") for i in range(len(columns))])
+    near = nearest(needy, dealt.select("mask", "x", "n", F.array(*[f"s{i}" for i in range(len(columns))]).alias("s")), k, [1 / (spread[c] or 1.0) ** 2 for c in columns])
+    # the last entry fills up what is left of k
+    before = lambda i: F.aggregate(F.slice("near", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    taken = F.transform("near", lambda x, i: F.struct((F.least(x["n"], k - before(i)) / x["n"]).alias("share"), F.least(x["n"], k - before(i)).alias("w"), x["s"].alias("s")))
+    total = F.aggregate("taken", F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    mean = lambda i: F.aggregate("taken", F.lit(0.0), lambda a, x: a + x["share"] * F.get(x["s"], F.lit(i))) / total
+    fills = near.select(F.col("mask").alias("_m"), F.col("q").alias("_v"), taken.alias("taken")).select("_m", "_v", *[mean(i).alias(f"_f{i}") for i in range(len(columns))])
+    out = keyed.join(fills, (F.col("_mask") == F.col("_m")) & (F.col("_q") == F.col("_v")), "left")
+    out = out.withColumns({c: F.coalesce(raw(c), F.col(f"_f{i}")) for i, c in enumerate(columns)}).select(*df.columns)
+    return impute_simple(out, dict.fromkeys(columns, "median")) if whole.isEmpty() else out
+
+
+def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 10, tol: float = 1e-3) -> DataFrame:
+    """Chained equations: each round regresses every column with gaps on the others and refills its gaps, until no filling
+    moves by more than ``tol`` of its column's greatest value, for ``rounds`` at most.
+
+    A regression is one aggregate of means and covariances; only those (columns x columns) reach the driver.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, StandardScaler, VectorAssembler
-
-    filled = impute_simple(df, dict.fromkeys(columns, "median"))
-    vec = VectorAssembler(inputCols=columns, outputCol="_raw").transform(filled.select(key, *columns))
-    vec = StandardScaler(inputCol="_raw", outputCol="_v").fit(vec).transform(vec).select(key, "_v")
-    gap = any_of([value(df, c).isNull() for c in columns])
-    needy, whole = vec.join(df.where(gap).select(key), key), vec.join(df.where(~gap).select(key, *columns), key)
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=2, seed=7).fit(vec)
-    near = lsh.approxSimilarityJoin(needy, whole, bucket, "d").select(F.col(f"datasetA.{key}").alias(key), *[F.col(f"datasetB.{c}").alias(c) for c in columns], F.col("d"), F.col(f"datasetB.{key}").alias("_o"))
-    best = near.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("d", "_o"))).where(F.col("_r") <= k)
-    means = best.groupBy(key).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    out = df.join(means, key, "left").join(filled.select(key, *[F.col(c).alias(f"_f_{c}") for c in columns]), key)
-    return out.withColumns({c: F.coalesce(value(df, c), F.col(f"_m_{c}"), F.col(f"_f_{c}")) for c in columns}).select(*df.columns)
-
-
-def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 3) -> DataFrame:
-    """Chained equations: each round regresses every column with gaps on the others and refills its gaps."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rates = null_rates(df.select(*columns))
-    gaps = [c for c in columns if rates[c]]
-    out = impute_simple(df.withColumns({f"_g_{c}": value(df, c).isNull() for c in gaps}), dict.fromkeys(gaps, "mean")) if gaps else df
-    for _ in range(rounds if gaps else 0):
+    import numpy as np
+
+    first = agg_row(df, {f"{f}|{c}": e(value(df, c)) for c in columns for f, e in (("n", F.count), ("m", F.avg), ("top", lambda v: F.max(F.abs(v))))})
+    rows = agg_row(df, {"n": F.count("*")})["n"]
+    gaps = [c for c in columns if 0 < first[f"n|{c}"] < rows]
+    if not gaps or len(columns) < 2:
+        return impute_simple(df, dict.fromkeys(gaps, "mean")) if gaps else df
+    own = [c for c in columns if first[f"n|{c}"]]
+    out = df.withColumns({f"_g_{c}": value(df, c).isNull() for c in gaps}).withColumns({c: F.coalesce(value(df, c).cast("double"), F.lit(first[f"m|{c}"])) for c in own})
+    for turn in range(rounds):
+        out = out.withColumns({f"_o_{c}": F.col(c) for c in gaps})
         for c in gaps:
-            fit = VectorAssembler(inputCols=[x for x in columns if x != c], outputCol="_x", handleInvalid="keep").transform(out)
-            model = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_p", solver="normal", regParam=1e-6).fit(fit.where(~F.col(f"_g_{c}")))
-            out = model.transform(fit).withColumn(c, F.when(F.col(f"_g_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_x", "_p")
-    return out.drop(*[f"_g_{c}" for c in gaps])
+            x = [o for o in own if o != c]
+            known = out.where(~F.col(f"_g_{c}"))
+            pairs = {f"{a}|{b}": F.covar_pop(a, b) for i, a in enumerate(x) for b in [*x[i:], c]}
+            got = agg_row(known, {**pairs, **{f"m|{a}": F.avg(a) for a in [*x, c]}})
+            m = np.array([[got.get(f"{a}|{b}", got.get(f"{b}|{a}")) for b in x] for a in x], float)
+            beta = np.linalg.pinv(m + 1e-12 * np.diag(np.diag(m))) @ np.array([got[f"{a}|{c}"] for a in x], float)
+            fit = sum((float(b) * (F.col(a) - got[f"m|{a}"]) for a, b in zip(x, beta)), F.lit(got[f"m|{c}"]))
+            out = out.withColumn(c, F.when(F.col(f"_g_{c}"), fit).otherwise(F.col(c)))
+        if turn + 1 < rounds:
+            moved = agg_row(out, {c: F.max(F.abs(F.col(c) - F.col(f"_o_{c}"))) for c in gaps})
+            if all(moved[c] <= tol * (first[f"top|{c}"] or 1.0) for c in gaps):
+                break
+    return out.select(*df.columns)

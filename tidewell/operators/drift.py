@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 
 from tidewell.functions import tails
 from tidewell.functions.columns import agg_row, value
-from tidewell.operators.ordering import by_ranges, range_cuts
+from tidewell.functions.quantiles import quantiles
+from tidewell.operators.ordering import by_ranges, group_medians, range_cuts
 
 
 def _both(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
@@ -33,7 +34,7 @@ def width_edges(both: DataFrame, bins: int) -> list[float]:
 
 
 def quantile_edges(both: DataFrame, bins: int) -> list[float]:
-    q = agg_row(both, {"q": F.percentile("v", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))})["q"]
+    q = quantiles(both, {"q": (F.col("v"), [i / bins for i in range(bins + 1)])})["q"]
     return sorted(set(q))
 
 
@@ -174,7 +175,8 @@ def schema_drift(base: DataFrame, now: DataFrame) -> DataFrame:
 def temporal_drift(df: DataFrame, ts: str, column: str, window: str = "7 days") -> DataFrame:
     """start, mean, std, median, z and alert (|z| > 2 of the global mean) for each window."""
     g = agg_row(df, {"m": F.avg(column), "s": F.stddev_samp(column)})
-    out = df.groupBy(F.window(ts, window).alias("w")).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.percentile(column, 0.5).alias("median"))
+    rows = df.select(F.window(ts, window).alias("w"), F.col(column))
+    out = rows.groupBy("w").agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")).join(group_medians(rows, column, ["w"]), "w", "left")
     return out.select(F.col("w.start").alias("start"), "mean", "std", "median", ((F.col("mean") - g["m"]) / g["s"]).alias("z")).withColumn("alert", F.abs("z") > 2)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.functions.columns import agg_row, numeric_columns, value
+from tidewell.functions.columns import agg_row, corr, numeric_columns, value
+from tidewell.functions.quantiles import quantiles
+from tidewell.functions.stages import stash
+from tidewell.operators.neighbours import nearest
 
 #: An encoding table with at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -63,9 +66,18 @@ def hash_encode(df: DataFrame, column: str, buckets: int = 1000, name: str | Non
 
 
 def label_encode(df: DataFrame, column: str) -> DataFrame:
-    """Category -> code in sorted order.  Only the distinct values are ordered."""
+    """Category -> code in sorted order.
+
+    The distinct values are dealt out by ranges, once into the shared folder so that a range stays as it is, and numbered
+    within their range; the ranges' sizes give each its start.
+    """
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    return lookup(df, values.withColumn(f"{column}_code", F.row_number().over(W.orderBy(column)) - 1), column)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = stash(values.repartitionByRange(parts, column).withColumn("_p", F.spark_partition_id()), "labels")
+    sizes = values.groupBy("_p").agg(F.count("*").alias("_m"))  # one row a range
+    base = sizes.select("_p", F.coalesce(F.sum("_m").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(column)) - 1 + F.col("_base")
+    return lookup(df, values.join(F.broadcast(base), "_p").select(column, place.cast("int").alias(f"{column}_code")), column)
 
 
 def ordinal_encode(df: DataFrame, column: str, order: list[str]) -> DataFrame:
@@ -131,7 +143,7 @@ def polynomial_features(df: DataFrame, columns: list[str], degree: int = 2) -> D
 
 def bin_quantile(df: DataFrame, column: str, bins: int = 4) -> DataFrame:
     """Quantile bins from 0, duplicate edges dropped; bins are closed on the right, the first on both sides."""
-    q = agg_row(df, {"q": F.percentile(value(df, column), F.array(*[F.lit(i / bins) for i in range(bins + 1)]))})["q"]
+    q = quantiles(df, {"q": (value(df, column), [i / bins for i in range(bins + 1)])})["q"]
     edges = sorted(set(q))[1:-1] if q else []
     code = sum(((F.col(column) > e).cast("int") for e in edges), F.lit(0))
     return df.withColumn(f"{column}_bin", F.when(value(df, column).isNotNull(), code))
@@ -159,7 +171,7 @@ def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    got = agg_row(df, {c: F.percentile(value(df, c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns})
+    got = quantiles(df, {c: (value(df, c), [0.25, 0.5, 0.75]) for c in columns})
     return df.withColumns({f"{c}_robust": (F.col(c) - q[1]) / (q[2] - q[0]) if q and q[2] != q[0] else F.lit(0.0) for c, q in got.items()})
 
 
@@ -168,7 +180,7 @@ def synthesize_features(df: DataFrame, columns: list[str] | None = None, min_r:
     from itertools import combinations
 
     own = columns or numeric_columns(df)
-    r = agg_row(df, {f"{a}|{b}": F.corr(value(df, a), value(df, b)) for a, b in combinations(own, 2)})
+    r = agg_row(df, {f"{a}|{b}": corr(value(df, a), value(df, b)) for a, b in combinations(own, 2)})
     ranked = sorted(((abs(v), k) for k, v in r.items() if v is not None and abs(v) >= min_r), key=lambda x: (-x[0], x[1]))
     out = {}
     for _, k in ranked[: limit // 2]:
@@ -196,15 +208,26 @@ def class_balance_resample(df: DataFrame, target: str, key: str, method: str = "
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
 
 
-def smote(df: DataFrame, target: str, minority, columns: list[str], key: str, seed: int = 7) -> DataFrame:
-    """Synthetic minority rows: each lies between a minority row and the next one in its bucket of an LSH projection."""
-    rows = df.where(F.col(target) == minority)
-    scaled = zscore_scale(rows, columns)
-    line = sum((F.col(f"{c}_zscore") * (1 + i) for i, c in enumerate(columns)), F.lit(0.0))
-    w = W.partitionBy(F.floor(line)).orderBy(line, key)
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) / 1000
-    near = scaled.select(key, target, *[(F.col(c) + u * (F.lead(c).over(w) - F.col(c))).alias(c) for c in columns])
-    return near.na.drop("any")
+def smote(df: DataFrame, target: str, minority, columns: list[str], key: str, k: int = 5, seed: int = 7) -> DataFrame:
+    """Synthetic minority rows, one for each minority row without gaps: key, target, columns at a random point between the row
+    and one of its ``k`` nearest minority vectors by standardised distance, drawn by hash of ``key``.
+
+    Neighbours are exact (see :func:`neighbours.nearest`); equal vectors are one neighbour, so a class with a single vector
+    gives copies of it.
+    """
+    rows = df.where(F.col(target) == minority).select(key, target, *[value(df, c).cast("double").alias(c) for c in columns]).na.drop("any", subset=columns)
+    spread = agg_row(rows, {c: F.stddev_pop(c) for c in columns})
+    rows = rows.withColumn("_q", F.array(*columns))
+    vectors = rows.select("_q", F.col("_q").alias("s")).distinct()
+    donors = vectors.select(F.lit(0).alias("mask"), F.col("_q").alias("x"), F.lit(1).cast("long").alias("n"), "s")
+    near = nearest(vectors.select(F.lit(0).alias("mask"), F.col("_q").alias("q")), donors, k + 1, [1 / (spread[c] or 1.0) ** 2 for c in columns])
+    # entries at one distance are means of their vectors: n of them share it
+    others = F.filter("near", lambda x: x["d2"] > 0)
+    codes = near.select(F.col("q").alias("_v"), others.alias("_near"))
+    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(1 << 30)) / (1 << 30)
+    out = rows.join(codes, F.col("_q") == F.col("_v"), "left").withColumns({"_u": u("way"), "_pick": F.get("_near", F.floor(u("pick") * F.size("_near")).cast("int"))})
+    to = lambda i: F.get("_pick.s", F.lit(i)) / F.col("_pick.n")
+    return out.select(key, target, *[(F.col(c) + F.col("_u") * F.coalesce(to(i) - F.col(c), F.lit(0.0))).alias(c) for i, c in enumerate(columns)])
 
 
 def feature_select_topk(importance: DataFrame, k: int) -> DataFrame:

@@ -61,11 +61,25 @@ def average_ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     counts = by_ranges(counts, column, range_cuts(counts, [column])[column])
     sums = counts.groupBy(*by, "_p").agg(F.sum("n").alias("_m"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_m").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
-    out = counts.join(F.broadcast(base), [*by, "_p"])  # one row a range and group
+    base = base.toDF(*[f"_k{i}" for i in range(len(by))], "_q", "_base")
+    same = reduce(lambda a, i: a & F.col(by[i]).eqNullSafe(F.col(f"_k{i}")), range(len(by)), F.col("_p") == F.col("_q"))
+    out = counts.join(base if by else F.broadcast(base), same)  # one row a range (and group)
     upto = F.sum("n").over(W.partitionBy(*by, "_p").orderBy(column).rowsBetween(W.unboundedPreceding, 0)) + F.col("_base")
     return out.select(*by, column, "n", (upto - (F.col("n") - 1) / 2).alias("rank"))
 
 
+def group_medians(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """by, median of each group (null groups too), from ranks over distinct values: no group's values meet in one buffer."""
+    ranks = average_ranks(df.select(*by, F.col(column)), column, by)
+    sizes = ranks.groupBy(*by).agg(F.sum("n").alias("_n")).toDF(*[f"_k{i}" for i in range(len(by))], "_n")
+    same = reduce(lambda a, i: a & F.col(by[i]).eqNullSafe(F.col(f"_k{i}")), range(len(by)), F.lit(True))
+    first, last = F.col("rank") - (F.col("n") - 1) / 2, F.col("rank") + (F.col("n") - 1) / 2
+    at = lambda r: F.max(F.when((first <= r) & (r <= last), F.col(column).cast("double")))
+    middle = (F.col("_n") + 1) / 2
+    ends = ranks.join(sizes, same).groupBy(*by).agg(at(F.floor(middle)).alias("_a"), at(F.ceil(middle)).alias("_b"))
+    return ends.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias("median"))
+
+
 def rank_average(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """``df`` with the average rank of ``column``; nulls have none."""
     ranks = average_ranks(df, column).select(F.col(column).alias("_v"), F.col("rank").alias(name))
@@ -80,7 +94,9 @@ def percent_rank_values(df: DataFrame, column: str) -> DataFrame:
 def interarrival_stats(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
     gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(W.partitionBy(*by).orderBy(ts))
     gaps = df.select(*by, gap.alias("gap")).where("gap IS NOT NULL")
-    return gaps.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("gap", 0.5).alias("median_gap"), F.max("gap").alias("max_gap"))
+    middles = group_medians(gaps, "gap", by).toDF(*[f"_m{i}" for i in range(len(by))], "median_gap")
+    same = reduce(lambda a, i: a & F.col(by[i]).eqNullSafe(F.col(f"_m{i}")), range(len(by)), F.lit(True))
+    return gaps.groupBy(*by).agg(F.count("*").alias("n"), F.max("gap").alias("max_gap")).join(middles, same).select(*by, "n", "median_gap", "max_gap")
 
 
 def session_breaks(df: DataFrame, ts: str, by: list[str], gap: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import luhn_valid
+from tidewell.functions.quantiles import quantiles
 from tidewell.operators.validators import counted
 
 
@@ -103,8 +104,8 @@ def evaluate(df: DataFrame, bindings: dict[str, str], rules: list[Rule] = RULES)
 
 def reg_carbon_spikes(df: DataFrame, emissions: str) -> DataFrame:
     """Rows over ten times the median."""
-    m = df.agg(F.percentile(emissions, 0.5)).first()[0]
-    return counted(df, [("reg_carbon_spikes", emissions, "WARNING", F.col(emissions) > 10 * m)])
+    m = (quantiles(df, {"m": (F.col(emissions), [0.5])})["m"] or [None])[0]
+    return counted(df, [("reg_carbon_spikes", emissions, "WARNING", F.col(emissions) > F.lit(None if m is None else 10 * m))])
 
 
 def reg_velocity(df: DataFrame, entity: str, ts: str, limit: int = 50) -> DataFrame:

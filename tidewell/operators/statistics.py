@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.functions import tails
-from tidewell.functions.columns import agg_row, long_form, value
-from tidewell.operators.ordering import average_ranks, dense_ranks, range_cuts, rank_average
+from tidewell.functions.columns import agg_row, corr, long_form, value
+from tidewell.operators.ordering import average_ranks, by_ranges, dense_ranks, group_medians, range_cuts, rank_average
 
 
 def corr_pearson(df: DataFrame, columns: list[str], least: int = 5) -> DataFrame:
     """a, b, r of all pairs over rows in which both are given."""
     both = lambda a, b: F.count(F.when(value(df, a).isNotNull() & value(df, b).isNotNull(), 1))
-    out = long_form(df, {f"{a}|{b}": [F.corr(value(df, a), value(df, b)), both(a, b)] for a, b in combinations(columns, 2)}, ["r", "n"])
+    out = long_form(df, {f"{a}|{b}": [corr(value(df, a), value(df, b)), both(a, b)] for a, b in combinations(columns, 2)}, ["r", "n"])
     return out.where(F.col("n") >= least).select(F.split_part("column", F.lit("|"), F.lit(1)).alias("a"), F.split_part("column", F.lit("|"), F.lit(2)).alias("b"), "r")
 
 
 def corr_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    return rank_average(rank_average(rows, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+    return rank_average(rank_average(rows, a, "_ra"), b, "_rb").agg(corr(F.col("_ra"), F.col("_rb")).alias("rho"))
 
 
 def corr_kendall(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -87,7 +87,7 @@ def corr_highlights(pairs: DataFrame, near: float = 0.95, strong: float = 0.8) -
 
 
 def target_correlation(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    out = long_form(df, {c: [F.corr(value(df, c), value(df, target))] for c in columns}, ["r"])
+    out = long_form(df, {c: [corr(value(df, c), value(df, target))] for c in columns}, ["r"])
     return out.where("r IS NOT NULL").orderBy(F.desc(F.abs("r")), "column")
 
 
@@ -95,7 +95,7 @@ def vif(df: DataFrame, columns: list[str], cap: float = 0.9999) -> DataFrame:
     """column, vif: the diagonal of the inverse correlation matrix, R^2 capped."""
     import numpy as np
 
-    r = agg_row(df, {f"{a}|{b}": F.corr(value(df, a), value(df, b)) for a, b in combinations(columns, 2)})
+    r = agg_row(df, {f"{a}|{b}": corr(value(df, a), value(df, b)) for a, b in combinations(columns, 2)})
     m = np.eye(len(columns))
     for i, j in combinations(range(len(columns)), 2):
         m[i, j] = m[j, i] = r[f"{columns[i]}|{columns[j]}"] or 0.0
@@ -165,7 +165,7 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def levene_test(df: DataFrame, column: str, group: str) -> DataFrame:
     """Brown-Forsythe form: an ANOVA on distances to the group's median."""
-    med = df.groupBy(F.col(group).alias("_g")).agg(F.percentile(column, 0.5).alias("_m"))
+    med = group_medians(df, column, [group]).toDF("_g", "_m")
     return anova_oneway(df.join(med, F.col(group) == F.col("_g")).select(group, F.abs(F.col(column) - F.col("_m")).alias("_z")), "_z", group).select(F.col("f").alias("w"), "p")
 
 
@@ -202,51 +202,34 @@ def ci_proportion(df: DataFrame, condition: Column, z: float = 1.959963984540054
     return g.select("p", (mid - half).alias("wilson_lo"), (mid + half).alias("wilson_hi"), (p - wald).alias("wald_lo"), (p + wald).alias("wald_hi"))
 
 
-def _uniform(*parts) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
-
-
-def bootstrap_ci(df: DataFrame, column: str, key: str, reps: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap: row weights are drawn by hash in each replicate, so that the
-    replicates are sums in one aggregate and no row is copied."""
-    edges = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(6)]
-    sums = []
-    for r in range(reps):
-        u = _uniform(F.lit(seed * 100_003 + r), F.col(key))
-        w = sum(((u >= e).cast("int") for e in edges), F.lit(0))
-        sums.append((F.sum(w * F.col(column)) / F.sum(w)).alias(f"r{r}"))
-    means = sorted(x for at in range(0, reps, 50) for x in df.agg(*sums[at : at + 50]).first() if x is not None)
-    q = lambda p: means[min(len(means) - 1, int(p * len(means)))]
-    m = df.agg(F.avg(column)).first()[0]
-    return df.sparkSession.createDataFrame([(m, q((1 - level) / 2), q((1 + level) / 2))], "mean double, lo double, hi double")
-
-
-def permutation_test(df: DataFrame, column: str, group: str, a: str, b: str, key: str, reps: int = 200, seed: int = 7) -> DataFrame:
-    """Two-sided p of the difference of means over random relabellings drawn by hash (each row keeps the share of ``a``)."""
-    rows = df.where(F.col(group).isin(a, b))
-    g = agg_row(rows, {"ma": F.avg(F.when(F.col(group) == a, F.col(column))), "mb": F.avg(F.when(F.col(group) == b, F.col(column))), "p": F.avg((F.col(group) == a).cast("int"))})
-    observed, diffs = g["ma"] - g["mb"], []
-    for at in range(0, reps, 50):
-        own = []
-        for r in range(at, min(at + 50, reps)):
-            hit = _uniform(F.lit(seed * 100_003 + r), F.col(key)) < g["p"]
-            own.append((F.avg(F.when(hit, F.col(column))) - F.avg(F.when(~hit, F.col(column)))).alias(f"r{r}"))
-        diffs += list(rows.agg(*own).first())
-    p = (1 + sum(abs(d) >= abs(observed) for d in diffs if d is not None)) / (1 + len(diffs))
-    return df.sparkSession.createDataFrame([(observed, p)], "diff double, p double")
+def harmonic(m: int) -> float:
+    """1 + 1/2 + ... + 1/m; beyond a million terms by Euler's expansion, whose error is under 1e-25 there."""
+    if m <= 1_000_000:
+        return math.fsum(1 / i for i in range(1, m + 1))
+    return math.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m)
 
 
 def multiple_testing(tests: DataFrame, key: str, p: str = "p") -> DataFrame:
-    """Bonferroni, Holm, Benjamini-Hochberg and -Yekutieli adjusted p of a table with one row a test."""
-    up, all_ = W.partitionBy().orderBy(p, key), W.partitionBy()  # one row a test
-    out = tests.withColumns({"_k": F.row_number().over(up), "_m": F.count("*").over(all_)})
-    out = out.withColumn("_c", F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, i: s + 1 / i))
-    low = up.rowsBetween(W.unboundedPreceding, 0)
-    high = up.rowsBetween(0, W.unboundedFollowing)
+    """Bonferroni, Holm, Benjamini-Hochberg and -Yekutieli adjusted p of each test; null p stay null and are not counted.
+
+    Equal p get equal adjusted values, so only distinct p are put in order, dealt out by ranges: a range's running extremes
+    are completed by the extremes of the ranges before or behind it.
+    """
+    m = agg_row(tests, {"m": F.count(p)})["m"]
+    counts = average_ranks(tests, p)  # distinct p, n, average rank
+    first, last = F.col("rank") - (F.col("n") - 1) / 2, F.col("rank") + (F.col("n") - 1) / 2
+    terms = counts.select(p, (F.col(p) * (m - first + 1)).alias("_up"), (F.col(p) * m / last).alias("_down"))
+    terms = by_ranges(terms, p, range_cuts(counts.select(p), [p])[p])
+    # one row a range
+    ends = terms.groupBy("_p").agg(F.max("_up").alias("up"), F.min("_down").alias("down"))
+    ends = ends.select("_p", F.max("up").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.min("down").over(W.orderBy("_p").rowsBetween(1, W.unboundedFollowing)).alias("_behind"))
+    w = W.partitionBy("_p").orderBy(p)
+    up, down = F.max("_up").over(w.rowsBetween(W.unboundedPreceding, 0)), F.min("_down").over(w.rowsBetween(0, W.unboundedFollowing))
+    done = terms.join(F.broadcast(ends), "_p").select(F.col(p).alias("_v"), F.greatest(up, "_before").alias("_holm"), F.least(down, "_behind").alias("_bh"))
     cap = lambda c: F.least(F.lit(1.0), c)
-    bh = F.min(F.col(p) * F.col("_m") / F.col("_k")).over(high)
-    by = F.min(F.col(p) * F.col("_m") * F.col("_c") / F.col("_k")).over(high)
-    return out.select(key, p, cap(F.col(p) * F.col("_m")).alias("bonferroni"), cap(F.max(F.col(p) * (F.col("_m") - F.col("_k") + 1)).over(low)).alias("holm"), cap(bh).alias("bh"), cap(by).alias("by"))
+    out = tests.join(done, F.col(p) == F.col("_v"), "left")
+    given = lambda c: F.when(F.col(p).isNotNull(), cap(c))
+    return out.select(key, p, given(F.col(p) * m).alias("bonferroni"), given(F.col("_holm")).alias("holm"), given(F.col("_bh")).alias("bh"), given(F.col("_bh") * harmonic(m)).alias("by"))
 
 
 def ols(df: DataFrame, target: str, features: list[str]) -> DataFrame:
@@ -302,6 +285,59 @@ def durbin_watson(df: DataFrame, residual: str, order: list[str], by: list[str]
     return df.withColumn("_d", d).groupBy(*by).agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col(residual) * F.col(residual))).alias("dw"))
 
 
+def ljung_box(df: DataFrame, residual: str, order: list[str], by: list[str], lags: int = 10) -> DataFrame:
+    """by, q, p of each series: n (n + 2) times the sum of squared autocorrelations over n - lag; lags beyond half a series are
+    left out, and p has as many degrees of freedom as lags were used."""
+    r = acf(df, residual, order, by, lags)
+    n = df.groupBy(*by).agg(F.count(residual).alias("_n"))
+    out = r.join(n, by).where("acf IS NOT NULL").groupBy(*by).agg((F.first("_n") * (F.first("_n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("_n") - F.col("lag")))).alias("q"), F.count("*").alias("dof"))
+    return out.select(*by, "q", "dof", _chi2_upper(F.col("q"), F.col("dof")).alias("p"))
+
+
+def _chi2_upper(x: Column, dof: Column) -> Column:
+    """Upper tail of a chi-square with whole degrees of freedom, in closed form: a sum of dof / 2 terms."""
+    half = x / 2
+    even = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(dof / 2), F.lit(1)).cast("int")), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a["t"] * half / i).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"] * F.exp(-half))
+    # odd: the normal tail and the terms of half-integer powers
+    first = F.sqrt(half) * 2 / math.sqrt(math.pi)
+    odd = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor((dof - 1) / 2), F.lit(1)).cast("int")), F.struct(first.alias("t"), F.lit(0.0).alias("s")), lambda a, i: F.struct((a["t"] * half / (i + 0.5)).alias("t"), (a["s"] + a["t"]).alias("s")), lambda a: a["s"] * F.exp(-half))
+    return F.when(dof % 2 == 0, even).otherwise(_erfc(F.sqrt(half)) + F.when(dof > 1, odd).otherwise(0.0))
+
+
+def _erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0, by Numerical Recipes' Chebyshev fit (relative error under 1.2e-7)."""
+    # Coefficients of the fit.
+    fit = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    t = 1 / (1 + x / 2)
+    return t * F.exp(-x * x + reduce(lambda s, c: s * t + c, reversed(fit[:-1]), F.lit(fit[-1])))
+
+
+def cooks_distance(df: DataFrame, target: str, features: list[str]) -> DataFrame:
+    """``df`` with residual, leverage, cooks_d and influential (over 4 / n) of a least-squares fit; null where a value is missing.
+
+    The inverse of the cross products (features x features) is made on the driver; leverages are expressions of the row.
+    """
+    import numpy as np
+
+    cols = [F.lit(1.0), *[value(df, f).cast("double") for f in features]]
+    y = value(df, target).cast("double")
+    known = ~reduce(lambda a, c: a | c.isNull(), [*cols[1:], y], F.lit(False))
+    k = len(cols)
+    got = agg_row(df.where(known), {**{f"{i}|{j}": F.sum(cols[i] * cols[j]) for i in range(k) for j in range(i, k)}, **{f"y{i}": F.sum(cols[i] * y) for i in range(k)}, "yy": F.sum(y * y)})
+    n = got["0|0"] or 0
+    if n <= k:
+        return df.withColumns({"residual": F.lit(None).cast("double"), "leverage": F.lit(None).cast("double"), "cooks_d": F.lit(None).cast("double"), "influential": F.lit(None).cast("boolean")})
+    m = np.array([[got[f"{min(i, j)}|{max(i, j)}"] for j in range(k)] for i in range(k)])
+    inv, xy = np.linalg.pinv(m), np.array([got[f"y{i}"] for i in range(k)])
+    beta = inv @ xy
+    s2 = max(float(got["yy"] - beta @ xy), 0.0) / (n - k)
+    residual = y - reduce(lambda a, b: a + b, [c * float(b) for c, b in zip(cols, beta)])
+    leverage = reduce(lambda a, b: a + b, [cols[i] * cols[j] * float(inv[i, j]) for i in range(k) for j in range(k)])
+    out = df.withColumns({"residual": F.when(known, residual), "leverage": F.when(known, leverage)})
+    out = out.withColumn("cooks_d", F.try_divide(F.col("residual") * F.col("residual") * F.col("leverage"), F.lit(k * s2) * (1 - F.col("leverage")) * (1 - F.col("leverage"))))
+    return out.withColumn("influential", F.col("cooks_d") > 4 / n)
+
+
 def breusch_pagan(df: DataFrame, residual: str, features: list[str]) -> DataFrame:
     """lm = n R^2 of the squared residuals on the features, and p."""
     n = df.count()
@@ -355,8 +391,9 @@ def kpss_test(df: DataFrame, column: str, order: list[str], by: list[str]) -> Da
     return rows.groupBy(*by).agg(stat.alias("stat")).withColumn("stationary", F.col("stat") < 0.463)
 
 
-def seasonal_decompose(df: DataFrame, column: str, order: str, by: list[str], period: int) -> DataFrame:
-    """Additive decomposition: trend (centred moving average over a period), seasonal, resid; ``order`` numbers the rows."""
+def seasonal_decompose(df: DataFrame, column: str, order: str, by: list[str], period: int, multiplicative: bool = False) -> DataFrame:
+    """Trend (centred moving average over a period), seasonal, resid, whose sum or, if ``multiplicative``, product is the
+    series; ``order`` numbers the rows.  Zero trends have no multiplicative parts."""
     w = W.partitionBy(*by).orderBy(order)
     half = period // 2
     rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*by)))
@@ -367,32 +404,50 @@ def seasonal_decompose(df: DataFrame, column: str, order: str, by: list[str], pe
         mean = (inner + (F.lag(column, half).over(w) + F.lead(column, half).over(w)) / 2) / period
     inside = (F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half)
     rows = rows.withColumn("trend", F.when(inside, mean)).withColumn("_k", F.col("_i") % period)
-    means = rows.groupBy(*by, "_k").agg(F.avg(F.col(column) - F.col("trend")).alias("_m"))
-    means = means.withColumn("seasonal", F.col("_m") - F.avg("_m").over(W.partitionBy(*by))).drop("_m")
-    return rows.join(means, [*by, "_k"]).withColumn("resid", F.col(column) - F.col("trend") - F.col("seasonal")).drop("_i", "_n", "_k")
+    off = F.try_divide(F.col(column), F.col("trend")) if multiplicative else F.col(column) - F.col("trend")
+    means, all_ = rows.groupBy(*by, "_k").agg(F.avg(off).alias("_m")), W.partitionBy(*by)  # a period's rows a series
+    level = F.avg("_m").over(all_)
+    means = means.withColumn("seasonal", F.try_divide("_m", level) if multiplicative else F.col("_m") - level).drop("_m")
+    resid = F.try_divide(F.col(column), F.col("trend") * F.col("seasonal")) if multiplicative else F.col(column) - F.col("trend") - F.col("seasonal")
+    return rows.join(means, [*by, "_k"]).withColumn("resid", resid).drop("_i", "_n", "_k")
 
 
 def ar_forecast(df: DataFrame, column: str, order: str, by: list[str], p: int = 2, steps: int = 5) -> DataFrame:
-    """by, step, forecast, lo, hi: an AR(p) by least squares for each series; one series is one group of rows."""
+    """by, step, forecast, lo, hi: an AR(p) by least squares for each series of over 2 p + 2 values.
+
+    Each series' lag products are summed by aggregates over a window, so only its (p + 1) x (p + 1) sums and last ``p`` values
+    are brought together.
+    """
     import numpy as np
     import pandas as pd
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values(order)[column].to_numpy(float)
-        keys = {c: part[c].iloc[0] for c in by}
-        if len(x) <= 2 * p + 2:
-            return pd.DataFrame({**{c: pd.Series([v] * 0, dtype=part[c].dtype) for c, v in keys.items()}, "step": pd.Series([], dtype="int32"), "forecast": [], "lo": [], "hi": []})
-        lagged = np.column_stack([np.ones(len(x) - p), *[x[p - k : len(x) - k] for k in range(1, p + 1)]])
-        beta, *_ = np.linalg.lstsq(lagged, x[p:], rcond=None)
-        sigma, past, out = float(np.std(x[p:] - lagged @ beta, ddof=p + 1)), x[-p:][::-1].tolist(), []
-        for s in range(1, steps + 1):
-            y = float(beta[0] + sum(b * v for b, v in zip(beta[1:], past)))
-            past = [y, *past[:-1]]
-            out.append((s, y, y - 1.96 * sigma * math.sqrt(s), y + 1.96 * sigma * math.sqrt(s)))
-        return pd.DataFrame([{**keys, "step": s, "forecast": y, "lo": a, "hi": b} for s, y, a, b in out])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in by)
-    return df.select(*by, order, column).groupBy(*by).applyInPandas(fit, f"{kinds}, step int, forecast double, lo double, hi double")
+    w, all_ = W.partitionBy(*by).orderBy(order), W.partitionBy(*by)
+    rows = df.select(*by, order, F.avg(column).over(all_).alias("_m"), (F.col(column) - F.avg(column).over(all_)).cast("double").alias("_x0"))
+    rows = rows.select("*", *[F.lag("_x0", k).over(w).alias(f"_x{k}") for k in range(1, p + 1)])
+    terms = [F.lit(1.0), *[F.col(f"_x{k}") for k in range(1, p + 1)], F.col("_x0")]
+    full = F.col(f"_x{p}").isNotNull()
+    sums = F.array(*[F.sum(F.when(full, terms[i] * terms[j])) for i in range(p + 2) for j in range(p + 2)])
+    last = F.max_by(F.array(*[F.col(f"_x{k}") for k in range(p)]), F.col(order))
+    series = rows.groupBy(*by).agg(F.first("_m").alias("_m"), F.count("_x0").alias("_n"), sums.alias("_s"), last.alias("_last")).where(F.col("_n") > 2 * p + 2)
+
+    def solve(parts):
+        for part in parts:
+            out = []
+            for row in part.to_dict("records"):
+                m = np.array(row["_s"], float).reshape(p + 2, p + 2)
+                beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+                left = row["_n"] - p - (p + 1)
+                sigma = math.sqrt(max(m[-1, -1] - beta @ m[:-1, -1], 0.0) / left) if left > 0 else float("nan")
+                past = list(row["_last"])
+                for s in range(1, steps + 1):
+                    y = float(beta[0] + sum(b * v for b, v in zip(beta[1:], past)))
+                    past = [y, *past[:-1]]
+                    half = 1.96 * sigma * math.sqrt(s)
+                    out.append({**{c: row[c] for c in by}, "step": s, "forecast": row["_m"] + y, "lo": row["_m"] + y - half, "hi": row["_m"] + y + half})
+            yield pd.DataFrame(out, columns=[*by, "step", "forecast", "lo", "hi"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by)
+    return series.mapInPandas(solve, f"{kinds}, step int, forecast double, lo double, hi double")
 
 
 def statistical_test_battery(df: DataFrame, columns: list[str], group: str) -> DataFrame:

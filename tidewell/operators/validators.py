@@ -10,7 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.columns import agg_row, is_float, numeric_columns, share, value
+from tidewell.functions.columns import agg_row, corr, is_float, numeric_columns, share, value
+from tidewell.functions.quantiles import quantiles
 
 SCHEMA = "rule string, column string, severity string, n_bad long"
 SEVERITIES = ["CRITICAL", "ERROR", "WARNING"]
@@ -90,8 +91,8 @@ def check_logical(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
 def check_auto_iqr(df: DataFrame, columns: list[str] | None = None, k: float = 3.0, least: int = 20) -> DataFrame:
     own = columns or numeric_columns(df)
-    got = agg_row(df, {c: F.percentile(value(df, c), F.array(F.lit(0.25), F.lit(0.75))) for c in own} | {f"n|{c}": F.count(value(df, c)) for c in own})
-    ends = {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, q in got.items() if "|" not in c and q and got[f"n|{c}"] >= least}
+    got, n = quantiles(df, {c: (value(df, c), [0.25, 0.75]) for c in own}), agg_row(df, {c: F.count(value(df, c)) for c in own}) if own else {}
+    ends = {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, q in got.items() if q and n[c] >= least}
     return counted(df, [("auto_iqr", c, "WARNING", (value(df, c) < lo) | (value(df, c) > hi)) for c, (lo, hi) in ends.items()])
 
 
@@ -181,7 +182,7 @@ def detect_leakage(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     """column, r, severity: numeric columns whose |r| to the target is at least 0.98 (CRITICAL) or 0.90 (WARNING)."""
     from tidewell.functions.columns import long_form
 
-    r = long_form(df, {c: [F.corr(value(df, c), value(df, target))] for c in columns}, ["r"])
+    r = long_form(df, {c: [corr(value(df, c), value(df, target))] for c in columns}, ["r"])
     return r.withColumn("severity", F.when(F.abs("r") >= 0.98, "CRITICAL").when(F.abs("r") >= 0.90, "WARNING")).where("severity IS NOT NULL")
 
 
@@ -194,7 +195,7 @@ def detect_model_leakage(df: DataFrame, target: str, columns: list[str]) -> Data
     numeric = set(numeric_columns(df))
     # Name parts that tell the outcome.
     future = re.compile(r"(^|_)(outcome|result|flag|label|target|pred|score|won|lost|churn|default)($|_)", re.I)
-    got = long_form(df, {c: [F.count_distinct(c) / F.count("*"), F.corr(value(df, c), value(df, target)) if c in numeric else F.lit(None).cast("double"), F.lit(bool(future.search(c)))] for c in columns}, ["unique", "r", "future"])
+    got = long_form(df, {c: [F.count_distinct(c) / F.count("*"), corr(value(df, c), value(df, target)) if c in numeric else F.lit(None).cast("double"), F.lit(bool(future.search(c)))] for c in columns}, ["unique", "r", "future"])
     return got.select("column", F.when(F.col("unique") >= 0.99, "ID").when(F.col("future"), "FUTURE_NAME").when(F.abs("r") >= 0.95, "CORRELATION").alias("reason")).where("reason IS NOT NULL")
 
 

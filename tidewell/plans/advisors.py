@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import advisors as V
 from tidewell.operators import aggregates as A
 from tidewell.plans.cleaning import messy
-from tidewell.plans.registry import query, read
+from tidewell.plans.registry import TABLES, query, read
 
 
 @query("SELECT * FROM (VALUES ('c_name', 'target'), ('c_mktsegment', 'one_hot')) t(\"column\", encoding)")
@@ -71,13 +71,13 @@ def analyst_semantic_types(spark, sf):
 
 
 def names(spark, sf):
-    return spark.createDataFrame([(t, c) for t in ("orders", "lineitem", "events", "documents", "pages") for c in read(spark, sf, t).columns], "`table` string, `column` string")
+    return spark.createDataFrame([(t, c) for t in TABLES for c in read(spark, sf, t).columns], "`table` string, `column` string")
 
 
 _WORDS = ", ".join(f"('{d}', '{w}')" for d, ws in V.DOMAIN_TOKENS.items() for w in ws)
 
 
-@query(f"""WITH h AS (SELECT table_name AS "table", domain, count(DISTINCT word) AS n_hits FROM duckdb_columns() JOIN (VALUES {_WORDS}) v(domain, word) ON contains(lower(column_name), word) WHERE table_name IN ('orders', 'lineitem', 'events', 'documents', 'pages') GROUP BY 1, 2)
+@query(f"""WITH h AS (SELECT table_name AS "table", domain, count(DISTINCT word) AS n_hits FROM duckdb_columns() JOIN (VALUES {_WORDS}) v(domain, word) ON contains(lower(column_name), word) WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)}) GROUP BY 1, 2)
 SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY n_hits DESC, domain) = 1""")
 def dataset_domain(spark, sf):
     return V.dataset_domain(names(spark, sf))

@@ -52,9 +52,9 @@ def stringify_complex(spark, sf):
     return C.stringify_complex(df)
 
 
-@query("SELECT item_id, base64(encode(substr(text, 1, 30))) AS raw FROM benchmark")
+@query("SELECT item_id, base64(encode(text)) AS raw FROM benchmark")
 def encode_binary_base64(spark, sf):
-    return C.encode_binary_base64(read(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 30).cast("binary").alias("raw")))
+    return C.encode_binary_base64(read(spark, sf, "benchmark").select("item_id", F.col("text").cast("binary").alias("raw")))
 
 
 @query('SELECT o_orderkey, o_custkey AS "a.k", o_orderstatus AS "a.b.s", o_orderkey || \', \' || o_custkey AS "a.l" FROM orders')
@@ -231,10 +231,10 @@ def missing_data_pipeline(spark, sf):
 @query()
 def impute_knn(spark, sf):
     df = read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).alias("bal"), F.col("c_nationkey").cast("double").alias("nation"))
-    return C.impute_knn(df, ["bal", "nation"], "c_custkey", bucket=1.0)
+    return C.impute_knn(df, ["bal", "nation"])
 
 
 @query()
 def impute_iterative(spark, sf):
     df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 > 0, F.col("l_extendedprice")).alias("price"), "l_quantity", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_discount")).alias("disc"))
-    return C.impute_iterative(df, ["price", "l_quantity", "disc"], rounds=2)
+    return C.impute_iterative(df, ["price", "l_quantity", "disc"])

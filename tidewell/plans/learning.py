@@ -22,7 +22,7 @@ def numbers(spark, sf):
 
 @query()
 def anomaly_score(spark, sf):
-    return L.anomaly_score(read(spark, sf, "events").withColumn("h", F.hour("ts").cast("double")), ["value", "h"], "event_id", trees=16)
+    return L.anomaly_score(read(spark, sf, "events").withColumn("h", F.hour("ts").cast("double")), ["value", "h"], "event_id")
 
 
 @query("WITH m AS (SELECT median(value) AS m FROM events), d AS (SELECT median(abs(value - m)) AS d FROM events, m) SELECT event_id, 0.6745 * (value - m) / d AS robust_z FROM events, m, d")
@@ -32,7 +32,7 @@ def robust_z(spark, sf):
 
 @query()
 def kmeans_clusters(spark, sf):
-    return L.kmeans_clusters(numbers(spark, sf), ["l_quantity", "l_extendedprice"], [2, 3])
+    return L.kmeans_clusters(numbers(spark, sf), ["l_quantity", "l_extendedprice"])
 
 
 @query()

@@ -143,8 +143,8 @@ def preview_table(spark, sf):
     return I.preview_table(read(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "URGENT", ["o_orderkey"], 20, 20)
 
 
-@query(ORDERS + " WHERE o_orderkey % 100 = 0")
+@query(ORDERS)
 def file_batch_sink(spark, sf):
     path = shared(spark)
-    I.file_batch_sink(orders(spark, sf).where("o_orderkey % 100 = 0"), path, "json")
+    I.file_batch_sink(orders(spark, sf), path, "json")
     return spark.read.schema(DDL).json(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import resampling as R
 from tidewell.operators import statistics as S
 from tidewell.plans.registry import query, read
 
@@ -148,21 +149,37 @@ def ci_proportion(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return S.bootstrap_ci(read(spark, sf, "events"), "value", "event_id", reps=50)
+    return R.bootstrap_ci(read(spark, sf, "events"), "value", "event_id")
+
+
+@query()
+def bootstrap_bca(spark, sf):
+    return R.bootstrap_ci(read(spark, sf, "events"), "value", "event_id", method="bca")
 
 
 @query()
 def permutation_test(spark, sf):
-    return S.permutation_test(read(spark, sf, "events"), "value", "event_type", "click", "purchase", "event_id", reps=50)
+    return R.permutation_test(read(spark, sf, "events"), "value", "event_type", "click", "purchase", "event_id")
+
+
+@query()
+def permutation_anova(spark, sf):
+    return R.permutation_anova(read(spark, sf, "events"), "value", "event_type", "event_id")
+
+
+@query()
+def permutation_correlation(spark, sf):
+    return R.permutation_correlation(read(spark, sf, "events").withColumn("h", F.hour("ts").cast("double")), "value", "h", "event_id")
 
 
-P = "SELECT o_custkey AS id, (o_custkey % 97 + 1) / 1000.0::DOUBLE AS p FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 60)"
+P = "SELECT o_orderkey AS id, x * x * x AS p FROM (SELECT o_orderkey, ((o_orderkey * 7919) % 10007 + 1) / 10008.0::DOUBLE AS x FROM orders)"
 
 
 @query(f"""WITH t AS ({P}), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM t), h AS (SELECT sum(1.0 / i) AS c FROM (SELECT unnest(generate_series(1, (SELECT any_value(m) FROM k))) AS i))
 SELECT id, p, least(1, p * m) AS bonferroni, least(1, max(p * (m - k + 1)) OVER (ORDER BY k)) AS holm, least(1, min(p * m / k) OVER (ORDER BY k DESC)) AS bh, least(1, min(p * m * c / k) OVER (ORDER BY k DESC)) AS "by" FROM k, h""")
 def multiple_testing(spark, sf):
-    t = read(spark, sf, "orders").where("o_custkey < 60").select(F.col("o_custkey").alias("id")).distinct().withColumn("p", ((F.col("id") % 97 + 1) / 1000).cast("double"))
+    x = ((F.col("o_orderkey") * 7919) % 10007 + 1) / 10008.0
+    t = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), x.alias("x")).select("id", (F.col("x") * F.col("x") * F.col("x")).alias("p"))
     return S.multiple_testing(t, "id")
 
 
@@ -200,6 +217,23 @@ def residual_diagnostics(spark, sf):
     return S.durbin_watson(df.withColumn("e", F.col("o_totalprice") - m), "e", ["o_orderkey"], ["o_custkey"])
 
 
+LAGS = "SELECT event_type, e, n, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY event_type ORDER BY d) AS l{k}" for k in range(1, 11)) + " FROM x"
+
+
+@query(f"""WITH x AS (SELECT event_type, d, v - avg(v) OVER (PARTITION BY event_type) AS e, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS d, sum(value) AS v FROM events GROUP BY 1, 2)), l AS ({LAGS}),
+r AS (SELECT event_type, any_value(n) AS n, [{", ".join(f"sum(e * l{k}) / sum(e * e)" for k in range(1, 11))}] AS r FROM l GROUP BY 1), u AS (SELECT event_type, n, unnest(range(1, 11)) AS k, unnest(r) AS a FROM r)
+SELECT event_type, any_value(n) * (any_value(n) + 2) * sum(a * a / (n - k)) AS q, count(*) AS dof FROM u WHERE k <= n / 2.0 - 1 GROUP BY 1""")
+def ljung_box(spark, sf):
+    return S.ljung_box(days(spark, sf), "v", ["d"], ["event_type"]).where("p BETWEEN 0 AND 1").drop("p")
+
+
+@query("""WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a, avg(o_custkey) AS mx, regr_sxx(o_totalprice, o_custkey) AS sxx, count(*) AS n FROM orders),
+e AS (SELECT o_orderkey, o_totalprice - a - b * o_custkey AS residual, 1.0 / n + pow(o_custkey - mx, 2) / sxx AS leverage, n FROM orders, f), s AS (SELECT sum(residual * residual) / (any_value(n) - 2) AS s2 FROM e)
+SELECT o_orderkey, round(leverage, 9) AS leverage, residual * residual * leverage / (2 * s2 * pow(1 - leverage, 2)) > 4.0 / n AS influential FROM e, s""")
+def cooks_distance(spark, sf):
+    return S.cooks_distance(read(spark, sf, "orders"), "o_totalprice", ["o_custkey"]).select("o_orderkey", F.round("leverage", 9).alias("leverage"), "influential")
+
+
 @query()
 def breusch_pagan(spark, sf):
     return S.breusch_pagan(line(spark, sf).withColumn("e", F.col("net") - F.col("l_extendedprice") * 0.95), "e", ["l_extendedprice"])
@@ -241,6 +275,14 @@ def seasonal_decompose(spark, sf):
     return S.seasonal_decompose(days(spark, sf), "v", "d", ["event_type"], 7).withColumn("d", F.col("d").cast("timestamp_ntz")).select("event_type", "d", "v", "trend", "seasonal", "resid")
 
 
+@query(f"""WITH x AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, avg(v) OVER (PARTITION BY event_type ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS a FROM ({DAYS}) WINDOW w AS (PARTITION BY event_type ORDER BY d)),
+t AS (SELECT *, CASE WHEN i >= 3 AND i < n - 3 THEN a END AS trend FROM x), m AS (SELECT event_type, i % 7 AS k, avg(v / trend) AS m FROM t GROUP BY 1, 2), c AS (SELECT *, m / avg(m) OVER (PARTITION BY event_type) AS seasonal FROM m)
+SELECT t.event_type, d, v, trend, seasonal, v / (trend * seasonal) AS resid FROM t JOIN c ON t.event_type = c.event_type AND t.i % 7 = c.k""")
+def seasonal_decompose_multiplicative(spark, sf):
+    out = S.seasonal_decompose(days(spark, sf), "v", "d", ["event_type"], 7, multiplicative=True)
+    return out.withColumn("d", F.col("d").cast("timestamp_ntz")).select("event_type", "d", "v", "trend", "seasonal", "resid")
+
+
 @query()
 def arima_forecast(spark, sf):
     return S.ar_forecast(days(spark, sf), "v", "d", ["event_type"])
