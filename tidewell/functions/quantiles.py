@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.columns import agg_row
 
-#: A buffer of ``percentile`` holds at most about this many distinct values.
-DIRECT = 200_000
+#: The buffers of ``percentile`` in one aggregate hold at most this many values, of all its columns together.
+DIRECT = 2_000_000
 #: Ranks of approximate percentiles are off by n / ACCURACY at most.
 ACCURACY = 10_000
 
@@ -51,7 +51,12 @@ def quantile_exprs(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
     """For each name an array of the quantiles of its column, to be used in an aggregate of ``df``: null without values."""
     cast = {k: (v.cast("double"), qs) for k, (v, qs) in wanted.items()}
     counts = agg_row(df, {k: F.count(v) for k, (v, _) in cast.items()}) if cast else {}
-    return {k: F.percentile(v, F.array(*map(F.lit, qs))) if counts[k] <= limit else F.array(*map(F.lit, _brackets(df, v, counts[k], qs, limit))) for k, (v, qs) in cast.items()}
+    out, held = {}, 0
+    for k in sorted(cast, key=counts.__getitem__):
+        v, qs = cast[k]
+        held += counts[k]
+        out[k] = F.percentile(v, F.array(*map(F.lit, qs))) if held <= limit else F.array(*map(F.lit, _brackets(df, v, counts[k], qs, limit)))
+    return out
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], limit: int = DIRECT) -> dict[str, list[float] | None]:

@@ -14,6 +14,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if it comes from fewer files than there are cores, ahead of heavy work on its rows: a scan cuts
+    files between row groups only, so a small table would be one task.  Tables of more files are left as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a reader of it: its lineage is cut, and a lost executor costs
     a re-read."""

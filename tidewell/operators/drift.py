@@ -28,6 +28,25 @@ def binned(both: DataFrame, edges: list[float]) -> list[tuple[int, int]]:
     return [(got.get((b, 0), 0), got.get((b, 1), 0)) for b in range(len(edges) - 1)]
 
 
+def width_histograms(base: DataFrame, now: DataFrame, columns: list[str], bins: int) -> dict[str, list[tuple[int, int]]]:
+    """Counts of both sides in ``bins`` equal-width bins over each column's pooled range; empty for columns without values."""
+    ends = [agg_row(df, {f"{f}|{c}": e(value(df, c).cast("double")) for c in columns for f, e in (("lo", F.min), ("hi", F.max))}) for df in (base, now)]
+    pick = lambda f, k, c: f((e[f"{k}|{c}"] for e in ends if e[f"{k}|{c}"] is not None), default=None)
+    span = {c: (pick(min, "lo", c), pick(max, "hi", c)) for c in columns}
+    own = [c for c in columns if span[c][0] is not None]
+    if not own:
+        return {c: [] for c in columns}
+
+    def codes(df: DataFrame, side: int) -> DataFrame:
+        bin_of = {c: sum(((value(df, c) >= lo + (hi - lo) * i / bins).cast("int") for i in range(1, bins)), F.lit(0)) for c, (lo, hi) in span.items() if c in own}
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), F.when(value(df, c).isNotNull(), bin_of[c]).alias("b")) for c in own])
+        return df.select(F.explode(cells).alias("x"), F.lit(side).alias("side")).select("x.c", "x.b", "side").where("b IS NOT NULL")
+
+    # bins x columns x sides rows
+    got = {(r["c"], r["b"], r["side"]): r["n"] for r in codes(base, 0).unionByName(codes(now, 1)).groupBy("c", "b", "side").agg(F.count("*").alias("n")).collect()}
+    return {c: [(got.get((c, b, 0), 0), got.get((c, b, 1), 0)) for b in range(bins)] if c in own else [] for c in columns}
+
+
 def width_edges(both: DataFrame, bins: int) -> list[float]:
     e = agg_row(both, {"lo": F.min("v"), "hi": F.max("v")})
     return [e["lo"] + (e["hi"] - e["lo"]) * i / bins for i in range(bins + 1)]
@@ -158,10 +177,18 @@ def drift_report(base: DataFrame, now: DataFrame, columns: list[str]) -> DataFra
 
 
 def drift_consensus(base: DataFrame, now: DataFrame, columns: list[str]) -> DataFrame:
-    """column, votes, drift: at least two of PSI > 0.25, KS p < 0.05 and JS distance > 0.10."""
-    rows = []
+    """column, votes, drift: at least two of PSI > 0.25 (10 equal-width bins), KS p < 0.05 and JS distance > 0.10 (20 bins).
+
+    The histograms of all columns come from two passes; a column without values on a side has no votes.
+    """
+    rows, found = [], width_histograms(base, now, columns, 20)
     for c in columns:
-        votes = int(psi_equal_width(base, now, c).first()["psi"] > 0.25) + int(ks_two_sample(base, now, c).first()["drift"]) + int(js_divergence(base, now, c).first()["js_distance"] > 0.10)
+        n, votes = found[c], 0
+        a, b = (sum(x) for x in zip(*n)) if n else (0, 0)
+        if a and b:
+            tens = [(p + r, q + s) for (p, q), (r, s) in zip(n[::2], n[1::2])]
+            votes = int(_psi([(max(p / a, 1e-6), max(q / b, 1e-6)) for p, q in tens]) > 0.25) + int(math.sqrt(max(0.0, _js([(p / a, q / b) for p, q in n]))) > 0.10)
+            votes += int(ks_two_sample(base, now, c).first()["drift"])
         rows.append((c, votes, votes >= 2))
     return base.sparkSession.createDataFrame(rows, "column string, votes int, drift boolean")
 

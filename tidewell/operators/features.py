@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions.columns import agg_row, corr, numeric_columns, value
 from tidewell.functions.quantiles import quantiles
-from tidewell.functions.stages import stash
+from tidewell.functions.stages import evenly, stash
 from tidewell.operators.neighbours import nearest
 
 #: An encoding table with at most this many rows is broadcast; a larger one is joined by shuffle.
@@ -92,7 +92,7 @@ def one_hot_encode(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 def tfidf_vectorize(df: DataFrame, key: str, text: str, terms: int = 200) -> DataFrame:
     """key, term, weight over the ``terms`` most frequent terms: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), L2-normed by key."""
     n = df.count()
-    words = df.select(key, F.explode(F.expr(f"regexp_extract_all(lower({text}), '[a-z0-9_]{{2,}}', 0)")).alias("term"))
+    words = evenly(df.select(key, text)).select(key, F.explode(F.expr(f"regexp_extract_all(lower({text}), '[a-z0-9_]{{2,}}', 0)")).alias("term"))
     tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     top = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(terms)
     raw = tf.join(F.broadcast(top), "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))

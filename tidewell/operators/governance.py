@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.stages import evenly
+
 # Patterns of personal data and their masks.
 PII = {
     "Email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
@@ -23,7 +25,7 @@ POLICY = {"gdpr": ["Email", "SSN", "Phone", "IPAddress"], "healthcare": ["Email"
 def pii_detect(df: DataFrame, columns: list[str], types: list[str] | None = None) -> DataFrame:
     """column, type, n_rows for every pair with a hit, in one pass."""
     pairs = [(c, t) for c in columns for t in types or PII]
-    wide = df.agg(*[F.coalesce(F.sum(F.col(c).rlike(PII[t]).cast("long")), F.lit(0)).alias(f"{i}") for i, (c, t) in enumerate(pairs)])
+    wide = evenly(df.select(*columns)).agg(*[F.coalesce(F.sum(F.col(c).rlike(PII[t]).cast("long")), F.lit(0)).alias(f"{i}") for i, (c, t) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"{i}").alias("n_rows")) for i, (c, t) in enumerate(pairs)])
     return wide.select(F.explode(rows).alias("r")).select("r.*").where("n_rows > 0")
 

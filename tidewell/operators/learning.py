@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions.columns import agg_row, value
 from tidewell.functions.quantiles import quantiles
+from tidewell.functions.stages import evenly
 
 
 def anomaly_score(df: DataFrame, columns: list[str], key: str, trees: int = 100, size: int = 256, contamination: float = 0.05, seed: int = 7) -> DataFrame:
@@ -20,7 +21,7 @@ def anomaly_score(df: DataFrame, columns: list[str], key: str, trees: int = 100,
     Every tree is grown in its own task from ``size`` rows drawn by hash; the forest (trees x size nodes at most) is sent to the
     tasks, which score all rows in Arrow batches.
     """
-    rows = df.select(key, *[value(df, c).cast("double").alias(c) for c in columns]).na.drop("any")
+    rows = evenly(df.select(key, *[value(df, c).cast("double").alias(c) for c in columns])).na.drop("any")
     n = rows.count()
     if not n:
         return rows.select(key, F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
@@ -98,7 +99,7 @@ def kmeans_clusters(df: DataFrame, features: list[str], ks: list[int] = (2, 3, 4
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler
 
-    raw = assemble(df, features, "_raw")
+    raw = assemble(evenly(df.select(*features)), features, "_raw")
     rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features").persist()
     done = [(ClusteringEvaluator().evaluate(p), p) for k in ks for p in [KMeans(k=k, seed=7).fit(rows).transform(rows)]]
     best = max(done, key=lambda x: x[0])[1]
@@ -119,7 +120,7 @@ def automl_train(df: DataFrame, target: str, features: list[str], key: str, clas
 
     from tidewell.operators.ordering import train_val_holdout_split
 
-    rows = train_val_holdout_split(assemble(df.select(key, target, *features).na.drop("any"), features).withColumn(target, F.col(target).cast("double")), key)
+    rows = train_val_holdout_split(assemble(evenly(df.select(key, target, *features)).na.drop("any"), features).withColumn(target, F.col(target).cast("double")), key)
     rows = rows.select("features", target, "split", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(folds)).alias("fold")).persist()
     if classification:
         models = {"gbt": GBTClassifier(labelCol=target, maxIter=10, seed=7), "forest": RandomForestClassifier(labelCol=target, numTrees=20, seed=7), "linear": LogisticRegression(labelCol=target)}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.columns import agg_row, corr, value
+from tidewell.functions.stages import evenly
 
 REPLICATES = 5000
 #: Rows are permuted within random blocks of about this many.  Under the null hypothesis rows are exchangeable in any block that
@@ -70,7 +71,7 @@ def bootstrap_ci(df: DataFrame, column: str, key: str, reps: int = REPLICATES, l
     schema = "mean double, lo double, hi double"
     if not g["n"]:
         return df.sparkSession.createDataFrame([(None, None, None)], schema)
-    drawn = rows.mapInArrow(lambda b: _poisson_sums(b, reps, seed), "rep int, sx double, sw double")
+    drawn = evenly(rows).mapInArrow(lambda b: _poisson_sums(b, reps, seed), "rep int, sx double, sw double")
     # reps rows
     means = np.array([r["sx"] / r["sw"] for r in drawn.groupBy("rep").agg(F.sum("sx").alias("sx"), F.sum("sw").alias("sw")).collect() if r["sw"]])
     ends = [(1 - level) / 2, (1 + level) / 2]

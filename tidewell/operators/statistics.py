@@ -26,8 +26,14 @@ def corr_pearson(df: DataFrame, columns: list[str], least: int = 5) -> DataFrame
 
 
 def corr_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    return rank_average(rank_average(rows, a, "_ra"), b, "_rb").agg(corr(F.col("_ra"), F.col("_rb")).alias("rho"))
+    """rho over rows in which both are given.  Equal pairs are one row with a count before they meet their ranks."""
+    rows = df.select(value(df, a).alias("x"), value(df, b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    cells = rows.groupBy("x", "y").agg(F.count("*").alias("m"))
+    ranks = {c: average_ranks(rows, c).select(c, F.col("rank").alias(f"r{c}")) for c in "xy"}
+    both, m = cells.join(ranks["x"], "x").join(ranks["y"], "y"), F.col("m")
+    mean = (F.sum(m) + 1) / 2
+    part = lambda u, v: F.sum(m * F.col(u) * F.col(v)) - mean * mean * F.sum(m)
+    return both.agg(F.try_divide(part("rx", "ry"), F.sqrt(part("rx", "rx")) * F.sqrt(part("ry", "ry"))).alias("rho"))
 
 
 def corr_kendall(df: DataFrame, a: str, b: str) -> DataFrame:
