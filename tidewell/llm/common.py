@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.stages import evenly
+
 #: A word is a run of anything but these bytes; ``bytes.split()`` cuts at the same six.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -44,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt out evenly if it is one of few files: work on whole texts is heavy."""
+    return evenly(table(spark, sf_dir, name))
+
+
 def sheltered(docs: DataFrame, used: list[str]) -> DataFrame:
     """``docs`` with every column but ``used`` under a name that no operator uses; :func:`unsheltered` names them back."""
     return docs.toDF(*[c if c in used else f"other{i}" for i, c in enumerate(docs.columns)])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, line_chunks, mixing, packed_ids, quality, simhash, substrings, warc
-from .common import table
+from .common import table, texts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,7 +17,7 @@ END_ID = 1
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), ["doc_id"]).drop("char_distance", "word_distance")
+    return quality.quality(texts(spark, sf_dir, "documents"), ["doc_id"]).drop("char_distance", "word_distance")
 
 
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,17 +26,17 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(texts(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return langid.predict_language(docs, langid.train(docs))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = texts(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select((F.col("id") * 0 - 1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.read_chats(chat.format_chats(turns.unionByName(extra), BYTE_TOKENIZER), BYTE_TOKENIZER).drop("n_tokens")
@@ -55,7 +55,7 @@ def op8_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    out = decontaminate.contamination(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
