@@ -37,7 +37,8 @@ def rank_insights(spark, sf):
     return V.rank_insights(found, {"effect": 0.7, "novelty": 0.3}, 3).select("insight", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 18 AS w FROM events), c AS (SELECT 'bar:' || event_type AS insight, avg(value) AS significance FROM events GROUP BY 1
+UNION ALL SELECT 'hist:' || least(floor((value - lo) / w), 17)::INT, count(*)::DOUBLE FROM events, r GROUP BY 1) SELECT insight, significance, significance AS score FROM c ORDER BY score DESC, insight LIMIT 10""")
 def rank_charts(spark, sf):
     e = read(spark, sf, "events")
     charts = A.group_mean_bar(e, "event_type", "value").select(F.concat(F.lit("bar:"), "event_type").alias("insight"), F.col("mean").alias("significance"))

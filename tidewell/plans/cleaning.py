@@ -208,17 +208,22 @@ def auto_correct(spark, sf):
     return C.auto_correct(df)
 
 
-@query()
+@query("SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderstatus AS cust_key_1, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def normalise_column_names(spark, sf):
     return C.normalise_column_names(read(spark, sf, "orders").withColumnsRenamed({"o_orderkey": "Order Key", "o_custkey": "custKey#", "o_orderstatus": "cust_key"}))
 
 
-@query()
+MODE = "(SELECT flag FROM u WHERE flag IS NOT NULL GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1)"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT l_orderkey, l_linenumber, disc, qty, CASE WHEN lower(trim(flag)) NOT IN {NULLS} THEN trim(flag) END AS flag, trim(num_text) AS num_text, trim(yes_no) AS yes_no FROM ({MESSY}))
+SELECT l_orderkey, l_linenumber, coalesce(disc, (SELECT median(disc) FROM u)) AS disc, qty, coalesce(flag, {MODE}) AS flag, num_text, yes_no FROM u""")
 def clean_pipeline(spark, sf):
     return C.clean_pipeline(messy(spark, sf))
 
 
-@query()
+@query(f"""WITH u AS (SELECT * REPLACE (CASE WHEN lower(trim(flag)) NOT IN {NULLS} THEN flag END AS flag) FROM ({MESSY}))
+SELECT l_orderkey, l_linenumber, disc, qty, coalesce(flag, {MODE}) AS flag, TRY_CAST(num_text AS DOUBLE) AS num_text, lower(trim(yes_no)) = 'yes' AS yes_no FROM u""")
 def triage_pipeline(spark, sf):
     return C.triage_pipeline(messy(spark, sf))
 
@@ -228,7 +233,11 @@ def missing_data_pipeline(spark, sf):
     return C.missing_data_pipeline(messy(spark, sf))
 
 
-@query()
+# distances are between nations only; donors at one distance share the places that are left of five
+@query("""WITH t AS (SELECT c_custkey, c_nationkey AS nation, CASE WHEN c_custkey % 9 > 0 THEN c_acctbal END AS bal FROM customer), d AS (SELECT nation, count(*) AS n, sum(bal) AS s FROM t WHERE bal IS NOT NULL GROUP BY 1),
+g AS (SELECT q.nation AS nat, abs(d.nation - q.nation) AS dist, sum(n) AS n, sum(s) AS s FROM (SELECT DISTINCT nation FROM t WHERE bal IS NULL) q, d GROUP BY ALL),
+w AS (SELECT nat, s / n * greatest(0, least(n, 5 - coalesce(sum(n) OVER (PARTITION BY nat ORDER BY dist ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS part FROM g), f AS (SELECT nat, sum(part) / 5 AS bal FROM w GROUP BY 1)
+SELECT c_custkey, coalesce(t.bal, f.bal) AS bal, nation::DOUBLE AS nation FROM t LEFT JOIN f ON nation = nat""")
 def impute_knn(spark, sf):
     df = read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal")).alias("bal"), F.col("c_nationkey").cast("double").alias("nation"))
     return C.impute_knn(df, ["bal", "nation"])

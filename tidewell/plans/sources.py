@@ -98,7 +98,8 @@ def scan_compressed(spark, sf):
     return _fixed(spark, sf, compression="gzip")
 
 
-@query()
+@query(r"""WITH u AS (SELECT page_id, unnest(range(len(r))) AS "row", unnest(r) AS r FROM (SELECT page_id, regexp_extract_all(html, '(?is)<ul[^>]*>(.*?)</ul>', 1) AS r FROM pages)),
+l AS (SELECT page_id, "row", unnest(range(len(c))) AS cell, unnest(c) AS c FROM (SELECT page_id, "row", regexp_extract_all(r, '(?is)<li[^>]*>(.*?)</li>', 1) AS c FROM u)) SELECT page_id, "row"::INT AS "row", cell::INT AS cell, trim(regexp_replace(c, '<[^>]+>', '', 'g')) AS text FROM l""")
 def scan_html_tables(spark, sf):
     return I.html_cells(read(spark, sf, "pages"), row="ul", cell="li")
 
@@ -126,7 +127,7 @@ def batch_ingest(spark, sf):
     return I.batch_ingest(spark, jobs, shared(spark)).drop("error")
 
 
-@query()
+@query("SELECT * FROM (VALUES ('orders', true), ('customer', true)) t(name, temporary)")
 def list_tables(spark, sf):
     for t in ("orders", "customer"):
         read(spark, sf, t).createOrReplaceTempView(t)
