@@ -11,7 +11,7 @@ from tidewell.functions.quantiles import quantiles
 
 def suggest_encoding(df: DataFrame) -> DataFrame:
     """column, encoding: one_hot, ordinal or target by cardinality."""
-    out = long_form(df, {c: [F.count_distinct(c), F.count_distinct(c) / F.count("*")] for c in string_columns(df)}, ["d", "ratio"])
+    out = long_form(df, {c: [F.count_distinct(c), F.try_divide(F.count_distinct(c), F.count("*"))] for c in string_columns(df)}, ["d", "ratio"])
     kind = F.when((F.col("d") <= 10) & (F.col("ratio") <= 0.1), "one_hot").when((F.col("d") <= 100) & (F.col("ratio") <= 0.5), "ordinal").otherwise("target")
     return out.select("column", kind.alias("encoding"))
 
@@ -25,7 +25,7 @@ def suggest_transform(df: DataFrame, columns: list[str] | None = None) -> DataFr
         v, q = value(df, c).cast("double"), got[c] or [0, 0]
         iqr = q[1] - q[0]
         out = F.avg(((v < q[0] - 1.5 * iqr) | (v > q[1] + 1.5 * iqr)).cast("int")) if iqr > 0 else F.lit(0.0)
-        parts[c] = [F.count(v), F.min(v), F.max(v), F.stddev_samp(v), F.skewness(v), out, F.count_distinct(v) / F.count(v)]
+        parts[c] = [F.count(v), F.min(v), F.max(v), F.stddev_samp(v), F.skewness(v), out, F.try_divide(F.count_distinct(v), F.count(v))]
     p = long_form(df, parts, ["n", "min", "max", "std", "g1", "outliers", "unique"])
     skew = skewness_adjusted(F.col("n").cast("double"), F.col("g1"))
     s = F.array_compact(F.array(F.when((F.col("min") >= 0) & (skew > 1), "log1p"), F.when((F.col("std") > 0) & (F.col("max") - F.col("min") > 10 * F.col("std")), "standard_scale"), F.when(F.col("outliers") > 0.03, "robust_scale"), F.when((F.col("unique") > 0.1) & (F.col("unique") < 0.5), "bucketize")))
@@ -34,7 +34,7 @@ def suggest_transform(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 def suggest_aggregations(df: DataFrame, limit: float = 0.05) -> DataFrame:
     """key, metric: columns of low cardinality with every numeric column that is no key."""
-    ratios = agg_row(df, {c: F.count_distinct(c) / F.count("*") for c in df.columns})
+    ratios = agg_row(df, {c: F.try_divide(F.count_distinct(c), F.count("*")) for c in df.columns})
     keys = sorted(c for c, r in ratios.items() if r is not None and r <= limit) or df.columns[:3]
     rows = [(k, m) for k in keys for m in numeric_columns(df) if m not in keys]
     return df.sparkSession.createDataFrame(rows, "key string, metric string")
@@ -72,13 +72,13 @@ def retry_strategy(df: DataFrame) -> tuple[DataFrame, str]:
     from tidewell.operators import cleaning as C
     from tidewell.operators.aggregates import duplicate_stats
 
-    rates = C.null_rates(df)
+    rates = {c: r or 0.0 for c, r in C.null_rates(df).items()}
     if max(rates.values()) > 0.3:
         return C.drop_high_null_columns(df, 0.3), "drop_high_null"
     if max(rates.values()) > 0:
         numeric = set(numeric_columns(df))
         return C.impute_simple(df, {c: "median" if c in numeric else "mode" for c, r in rates.items() if r}), "impute_median"
-    if duplicate_stats(df).first()["duplicate_rate"] > 0:
+    if (duplicate_stats(df).first()["duplicate_rate"] or 0) > 0:
         return C.drop_duplicates(df), "aggressive_clean"
     return C.cap_outliers(df, numeric_columns(df)), "outlier_clip"
 

@@ -43,9 +43,9 @@ def profile_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         v, (a, b) = value(df, c), got[f"q|{c}"] or (0.0, 0.0)
         iqr = F.sum(((v < a - 1.5 * (b - a)) | (v > b + 1.5 * (b - a))).cast("long"))
-        z = F.sum((F.abs(v - got[f"m|{c}"]) > 3 * got[f"s|{c}"]).cast("long"))
+        z = F.sum((F.abs(v - F.lit(got[f"m|{c}"])) > F.lit(3.0) * F.lit(got[f"s|{c}"])).cast("long"))
         parts[c] = [iqr, z, F.count(v)]
-    return long_form(df, parts, ["n_iqr", "n_z", "n"]).select("column", "n_iqr", "n_z", (F.col("n_iqr") / F.col("n")).alias("pct_iqr"), (F.col("n_z") / F.col("n")).alias("pct_z"))
+    return long_form(df, parts, ["n_iqr", "n_z", "n"]).select("column", "n_iqr", "n_z", F.try_divide("n_iqr", "n").alias("pct_iqr"), F.try_divide("n_z", "n").alias("pct_z"))
 
 
 def profile_datetime(df: DataFrame, column: str) -> DataFrame:
@@ -77,7 +77,7 @@ def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
 
 
 def cardinality_tier(df: DataFrame, columns: list[str]) -> DataFrame:
-    out = long_form(df, {c: [F.count_distinct(c) / F.count("*")] for c in columns}, ["ratio"])
+    out = long_form(df, {c: [F.try_divide(F.count_distinct(c), F.count("*"))] for c in columns}, ["ratio"])
     return out.withColumn("tier", F.when(F.col("ratio") < 0.05, "low").when(F.col("ratio") < 0.5, "medium").when(F.col("ratio") < 0.95, "high").otherwise("unique"))
 
 
@@ -169,7 +169,7 @@ def quality_gate(df: DataFrame, ranges: dict[str, tuple] = {}, categories: dict[
 def quality_radar(df: DataFrame) -> DataFrame:
     """metric, score: completeness, uniqueness, consistency, validity, integrity."""
     numeric = numeric_columns(df)
-    base = df.agg((1 - sum((F.avg(value(df, c).isNull().cast("int")) for c in df.columns), F.lit(0.0)) / len(df.columns)).alias("completeness"), F.least(F.lit(1.0), sum((F.count_distinct(c) for c in df.columns), F.lit(0)) / len(df.columns) / F.count(F.lit(1))).alias("uniqueness"), (1 - sum((F.coalesce((F.stddev_samp(c) == 0).cast("int"), F.lit(0)) for c in numeric), F.lit(0)) / max(len(numeric), 1)).alias("consistency"))
+    base = df.agg((1 - sum((F.avg(value(df, c).isNull().cast("int")) for c in df.columns), F.lit(0.0)) / len(df.columns)).alias("completeness"), F.least(F.lit(1.0), F.try_divide(sum((F.count_distinct(c) for c in df.columns), F.lit(0)) / len(df.columns), F.count(F.lit(1)))).alias("uniqueness"), (1 - sum((F.coalesce((F.stddev_samp(c) == 0).cast("int"), F.lit(0)) for c in numeric), F.lit(0)) / max(len(numeric), 1)).alias("consistency"))
     both = base.crossJoin(duplicate_stats(df))  # one row each
     both = both.withColumns({"validity": F.least(F.lit(1.0), F.col("completeness") * 1.1), "integrity": 1 - F.col("duplicate_rate")})
     names = ["completeness", "uniqueness", "consistency", "validity", "integrity"]
@@ -270,14 +270,15 @@ def fairness_parity(df: DataFrame, group: str, positive: Column, least: int = 10
     parts = df.groupBy(group).agg(F.count("*").alias("n"), F.sum(positive.cast("int")).alias("k"))
     all_ = W.partitionBy()  # one row a group
     out = parts.withColumn("overall", F.sum("k").over(all_) / F.sum("n").over(all_)).where(F.col("n") >= least)
-    out = out.withColumns({"rate": F.col("k") / F.col("n")}).withColumn("parity", F.col("rate") / F.col("overall"))
+    out = out.withColumns({"rate": F.col("k") / F.col("n")}).withColumn("parity", F.try_divide("rate", "overall"))
     return out.select(group, "n", "rate", "parity", F.when(F.col("parity") < 0.8, "FAIL").when(F.col("parity") < 0.9, "WARN").otherwise("PASS").alias("verdict"))
 
 
 def zscore_anomaly_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     got = agg_row(df, {f"{k}|{c}": f(value(df, c)) for c in columns for k, f in (("m", F.avg), ("s", F.stddev_samp))})
     z = lambda c: F.abs(value(df, c) - got[f"m|{c}"]) / got[f"s|{c}"]
-    return long_form(df, {c: [F.sum((z(c) > 3).cast("long")), 100 * F.avg((z(c) > 3).cast("int")), F.max(z(c))] for c in columns if got[f"s|{c}"]}, ["n_anomaly", "pct", "max_z"])
+    none = [F.count(F.when(F.lit(False), 1)), F.lit(None).cast("double"), F.lit(None).cast("double")]  # a column without spread
+    return long_form(df, {c: [F.sum((z(c) > 3).cast("long")), 100 * F.avg((z(c) > 3).cast("int")), F.max(z(c))] if got[f"s|{c}"] else none for c in columns}, ["n_anomaly", "pct", "max_z"])
 
 
 def approx_profile(df: DataFrame, columns: list[str]) -> DataFrame:

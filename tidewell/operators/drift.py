@@ -49,44 +49,54 @@ def width_histograms(base: DataFrame, now: DataFrame, columns: list[str], bins:
 
 def width_edges(both: DataFrame, bins: int) -> list[float]:
     e = agg_row(both, {"lo": F.min("v"), "hi": F.max("v")})
+    if e["lo"] is None:
+        return []
     return [e["lo"] + (e["hi"] - e["lo"]) * i / bins for i in range(bins + 1)]
 
 
 def quantile_edges(both: DataFrame, bins: int) -> list[float]:
     q = quantiles(both, {"q": (F.col("v"), [i / bins for i in range(bins + 1)])})["q"]
-    return sorted(set(q))
+    return sorted(set(q or []))
+
+
+def _counts(both: DataFrame, edges: list[float]) -> tuple[list[tuple[int, int]], int, int] | None:
+    """Counts of both sides in each bin and their sums; None if a side has no values.  Equal values are one bin."""
+    n = binned(both, edges if len(edges) > 1 else edges * 2) if edges else []
+    a, b = (sum(x) for x in zip(*n)) if n else (0, 0)
+    return (n, a, b) if a and b else None
 
 
 def _psi(pairs: list[tuple[float, float]]) -> float:
     return sum((q - p) * math.log(q / p) for p, q in pairs)
 
 
-def _one(df: DataFrame, name: str, x: float) -> DataFrame:
-    return df.sparkSession.createDataFrame([(float(x),)], f"{name} double")
+def _one(df: DataFrame, name: str, x: float | None) -> DataFrame:
+    """One row; null where a side has no values."""
+    return df.sparkSession.createDataFrame([(None if x is None else float(x),)], f"{name} double")
 
 
 def psi_equal_width(base: DataFrame, now: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width bins over the pooled range, shares clipped at 1e-6."""
     both = _both(base, now, column)
-    n = binned(both, width_edges(both, bins))
-    a, b = (sum(x) for x in zip(*n))
-    return _one(base, "psi", _psi([(max(p / a, 1e-6), max(q / b, 1e-6)) for p, q in n]))
+    got = _counts(both, width_edges(both, bins))
+    return _one(base, "psi", got and _psi([(max(p / got[1], 1e-6), max(q / got[2], 1e-6)) for p, q in got[0]]))
 
 
 def psi_quantile(base: DataFrame, now: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Pooled deciles, shares (n + 0.5) / (N + 0.5 bins)."""
     both = _both(base, now, column)
-    n = binned(both, quantile_edges(both, bins))
-    a, b, k = *(sum(x) for x in zip(*n)), len(n)
+    got = _counts(both, quantile_edges(both, bins))
+    if not got:
+        return _one(base, "psi", None)
+    (n, a, b), k = got, len(got[0])
     return _one(base, "psi", _psi([((p + 0.5) / (a + 0.5 * k), (q + 0.5) / (b + 0.5 * k)) for p, q in n]))
 
 
 def psi_gate(base: DataFrame, now: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Pooled deciles, empty shares as 1e-6."""
     both = _both(base, now, column)
-    n = binned(both, quantile_edges(both, bins))
-    a, b = (sum(x) for x in zip(*n))
-    return _one(base, "psi", max(0.0, _psi([(p / a or 1e-6, q / b or 1e-6) for p, q in n])))
+    got = _counts(both, quantile_edges(both, bins))
+    return _one(base, "psi", got and max(0.0, _psi([(p / got[1] or 1e-6, q / got[2] or 1e-6) for p, q in got[0]])))
 
 
 def fingerprint(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
@@ -95,7 +105,7 @@ def fingerprint(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
     for c in columns:
         v = df.select(value(df, c).cast("double").alias("v"), F.lit(0).alias("side")).where("v IS NOT NULL")
         edges = width_edges(v, bins)
-        n = [p for p, _ in binned(v, edges)]
+        n = [p for p, _ in binned(v, edges)] if edges else []
         rows.append((c, edges, [x / sum(n) for x in n]))
     return df.sparkSession.createDataFrame(rows, "column string, edges array<double>, shares array<double>")
 
@@ -103,9 +113,11 @@ def fingerprint(df: DataFrame, columns: list[str], bins: int = 20) -> DataFrame:
 def psi_fingerprint(prints: DataFrame, now: DataFrame, column: str) -> DataFrame:
     """PSI against a stored histogram; current values are clipped into its range."""
     p = prints.where(F.col("column") == column).first()
+    if not p or not p["edges"]:
+        return _one(now, "psi", None)
     v = now.select(F.greatest(F.least(value(now, column).cast("double"), F.lit(p["edges"][-1])), F.lit(p["edges"][0])).alias("v"), F.lit(1).alias("side")).where("v IS NOT NULL")
     n = [q for _, q in binned(v, p["edges"])]
-    return _one(now, "psi", _psi([(max(a, 1e-6), max(b / sum(n), 1e-6)) for a, b in zip(p["shares"], n)]))
+    return _one(now, "psi", sum(n) and _psi([(max(a, 1e-6), max(b / sum(n), 1e-6)) for a, b in zip(p["shares"], n)]))
 
 
 def category_shares(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
@@ -113,7 +125,7 @@ def category_shares(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     part = lambda df, n: df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias(n))
     both = part(base, "a").join(part(now, "b"), "value", "full").na.fill(0, ["a", "b"])
     total = both.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    return both.crossJoin(F.broadcast(total)).select("value", (F.col("a") / F.col("na")).alias("p"), (F.col("b") / F.col("nb")).alias("q"))  # one row of totals
+    return both.crossJoin(F.broadcast(total)).select("value", F.try_divide("a", "na").alias("p"), F.try_divide("b", "nb").alias("q"))  # one row of totals
 
 
 def psi_categorical(base: DataFrame, now: DataFrame, column: str, eps: float = 1e-6) -> DataFrame:
@@ -121,16 +133,15 @@ def psi_categorical(base: DataFrame, now: DataFrame, column: str, eps: float = 1
     return category_shares(base, now, column).agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
 
 
-def _decile_shares(base: DataFrame, now: DataFrame, column: str, eps: float = 1e-10) -> list[tuple[float, float]]:
+def _decile_shares(base: DataFrame, now: DataFrame, column: str, eps: float = 1e-10) -> list[tuple[float, float]] | None:
     both = _both(base, now, column)
-    n = binned(both, quantile_edges(both, 10))
-    a, b = (sum(x) for x in zip(*n))
-    return [(p / a + eps, q / b + eps) for p, q in n]
+    got = _counts(both, quantile_edges(both, 10))
+    return got and [(p / got[1] + eps, q / got[2] + eps) for p, q in got[0]]
 
 
 def kl_divergence(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     pairs = _decile_shares(base, now, column)
-    return _one(base, "kl", sum(q * math.log(q / p) for p, q in pairs))
+    return _one(base, "kl", pairs and sum(q * math.log(q / p) for p, q in pairs))
 
 
 def _js(pairs: list[tuple[float, float]]) -> float:
@@ -140,9 +151,9 @@ def _js(pairs: list[tuple[float, float]]) -> float:
 def js_divergence(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     """js over pooled deciles, and js_distance (root) over 20 equal-width bins."""
     both = _both(base, now, column)
-    n = binned(both, width_edges(both, 20))
-    a, b = (sum(x) for x in zip(*n))
-    return base.sparkSession.createDataFrame([(_js(_decile_shares(base, now, column)), math.sqrt(max(0.0, _js([(p / a, q / b) for p, q in n]))))], "js double, js_distance double")
+    got, deciles = _counts(both, width_edges(both, 20)), _decile_shares(base, now, column)
+    values = (_js(deciles), math.sqrt(max(0.0, _js([(p / got[1], q / got[2]) for p, q in got[0]])))) if got else (None, None)
+    return base.sparkSession.createDataFrame([values], "js double, js_distance double")
 
 
 def _distribution(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
@@ -154,13 +165,15 @@ def _distribution(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     sums = sums.select("p", *[F.coalesce(F.sum(f"s{x}").over(before), F.lit(0)).alias(f"o{x}") for x in "ab"], *[F.sum(f"s{x}").over(all_).alias(f"n{x}") for x in "ab"], F.lead("first").over(W.orderBy("p")).alias("next_first"))
     w = W.partitionBy("p").orderBy("v")
     out = counts.join(F.broadcast(sums), "p")
-    cum = lambda x: (F.sum(x).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"o{x}")) / F.col(f"n{x}")
+    cum = lambda x: F.try_divide(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col(f"o{x}"), F.col(f"n{x}"))
     return out.select("v", cum("a").alias("fa"), cum("b").alias("fb"), F.coalesce(F.lead("v").over(w), F.col("next_first")).alias("next"), "na", "nb")
 
 
 def ks_two_sample(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     """d, p (asymptotic), drift."""
     g = agg_row(_distribution(base, now, column), {"d": F.max(F.abs(F.col("fa") - F.col("fb"))), "na": F.max("na"), "nb": F.max("nb")})
+    if g["d"] is None:
+        return base.sparkSession.createDataFrame([(None, None, None)], "d double, p double, drift boolean")
     p = tails.kolmogorov(g["d"], g["na"], g["nb"])
     return base.sparkSession.createDataFrame([(g["d"], p, p < 0.05)], "d double, p double, drift boolean")
 
@@ -173,7 +186,7 @@ def drift_report(base: DataFrame, now: DataFrame, columns: list[str]) -> DataFra
     """column, psi, level: STABLE under 0.10, MINOR under 0.20, MAJOR."""
     rows = [(c, psi_quantile(base, now, c).first()["psi"]) for c in columns]
     out = base.sparkSession.createDataFrame(rows, "column string, psi double")
-    return out.withColumn("level", F.when(F.col("psi") < 0.10, "STABLE").when(F.col("psi") < 0.20, "MINOR").otherwise("MAJOR"))
+    return out.withColumn("level", F.when(F.col("psi") < 0.10, "STABLE").when(F.col("psi") < 0.20, "MINOR").when(F.col("psi").isNotNull(), "MAJOR"))
 
 
 def drift_consensus(base: DataFrame, now: DataFrame, columns: list[str]) -> DataFrame:
@@ -204,7 +217,7 @@ def temporal_drift(df: DataFrame, ts: str, column: str, window: str = "7 days")
     g = agg_row(df, {"m": F.avg(column), "s": F.stddev_samp(column)})
     rows = df.select(F.window(ts, window).alias("w"), F.col(column))
     out = rows.groupBy("w").agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")).join(group_medians(rows, column, ["w"]), "w", "left")
-    return out.select(F.col("w.start").alias("start"), "mean", "std", "median", ((F.col("mean") - g["m"]) / g["s"]).alias("z")).withColumn("alert", F.abs("z") > 2)
+    return out.select(F.col("w.start").alias("start"), "mean", "std", "median", F.try_divide(F.col("mean") - F.lit(g["m"]), F.lit(g["s"])).alias("z")).withColumn("alert", F.abs("z") > 2)
 
 
 def multivariate_drift(base: DataFrame, now: DataFrame, columns: list[str], k: int = 2, limit: float = 0.10) -> DataFrame:
@@ -213,6 +226,9 @@ def multivariate_drift(base: DataFrame, now: DataFrame, columns: list[str], k: i
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    full = base.select(*[value(base, c).alias(c) for c in columns]).na.drop("any")
+    if len(full.take(2)) < 2:
+        return base.sparkSession.createDataFrame([(None, None)], "share double, drift boolean")
     model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_r", handleInvalid="skip"), StandardScaler(inputCol="_r", outputCol="_z", withMean=True), PCA(k=k, inputCol="_z", outputCol="_p")]).fit(base)
     pc = model.stages[-1].pc.toArray()
     z, p = vector_to_array("_z"), vector_to_array("_p")

@@ -100,8 +100,12 @@ def kmeans_clusters(df: DataFrame, features: list[str], ks: list[int] = (2, 3, 4
     from pyspark.ml.feature import StandardScaler
 
     raw = assemble(evenly(df.select(*features)), features, "_raw")
+    if raw.isEmpty():
+        return df.sparkSession.createDataFrame([], "cluster int, size long")
     rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features").persist()
-    done = [(ClusteringEvaluator().evaluate(p), p) for k in ks for p in [KMeans(k=k, seed=7).fit(rows).transform(rows)]]
+    # a silhouette needs two clusters: points that are all alike have one
+    several = rows.agg(F.count_distinct("features") > 1).first()[0]
+    done = [(ClusteringEvaluator().evaluate(p) if several else 0.0, p) for k in (ks if several else ks[:1]) for p in [KMeans(k=k, seed=7).fit(rows).transform(rows)]]
     best = max(done, key=lambda x: x[0])[1]
     return best.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size"))
 
@@ -110,7 +114,8 @@ def automl_train(df: DataFrame, target: str, features: list[str], key: str, clas
     """model, val, holdout, gap, cv_mean, cv_std, gate: a race of boosted trees, forest and linear model on a 60/20/20 hash split.
 
     The training part is cut into ``folds`` by hash for cross-validation.  The gate asks for the least score, a gap between
-    validation and holdout of at most 3 % and a deviation over the folds of at most 5 %.
+    validation and holdout of at most 3 % and a deviation over the folds of at most 5 %.  Without two
+    target values in every part there is nothing to fit: all scores are null.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -129,6 +134,11 @@ def automl_train(df: DataFrame, target: str, features: list[str], key: str, clas
         models = {"gbt": GBTRegressor(labelCol=target, maxIter=10, seed=7), "forest": RandomForestRegressor(labelCol=target, numTrees=20, seed=7), "linear": LinearRegression(labelCol=target)}
         judge, least = RegressionEvaluator(labelCol=target, metricName="r2"), 0.10
     train = rows.where("split = 'train'")
+    schema = "model string, val double, holdout double, gap double, cv_mean double, cv_std double, gate boolean"
+    parts = {r["split"]: r["d"] for r in rows.groupBy("split").agg(F.count_distinct(target).alias("d")).collect()}  # three rows
+    if len(parts) < 3 or min(parts.values()) < (2 if classification else 1) or parts["train"] < 2:
+        rows.unpersist()
+        return df.sparkSession.createDataFrame([(name, None, None, None, None, None, False) for name in models], schema)
 
     def one(job: tuple[str, int]) -> list[float]:
         """Scores of a model on validation and holdout, or on a fold that it was not fitted on."""
@@ -147,7 +157,7 @@ def automl_train(df: DataFrame, target: str, features: list[str], key: str, clas
         (val, hold), cv = done[name, -1], np.array([done[name, f][0] for f in range(folds)])
         spread = float(cv.std())
         out.append((name, val, hold, abs(val - hold), float(cv.mean()), spread, bool(hold >= least and abs(val - hold) <= 0.03 and spread <= 0.05)))
-    return df.sparkSession.createDataFrame(out, "model string, val double, holdout double, gap double, cv_mean double, cv_std double, gate boolean").orderBy(F.desc("val"))
+    return df.sparkSession.createDataFrame(out, schema).orderBy(F.desc("val"))
 
 
 def evaluate_classification(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
@@ -155,18 +165,20 @@ def evaluate_classification(df: DataFrame, label: str, score: str, threshold: fl
     from tidewell.operators.ordering import rank_average
 
     g = agg_row(rank_average(df.select(label, score), score), {"r": F.sum(F.when(F.col(label) == 1, F.col("rank"))), "p": F.count(F.when(F.col(label) == 1, 1)), "n": F.count(F.when(F.col(label) == 0, 1))})
-    auc = (g["r"] - g["p"] * (g["p"] + 1) / 2) / (g["p"] * g["n"])
+    auc = (g["r"] - g["p"] * (g["p"] + 1) / 2) / (g["p"] * g["n"]) if g["p"] and g["n"] else None
     hit = F.col(score) >= threshold
     c = agg_row(df, {"tp": F.sum((hit & (F.col(label) == 1)).cast("long")), "fp": F.sum((hit & (F.col(label) == 0)).cast("long")), "fn": F.sum((~hit & (F.col(label) == 1)).cast("long")), "tn": F.sum((~hit & (F.col(label) == 0)).cast("long"))})
     f1 = lambda tp, fp, fn: 2 * tp / (2 * tp + fp + fn) if tp else 0.0
-    total = sum(c.values())
+    total = sum(x or 0 for x in c.values())
+    if not total:
+        return df.sparkSession.createDataFrame([(None, None, None)], "auc double, accuracy double, weighted_f1 double")
     weighted = (f1(c["tp"], c["fp"], c["fn"]) * (c["tp"] + c["fn"]) + f1(c["tn"], c["fn"], c["fp"]) * (c["tn"] + c["fp"])) / total
-    return df.sparkSession.createDataFrame([(float(auc), (c["tp"] + c["tn"]) / total, weighted)], "auc double, accuracy double, weighted_f1 double")
+    return df.sparkSession.createDataFrame([(None if auc is None else float(auc), (c["tp"] + c["tn"]) / total, weighted)], "auc double, accuracy double, weighted_f1 double")
 
 
 def evaluate_regression(df: DataFrame, label: str, prediction: str) -> DataFrame:
     e = F.col(label) - F.col(prediction)
-    return df.agg((1 - F.sum(e * e) / (F.var_pop(label) * F.count(label))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return df.agg((1 - F.try_divide(F.sum(e * e), F.var_pop(label) * F.count(label))).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 def ece(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
@@ -180,11 +192,14 @@ def brier(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def calibrate_platt(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``df`` with calibrated: a logistic curve fitted to the score."""
+    """``df`` with calibrated: a logistic curve fitted to the score; rows without a score are left out."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
     rows = assemble(df.withColumn("_y", F.col(label).cast("double")), [score], "_s")
+    if rows.where("_y IS NOT NULL").isEmpty():
+        return rows.withColumn("calibrated", F.lit(None).cast("double")).drop("_s", "_y")
+    rows = rows.where("_y IS NOT NULL")
     model = LogisticRegression(featuresCol="_s", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(rows)
     return model.transform(rows).withColumn("calibrated", vector_to_array("_p")[1]).drop("_s", "_y", "_p", "_r", "_c")
 
@@ -201,7 +216,9 @@ def feature_importance(df: DataFrame, target: str, features: list[str], classifi
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = assemble(df.withColumn("_y", F.col(target).cast("double")), features)
+    rows = assemble(df.withColumn("_y", F.col(target).cast("double")), features).where("_y IS NOT NULL")
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([(f, None) for f in features], "feature string, importance double")
     model = (RandomForestClassifier if classification else RandomForestRegressor)(labelCol="_y", numTrees=20, seed=7).fit(rows)
     return df.sparkSession.createDataFrame(list(zip(features, model.featureImportances.toArray().tolist())), "feature string, importance double")
 
@@ -263,6 +280,6 @@ def semantic_types(df: DataFrame) -> DataFrame:
     named = [("id", ["key", "_id", "uuid"]), ("age", ["age"]), ("amount", ["price", "amount", "cost", "total", "bal"]), ("date", ["date", "time", "ts"]), ("email", ["email"]), ("phone", ["phone"]), ("currency_code", ["currency"]), ("country", ["nation", "country"]), ("percentage", ["pct", "percent", "discount", "tax"]), ("quantity", ["quantity", "qty", "count"]), ("name", ["name"]), ("category", ["type", "status", "flag", "segment", "priority"]), ("text", ["text", "comment", "html"])]
     by_name = {c: next((t for t, parts in named if any(p in c.lower() for p in parts)), None) for c in df.columns}
     text = lambda c: F.col(c).cast("string")
-    got = long_form(df, {c: [F.count_distinct(c) / F.count("*"), share(text(c).rlike(r"^[^@\s]+@[^@\s]+$")), F.lit(by_name[c]).cast("string"), F.lit(kinds[c])] for c in df.columns}, ["unique", "mail", "named", "dtype"])
+    got = long_form(df, {c: [F.try_divide(F.count_distinct(c), F.count("*")), share(text(c).rlike(r"^[^@\s]+@[^@\s]+$")), F.lit(by_name[c]).cast("string"), F.lit(kinds[c])] for c in df.columns}, ["unique", "mail", "named", "dtype"])
     rest = F.when(F.col("mail") > 0.7, "email").when(F.col("dtype").startswith("timestamp"), "date").when(F.col("dtype").isin("double", "float"), "numeric").when(F.col("unique") > 0.95, "id").when(F.col("unique") < 0.05, "category").otherwise("text")
     return got.select("column", F.coalesce("named", rest).alias("semantic"))

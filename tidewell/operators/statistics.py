@@ -1,6 +1,7 @@
 """Correlation, hypothesis tests, intervals, resampling, regression and time series.
 
-All sums run in Spark over all rows; only scalars, or matrices the size of the number of columns, reach the driver.
+All sums run in Spark over all rows; only scalars, or matrices the size of the number of columns, reach the driver.  A test
+that its data don't define (too few rows, one group, no spread) gives one row of nulls.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from tidewell.functions.columns import agg_row, corr, long_form, value
 from tidewell.operators.ordering import average_ranks, by_ranges, dense_ranks, group_medians, range_cuts, rank_average
 
 
+def _row(df: DataFrame, schema: str, defined, values) -> DataFrame:
+    """One row of ``values()``, or of nulls unless ``defined``."""
+    return df.sparkSession.createDataFrame([values() if defined else (None,) * len(schema.split(","))], schema)
+
+
 def corr_pearson(df: DataFrame, columns: list[str], least: int = 5) -> DataFrame:
     """a, b, r of all pairs over rows in which both are given."""
     both = lambda a, b: F.count(F.when(value(df, a).isNotNull() & value(df, b).isNotNull(), 1))
@@ -78,9 +84,11 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     n, r, c = F.col("n"), F.col("r"), F.col("c")
     chi2 = n * (F.col("s") - 1)
     out = sums.withColumn("chi2", chi2)
-    phi = F.greatest(F.col("chi2") / n - (c - 1) * (r - 1) / (n - 1), F.lit(0.0))
-    rc, cc = r - (r - 1) * (r - 1) / (n - 1), c - (c - 1) * (c - 1) / (n - 1)
-    return out.select("chi2", ((r - 1) * (c - 1)).alias("dof"), F.sqrt(F.col("chi2") / n / (F.least(r, c) - 1)).alias("v"), F.sqrt(phi / (F.least(rc, cc) - 1)).alias("v_corrected"), "n")
+    over = lambda x: F.try_divide(x, n - 1)
+    phi = F.greatest(F.col("chi2") / n - over((c - 1) * (r - 1)), F.lit(0.0))
+    rc, cc = r - over((r - 1) * (r - 1)), c - over((c - 1) * (c - 1))
+    v, corrected = F.try_divide(F.col("chi2") / n, F.least(r, c) - 1), F.try_divide(phi, F.least(rc, cc) - 1)
+    return out.select("chi2", ((r - 1) * (c - 1)).alias("dof"), F.sqrt(v).alias("v"), F.sqrt(corrected).alias("v_corrected"), "n")
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -111,8 +119,12 @@ def vif(df: DataFrame, columns: list[str], cap: float = 0.9999) -> DataFrame:
 
 def ttest_one(df: DataFrame, column: str, mu: float) -> DataFrame:
     g = agg_row(df, {"n": F.count(value(df, column)), "m": F.avg(value(df, column)), "s": F.stddev_samp(value(df, column)), "p": F.stddev_pop(value(df, column))})
-    t = (g["m"] - mu) / (g["s"] / math.sqrt(g["n"]))
-    return df.sparkSession.createDataFrame([(t, float(g["n"] - 1), tails.t_two_sided(t, g["n"] - 1), (g["m"] - mu) / g["p"])], "t double, dof double, p double, cohen_d double")
+
+    def test():
+        t = (g["m"] - mu) / (g["s"] / math.sqrt(g["n"]))
+        return t, float(g["n"] - 1), tails.t_two_sided(t, g["n"] - 1), (g["m"] - mu) / g["p"]
+
+    return _row(df, "t double, dof double, p double, cohen_d double", g["n"] > 1 and g["s"], test)
 
 
 def ttest_two(df: DataFrame, column: str, group: str, a: str, b: str, equal: bool = False) -> DataFrame:
@@ -120,6 +132,9 @@ def ttest_two(df: DataFrame, column: str, group: str, a: str, b: str, equal: boo
     v = value(df, column)
     pick = lambda g, f: f(F.when(F.col(group) == g, v))
     g = agg_row(df, {f"{k}{i}": pick(x, f) for i, x in enumerate((a, b)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp), ("p", F.var_pop))})
+    schema = "t double, dof double, p double, cohen_d double"
+    if min(g["n0"], g["n1"]) < 2 or not (g["v0"] or g["v1"]):
+        return _row(df, schema, False, tuple)
     if equal:
         sp = ((g["n0"] - 1) * g["v0"] + (g["n1"] - 1) * g["v1"]) / (g["n0"] + g["n1"] - 2)
         se, dof = math.sqrt(sp * (1 / g["n0"] + 1 / g["n1"])), g["n0"] + g["n1"] - 2
@@ -127,7 +142,7 @@ def ttest_two(df: DataFrame, column: str, group: str, a: str, b: str, equal: boo
         x, y = g["v0"] / g["n0"], g["v1"] / g["n1"]
         se, dof = math.sqrt(x + y), (x + y) ** 2 / (x * x / (g["n0"] - 1) + y * y / (g["n1"] - 1))
     t = (g["m0"] - g["m1"]) / se
-    return df.sparkSession.createDataFrame([(t, float(dof), tails.t_two_sided(t, dof), (g["m0"] - g["m1"]) / math.sqrt((g["p0"] + g["p1"]) / 2))], "t double, dof double, p double, cohen_d double")
+    return df.sparkSession.createDataFrame([(t, float(dof), tails.t_two_sided(t, dof), (g["m0"] - g["m1"]) / math.sqrt((g["p0"] + g["p1"]) / 2))], schema)
 
 
 def ttest_paired(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -137,9 +152,13 @@ def ttest_paired(df: DataFrame, a: str, b: str) -> DataFrame:
 def anova_oneway(df: DataFrame, column: str, group: str) -> DataFrame:
     parts = df.where(value(df, column).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(column).alias("m"), F.var_pop(column).alias("v"))
     g = agg_row(parts, {"k": F.count("*"), "n": F.sum("n"), "s": F.sum(F.col("n") * F.col("m")), "q": F.sum(F.col("n") * F.col("m") * F.col("m")), "within": F.sum(F.col("n") * F.col("v"))})
-    between, dof = g["q"] - g["s"] ** 2 / g["n"], (g["k"] - 1, g["n"] - g["k"])
-    f = between / dof[0] / (g["within"] / dof[1])
-    return df.sparkSession.createDataFrame([(f, float(dof[0]), float(dof[1]), tails.f_upper(f, *dof), between / (between + g["within"]))], "f double, dof1 double, dof2 double, p double, eta2 double")
+
+    def test():
+        between, dof = g["q"] - g["s"] ** 2 / g["n"], (g["k"] - 1, g["n"] - g["k"])
+        f = between / dof[0] / (g["within"] / dof[1])
+        return f, float(dof[0]), float(dof[1]), tails.f_upper(f, *dof), between / (between + g["within"])
+
+    return _row(df, "f double, dof1 double, dof2 double, p double, eta2 double", g["k"] > 1 and g["n"] > g["k"] and g["within"], test)
 
 
 def mann_whitney_u(df: DataFrame, column: str, group: str, a: str, b: str) -> DataFrame:
@@ -147,8 +166,12 @@ def mann_whitney_u(df: DataFrame, column: str, group: str, a: str, b: str) -> Da
     rows = df.where(F.col(group).isin(a, b)).select(group, column)
     ranked = rank_average(rows, column)
     g = agg_row(ranked, {"ra": F.sum(F.when(F.col(group) == a, F.col("rank"))), "na": F.count(F.when(F.col(group) == a, 1)), "nb": F.count(F.when(F.col(group) == b, 1))})
-    u = g["ra"] - g["na"] * (g["na"] + 1) / 2
-    return df.sparkSession.createDataFrame([(float(u), 2 * u / (g["na"] * g["nb"]) - 1)], "u double, rank_biserial double")
+
+    def test():
+        u = g["ra"] - g["na"] * (g["na"] + 1) / 2
+        return float(u), 2 * u / (g["na"] * g["nb"]) - 1
+
+    return _row(df, "u double, rank_biserial double", g["na"] and g["nb"], test)
 
 
 def kruskal_wallis(df: DataFrame, column: str, group: str) -> DataFrame:
@@ -158,15 +181,19 @@ def kruskal_wallis(df: DataFrame, column: str, group: str) -> DataFrame:
     sums = rank_average(df.where(F.col(column).isNotNull()).select(group, column), column).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
     g = agg_row(sums, {"s": F.sum(F.col("r") * F.col("r") / F.col("m")), "k": F.count("*")})
     n = ties["n"]
-    h = (12 / (n * (n + 1)) * g["s"] - 3 * (n + 1)) / (1 - ties["t"] / (float(n) ** 3 - n))
-    return df.sparkSession.createDataFrame([(h, float(g["k"] - 1), tails.chi2_upper(h, g["k"] - 1))], "h double, dof double, p double")
+
+    def test():
+        h = (12 / (n * (n + 1)) * g["s"] - 3 * (n + 1)) / (1 - ties["t"] / (float(n) ** 3 - n))
+        return h, float(g["k"] - 1), tails.chi2_upper(h, g["k"] - 1)
+
+    return _row(df, "h double, dof double, p double", g["k"] > 1 and ties["t"] < n**3 - n, test)
 
 
 def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
     """w: the smaller of the rank sums of positive and negative differences; zeros are left out."""
     d = df.select((F.col(a) - F.col(b)).alias("_d")).where("_d <> 0").withColumn("_a", F.abs("_d"))
     g = agg_row(rank_average(d, "_a"), {"p": F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)), "m": F.sum(F.when(F.col("_d") < 0, F.col("rank")).otherwise(0.0)), "n": F.count("*")})
-    return df.sparkSession.createDataFrame([(float(min(g["p"], g["m"])), g["n"])], "w double, n long")
+    return df.sparkSession.createDataFrame([(float(min(g["p"] or 0, g["m"] or 0)), g["n"])], "w double, n long")
 
 
 def levene_test(df: DataFrame, column: str, group: str) -> DataFrame:
@@ -178,21 +205,28 @@ def levene_test(df: DataFrame, column: str, group: str) -> DataFrame:
 def dagostino_pearson(df: DataFrame, column: str) -> DataFrame:
     """k2, p, normal (p >= 0.05), and Jarque-Bera."""
     g = agg_row(df, {"n": F.count(value(df, column)), "s": F.skewness(value(df, column)), "k": F.kurtosis(value(df, column))})
-    z1, z2 = tails.skew_z(g["s"], g["n"]), tails.kurtosis_z(g["k"], g["n"])
-    k2, jb = z1 * z1 + z2 * z2, g["n"] / 6 * (g["s"] ** 2 + g["k"] ** 2 / 4)
-    p = tails.chi2_upper(k2, 2)
-    return df.sparkSession.createDataFrame([(k2, p, p >= 0.05, jb)], "k2 double, p double, normal boolean, jarque_bera double")
+
+    def test():
+        z1, z2 = tails.skew_z(g["s"], g["n"]), tails.kurtosis_z(g["k"], g["n"])
+        k2, jb = z1 * z1 + z2 * z2, g["n"] / 6 * (g["s"] ** 2 + g["k"] ** 2 / 4)
+        p = tails.chi2_upper(k2, 2)
+        return k2, p, p >= 0.05, jb
+
+    spread = g["s"] is not None and not math.isnan(g["s"])
+    return _row(df, "k2 double, p double, normal boolean, jarque_bera double", g["n"] >= 8 and spread, test)
 
 
 def ci_mean(df: DataFrame, column: str, level: float = 0.95) -> DataFrame:
     g = agg_row(df, {"n": F.count(value(df, column)), "m": F.avg(value(df, column)), "s": F.stddev_samp(value(df, column))})
-    half = tails.t_critical(level, g["n"] - 1) * g["s"] / math.sqrt(g["n"])
-    return df.sparkSession.createDataFrame([(g["m"], g["m"] - half, g["m"] + half)], "mean double, lo double, hi double")
+    half = tails.t_critical(level, g["n"] - 1) * g["s"] / math.sqrt(g["n"]) if g["n"] > 1 else 0.0
+    return _row(df, "mean double, lo double, hi double", g["n"] > 1, lambda: (g["m"], g["m"] - half, g["m"] + half))
 
 
 def ci_diff_means(df: DataFrame, column: str, group: str, a: str, b: str, level: float = 0.95) -> DataFrame:
     v = value(df, column)
     g = agg_row(df, {f"{k}{i}": f(F.when(F.col(group) == x, v)) for i, x in enumerate((a, b)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))})
+    if min(g["n0"], g["n1"]) < 2 or not (g["v0"] or g["v1"]):
+        return _row(df, "diff double, lo double, hi double", False, tuple)
     x, y = g["v0"] / g["n0"], g["v1"] / g["n1"]
     dof = (x + y) ** 2 / (x * x / (g["n0"] - 1) + y * y / (g["n1"] - 1))
     d, half = g["m0"] - g["m1"], tails.t_critical(level, dof) * math.sqrt(x + y)
@@ -201,7 +235,7 @@ def ci_diff_means(df: DataFrame, column: str, group: str, a: str, b: str, level:
 
 def ci_proportion(df: DataFrame, condition: Column, z: float = 1.959963984540054) -> DataFrame:
     """p, Wilson and Wald intervals."""
-    g = df.agg(F.avg(condition.cast("int")).alias("p"), F.count("*").alias("n"))
+    g = df.agg(F.avg(condition.cast("int")).alias("p"), F.nullif(F.count(condition), F.lit(0)).alias("n"))
     p, n = F.col("p"), F.col("n")
     mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     wald = z * F.sqrt(p * (1 - p) / n)
@@ -239,21 +273,32 @@ def multiple_testing(tests: DataFrame, key: str, p: str = "p") -> DataFrame:
 
 
 def ols(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """feature, coef, se, t, p (and r2): normal equations from one aggregate of cross products."""
+    """feature, coef, se, t, p (and r2): normal equations from one aggregate of cross products.
+
+    With no more rows than coefficients all are null; what a fit leaves undefined (no residual, a constant target) is null too.
+    """
     import numpy as np
 
     cols = [F.lit(1.0), *[value(df, f).cast("double") for f in features], value(df, target).cast("double")]
     rows = df.where(~sum(((c.isNull()).cast("int") for c in cols[1:]), F.lit(0)).cast("boolean"))
     got = agg_row(rows, {f"{i}|{j}": F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))})
-    k = len(cols) - 1
+    k, schema = len(cols) - 1, "feature string, coef double, se double, t double, p double, r2 double"
+    if (got["0|0"] or 0) <= k:
+        return df.sparkSession.createDataFrame([(f, None, None, None, None, None) for f in ["intercept", *features]], schema)
     m = np.array([[got[f"{min(i, j)}|{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)])
-    inv = np.linalg.inv(m[:k, :k])
+    # columns of very different size are brought to one scale first
+    size = np.sqrt(np.diag(m)[:k])
+    size[size == 0] = 1.0
+    size = np.outer(size, size)
+    unit = m[:k, :k] / size
+    inv = (np.linalg.inv(unit) if np.linalg.matrix_rank(unit) == k else np.linalg.pinv(unit)) / size
     beta, n = inv @ m[:k, k], m[0, 0]
     rss = m[k, k] - beta @ m[:k, k]
     tss = m[k, k] - m[0, k] ** 2 / n
-    se = np.sqrt(rss / (n - k) * np.diag(inv))
-    out = [(f, float(b), float(s), float(b / s), float(tails.t_two_sided(float(b / s), float(n - k))), float(1 - rss / tss)) for f, b, s in zip(["intercept", *features], beta, se)]
-    return df.sparkSession.createDataFrame(out, "feature string, coef double, se double, t double, p double, r2 double")
+    se = np.sqrt(np.maximum(rss / (n - k) * np.diag(inv), 0.0))
+    t = [float(b / s) if s > 0 else None for b, s in zip(beta, se)]
+    out = [(f, float(b), float(s), x, None if x is None else float(tails.t_two_sided(x, float(n - k))), float(1 - rss / tss) if tss > 0 else None) for f, b, s, x in zip(["intercept", *features], beta, se, t)]
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def simple_regression(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -262,13 +307,21 @@ def simple_regression(df: DataFrame, y: str, x: str) -> DataFrame:
 
 def logistic_glm(df: DataFrame, target: str, features: list[str]) -> DataFrame:
     """feature, coef, odds_ratio, p."""
+    from pyspark.errors import UnsupportedOperationException
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(target, *features))
+    schema = "feature string, coef double, odds_ratio double, p double"
+    if rows.where(F.col(target).isNotNull()).isEmpty():
+        return df.sparkSession.createDataFrame([(f, None, None, None) for f in [*features, "intercept"]], schema)
     model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=target).fit(rows)
     coefs = [*model.coefficients.toArray().tolist(), model.intercept]
-    return df.sparkSession.createDataFrame([(f, c, math.exp(min(c, 700)), p) for f, c, p in zip([*features, "intercept"], coefs, model.summary.pValues)], "feature string, coef double, odds_ratio double, p double")
+    try:
+        tests = model.summary.pValues
+    except UnsupportedOperationException:  # the fit fell back to a solver without standard errors (collinear or constant columns)
+        tests = [None] * len(coefs)
+    return df.sparkSession.createDataFrame([(f, c, math.exp(min(c, 700)), p) for f, c, p in zip([*features, "intercept"], coefs, tests)], schema)
 
 
 def regularised_cv(df: DataFrame, target: str, features: list[str], l1: float, alphas: list[float] = (0.01, 0.1, 1.0), folds: int = 3) -> DataFrame:
@@ -279,6 +332,9 @@ def regularised_cv(df: DataFrame, target: str, features: list[str], l1: float, a
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(target, *features))
+    rows = rows.where(F.col(target).isNotNull())
+    if len(rows.take(folds + 1)) <= folds:  # a fold each and one more
+        return df.sparkSession.createDataFrame([(f, None, None) for f in features], "feature string, coef double, alpha double")
     lr = LinearRegression(featuresCol="_x", labelCol=target, elasticNetParam=l1)
     cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(alphas)).build(), evaluator=RegressionEvaluator(labelCol=target), numFolds=folds, seed=7)
     best = cv.fit(rows).bestModel
@@ -288,7 +344,7 @@ def regularised_cv(df: DataFrame, target: str, features: list[str], l1: float, a
 def durbin_watson(df: DataFrame, residual: str, order: list[str], by: list[str] = ()) -> DataFrame:
     """dw within ``by``; the order is global if ``by`` is empty, so give a key for large tables."""
     d = F.col(residual) - F.lag(residual).over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_d", d).groupBy(*by).agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col(residual) * F.col(residual))).alias("dw"))
+    return df.withColumn("_d", d).groupBy(*by).agg(F.try_divide(F.sum(F.col("_d") * F.col("_d")), F.sum(F.col(residual) * F.col(residual))).alias("dw"))
 
 
 def ljung_box(df: DataFrame, residual: str, order: list[str], by: list[str], lags: int = 10) -> DataFrame:
@@ -348,14 +404,14 @@ def breusch_pagan(df: DataFrame, residual: str, features: list[str]) -> DataFram
     """lm = n R^2 of the squared residuals on the features, and p."""
     n = df.count()
     r2 = ols(df.withColumn("_e2", F.col(residual) * F.col(residual)), "_e2", features).first()["r2"]
-    return df.sparkSession.createDataFrame([(n * r2, tails.chi2_upper(n * r2, len(features)))], "lm double, p double")
+    return _row(df, "lm double, p double", r2 is not None, lambda: (n * r2, tails.chi2_upper(n * r2, len(features))))
 
 
 def acf(df: DataFrame, column: str, order: list[str], by: list[str], lags: int) -> DataFrame:
     """by, lag, acf: autocorrelations of each series up to ``lags``, at most half its length."""
     w, all_ = W.partitionBy(*by).orderBy(*order), W.partitionBy(*by)
     rows = df.withColumn("_x", F.col(column) - F.avg(column).over(all_)).withColumns({f"_l{k}": F.lag("_x", k).over(w) for k in range(1, lags + 1)})
-    wide = rows.groupBy(*by).agg(F.count("*").alias("_n"), *[(F.sum(F.col("_x") * F.col(f"_l{k}")) / F.sum(F.col("_x") * F.col("_x"))).alias(f"r{k}") for k in range(1, lags + 1)])
+    wide = rows.groupBy(*by).agg(F.count("*").alias("_n"), *[F.try_divide(F.sum(F.col("_x") * F.col(f"_l{k}")), F.sum(F.col("_x") * F.col("_x"))).alias(f"r{k}") for k in range(1, lags + 1)])
     pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("acf")) for k in range(1, lags + 1)])
     return wide.select(*by, "_n", F.explode(pairs).alias("p")).where(F.col("p.lag") <= F.col("_n") / 2 - 1).select(*by, "p.lag", "p.acf")
 
@@ -365,7 +421,7 @@ def pacf(df: DataFrame, column: str, order: list[str], by: list[str], lags: int)
     import pandas as pd
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        r = part.sort_values("lag")["acf"].tolist()
+        r = part.sort_values("lag")["acf"].astype(float).tolist()
         phi, out = [], []
         for k in range(1, len(r) + 1):
             top = r[k - 1] - sum(phi[j] * r[k - 2 - j] for j in range(k - 1))
@@ -385,7 +441,7 @@ def adf_test(df: DataFrame, column: str, order: list[str], by: list[str] = ()) -
     w = W.partitionBy(*by).orderBy(*order)
     rows = df.select((F.col(column) - F.lag(column).over(w)).alias("_d"), F.lag(column).over(w).alias("_l")).na.drop("any")
     t = next(r for r in ols(rows, "_d", ["_l"]).collect() if r["feature"] == "_l")["t"]  # two rows
-    return df.sparkSession.createDataFrame([(t, t < -2.86)], "stat double, stationary boolean")
+    return _row(df, "stat double, stationary boolean", t is not None, lambda: (t, t < -2.86))
 
 
 def kpss_test(df: DataFrame, column: str, order: list[str], by: list[str]) -> DataFrame:
@@ -393,7 +449,7 @@ def kpss_test(df: DataFrame, column: str, order: list[str], by: list[str]) -> Da
     all_ = W.partitionBy(*by)
     rows = df.withColumn("_e", F.col(column) - F.avg(column).over(all_))
     rows = rows.withColumn("_s", F.sum("_e").over(all_.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    stat = F.sum(F.col("_s") * F.col("_s")) / (F.count("*") * F.sum(F.col("_e") * F.col("_e")))
+    stat = F.try_divide(F.sum(F.col("_s") * F.col("_s")), F.count("*") * F.sum(F.col("_e") * F.col("_e")))
     return rows.groupBy(*by).agg(stat.alias("stat")).withColumn("stationary", F.col("stat") < 0.463)
 
 

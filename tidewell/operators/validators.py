@@ -20,6 +20,8 @@ SEVERITIES = ["CRITICAL", "ERROR", "WARNING"]
 def counted(df: DataFrame, rules: Iterable[tuple[str, str, str, Column]]) -> DataFrame:
     """Violations of (rule, column, severity, condition) rules: the rows for which a condition is true, in one aggregate."""
     rules = list(rules)
+    if not rules:
+        return df.sparkSession.createDataFrame([], SCHEMA)
     wide = df.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(f"r{i}") for i, (*_, c) in enumerate(rules)])
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("column"), F.lit(s).alias("severity"), F.col(f"r{i}").cast("long").alias("n_bad")) for i, (r, c, s, _) in enumerate(rules)])
     return wide.select(F.explode(rows).alias("v")).select("v.*").where("n_bad > 0")
@@ -195,7 +197,7 @@ def detect_model_leakage(df: DataFrame, target: str, columns: list[str]) -> Data
     numeric = set(numeric_columns(df))
     # Name parts that tell the outcome.
     future = re.compile(r"(^|_)(outcome|result|flag|label|target|pred|score|won|lost|churn|default)($|_)", re.I)
-    got = long_form(df, {c: [F.count_distinct(c) / F.count("*"), corr(value(df, c), value(df, target)) if c in numeric else F.lit(None).cast("double"), F.lit(bool(future.search(c)))] for c in columns}, ["unique", "r", "future"])
+    got = long_form(df, {c: [F.try_divide(F.count_distinct(c), F.count("*")), corr(value(df, c), value(df, target)) if c in numeric else F.lit(None).cast("double"), F.lit(bool(future.search(c)))] for c in columns}, ["unique", "r", "future"])
     return got.select("column", F.when(F.col("unique") >= 0.99, "ID").when(F.col("future"), "FUTURE_NAME").when(F.abs("r") >= 0.95, "CORRELATION").alias("reason")).where("reason IS NOT NULL")
 
 

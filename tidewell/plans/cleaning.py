@@ -88,7 +88,7 @@ def coerce_mixed_numeric(spark, sf):
 @query("SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS created_at FROM events")
 def coerce_epochs(spark, sf):
     df = read(spark, sf, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"))
-    return C.coerce_epochs(df, ["created_at"]).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return C.coerce_epochs(df, ["created_at"]).withColumn("created_at", F.col("created_at").cast("timestamp").cast("timestamp_ntz"))
 
 
 @query("SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS day FROM orders")

@@ -25,7 +25,7 @@ def scan_parquet(spark, sf):
 def write_parquet_partitioned(spark, sf):
     path = shared(spark)
     I.write_parquet(orders(spark, sf), path, ["o_orderstatus"])
-    return spark.read.parquet(path)
+    return spark.read.schema(DDL).parquet(path)
 
 
 @query(ORDERS)
