@@ -114,6 +114,27 @@ k AS (SELECT p.r, string_agg(word, ' ' ORDER BY j) AS kept FROM p LEFT JOIN x ON
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)"""
 
+FILTER_AUDIT = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+m AS (
+  SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(first_id < doc_id, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS x FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS filter, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS gone FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & gone = 0 AND mask & bit <> 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & gone <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(g) FILTER (mask & gone = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(x) FILTER (mask & gone = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step, filter)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -123,4 +144,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_graph": SUBSTRINGS,
         "op8_warc_writer": WARC,
         "op9_decontamination": DECONTAMINATION,
+        "op12_filter_audit": FILTER_AUDIT,
     }
