@@ -90,6 +90,18 @@ def open_fs(uri: str):
     return fs.LocalFileSystem(), uri[len("file:") :]
 
 
+def read_part(folder: str, column: str, value: int):
+    """In a task: the Arrow table of one value of a Parquet folder written by ``partitionBy(column)``; None if it has no rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs as store
+
+    fs, path = open_fs(folder)
+    found = fs.get_file_info(store.FileSelector(f"{path}/{column}={value}", allow_not_found=True))
+    tables = [pq.read_table(fs.open_input_file(f.path)) for f in found if f.path.endswith(".parquet")]
+    return pa.concat_tables(tables) if tables else None
+
+
 def byte_list(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null becomes empty."""
     import pyarrow as pa

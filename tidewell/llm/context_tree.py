@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, new_dir, open_fs, partition_id, stash
+from .common import byte_list, new_dir, partition_id, read_part, stash
 
 #: Bytes of context; a gram of DEPTH context bytes and a symbol fills 56 bits.
 DEPTH = 6
@@ -307,17 +307,6 @@ class Lookup:
         return self.values[slot]
 
 
-def _read_block(folder: str, block: int):
-    """The block's part of a dictionary written by block."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs as store
-
-    fs, path = open_fs(folder)
-    found = [f.path for f in fs.get_file_info(store.FileSelector(f"{path}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([pq.read_table(fs.open_input_file(f)) for f in found]) if found else None
-
-
 def _score(batches: Iterable, grams: str, words: str, total: int, distinct: int, keep: list[str]):
     import pyarrow as pa
 
@@ -329,9 +318,9 @@ def _score(batches: Iterable, grams: str, words: str, total: int, distinct: int,
         for own, a, b in _runs(blocks):
             if own != block:
                 block, logs, known = own, None, {}
-                got = _read_block(grams, own)
+                got = read_part(grams, "block", own)
                 logs = Lookup(got.column("gram").to_numpy().astype(np.uint64), got.column("logp").to_numpy())
-                if (got := _read_block(words, own)) is not None:
+                if (got := read_part(words, "block", own)) is not None:
                     known = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist()))
                 ends = known.pop(END, 0)
             texts = [words_of(t) for t in byte_list(batch.column("text").slice(a, b - a))]

@@ -114,6 +114,21 @@ k AS (SELECT p.r, string_agg(word, ' ' ORDER BY j) AS kept FROM p LEFT JOIN x ON
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN c USING (r) LEFT JOIN k USING (r)"""
 
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+v AS (SELECT *, row_number() OVER () AS r FROM e),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id AS cid, a.label = c.label AS same, coalesce(list_sum(list_transform(a.q, lambda x, i: x * c.q[i])), 0)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 100 = 0 AND a.r <> c.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, cid, cr) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.cid AS positive_id, s.cid AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY s.score DESC, s.cid, s.cr)::INT AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
 FILTER_AUDIT = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
@@ -144,5 +159,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_graph": SUBSTRINGS,
         "op8_warc_writer": WARC,
         "op9_decontamination": DECONTAMINATION,
+        "op11_hard_negatives": HARD_NEGATIVES,
         "op12_filter_audit": FILTER_AUDIT,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_tree, decontaminate, filter_audit, langid, line_chunks, mixing, packed_ids, quality, simhash, substrings, warc
+from . import chat, context_tree, decontaminate, filter_audit, hard_negatives, langid, line_chunks, mixing, packed_ids, quality, simhash, substrings, warc
 from .common import table, texts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,11 @@ def op10_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_packed(packed_ids.write_packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER, END_ID))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -72,5 +77,5 @@ def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality_rules, op2_pfair_mixing, op3_simhash_anchors, op4_byte_cnn, op5_chat_format, op6_line_chunks, op7_substring_graph, op8_warc_writer, op9_decontamination, op10_packed_ids, op12_filter_audit, op13_context_tree]
+    found = [op1_quality_rules, op2_pfair_mixing, op3_simhash_anchors, op4_byte_cnn, op5_chat_format, op6_line_chunks, op7_substring_graph, op8_warc_writer, op9_decontamination, op10_packed_ids, op11_hard_negatives, op12_filter_audit, op13_context_tree]
     return {f.__name__: f for f in found}
