@@ -5,9 +5,10 @@ decisions; each decision has a tree over the last DEPTH bytes, whose nodes hold
 weighting mixes the estimates of all depths by the posterior of each, as learnt from the training texts.
 
 Counts are byte (DEPTH + 1)-grams, keyed so that the nearest context byte is the highest one: all nodes from UPPER bytes of
-context down lie in one run of keys of at most 256 ** (DEPTH + 1 - UPPER), and only sums by node go further up.  Texts lie in blocks
-of bounded size; a block gives each of its grams and words to the counts once and reads their probabilities back from the
-block's own dictionary, so neither model nor texts are broadcast, and texts are never shuffled.
+context down lie in one run of keys of at most 256 ** (DEPTH + 1 - UPPER), and only sums by node go further up.  Texts lie in
+blocks of bounded size.  Each block sends its distinct grams once to the buckets (ranges of runs) that hold the counts, packed as
+one row a bucket, and gets their probabilities back the same way; so neither model nor texts are broadcast, and texts are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -112,25 +113,74 @@ def _runs(blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(blocks[a]), int(a), int(b)
 
 
-def _gather(batches: Iterable):
-    """block, gram, word, n: each gram and each word of a block with its occurrences in training texts (may be 0)."""
+def squeeze(values: np.ndarray) -> bytes:
+    """The array's bytes by place value, compressed."""
     import pyarrow as pa
 
-    block, grams, words, others = None, [], Counter(), set()
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes, n: int, kind: type) -> np.ndarray:
+    import pyarrow as pa
+
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsqueeze_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, n, np.uint64), dtype=np.uint64)
+
+
+def run_of(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(8 * (DEPTH + 1 - UPPER))
+
+
+def _sample(batches: Iterable):
+    """run: of some grams of some texts of each batch; they only balance the buckets."""
+    import pyarrow as pa
+
+    for batch in batches:
+        texts = byte_list(batch.column("text").take(pa.array(range(0, batch.num_rows, 1 + batch.num_rows // 16))))
+        for _, keys, _ in pieces([words_of(t[: 1 << 16]) for t in texts]):
+            yield pa.RecordBatch.from_arrays([pa.array(run_of(keys)[:: 1 + len(keys) // 512].astype(np.int64))], ["run"])
+
+
+def bucket_bounds(rows: DataFrame, buckets: int) -> np.ndarray:
+    """First runs of all buckets but the first, so that the buckets hold about equally many grams."""
+    runs = rows.select("text").mapInArrow(_sample, "run long")
+    found = runs.approxQuantile("run", [i / buckets for i in range(1, buckets)], 0.001) if buckets > 1 else []
+    return np.unique(np.array(found or [], np.float64).astype(np.uint64))
+
+
+def _gather(batches: Iterable, bounds: np.ndarray):
+    """Rows (block, piece, bucket, size, grams, counts), the distinct grams of a block in a bucket, and (block, word, n), its words;
+    counts and n are occurrences in training texts (may be 0)."""
+    import pyarrow as pa
+
+    kinds = pa.schema([("block", pa.int64()), ("piece", pa.int64()), ("bucket", pa.int32()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
+    block, grams, words, others, piece = None, [], Counter(), set(), partition_id() << 32
 
     def close():
-        nonlocal grams, words, others
+        nonlocal grams, words, others, piece
         if block is None:
             return
-        keys, n = tally(np.concatenate([x for x, _ in grams]), np.concatenate([x for _, x in grams])) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if grams:
+            keys, n = tally(np.concatenate([x for x, _ in grams]), np.concatenate([x for _, x in grams]))
+            buckets = np.searchsorted(bounds, run_of(keys), "right")
+            out = [(block, piece, k, b - a, squeeze_keys(keys[a:b]), squeeze(n[a:b]), None, None) for k, a, b in _runs(buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
         known = [*words, *(others - words.keys())]
-        counts = np.concatenate([n, np.fromiter((words[w] for w in known), np.int64, len(known))])
-        for a in range(0, len(counts), 1 << 17):
-            k, w = keys[a : a + (1 << 17)], known[max(0, a - len(keys)) : max(0, a + (1 << 17) - len(keys))]
-            cols = [pa.array(np.full(len(k) + len(w), block)), pa.concat_arrays([pa.array(k.astype(np.int64)), pa.nulls(len(w), pa.int64())])]
-            cols += [pa.concat_arrays([pa.nulls(len(k), pa.binary()), pa.array(w, pa.binary())]), pa.array(counts[a : a + (1 << 17)])]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "gram", "word", "n"])
-        grams, words, others = [], Counter(), set()
+        for a in range(0, len(known), 1 << 17):
+            own = known[a : a + (1 << 17)]
+            cols = [pa.array(own, f.type) if f.name == "word" else pa.array([words[w] for w in own], f.type) if f.name == "n" else pa.array([block] * len(own), f.type) if f.name == "block" else pa.nulls(len(own), f.type) for f in kinds]
+            yield pa.RecordBatch.from_arrays(cols, schema=kinds)
+        grams, words, others, piece = [], Counter(), set(), piece + 1
 
     for batch in batches:
         kept_out = np.array(batch.column("held_out").to_pylist(), bool)
@@ -146,10 +196,10 @@ def _gather(batches: Iterable):
                 for _, keys, _ in pieces(part):
                     keys, n = tally(keys)
                     grams.append((keys, n * (not held)))
-                    if sum(len(x) for x, _ in grams) > PIECE:
+                    if sum(len(x) for x, _ in grams) > 2 * PIECE:
                         grams = [tally(np.concatenate([x for x, _ in grams]), np.concatenate([x for _, x in grams]))]
                 if len(grams) == 1 and len(grams[0][0]) > PIECE or len(words) + len(others) > PIECE:
-                    yield from close()  # the block's rows may then repeat a key, whose counts are summed anyway
+                    yield from close()  # the block goes on in another piece
     yield from close()
 
 
@@ -204,47 +254,90 @@ def weigh(grams: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.
     return tuple(np.concatenate(x) for x in zip(*nodes)), chance
 
 
-def _grow(batches: Iterable):
-    """Rows of nodes (context, node, zeros, ones, logs) and of grams (context, gram, chance), context being the nearest UPPER - 1 bytes, for sorted grams in whole runs."""
+def _by_run(keys: np.ndarray, size: int = 1 << 18) -> Iterator[slice]:
+    """Slices of about ``size`` sorted keys that hold whole runs."""
+    runs, a = run_of(keys), 0
+    while a < len(keys):
+        b = int(np.searchsorted(runs, runs[min(a + size, len(keys)) - 1], "right"))
+        yield slice(a, b)
+        a = b
+
+
+def _count(batches: Iterable):
+    """Of each bucket (rows in its order): its nodes with UPPER bytes of context as (bucket, context, node, zeros, ones, logs), where
+    context is the nearest UPPER - 1 bytes, and its summed grams as one row (bucket, size, grams, counts)."""
     import pyarrow as pa
 
-    def close(grams, n):
-        (context, node, zeros, ones, logs), chance = weigh(grams, n)
-        for a in range(0, len(node), 1 << 16):
-            s = slice(a, a + (1 << 16))
-            yield rows((context[s] >> np.uint64(8)).astype(np.int32), node[s].astype(np.int32), zeros[s], ones[s], logs[s], None, None)
-        for a in range(0, len(grams), 1 << 16):
-            s = slice(a, a + (1 << 16))
-            yield rows((grams[s] >> np.uint64(8 * (DEPTH + 2 - UPPER))).astype(np.int32), None, None, None, None, grams[s].astype(np.int64), chance[s])
-
-    def rows(own, node, zeros, ones, logs, gram, chance):
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-        if chance is not None:
-            chance = pa.ListArray.from_arrays(np.arange(0, 8 * len(chance) + 1, 8, dtype=np.int32), pa.array(chance.ravel()))
-        cols = [pa.nulls(len(own), t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((own, node, zeros, ones, logs, gram, chance), kinds)]
-        return pa.RecordBatch.from_arrays(cols, ["context", "node", "zeros", "ones", "logs", "gram", "chance"])
-
-    grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kinds = pa.schema([("bucket", pa.int32()), ("context", pa.int32()), ("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("logs", pa.float64()), ("size", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    bucket, parts = None, []
+
+    def close():
+        if not parts:
+            return
+        keys, n = tally(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+        for s in _by_run(keys):
+            (context, *rest), _ = weigh(keys[s], n[s])
+            cols = [np.full(len(context), bucket), context >> np.uint64(8), *rest]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, kinds)] + [pa.nulls(len(context), f.type) for f in list(kinds)[6:]], schema=kinds)
+        row = {"bucket": bucket, "size": len(keys), "grams": squeeze_keys(keys), "counts": squeeze(n)}
+        yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
     for batch in batches:
-        grams = np.concatenate([grams, batch.column("gram").to_numpy().astype(np.uint64)])
-        n = np.concatenate([n, batch.column("n").to_numpy()])
-        run = grams >> np.uint64(8 * (DEPTH + 1 - UPPER))
-        whole = np.searchsorted(run, run[-1]) if len(run) else 0
-        if whole > 1 << 18:
-            yield from close(grams[:whole], n[:whole])
-            grams, n = grams[whole:], n[whole:]
-    if len(grams):
-        yield from close(grams, n)
-
-
-def gram_scores(counts: DataFrame) -> DataFrame:
-    """gram, logp (log10 of the symbol's probability in its context) for all of ``counts`` (gram, n): n occurrences in training
-    texts, 0 for grams of other texts only."""
-    spark = counts.sparkSession
+        for k, size, grams, counts in zip(*[batch.column(c).to_pylist() for c in ("bucket", "size", "grams", "counts")]):
+            if k != bucket:
+                yield from close()
+                bucket, parts = k, []
+            parts.append((unsqueeze_keys(grams, size), unsqueeze(counts, size, np.int64)))
+            if len(parts) > 1 and sum(len(x) for x, _ in parts) > 2 * PIECE and len(parts[0][0]) < len(parts[-1][0]) * len(parts):
+                parts = [tally(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))]
+    yield from close()
+
+
+def _answer(batches: Iterable):
+    """(block, piece, bucket, logs) for each block's row of a bucket, from the bucket's rows before: its upper estimates (context,
+    node, a, b) and its sums.  logs are log10 of the symbols' probabilities in the order of the block's grams."""
+    import pyarrow as pa
+
+    bucket, upper, keys, logs = None, [], None, None
+    for batch in batches:
+        kinds, buckets = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
+        order = np.flatnonzero(np.diff(kinds.astype(np.int64) + 4 * buckets.astype(np.int64), prepend=-1))
+        out = []
+        for a, b in zip(order, [*order[1:], len(kinds)]):
+            if buckets[a] != bucket:
+                bucket, upper, keys, logs = buckets[a], [], None, None
+            part = batch.slice(a, b - a)
+            if kinds[a] == 0:
+                upper.append([part.column(c).to_numpy() for c in ("context", "node", "a", "b")])
+            elif kinds[a] == 1:
+                context, node, above, left = (np.concatenate(x) for x in zip(*upper))
+                places = context.astype(np.int64) << 8 | node
+                order_ = np.argsort(places)
+                places, above, left = places[order_], above[order_], left[order_]
+                size = part.column("size")[0].as_py()
+                keys, n = unsqueeze_keys(part.column("grams")[0].as_py(), size), unsqueeze(part.column("counts")[0].as_py(), size, np.int64)
+                logs = np.zeros(size, np.float32)
+                for s in _by_run(keys):
+                    own, (_, chance) = keys[s].astype(np.int64), weigh(keys[s], n[s])
+                    total = np.zeros(len(own))
+                    for k in range(8):
+                        at = np.searchsorted(places, own >> 8 * (DEPTH + 2 - UPPER) << 8 | 1 << k | (own & 255) >> (8 - k))
+                        one = above[at] + left[at] * chance[:, k]
+                        total += np.log10(np.where(own >> (7 - k) & 1, one, 1 - one))
+                    logs[s] = total
+            else:
+                for block, piece, size, grams in zip(*[part.column(c).to_pylist() for c in ("block", "piece", "size", "grams")]):
+                    out.append((block, piece, int(bucket), squeeze(logs[np.searchsorted(keys, unsqueeze_keys(grams, size))])))
+        cols = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["block", "piece", "bucket", "logs"])
+
+
+def block_logs(found: DataFrame) -> DataFrame:
+    """block, piece, bucket, logs for all rows (block, piece, bucket, size, grams, counts) of ``found``: see :func:`_answer`."""
+    spark = found.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = counts.groupBy("gram").agg(F.sum("n").alias("n"))
-    runs = sums.repartition(parts, F.shiftright("gram", 8 * (DEPTH + 1 - UPPER))).sortWithinPartitions("gram")
-    grown = stash(runs.mapInArrow(_grow, "context int, node int, zeros long, ones long, logs double, gram long, chance array<double>"), "grown")
+    asked = found.select("bucket", "size", "grams", "counts").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    grown = stash(asked.mapInArrow(_count, "bucket int, context int, node int, zeros long, ones long, logs double, size int, grams binary, counts binary"), "grown")
 
     @F.pandas_udf("double")
     def kt(zeros, ones):
@@ -269,15 +362,11 @@ def gram_scores(counts: DataFrame) -> DataFrame:
         above = upper.withColumnRenamed("context", "shorter")
         upper = levels.pop().withColumn("shorter", F.shiftright("context", 8)).join(above, ["shorter", "node"])
         upper = upper.select("context", "node", (F.col("a") + F.col("b") * F.col("w") * F.col("one")).alias("a"), (F.col("b") * (1 - F.col("w"))).alias("b"))
-    upper = stash(upper.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("a", "b")))).alias("up")), "upper")
-    symbol = F.col("gram").bitwiseAND(F.lit(255)).cast("int")
-    total = F.lit(0.0)
-    for k in range(8):
-        node = F.shiftright(symbol, 8 - k) + (1 << k)
-        up = F.element_at("up", node)
-        one = up["a"] + up["b"] * F.element_at("chance", k + 1)
-        total = total + F.log10(F.when(F.shiftright(symbol, 7 - k).bitwiseAND(F.lit(1)) == 1, one).otherwise(1 - one))
-    return grown.where("gram IS NOT NULL").select("gram", "context", "chance").join(upper, "context").select("gram", total.alias("logp"))
+    nodes = grown.where("node IS NOT NULL").select("bucket", "context", "node").distinct()
+    rows = nodes.join(upper, ["context", "node"]).withColumn("kind", F.lit(0))
+    rows = rows.unionByName(grown.where("node IS NULL").select("bucket", "size", "grams", "counts", F.lit(1).alias("kind")), allowMissingColumns=True)
+    rows = rows.unionByName(found.select("block", "piece", "bucket", "size", "grams", F.lit(2).alias("kind")), allowMissingColumns=True)
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "block long, piece long, bucket int, logs binary")
 
 
 class Lookup:
@@ -307,7 +396,7 @@ class Lookup:
         return self.values[slot]
 
 
-def _score(batches: Iterable, grams: str, words: str, total: int, distinct: int, keep: list[str]):
+def _score(batches: Iterable, gathered: str, answered: str, words: str, total: int, distinct: int, keep: list[str]):
     import pyarrow as pa
 
     block, logs, known = None, None, {}
@@ -318,8 +407,11 @@ def _score(batches: Iterable, grams: str, words: str, total: int, distinct: int,
         for own, a, b in _runs(blocks):
             if own != block:
                 block, logs, known = own, None, {}
-                got = read_part(grams, "block", own)
-                logs = Lookup(got.column("gram").to_numpy().astype(np.uint64), got.column("logp").to_numpy())
+                answers = {(r["piece"], r["bucket"]): r["logs"] for r in read_part(answered, "block", own).to_pylist()}
+                asked = read_part(gathered, "block", own).select(["piece", "bucket", "size", "grams"]).drop_null().to_pylist()
+                keys = np.concatenate([unsqueeze_keys(r["grams"], r["size"]) for r in asked])
+                values = np.concatenate([unsqueeze(answers[r["piece"], r["bucket"]], r["size"], np.float32) for r in asked])
+                logs = Lookup(keys, values.astype(np.float64))
                 if (got := read_part(words, "block", own)) is not None:
                     known = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist()))
                 ends = known.pop(END, 0)
@@ -349,22 +441,27 @@ def score_texts(docs: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES
     rows = docs.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     # plain columns again (a name may stand twice in ``keep``): the schema without metadata, and the block
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a block repeats most grams of any other, so small splits share one; about two thirds of a block leaves no small rests
+    rows = rows.coalesce(max(1, -(-3 * size // (2 * block_bytes))))
     rows = stash(rows.mapInArrow(lambda b: _deal(b, block_bytes), f"{kinds}, block long"), "scored-texts")
-    found = stash(rows.select("block", "held_out", "text").mapInArrow(_gather, "block long, gram long, word binary, n long"), "grams")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paths = {k: new_dir(spark, f"dictionary-{k}") for k in ("grams", "words")}
+    gathered, answered, dictionary = (new_dir(spark, k) for k in ("gathered", "answered", "dictionary"))
+    bounds = bucket_bounds(rows, spread)
+    found = rows.select("block", "held_out", "text").mapInArrow(lambda b: _gather(b, bounds), "block long, piece long, bucket int, size int, grams binary, counts binary, word binary, n long")
+    found.write.partitionBy("block").option("compression", "zstd").parquet(gathered)
+    found = spark.read.schema(found.schema).parquet(gathered)
 
-    def write(df: DataFrame, kind: str) -> None:
-        df.repartition(spread, "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(paths[kind])
+    def write(df: DataFrame, path: str) -> None:
+        df.repartition(spread, "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
 
-    own = found.where("gram IS NOT NULL").select("block", "gram", "n")
-    write(own.select("block", "gram").join(gram_scores(own.select("gram", "n")), "gram"), "grams")
+    write(block_logs(found.where("bucket IS NOT NULL")), answered)
     counts = stash(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
     ends = rows.where(~F.col("held_out")).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.expr("c > 0"))).first()
-    write(found.where("word IS NOT NULL").select("block", "word").join(counts, "word").unionByName(rows.select("block").distinct().select("block", F.lit(END).alias("word"), F.lit(ends).cast("long").alias("c"))), "words")
+    write(found.where("word IS NOT NULL").select("block", "word").join(counts, "word").unionByName(rows.select("block").distinct().select("block", F.lit(END).alias("word"), F.lit(ends).cast("long").alias("c"))), dictionary)
     total, distinct = sums[0] + ends, sums[1] + (ends > 0)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
     kinds = f"{kinds}{', ' if kinds else ''}held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = rows.mapInArrow(lambda b: _score(b, paths["grams"], paths["words"], total, distinct, names), kinds)
+    out = rows.mapInArrow(lambda b: _score(b, gathered, answered, dictionary, total, distinct, names), kinds)
     return out.toDF(*keep, *out.columns[len(keep) :])
