@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share (see :func:`shared_base`)."""
+    return f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.  A local session may do
+    without; on a cluster a folder of the driver's own machine would lose the data of all others, so that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def evenly(df: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from tidewell.functions.stages import shared_folder
 from tidewell.plans.registry import query, read
+from tidewell.streaming import closed as C
 from tidewell.streaming import windows as S
 
 
@@ -26,9 +27,8 @@ def plain(df):
 
 
 def shared(spark) -> str:
-    """A folder for a stream's output and state: in the shared folder the cluster names, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder for a stream's output and state in the shared folder."""
+    return shared_folder(spark, "stream")
 
 
 DAY = "to_timestamp(floor(epoch(ts) / {s}) * {s})::TIMESTAMP"
@@ -71,16 +71,6 @@ def window_advisor(spark, sf):
     return S.advise_windows(events(spark, sf), "ts", ["event_type"]).withColumn("median_gap", F.round("median_gap", 3))
 
 
-@query("""SELECT event_id, coalesce(epoch(ts) < max(epoch(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 300, false) AS is_late FROM events""")
-def watermark_late(spark, sf):
-    return S.mark_late(events(spark, sf), "ts", ["event_id"], ["user_id"]).select("event_id", "is_late")
-
-
-@query("""WITH l AS (SELECT user_id, coalesce(epoch(ts) < max(epoch(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 300, false) AS late FROM events) SELECT user_id, count(*) FILTER (late) AS n_late FROM l GROUP BY 1""")
-def late_drop_count(spark, sf):
-    return S.mark_late(events(spark, sf), "ts", ["event_id"], ["user_id"]).groupBy("user_id").agg(F.count(F.when(F.col("is_late"), 1)).alias("n_late"))
-
-
 @query("SELECT event_id, ts, 'seconds' AS form FROM (SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS ts FROM events WHERE event_id % 3 = 0) UNION ALL SELECT event_id, date_trunc('milliseconds', ts)::TIMESTAMP, 'millis' FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, date_trunc('second', ts)::TIMESTAMP, 'iso' FROM events WHERE event_id % 3 = 2")
 def event_time_extract(spark, sf):
     e = events(spark, sf)
@@ -97,44 +87,83 @@ def stream_files(spark, sf):
 @query("SELECT DISTINCT event_id FROM events")
 def stream_dedup(spark, sf):
     twice = event_stream(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).select("event_id", "ts")
-    return S.run_memory(S.deduplicated(twice, "event_id", "ts").select("event_id"), f"dedup_{uuid.uuid4().hex}", "append")
-
+    return C.to_folder(S.deduplicated(twice, "event_id", "ts").select("event_id"), shared(spark))
 
-def gated(spark, sf, gate):
-    base = shared(spark)
-    places = {k: f"{base}/{k}" for k in ("gold", "dead", "late", "checkpoint")}
-    q = S.gated_sink(event_stream(spark, sf), "ts", 86400, gate, **places)
-    q.awaitTermination()
-    return places, q
 
+@query("SELECT event_id, 'gate failed' AS error FROM events")
+def stream_dlq(spark, sf):
+    def failing(rows):
+        raise ValueError("gate failed")
 
-@query(f"SELECT {DAY.format(s=86400)} AS start, count(*) AS n, count(*) >= 300 AS passed FROM events GROUP BY 1")
+    base = shared(spark)
+    C.dead_letter_sink(event_stream(spark, sf), failing, base).awaitTermination()
+    return spark.read.parquet(f"{base}/dead").select("event_id", "error")
+
+
+#: The events arrive in so many deliveries; every tenth comes two deliveries late.
+DELIVERIES = 5
+WINDOW = 86400
+_RUNS: dict[tuple[str, str], C.ClosedWindows] = {}
+
+
+def delivered(spark, sf) -> C.ClosedWindows:
+    """The closed daily windows of the events stream.  Each delivery lands in a folder of its own and the query is started for
+    it and goes on from its checkpoint.  One run serves all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        base = shared(spark)
+        table = read(spark, sf, "events")
+        ends = table.agg(F.max("event_id") + 1).first()[0] or 1
+        turn = F.floor(F.col("event_id") * DELIVERIES / ends) + F.when(F.col("event_id") % 10 == 3, 2).otherwise(0)
+        table = table.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("turn", F.least(turn, F.lit(DELIVERIES - 1)))
+        run = C.ClosedWindows(f"{base}/out", "ts", WINDOW, aggs={"total": ("sum", "value")}, gate=lambda w: w.withColumn("passed", F.col("n") >= 300), watch="total / n")
+        stream = S.stream_files(spark, f"{base}/in/*", table.drop("turn").schema)
+        for k in range(DELIVERIES):
+            table.where(F.col("turn") == k).drop("turn").write.parquet(f"{base}/in/{k}")
+            run.start(stream).awaitTermination()
+        _RUNS[key] = run
+    return _RUNS[key]
+
+
+# by delivery: the watermark before it (in ms); by event: its window's start s (in seconds), and whether that had closed
+ARRIVED = f"""WITH a AS (SELECT *, least({DELIVERIES - 1}, event_id * {DELIVERIES} // (SELECT max(event_id) + 1 FROM events) + CASE WHEN event_id % 10 = 3 THEN 2 ELSE 0 END) AS k FROM events),
+m AS (SELECT g.k, max(epoch_ms(a.ts)) - 300000 AS mark FROM (SELECT unnest(range({DELIVERIES} + 1)) AS k) g LEFT JOIN a ON a.k < g.k GROUP BY g.k),
+e AS (SELECT a.*, (floor(epoch(ts) / {WINDOW}) * {WINDOW})::BIGINT AS s FROM a),
+w AS (SELECT e.*, to_timestamp(s)::TIMESTAMP AS start, coalesce(mark >= (s + {WINDOW}) * 1000, false) AS late FROM e JOIN m USING (k)),
+o AS (SELECT s, start, count(*) AS n, sum(value) AS total FROM w WHERE NOT late GROUP BY s, start),
+c AS (SELECT o.*, (SELECT min(k) FROM m WHERE mark >= (s + {WINDOW}) * 1000) AS closed FROM o)
+"""
+
+
+@query(ARRIVED + "SELECT start, n, n >= 300 AS passed FROM c WHERE closed IS NOT NULL")
 def window_qa(spark, sf):
-    places, _ = gated(spark, sf, lambda w: w.withColumn("passed", F.col("n") >= 300))
-    return plain(spark.read.parquet(places["gold"]).select("start", "n", "passed"))
+    return plain(delivered(spark, sf).read(spark, "gold").select("start", "n", "passed"))
 
 
-@query(f"SELECT {DAY.format(s=86400)} AS start, count(*) AS n FROM events GROUP BY 1")
+@query(ARRIVED + "SELECT start, n, total, closed IS NULL AS open FROM c")
 def stream_gold_sink(spark, sf):
-    places, _ = gated(spark, sf, lambda w: w)
-    return plain(spark.read.parquet(places["gold"]).select("start", "n"))
+    run = delivered(spark, sf)
+    gold = run.read(spark, "gold").select("start", "n", "total", F.lit(False).alias("open"))
+    return plain(gold.unionByName(run.open(spark).select("start", "n", "total", F.lit(True).alias("open"))))
 
 
-@query("SELECT event_id, 'gate failed' AS error FROM events")
-def stream_dlq(spark, sf):
-    def failing(w):
-        raise ValueError("gate failed")
+@query(ARRIVED + "SELECT event_id, start FROM w WHERE late")
+def watermark_late(spark, sf):
+    return plain(delivered(spark, sf).read(spark, "late").select("event_id", "start"))
 
-    places, _ = gated(spark, sf, failing)
-    return spark.read.parquet(places["dead"]).select("event_id", "error")
+
+@query(ARRIVED + "SELECT start, count(*) AS n, sum(value) AS total FROM w WHERE late GROUP BY start")
+def late_drop_count(spark, sf):
+    return plain(delivered(spark, sf).corrections(spark))
 
 
-@query("SELECT count(*) AS rows FROM events")
+@query(ARRIVED + "SELECT (SELECT count(*) FROM w) AS rows, (SELECT count(*) FROM w WHERE late) AS late, (SELECT count(*) FROM c WHERE closed IS NOT NULL) AS windows")
 def stream_stats(spark, sf):
-    _, q = gated(spark, sf, lambda w: w)
-    return spark.createDataFrame([(S.stats_of(q)["rows"],)], "rows long")
+    found = delivered(spark, sf).totals(spark)
+    return spark.createDataFrame([(found["rows"], found["late"], found["windows"])], "rows long, late long, windows long")
 
 
-@query(f"WITH w AS (SELECT {DAY.format(s=86400)} AS start, avg(value) AS mean FROM events GROUP BY 1), g AS (SELECT avg(mean) AS m, stddev_samp(mean) AS s FROM w) SELECT start, mean, (mean - m) / s AS z FROM w, g WHERE abs((mean - m) / s) > 2")
+@query(ARRIVED + """, g AS (SELECT c.start, c.total / c.n AS mean, avg(b.total / b.n) AS m, stddev_samp(b.total / b.n) AS d FROM c JOIN c b ON b.closed < c.closed GROUP BY c.start, c.total, c.n)
+SELECT start, mean, (mean - m) / d AS z FROM g WHERE abs((mean - m) / d) > 2""")
 def stream_drift_alerts(spark, sf):
-    return plain(S.drift_alerts(S.tumbling(events(spark, sf), "ts", 86400, mean=F.avg("value")), "mean").select("start", "mean", "z"))
+    return plain(delivered(spark, sf).read(spark, "alerts").select("start", F.col("watched").alias("mean"), "z"))

@@ -1,13 +1,10 @@
-"""Event-time windows for batch tables and streams, late-event routing and gated window sinks."""
+"""Event-time windows for batch tables and streams; closed windows of a stream are in ``closed``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.functions.columns import agg_row
 
@@ -96,52 +93,6 @@ def deduplicated(stream: DataFrame, key: str, ts: str, delay: str = "5 minutes")
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def gated_sink(stream: DataFrame, ts: str, seconds: int, gate: Callable[[DataFrame], DataFrame], gold: str, dead: str, late: str, checkpoint: str, delay: int = 300, max_errors: int = 10) -> StreamingQuery:
-    """Each micro-batch is windowed, gated and written: passing windows to ``gold``, failing batches to ``dead``, events behind
-    the watermark to ``late`` as corrections that never overwrite.
-
-    The watermark (latest event time of earlier batches - ``delay``) is the maximum recorded in ``gold``'s side table
-    ``<gold>_watermark``, so that a restart goes on where it stopped.  ``max_errors`` failing batches in a row stop the query.
-    """
-    errors = {"row": 0}
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        at = F.col(ts).cast("timestamp")
-        batch = batch.persist()
-        try:
-            marks = spark.read.schema("epoch long, mark timestamp").parquet(f"{gold}_watermark").where(F.col("epoch") < epoch) if epoch else None
-            mark = marks.agg(F.max("mark")).first()[0] if marks is not None else None
-            behind = (at < F.lit(mark) - F.expr(f"interval {delay} seconds")) if mark else F.lit(False)
-            stamp = F.lit(epoch).alias("epoch")
-            batch.where(behind).select("*", stamp).write.mode("append").parquet(late)
-            windows = gate(tumbling(batch.where(~behind), ts, seconds)).select("*", stamp)
-            windows.write.mode("append").parquet(gold)
-            batch.agg(F.max(at).alias("mark")).select(stamp, "mark").write.mode("append").parquet(f"{gold}_watermark")
-            errors["row"] = 0
-        except Exception as e:
-            errors["row"] += 1
-            if errors["row"] >= max_errors:
-                raise
-            batch.select("*", F.lit(epoch).alias("epoch"), F.lit(str(e)[:500]).alias("error")).write.mode("append").parquet(dead)
-        finally:
-            batch.unpersist()
-
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def stats_of(query: StreamingQuery) -> dict[str, int]:
-    """rows read, batches run and rows dropped behind the watermark, from a query's progress reports."""
-    seen = query.recentProgress
-    return {"rows": sum(p["numInputRows"] for p in seen), "batches": len(seen), "dropped": sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in seen for s in p["stateOperators"])}
-
-
-def drift_alerts(windows: DataFrame, column: str, limit: float = 2.0) -> DataFrame:
-    """Windows whose ``column`` lies over ``limit`` deviations off the mean of all."""
-    g = agg_row(windows, {"m": F.avg(column), "s": F.stddev_samp(column)})
-    return windows.withColumn("z", (F.col(column) - g["m"]) / g["s"]).where(F.abs("z") > limit)
-
-
 def run_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Drive a bounded stream to its end into a memory table (tests and small results only)."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
