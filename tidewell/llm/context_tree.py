@@ -28,8 +28,8 @@ DEPTH = 6
 UPPER = 4
 #: Texts are dealt to blocks of about this many bytes (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 26
-#: Positions, and distinct grams, handled at once.
-PIECE = 1 << 22
+#: Bytes of text, and grams, handled at once.
+PIECE = 1 << 21
 END = b"\n"
 PAD = END * DEPTH
 LN2 = float(np.log(2))
@@ -113,6 +113,17 @@ def _runs(blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(blocks[a]), int(a), int(b)
 
 
+def _parts(batch) -> Iterator[tuple[int, int, int]]:
+    """(block, first row, last row + 1) of a batch's rows: of one block, and of about PIECE bytes of text or one longer text."""
+    import pyarrow.compute as pc
+
+    blocks = batch.column("block").to_numpy()
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+    first = np.flatnonzero((np.diff(blocks, prepend=-1) != 0) | (np.diff(sizes, prepend=-1) != 0))
+    for a, b in zip(first, [*first[1:], len(blocks)]):
+        yield int(blocks[a]), int(a), int(b)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """The array's bytes by place value, compressed."""
     import pyarrow as pa
@@ -184,7 +195,7 @@ def _gather(batches: Iterable, bounds: np.ndarray):
 
     for batch in batches:
         kept_out = np.array(batch.column("held_out").to_pylist(), bool)
-        for own, a, b in _runs(batch.column("block").to_numpy()):
+        for own, a, b in _parts(batch):
             if own != block:
                 yield from close()
                 block = own
@@ -198,7 +209,7 @@ def _gather(batches: Iterable, bounds: np.ndarray):
                     grams.append((keys, n * (not held)))
                     if sum(len(x) for x, _ in grams) > 2 * PIECE:
                         grams = [tally(np.concatenate([x for x, _ in grams]), np.concatenate([x for _, x in grams]))]
-                if len(grams) == 1 and len(grams[0][0]) > PIECE or len(words) + len(others) > PIECE:
+                if len(grams) == 1 and len(grams[0][0]) > PIECE or len(words) + len(others) > PIECE // 4:
                     yield from close()  # the block goes on in another piece
     yield from close()
 
@@ -373,8 +384,8 @@ class Lookup:
     """Values by 64-bit key in a numpy hash table with linear probing; every key that is asked for must be there."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, ~np.uint64(0)), np.zeros(1 << self.bits)
+        self.bits = max(4, (len(keys) + len(keys) // 4).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, ~np.uint64(0)), np.zeros(1 << self.bits, values.dtype)
         self.mask = (1 << self.bits) - 1
         slot = self.slot(keys)
         while len(keys):
@@ -402,23 +413,23 @@ def _score(batches: Iterable, gathered: str, answered: str, words: str, total: i
     block, logs, known = None, None, {}
     below = float(np.log10(total + distinct + 1))
     for batch in batches:
-        blocks = batch.column("block").to_numpy()
         out = []
-        for own, a, b in _runs(blocks):
+        for own, a, b in _parts(batch):
             if own != block:
                 block, logs, known = own, None, {}
                 answers = {(r["piece"], r["bucket"]): r["logs"] for r in read_part(answered, "block", own).to_pylist()}
                 asked = read_part(gathered, "block", own).select(["piece", "bucket", "size", "grams"]).drop_null().to_pylist()
                 keys = np.concatenate([unsqueeze_keys(r["grams"], r["size"]) for r in asked])
                 values = np.concatenate([unsqueeze(answers[r["piece"], r["bucket"]], r["size"], np.float32) for r in asked])
-                logs = Lookup(keys, values.astype(np.float64))
+                logs = Lookup(keys, values)
+                del answers, asked, keys, values
                 if (got := read_part(words, "block", own)) is not None:
                     known = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist()))
                 ends = known.pop(END, 0)
             texts = [words_of(t) for t in byte_list(batch.column("text").slice(a, b - a))]
             score = np.zeros(len(texts))
             for own_texts, keys, starts in pieces(texts):
-                score[own_texts] += np.add.reduceat(logs(keys), starts)
+                score[own_texts] += np.add.reduceat(logs(keys), starts, dtype=np.float64)
             for i, ws in enumerate(texts):
                 c = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
                 n = len(ws) + 1
