@@ -422,20 +422,6 @@ def test_http_poll(spark, service):
 # --- streaming -----------------------------------------------------------------------------------------------------------
 
 
-def test_late_events_are_corrections(spark, tmp_path):
-    schema = "id long, ts timestamp, v double"
-    base = tmp_path / "in"
-    for k, stamps in enumerate([["2024-01-01 00:00:10", "2024-01-01 01:00:00"], ["2024-01-01 00:00:20", "2024-01-01 01:01:00"]]):
-        df = spark.createDataFrame([(k * 10 + i, s, 1.0) for i, s in enumerate(stamps)], "id long, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
-        df.coalesce(1).write.parquet(f"{base}/{k}")
-    places = {k: str(tmp_path / k) for k in ("gold", "dead", "late", "checkpoint")}
-    stream = windows.stream_files(spark, f"{base}/*", schema, per_trigger=1)
-    windows.gated_sink(stream, "ts", 60, lambda w: w, **places).awaitTermination()
-    late = rows(spark.read.parquet(places["late"]))
-    assert len(late) == 1 and late[0]["epoch"] == 1
-    assert spark.read.parquet(places["gold"]).agg(F.sum("n")).first()[0] == 3
-
-
 def test_json_decoding_sets_bad_rows_apart(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("{broken",)], "value string")
     got = rows(windows.decode_json(df, "value", "a INT"))

@@ -7,6 +7,7 @@ row order take ``order`` (and ``by``) explicitly.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import Window as W
 
 from tidewell.functions.columns import FALSE_WORDS, NULL_STRINGS, NUMERIC_SENTINELS, STRING_SENTINELS, TRUE_WORDS, agg_row, any_of, numeric_columns, share, string_columns, value
 from tidewell.functions.quantiles import quantiles
+from tidewell.operators.halo import as_number, split
 from tidewell.operators.neighbours import nearest
-from tidewell.operators.ordering import by_ranges, range_cuts
 
 
 def normalise_column_names(df: DataFrame) -> DataFrame:
@@ -241,35 +242,37 @@ def impute_tiered(df: DataFrame, order: list[str] | None = None, by: list[str] |
     return impute_simple(df, {c: "median" if c in numeric else "mode" for c in mid}) if mid else df
 
 
-def impute_ffill_bfill(df: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
+def impute_ffill_bfill(df: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Last value before a row, else the first one after it, within ``by``.
 
-    Without ``by`` the whole table is one series, dealt out by ranges of its first order column (a number, date or time): a
-    range's first and last values are carried over to the other ranges, so no task sees more than a range.
+    Large keys (or the whole table, without ``by``) are split by ranges of the first order column: a range's first and last values
+    are carried over to the key's other ranges, so no task sees more than a range.  A whole table needs a number, date or time
+    there.
     """
-    own, given, names = {c: value(df, c) for c in columns}, list(order), df.columns
-    if not by:
-        kind = dict(df.dtypes)[order[0]]
-        at = F.col(order[0]).cast("timestamp").cast("double") if kind.startswith(("date", "timestamp")) else F.col(order[0]).cast("double")
-        if not kind.startswith(("date", "timestamp", "decimal")) and kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-            raise ValueError(f"{order[0]} is {kind}: give by, or a number, date or time as the first of order")
-        df = df.withColumn("_at", at)
-        df = by_ranges(df, "_at", range_cuts(df, ["_at"])["_at"]).withColumn("_p", F.when(F.col("_at").isNull(), -1).otherwise(F.col("_p")))
-        # one row a range
-        place = F.struct(*given)
-        ends = df.groupBy("_p").agg(*[f(own[c], F.when(own[c].isNotNull(), place)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("_first", F.min_by), ("_last", F.max_by))])
-        past, later = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1), W.orderBy("_p").rowsBetween(1, W.unboundedFollowing)
-        carried = ends.select("_p", *[F.last(f"_last{i}", ignorenulls=True).over(past).alias(f"_from{i}") for i in range(len(columns))], *[F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_next{i}") for i in range(len(columns))])
-        df = df.join(F.broadcast(carried), "_p")
-    w = W.partitionBy(*(by or ["_p"])).orderBy(*given)
+    own, names, keys = {c: value(df, c) for c in columns}, df.columns, list(by or [])
+    if not keys and as_number(df, order[0]) is None:
+        raise ValueError(f"{order[0]} is {dict(df.dtypes)[order[0]]}: give by, or a number, date or time as the first of order")
+    if not keys and ranges is None:
+        ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts, cuts = split(df, order[0], keys, ranges)
+    edges = [[], []]
+    if cuts:
+        place = F.struct(*order)
+        ends = parts.groupBy(*keys, "_p").agg(*[f(own[c], F.when(own[c].isNotNull(), place)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("_first", F.min_by), ("_last", F.max_by))])
+        w = W.partitionBy(*keys).orderBy("_p")  # one row a range
+        past, later = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+        carried = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), *[F.last(f"_last{i}", ignorenulls=True).over(past).alias(f"_from{i}") for i in range(len(columns))], *[F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_next{i}") for i in range(len(columns))])
+        same = reduce(lambda a, i: a & F.col(keys[i]).eqNullSafe(F.col(f"_k{i}")), range(len(keys)), F.col("_p") == F.col("_q"))
+        parts = parts.join(carried if keys else F.broadcast(carried), same)
+        edges = [[F.col(f"_from{i}") for i in range(len(columns))], [F.col(f"_next{i}") for i in range(len(columns))]]
+    w = W.partitionBy(*keys, "_p").orderBy(*order)
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    extra = lambda i: [] if by else [F.col(f"_from{i}"), F.col(f"_next{i}")]
 
     def fill(i: int, c: str) -> Column:
         last, following = F.last(own[c], ignorenulls=True).over(back), F.first(own[c], ignorenulls=True).over(ahead)
-        return F.coalesce(last, *extra(i)[:1], following, *extra(i)[1:])
+        return F.coalesce(last, *edges[0][i : i + 1], following, *edges[1][i : i + 1])
 
-    return df.withColumns({c: fill(i, c) for i, c in enumerate(columns)}).select(*names)
+    return parts.withColumns({c: fill(i, c) for i, c in enumerate(columns)}).select(*names)
 
 
 def add_null_indicators(df: DataFrame, columns: list[str] | None = None, min_rate: float = 0.0, suffix: str = "_was_null") -> DataFrame:

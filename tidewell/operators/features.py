@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tidewell.functions.columns import agg_row, corr, numeric_columns, value
 from tidewell.functions.quantiles import quantiles
 from tidewell.functions.stages import evenly, stash
+from tidewell.operators.halo import over_rows_before
 from tidewell.operators.neighbours import nearest
 
 #: An encoding table with at most this many rows is broadcast; a larger one is joined by shuffle.
@@ -24,16 +25,17 @@ def lookup(df: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(codes) if small else codes, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
-def lag_features(df: DataFrame, column: str, lags: list[int], order: list[str], by: list[str] | None = None) -> DataFrame:
-    w = W.partitionBy(*(by or [])).orderBy(*order)
-    return df.withColumns({f"{column}_lag{k}": F.lag(column, k).over(w) for k in lags})
+def lag_features(df: DataFrame, column: str, lags: list[int], order: list[str], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Values of the rows ``lags`` before; large keys, or the table without ``by``, are split by ranges of the first order column."""
+    make = lambda w: {f"{column}_lag{k}": F.lag(column, k).over(w) for k in lags}
+    return over_rows_before(df, order, by or [], [column], max(lags), make, ranges)
 
 
-def rolling_features(df: DataFrame, column: str, window: int, stats: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Statistics of the last ``window`` rows, fewer at the start."""
-    w = W.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(window - 1), 0)
-    make = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return df.withColumns({f"{column}_roll{window}_{s}": make[s](column).over(w) for s in stats})
+def rolling_features(df: DataFrame, column: str, window: int, stats: list[str], order: list[str], by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
+    """Statistics of the last ``window`` rows, fewer at the start; large keys are split as in :func:`lag_features`."""
+    functions = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    make = lambda w: {f"{column}_roll{window}_{s}": functions[s](column).over(w.rowsBetween(-(window - 1), 0)) for s in stats}
+    return over_rows_before(df, order, by or [], [column], window - 1, make, ranges)
 
 
 def calendar_features(df: DataFrame, column: str) -> DataFrame:

@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.functions.columns import agg_row
+from tidewell.functions.ranges import by_ranges, range_cuts
+from tidewell.operators.halo import over_rows_before, over_seconds_before, running_sum
 
 
-def percent_change(df: DataFrame, column: str, order: list[str], by: list[str]) -> DataFrame:
-    before = F.lag(column).over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn(f"{column}_pct_change", F.try_divide(F.col(column) - before, before))
+def percent_change(df: DataFrame, column: str, order: list[str], by: list[str], ranges: int | None = None) -> DataFrame:
+    """Adds the change against the row before, as a share of it.  Here and below ``ranges`` asks for a split of keys into so many
+    ranges; without it large keys are split (see ``halo``)."""
+    def make(w):
+        before = F.lag(column).over(w)
+        return {f"{column}_pct_change": F.try_divide(F.col(column) - before, before)}
 
-
-def windowed_aggregation(df: DataFrame, column: str, ts: str, seconds: int, by: list[str]) -> DataFrame:
-    """Mean and count over the rows of the last ``seconds`` up to each row's time."""
-    at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(*by).orderBy(at).rangeBetween(-seconds, 0)
-    return df.withColumns({f"{column}_mean": F.avg(column).over(w), f"{column}_n": F.count(column).over(w)})
-
-
-def range_cuts(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """For each numeric column about as many cuts as there are shuffle partitions, from one pass."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)] or [F.lit(0.5)])
-    got = agg_row(df, {c: F.percentile_approx(F.col(c).cast("double"), shares, F.lit(max(1000, 2 * parts))) for c in columns})
-    return {c: sorted({x for x in got[c] or [] if math.isfinite(x)}) for c in columns}
+    return over_rows_before(df, order, by, [column], 1, make, ranges)
 
 
-def by_ranges(df: DataFrame, column: str, cuts: list[float], name: str = "_p") -> DataFrame:
-    """Adds ``name``: the number of the range between ``cuts`` that holds a value, found by binary search; NaN comes last."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    found = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(df.withColumn("_v", F.col(column).cast("double")))
-    return found.withColumn(name, F.col("_b").cast("int")).drop("_v", "_b")
+def windowed_aggregation(df: DataFrame, column: str, ts: str, seconds: int, by: list[str], ranges: int | None = None) -> DataFrame:
+    """Mean and count over the rows of the last ``seconds`` up to each row's time."""
+    return over_seconds_before(df, ts, seconds, by, lambda w: {f"{column}_mean": F.avg(column).over(w), f"{column}_n": F.count(column).over(w)}, ranges)
 
 
 def dense_ranks(df: DataFrame, column: str, cuts: list[float], name: str = "rank") -> DataFrame:
@@ -91,20 +77,24 @@ def percent_rank_values(df: DataFrame, column: str) -> DataFrame:
     return rank_average(df, column, "_r").withColumn(f"{column}_pct_rank", F.col("_r") / n).drop("_r")
 
 
-def interarrival_stats(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
-    gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(W.partitionBy(*by).orderBy(ts))
-    gaps = df.select(*by, gap.alias("gap")).where("gap IS NOT NULL")
+def gaps_before(df: DataFrame, ts: str, by: list[str], ranges: int | None = None) -> DataFrame:
+    """Adds gap: seconds since the row before within ``by``; null for the first one."""
+    at = F.col(ts).cast("timestamp").cast("double")
+    return over_rows_before(df, [ts], by, [], 1, lambda w: {"gap": at - F.lag(at).over(w)}, ranges)
+
+
+def interarrival_stats(df: DataFrame, ts: str, by: list[str], ranges: int | None = None) -> DataFrame:
+    gaps = gaps_before(df.select(*by, ts), ts, by, ranges).select(*by, "gap").where("gap IS NOT NULL")
     middles = group_medians(gaps, "gap", by).toDF(*[f"_m{i}" for i in range(len(by))], "median_gap")
     same = reduce(lambda a, i: a & F.col(by[i]).eqNullSafe(F.col(f"_m{i}")), range(len(by)), F.lit(True))
     return gaps.groupBy(*by).agg(F.count("*").alias("n"), F.max("gap").alias("max_gap")).join(middles, same).select(*by, "n", "median_gap", "max_gap")
 
 
-def session_breaks(df: DataFrame, ts: str, by: list[str], gap: int) -> DataFrame:
+def session_breaks(df: DataFrame, ts: str, by: list[str], gap: int, ranges: int | None = None) -> DataFrame:
     """Adds session: a new one starts where more than ``gap`` seconds have passed within ``by``."""
-    w = W.partitionBy(*by).orderBy(ts)
     at = F.col(ts).cast("timestamp").cast("double")
-    new = F.coalesce((at - F.lag(at).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    out = over_rows_before(df, [ts], by, [], 1, lambda w: {"_new": F.coalesce((at - F.lag(at).over(w) > gap).cast("int"), F.lit(0)).cast("long")}, ranges)
+    return running_sum(out, "_new", [ts], by, "session", ranges).drop("_new")
 
 
 def cumulative_share(df: DataFrame, column: str, order: list[str], by: list[str]) -> DataFrame:
@@ -113,8 +103,9 @@ def cumulative_share(df: DataFrame, column: str, order: list[str], by: list[str]
     return df.withColumn(f"{column}_share", upto / F.sum(column).over(w))
 
 
-def row_bucketing(df: DataFrame, size: int, order: list[str], by: list[str]) -> DataFrame:
-    return df.withColumn("bucket", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / size).cast("int"))
+def row_bucketing(df: DataFrame, size: int, order: list[str], by: list[str], ranges: int | None = None) -> DataFrame:
+    out = running_sum(df.withColumn("_one", F.lit(1).cast("long")), "_one", order, by, "_n", ranges)
+    return out.withColumn("bucket", F.floor((F.col("_n") - 1) / size).cast("int")).drop("_one", "_n")
 
 
 def topk_rows(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:

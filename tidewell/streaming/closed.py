@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-TOTALS = "high timestamp, rows long, late long, windows long, failed long, errors long, seen long, mean double, m2 double"
+TOTALS = "high timestamp, closing timestamp, rows long, late long, windows long, failed long, errors long, seen long, mean double, m2 double"
 #: Functions whose state is one mergeable value, so that open windows can be read from the state as they stand.
 MERGEABLE = {"sum": lambda c: F.sum(F.col(c).cast("double")), "min": F.min, "max": F.max}
 
@@ -66,7 +66,7 @@ class ClosedWindows:
             found = spark.read.parquet(f"{self.base}/totals").orderBy(F.col("epoch").desc()).first()
         else:
             found = spark.read.schema(TOTALS).parquet(f"{self.base}/totals/epoch={epoch}").first() if epoch >= 0 else None
-        return found.asDict() if found else {"high": None, "rows": 0, "late": 0, "windows": 0, "failed": 0, "errors": 0, "seen": 0, "mean": 0.0, "m2": 0.0}
+        return found.asDict() if found else {"high": None, "closing": None, "rows": 0, "late": 0, "windows": 0, "failed": 0, "errors": 0, "seen": 0, "mean": 0.0, "m2": 0.0}
 
     def _write(self, df: DataFrame, kind: str, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.base}/{kind}/epoch={epoch}")
@@ -77,12 +77,15 @@ class ClosedWindows:
         try:
             closed = batch.where("closed IS NOT NULL").select("closed.*")
             rows = batch.where("row IS NOT NULL").select("row.*")
-            # the engine's watermark of this batch: the highest time of earlier ones, in ms, less the delay
+            # windows closed at the end of the batch before, whose watermark was the highest time of the batches before that (in ms)
+            # less the delay; with single stateful operators only, the engine drops rows by this batch's own watermark
+            multiple = batch.sparkSession.conf.get("spark.sql.streaming.statefulOperator.allowMultiple", "true") == "true"
+            high = before["closing"] if multiple else before["high"]
             start = F.window(self.ts, f"{self.seconds} seconds")["start"]
             late = rows.withColumn("start", start)
             dropped = F.col(self.ts).isNull()
-            if before["high"] is not None:
-                mark = F.timestamp_millis(F.unix_millis(F.lit(before["high"])) - self.delay * 1000)
+            if high is not None:
+                mark = F.timestamp_millis(F.unix_millis(F.lit(high)) - self.delay * 1000)
                 dropped = dropped | (F.col("start") + F.expr(f"INTERVAL {self.seconds} SECONDS") <= mark)
             late = late.where(dropped)
             after = before | {"errors": 0}
@@ -98,7 +101,7 @@ class ClosedWindows:
                 after |= self._alert(closed, before, epoch)
             seen = rows.agg(F.count("*").alias("n"), F.max(self.ts).alias("high")).first()
             highs = [x for x in (before["high"], seen["high"]) if x is not None]
-            after |= {"rows": before["rows"] + seen["n"], "late": before["late"] + late.count(), "windows": before["windows"] + closed.count(), "high": max(highs, default=None)}
+            after |= {"rows": before["rows"] + seen["n"], "late": before["late"] + late.count(), "windows": before["windows"] + closed.count(), "high": max(highs, default=None), "closing": before["high"]}
             own = batch.sparkSession.createDataFrame([tuple(after[k.split()[0]] for k in TOTALS.split(", "))], TOTALS)
             self._write(own, "totals", epoch)
         finally:

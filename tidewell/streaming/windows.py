@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidewell.functions.columns import agg_row
 
@@ -39,28 +38,30 @@ def rows_in_sliding(df: DataFrame, ts: str, seconds: int, step: int) -> DataFram
     return df.withColumn("_w", F.explode(F.transform(F.sequence(F.lit(0), F.lit(-(-seconds // step) - 1)), lambda i: F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / step) * step - i * step))).where(F.unix_seconds(F.col(ts).cast("timestamp")) < F.col("_w") + seconds).withColumn("start", F.timestamp_seconds("_w")).drop("_w")
 
 
-def session(df: DataFrame, ts: str, gap: int = 300, by: list[str] = (), **aggs: Column) -> DataFrame:
-    """Sessions that end at their last event; an event exactly ``gap`` seconds later still belongs."""
-    out = df.groupBy(F.session_window(ts, f"{gap} seconds").alias("w"), *by).agg(F.max(ts).alias("end"), F.count("*").alias("n"), *[c.alias(k) for k, c in aggs.items()])
-    return out.select(F.col("w.start").alias("start"), "end", *by, "n", *aggs)
+def session(df: DataFrame, ts: str, gap: int = 300, by: list[str] = (), ranges: int | None = None, **aggs: Column) -> DataFrame:
+    """Sessions that end at their last event; an event exactly ``gap`` seconds later still belongs.
 
+    Those of a batch table are numbered by breaks, with large keys split into ranges, and then summed; a stream keeps them in state.
+    """
+    own = [F.max(ts).alias("end"), F.count("*").alias("n"), *[c.alias(k) for k, c in aggs.items()]]
+    if df.isStreaming:
+        out = df.groupBy(F.session_window(ts, f"{gap} seconds").alias("w"), *by).agg(*own)
+        return out.select(F.col("w.start").alias("start"), "end", *by, "n", *aggs)
+    from tidewell.operators.ordering import session_breaks
 
-def advise_windows(df: DataFrame, ts: str, by: list[str]) -> DataFrame:
+    found = session_breaks(df.where(F.col(ts).isNotNull()), ts, list(by), gap, ranges)
+    return found.groupBy("session", *by).agg(F.min(ts).alias("start"), *own).select("start", "end", *by, "n", *aggs)
+
+
+def advise_windows(df: DataFrame, ts: str, by: list[str], ranges: int | None = None) -> DataFrame:
     """median gap by ``by`` and the windows it suggests: tumbling 5x, sliding 2x, watermark 3x tumbling, clamped."""
     from tidewell.operators.ordering import interarrival_stats
 
     gap = F.when(F.col("median_gap") > 0, F.col("median_gap")).otherwise(60.0)
-    out = interarrival_stats(df, ts, by).withColumn("tumbling", F.greatest(F.lit(10.0), F.least(gap * 5, F.lit(3600.0))).cast("int"))
+    out = interarrival_stats(df, ts, by, ranges).withColumn("tumbling", F.greatest(F.lit(10.0), F.least(gap * 5, F.lit(3600.0))).cast("int"))
     return out.select(*by, "median_gap", "tumbling", F.greatest(F.lit(5.0), F.least(gap * 2, F.col("tumbling"))).cast("int").alias("sliding"), (F.col("tumbling") * 3).alias("watermark"))
 
 
-def mark_late(df: DataFrame, ts: str, arrival: list[str], by: list[str], delay: int = 300) -> DataFrame:
-    """A landed batch with is_late: events behind the running watermark (latest event so far - ``delay``) of their key."""
-    w = W.partitionBy(*by).orderBy(*arrival).rowsBetween(W.unboundedPreceding, -1)
-    at = F.col(ts).cast("timestamp").cast("double")
-    return df.withColumn("is_late", F.coalesce(at < F.max(at).over(w) - delay, F.lit(False)))
-
-
 def stream_files(spark, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(schema)
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
