@@ -46,11 +46,15 @@ def words_of(text: bytes) -> list[bytes]:
 
 def gram_keys(stream: np.ndarray) -> np.ndarray:
     """The key of each position from DEPTH on: the byte before highest, then the one before that, and the symbol lowest."""
-    n, keys = len(stream) - DEPTH, None
-    for back in range(1, DEPTH + 1):
-        part = stream[DEPTH - back : DEPTH - back + n].astype(np.uint64)
-        keys = part if keys is None else keys << np.uint64(8) | part
-    return keys << np.uint64(8) | stream[DEPTH:]
+    n, wide = len(stream) - DEPTH, 8 * DEPTH
+    # the DEPTH + 1 bytes up to each position as one little-endian number: the symbol is highest in it
+    padded = np.concatenate([stream, np.zeros(8, np.uint8)])
+    keys = np.ndarray(n, "<u8", padded.data, strides=(1,)).astype(np.uint64)
+    symbols = stream[DEPTH:]
+    keys &= np.uint64((1 << wide) - 1)
+    keys <<= np.uint64(8)
+    keys |= symbols
+    return keys
 
 
 def pieces(words: list[list[bytes]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -381,30 +385,54 @@ def block_logs(found: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Values by 64-bit key in a numpy hash table with linear probing; every key that is asked for must be there."""
+    """float32 values by 64-bit key in a numpy hash table with linear probing, for keys that are all in the table.
+
+    A slot is one number: 32 bits of the key's hash and the value.  Two keys might share those bits where one passes the other's
+    slot; as only keys of the table are asked for, looking all of them up once shows that, and another hash is taken.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (len(keys) + len(keys) // 4).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, ~np.uint64(0)), np.zeros(1 << self.bits, values.dtype)
-        self.mask = (1 << self.bits) - 1
-        slot = self.slot(keys)
-        while len(keys):
-            free = self.keys[slot] == ~np.uint64(0)
-            self.keys[slot[free]] = keys[free]
-            here = self.keys[slot] == keys
-            self.values[slot[here]] = values[here]
-            keys, values, slot = keys[~here], values[~here], (slot[~here] + 1) & self.mask
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.mask, self.factor = (1 << self.bits) - 1, 0x9E3779B97F4A7C15
+        codes = values.astype(np.float32).view(np.uint32)
+        while True:
+            self.slots = np.zeros(1 << self.bits, np.uint64)  # no value is +0, so 0 is an empty slot
+            self._fill(keys, codes)
+            if np.array_equal(self(keys).view(np.uint32), codes):
+                return
+            self.factor = self.factor * 6364136223846793005 + 2 & (1 << 64) - 1 | 1
+
+    def _hash(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot, and 32 further bits of the hash in the upper half."""
+        h = keys * np.uint64(self.factor)
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        h <<= np.uint64(self.bits)
+        h &= np.uint64(0xFFFFFFFF00000000)
+        return slot, h
+
+    def _fill(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        slot, mark = self._hash(keys)
+        full = mark | codes
+        while len(slot):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = full[free]
+            rest = self.slots[slot] != full
+            full, slot = full[rest], (slot[rest] + 1) & self.mask
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self.slot(keys)
-        rest = np.flatnonzero(self.keys[slot] != keys)
-        while len(rest):
-            slot[rest] = (slot[rest] + 1) & self.mask
-            rest = rest[self.keys[slot[rest]] != keys[rest]]
-        return self.values[slot]
+        slot, mark = self._hash(keys)
+        found = self.slots[slot]
+        mark ^= found
+        rest = np.flatnonzero(mark >> np.uint64(32))
+        if len(rest):
+            want, at = mark[rest] ^ found[rest], slot[rest]
+            while len(rest):
+                at = (at + 1) & self.mask
+                got = self.slots[at]
+                hit = (got ^ want) >> np.uint64(32) == 0
+                found[rest[hit]] = got[hit]
+                rest, at, want = rest[~hit], at[~hit], want[~hit]
+        return (found & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.float32)
 
 
 def _score(batches: Iterable, gathered: str, answered: str, words: str, total: int, distinct: int, keep: list[str]):
