@@ -570,3 +570,44 @@ def test_packed_output(name, request):
 
 def test_packed_empty(no_docs):
     assert packed_ids.read_packed(packed_ids.write_packed(no_docs, queries.WORD_TOKENIZER, 1)).count() == 0
+
+
+def test_decontamination_of_a_very_long_text_takes_linear_time(spark):
+    import time
+
+    n = 1_000_000
+    text = " ".join(f"u{i % 9973}v{i}" for i in range(n))
+    passage = " ".join(f"bench{i}" for i in range(30))
+    words = text.split(" ")
+    words[n - 5 : n - 5] = passage.split(" ")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, passage + " " + passage), (3, "a short one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage), (8, "short one")], "item_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, ["doc_id"]).collect()}
+    kept = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
+    assert time.time() - began < 60
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) for i in (1, 2, 3)] == [(n + 30, 30, ["7"]), (60, 60, ["7"]), (3, 2, ["8"])]
+    assert kept == {1: text, 2: "", 3: "a"}
+
+
+def test_decontamination_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCH", 7)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(0, 120, 40)]
+    items = [" ".join(rng.choice(list("abcd"), int(n))) for n in (1, 3, 4, 5, 5, 12)][1:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for size in (4, 5):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, bench, ["doc_id"], size).collect()}
+        cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench, size).collect()}
+        for i, text in enumerate(texts):
+            w, hit, found = text.split(), set(), set()
+            for k, item in enumerate(items):
+                b = item.split()
+                n = min(size, len(b))
+                wins = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)}
+                at = [j for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in wins]
+                hit |= {j + d for j in at for d in range(n)}
+                found |= {str(k)} if at else set()
+            assert got[i] == (len(hit), sorted(found))
+            assert cut[i] == (" ".join(x for j, x in enumerate(w) if j not in hit) if hit else text)

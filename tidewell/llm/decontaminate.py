@@ -8,13 +8,15 @@ into full windows, which are compared word for word with the test windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, sheltered, stash, text_key, unsheltered
 
 #: What separates words: ASCII other than letters and digits (texts are lower-cased before).
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a text that are handled at once.
+STRETCH = 1024
 #: The test set is broadcast up to this many blocks (16 bytes each); a larger one is joined by shuffle.
 BROADCAST_BLOCKS = 4_000_000
 
@@ -31,42 +33,58 @@ def bench_windows(bench: DataFrame, size: int) -> DataFrame:
     return words.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))).alias("win")).distinct()
 
 
-def _blocks(windows: DataFrame, block: int) -> DataFrame:
-    w = F.split("win", " ")
+def _blocks(windows: DataFrame) -> DataFrame:
+    """len, b: the hashes of all blocks of the windows, of half the window's length each."""
+    w, block = F.split("win", " "), F.floor((F.col("len") + 1) / 2).cast("int")
     starts = F.sequence(F.lit(1), F.size(w) - block + 1)
-    return windows.select(F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(block))))).alias("b")).distinct()
+    return windows.select("len", F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, block)))).alias("b")).distinct()
+
+
+def _stretches(texts: DataFrame, size: int) -> DataFrame:
+    """c1, c2, at, w: the words of each text in stretches of STRETCH words and the ``size`` - 1 that follow; ``at`` is the first word."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(STRETCH))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("w", i + 1, F.lit(STRETCH + size - 1)).alias("w")))
+    return texts.select("c1", "c2", F.explode(cut).alias("s")).select("c1", "c2", "s.at", "s.w")
+
+
+def _aligned(length: int) -> Column:
+    """b, first, near of each whole block at a multiple of the block length in the stretch ``w``: its hash, and the words around it
+    (from place ``first``) that any window of ``length`` words with this block lies in."""
+    block = (length + 1) // 2
+    starts = F.when(F.size("w") >= length, F.sequence(F.lit(0), F.size("w") - block, F.lit(block))).otherwise(F.array().cast("array<int>"))
+    first = lambda i: F.greatest(i - (length - block), F.lit(0))
+    return F.transform(starts, lambda i: F.struct(F.lit(length).alias("len"), F.xxhash64(F.slice("w", i + 1, F.lit(block))).alias("b"), first(i).alias("first"), F.slice("w", first(i) + 1, i - first(i) + length).alias("near")))
 
 
 def window_hits(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """c1, c2 (text_key of a text), start, len, item: every occurrence of a test window in a distinct text of ``docs``."""
+    """c1, c2 (text_key of a text), start, len, item: every occurrence of a test window in a distinct text of ``docs``.
+
+    Texts are read once for all lengths of windows, and a block's row carries the few words around it, so the work grows with
+    the number of words, however long a text is.
+    """
     windows = stash(bench_windows(bench, size), "windows")
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # 1 .. size at most
-    texts = docs.select(*text_key(F.col("text")), "text").withColumn("w", normal_words(F.col("text"))).drop("text")
-    found = None
-    for length in lengths:
-        block = (length + 1) // 2
-        own = windows.where(F.col("len") == length)
-        blocks = _blocks(own, block)
-        if blocks.count() <= BROADCAST_BLOCKS:
-            blocks = F.broadcast(blocks)
-        aligned = F.when(F.size("w") >= length, _aligned(block))
-        hit = texts.select("c1", "c2", "w", F.posexplode_outer(aligned).alias("k", "b")).join(blocks, "b")
-        # the words around the block, so that a few words travel instead of the text
-        at = F.col("k") * block
-        first = F.greatest(at - (length - block), F.lit(0))
-        around = hit.select("c1", "c2", first.alias("first"), F.slice("w", first + 1, at - first + length).alias("near")).distinct()
-        inner = F.transform(F.sequence(F.lit(0), F.size("near") - length), lambda i: F.struct((F.col("first") + i).alias("start"), F.array_join(F.slice("near", i + 1, F.lit(length)), " ").alias("win")))
-        spans = around.where(F.size("near") >= length).select("c1", "c2", F.explode(inner).alias("s")).select("c1", "c2", "s.start", "s.win").distinct()
-        part = spans.join(own, "win").select("c1", "c2", "start", "len", "item")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = texts.where("false").select("c1", "c2", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("item"))
-    return found
-
-
-def _aligned(block: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size("w") - block + 1, F.lit(block))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(block))))
+    texts = docs.select(*text_key(F.col("text")), normal_words(F.col("text")).alias("w"))
+    if not lengths:
+        return texts.where("false").select("c1", "c2", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("item"))
+    blocks = _blocks(windows)
+    if blocks.count() <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    found = _stretches(texts, size).select("c1", "c2", "at", F.explode(F.concat(*[_aligned(n) for n in lengths])).alias("x"))
+    around = found.select("c1", "c2", (F.col("at") + F.col("x.first")).alias("first"), "x.len", "x.b", "x.near").join(blocks, ["len", "b"]).drop("b").distinct()
+    inner = F.transform(F.sequence(F.lit(0), F.size("near") - F.col("len")), lambda i: F.struct((F.col("first") + i).alias("start"), F.array_join(F.slice("near", i + 1, F.col("len")), " ").alias("win")))
+    spans = around.where(F.size("near") >= F.col("len")).select("c1", "c2", "len", F.explode(inner).alias("s")).select("c1", "c2", "len", "s.start", "s.win").distinct()
+    return spans.join(windows, ["len", "win"]).select("c1", "c2", "start", "len", "item")
+
+
+def merged_spans(hits: DataFrame) -> DataFrame:
+    """c1, c2, spans: the stretches of hit words of each text as ordered (start, end), overlapping and touching ones as one."""
+    own = hits.select("c1", "c2", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
+    w = Window.partitionBy("c1", "c2").orderBy("start", "end")  # one text's windows
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = own.groupBy("c1", "c2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def covered(spans: str) -> Column:
@@ -111,10 +129,12 @@ def remove_spans(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame
     """``docs`` (all columns, of any names) with the hit words cut out of ``text``: untouched texts stay as they are, others
     become their other normalised words joined by blanks."""
     columns, docs = docs.columns, sheltered(docs, ["text"])
-    hits = window_hits(docs, bench, size).groupBy(F.col("c1").alias("_c1"), F.col("c2").alias("_c2")).agg(F.collect_set(F.struct("start", "len")).alias("_spans"))
+    hits = stash(merged_spans(window_hits(docs, bench, size)).select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("spans").alias("_spans")), "spans")
     c1, c2 = text_key(F.col("text"))
     out = docs.join(hits, (c1 == F.col("_c1")) & (c2 == F.col("_c2")), "left").withColumn("_w", normal_words(F.col("text")))
-    inside = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["start"] + s["len"]))
-    left = F.array_join(F.filter("_w", lambda x, i: ~inside(i)), " ")
-    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left))
+    # what lies before, between and after the spans
+    end = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at("_spans", i)["end"])
+    start = lambda i: F.coalesce(F.try_element_at("_spans", i + 1)["start"], F.size("_w"))
+    between = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.slice("_w", end(i) + 1, start(i) - end(i)))
+    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), " ")))
     return unsheltered(out, columns, ["text"])
