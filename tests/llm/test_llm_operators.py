@@ -611,3 +611,23 @@ def test_decontamination_across_stretches(spark, monkeypatch):
                 found |= {str(k)} if at else set()
             assert got[i] == (len(hit), sorted(found))
             assert cut[i] == (" ".join(x for j, x in enumerate(w) if j not in hit) if hit else text)
+
+
+def test_mixing_of_twenty_thousand_sources(spark):
+    sources = 20_000
+    # one large source, some of middling size and very many of a row or three
+    many = spark.range(3 * sources).select("id", F.format_string("s%05d", F.col("id") % sources).alias("source"))
+    df = many.unionByName(spark.range(100_000, 130_000).select("id", F.format_string("big%02d", F.floor(F.pow(F.rand(4), 3) * 20)).alias("source")))
+    n = df.count()
+    got = mixing.mix(df, ["id"], block=1).toPandas().sort_values("mix_position")
+    assert len(got) == n and list(got["mix_position"]) == list(range(n))
+    sizes = df.groupBy(F.col("source").alias("src")).agg(F.count("*").alias("n"))
+    weights = {r["src"]: r["weight"] for r in mixing.target_weights(sizes).collect()}
+    period = sum(weights.values())
+    assert len(weights) == sources + 20 and period == 21 * mixing.PERIOD
+    balanced = got[got["mix_balanced"]]
+    assert len(balanced) > period
+    given = Counter()
+    for t, source in zip(balanced["mix_slot"], balanced["source"]):
+        assert abs(given[source] - t * weights[source] / period) < 1
+        given[source] += 1
