@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontaminate, langid, line_chunks, mixing, packed_ids, quality, queries, simhash, substrings, warc
+from tidewell.llm import chat, chunk_levels, decontaminate, langid, line_chunks, mixing, packed_ids, quality, queries, simhash, substrings, warc
 
 
 def rows(df):
@@ -347,21 +347,84 @@ def caught_share(cut, least):
     return caught, total
 
 
-def test_op6_removes_every_repeated_run_of_lines(spark, sf, documents):
-    once = {}
+@pytest.fixture(scope="session")
+def once(documents):
+    """(doc_id, text) of each distinct text, in order."""
+    found = {}
     for r in sorted(documents.collect(), key=lambda r: r["doc_id"]):
-        once.setdefault(r["text"] or "", r["doc_id"])
-    cut = removed_pairs([(d, t) for t, d in once.items()])
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in rows(queries.op6_line_chunks(spark, sf))}
+        found.setdefault(r["text"] or "", r["doc_id"])
+    return [(d, t) for t, d in found.items()]
+
+
+def test_pairs_remove_every_repeated_run_of_lines(spark, documents, once):
+    cut, owner = removed_pairs(once), {t: d for d, t in once}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in rows(line_chunks.dedup_lines(documents, pairs=True))}
     for doc, (lines, gone) in cut.items():
         kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         assert got[doc] == (len(lines), len(gone), hashlib.sha256(kept.encode()).hexdigest()), doc
     for r in documents.collect():
         n = len((r["text"] or "").split("\n"))
-        assert r["doc_id"] == once[r["text"] or ""] or got[r["doc_id"]][:2] == (n, n if n > 1 else 0)
+        assert r["doc_id"] == owner[r["text"] or ""] or got[r["doc_id"]][:2] == (n, n if n > 1 else 0)
+
+
+def removed_lines(lines, kept):
+    """Numbers of the lines that are not in ``kept``, a subsequence of ``lines``."""
+    gone, at = set(), 0
+    for i, x in enumerate(lines):
+        if at < len(kept) and kept[at] == x:
+            at += 1
+        else:
+            gone.add(i)
+    assert at == len(kept)
+    return gone
+
+
+def test_op6_removes_repeated_runs_of_lines(spark, sf, documents, once):
+    """Levels of chunks with growth catch at least 90 % of the lines in repeated runs, and only such lines."""
+    exact = removed_pairs(once)
+    found = {r["doc_id"]: r for r in rows(chunk_levels.dedup_chunks(documents, with_text=True))}
+    digests = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in rows(queries.op6_line_chunks(spark, sf))}
+    assert digests == {d: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for d, r in found.items()}
+    cut = {}
+    for doc, (lines, gone) in exact.items():
+        r = found[doc]
+        assert r["kept_sha256"] == hashlib.sha256(r["kept_text"].encode()).hexdigest()
+        assert r["n_removed"] <= len(gone)
+        kept = r["kept_text"].split("\n") if r["n_removed"] < len(lines) else []
+        cut[doc] = lines, removed_lines(lines, kept)
+    shares = {}
     for least in (2, 4, 6):
         caught, total = caught_share(cut, least)
-        assert caught == total and (total or least > 2)
+        shares[least] = caught / total if total else 1.0
+    print("share of repeated lines removed", shares)
+    assert min(shares.values()) >= 0.9
+
+
+def test_op6_grows_matches_and_keeps_first_places(spark):
+    rng = np.random.default_rng(8)
+    line = lambda k: f"line {k} of some words {k * 7919 % 1000}"
+    run = [line(k) for k in range(30)]
+    texts = ["\n".join([line(100), *run, line(101)]), "\n".join([*run, line(102)]), "\n".join([line(103 + i) for i in range(3)] + run[3:]), "a\na\na\na\na", "one", "one", "\n".join([line(100), *run, line(101)]), None, "", "\n"]
+    for _ in range(5):
+        texts.append("\n".join(line(int(k)) for k in rng.integers(200, 230, 40)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_text"] for r in rows(chunk_levels.dedup_chunks(docs, with_text=True))}
+    assert [got[i] for i in range(10)] == [texts[0], line(102), "\n".join(line(103 + i) for i in range(3)), "a\na", "one", "one", "", "", "", "\n"]
+    exact = removed_pairs([(i, t or "") for i, t in enumerate(texts) if i > 9])
+    for i, (lines, gone) in exact.items():
+        removed_lines(lines, got[i].split("\n"))
+        assert len(lines) - len(got[i].split("\n")) <= len(gone)
+
+
+def test_op6_forced_collisions_remove_nothing(spark, monkeypatch):
+    monkeypatch.setattr(chunk_levels, "line_hashes", lambda texts: (np.zeros(sum(t.count(b"\n") + 1 for t in texts), np.uint64), np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])]).astype(np.int64)))
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "d\ne\nf")], "doc_id long, text string")
+    assert {r["n_removed"] for r in rows(chunk_levels.dedup_chunks(docs))} == {0}
+
+
+def test_op6_odd(odd_docs, no_docs):
+    assert len(rows(chunk_levels.dedup_chunks(odd_docs, with_text=True))) == odd_docs.count()
+    assert chunk_levels.dedup_chunks(no_docs).count() == 0
 
 
 def test_line_pairs_keep_first_places(spark):

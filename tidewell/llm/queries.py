@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_tree, decontaminate, filter_audit, hard_negatives, langid, line_chunks, mixing, packed_ids, quality, simhash, substrings, warc
+from . import chat, chunk_levels, context_tree, decontaminate, filter_audit, hard_negatives, langid, mixing, packed_ids, quality, simhash, substrings, warc
 from .common import table, texts
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -43,7 +43,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.dedup_lines(table(spark, sf_dir, "documents"), pairs=True)
+    return chunk_levels.dedup_chunks(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
