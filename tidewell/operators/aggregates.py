@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions.columns import agg_row, corr, kurtosis_adjusted, long_form, numeric_columns, skewness_adjusted, value
 from tidewell.functions.quantiles import quantile_exprs, quantiles
+from tidewell.operators import sketches
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -282,5 +283,6 @@ def zscore_anomaly_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def approx_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Approximate distinct counts and quantiles for wide data."""
-    return long_form(df, {c: [F.approx_count_distinct(c), F.approx_percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000))] for c in columns}, ["approx_distinct", "quartiles"])
+    """Approximate distinct counts and quartiles for wide data, from sketches that merge with those of other tables (see
+    ``sketches``)."""
+    return sketches.profile(sketches.sketch(df, columns)).select("column", "approx_distinct", "quartiles")

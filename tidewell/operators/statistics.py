@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions import tails
 from tidewell.functions.columns import agg_row, corr, long_form, value
+from tidewell.operators import unit_roots
 from tidewell.operators.ordering import average_ranks, by_ranges, dense_ranks, group_medians, range_cuts, rank_average
 
 
@@ -436,23 +437,6 @@ def pacf(df: DataFrame, column: str, order: list[str], by: list[str], lags: int)
     return found.groupBy(*by).applyInPandas(solve, f"{kinds}, lag int, pacf double")
 
 
-def adf_test(df: DataFrame, column: str, order: list[str], by: list[str] = ()) -> DataFrame:
-    """Dickey-Fuller with a constant (no lags): stat and whether it passes the 5 % critical value."""
-    w = W.partitionBy(*by).orderBy(*order)
-    rows = df.select((F.col(column) - F.lag(column).over(w)).alias("_d"), F.lag(column).over(w).alias("_l")).na.drop("any")
-    t = next(r for r in ols(rows, "_d", ["_l"]).collect() if r["feature"] == "_l")["t"]  # two rows
-    return _row(df, "stat double, stationary boolean", t is not None, lambda: (t, t < -2.86))
-
-
-def kpss_test(df: DataFrame, column: str, order: list[str], by: list[str]) -> DataFrame:
-    """KPSS level statistic of each series (no lags) and whether it stays under the 5 % critical value."""
-    all_ = W.partitionBy(*by)
-    rows = df.withColumn("_e", F.col(column) - F.avg(column).over(all_))
-    rows = rows.withColumn("_s", F.sum("_e").over(all_.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    stat = F.try_divide(F.sum(F.col("_s") * F.col("_s")), F.count("*") * F.sum(F.col("_e") * F.col("_e")))
-    return rows.groupBy(*by).agg(stat.alias("stat")).withColumn("stationary", F.col("stat") < 0.463)
-
-
 def seasonal_decompose(df: DataFrame, column: str, order: str, by: list[str], period: int, multiplicative: bool = False) -> DataFrame:
     """Trend (centred moving average over a period), seasonal, resid, whose sum or, if ``multiplicative``, product is the
     series; ``order`` numbers the rows.  Zero trends have no multiplicative parts."""
@@ -512,10 +496,12 @@ def ar_forecast(df: DataFrame, column: str, order: str, by: list[str], p: int =
     return series.mapInPandas(solve, f"{kinds}, step int, forecast double, lo double, hi double")
 
 
-def statistical_test_battery(df: DataFrame, columns: list[str], group: str) -> DataFrame:
-    """column, test, stat, p: normality and equality of variances of every column."""
+def statistical_test_battery(df: DataFrame, columns: list[str], group: str, order: list[str] | None = None) -> DataFrame:
+    """column, test, stat, p: normality, equality of variances and, where the rows have an ``order``, stationarity of every column."""
     parts = []
     for c in columns:
         parts.append(dagostino_pearson(df, c).select(F.lit(c).alias("column"), F.lit("dagostino").alias("test"), F.col("k2").alias("stat"), "p"))
         parts.append(levene_test(df, c, group).select(F.lit(c).alias("column"), F.lit("levene").alias("test"), F.col("w").alias("stat"), "p"))
+        if order:
+            parts.append(unit_roots.adf_test(df, c, order).select(F.lit(c).alias("column"), F.lit("adf").alias("test"), "stat", "p"))
     return reduce(lambda a, b: a.unionByName(b), parts)
