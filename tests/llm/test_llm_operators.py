@@ -694,3 +694,26 @@ def test_mixing_of_twenty_thousand_sources(spark):
     for t, source in zip(balanced["mix_slot"], balanced["source"]):
         assert abs(given[source] - t * weights[source] / period) < 1
         given[source] += 1
+
+
+def test_byte_cnn_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    labels = ["de", "en", "fr"]
+    total = langid.FILTERS * len(langid.WIDTHS)
+    model = langid.ByteCNN(labels, rng.normal(size=(256, langid.DEPTH)).astype(np.float32), [rng.normal(size=(w * langid.DEPTH, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS], rng.normal(size=total).astype(np.float32), rng.normal(size=(total, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 100).tolist()), bytes(rng.integers(0, 256, 700).tolist())]
+    for text, (label, score) in zip(texts, model.predict(texts)):
+        windows = [text[i : i + langid.WINDOW] for i in range(0, len(text), langid.WINDOW)] or [b""]
+        mean, weights = np.zeros(3), 0
+        for window in windows:
+            e = [model.embed[b] for b in window.ljust(langid.WINDOW, b"\0")]
+            pooled = []
+            for w, kernel in zip(langid.WIDTHS, model.kernels):
+                for f in range(langid.FILTERS):
+                    pooled.append(max(sum(float(e[i + j] @ kernel[j * langid.DEPTH : (j + 1) * langid.DEPTH, f]) for j in range(w)) for i in range(langid.WINDOW - w + 1)))
+            z = np.maximum(np.array(pooled) + model.bias, 0) @ model.weight + model.offset
+            logs = z - z.max() - np.log(np.exp(z - z.max()).sum())
+            mean, weights = mean + logs * max(1, len(window)), weights + max(1, len(window))
+        prob = np.exp(mean / weights - (mean / weights).max())
+        prob /= prob.sum()
+        assert label == labels[int(prob.argmax())] and score == pytest.approx(prob.max(), rel=1e-3)

@@ -84,17 +84,20 @@ class ByteCNN:
 
     def log_probs(self, windows: np.ndarray) -> np.ndarray:
         """Log-probabilities of the labels for each window."""
-        # filters of all widths as one product: shorter ones have zeros for the bytes they don't see
-        wide = max(WIDTHS)
+        # filters of all widths as one product: shorter ones have zeros for the bytes they don't see, and places to the window's end
+        wide, spare = max(WIDTHS), max(WIDTHS) - min(WIDTHS)
         kernel = np.zeros((wide * DEPTH, FILTERS * len(WIDTHS)), np.float32)
         for i, (w, k) in enumerate(zip(WIDTHS, self.kernels)):
             kernel[: w * DEPTH, i * FILTERS : (i + 1) * FILTERS] = k
         out = np.empty((len(windows), len(self.labels)), np.float32)
         for at in range(0, len(windows), 256):
             part = windows[at : at + 256]
-            e = self.embed[part].reshape(len(part), -1)
+            e = np.zeros((len(part), (WINDOW + spare) * DEPTH), np.float32)
+            e[:, : WINDOW * DEPTH] = self.embed[part].reshape(len(part), -1)
             cols = np.lib.stride_tricks.sliding_window_view(e, wide * DEPTH, axis=1)[:, ::DEPTH]
-            pooled = (cols.reshape(-1, wide * DEPTH) @ kernel).reshape(len(part), WINDOW - wide + 1, -1).max(axis=1)
+            found = (cols.reshape(-1, wide * DEPTH) @ kernel).reshape(len(part), WINDOW - min(WIDTHS) + 1, -1)
+            # each width at all its places, as it was fitted
+            pooled = np.concatenate([found[:, : WINDOW - w + 1, i * FILTERS : (i + 1) * FILTERS].max(axis=1) for i, w in enumerate(WIDTHS)], axis=1)
             score = np.maximum(pooled + self.bias, 0) @ self.weight + self.offset
             score -= score.max(axis=1, keepdims=True)
             out[at : at + 256] = score - np.log(np.exp(score).sum(axis=1, keepdims=True))
@@ -171,7 +174,9 @@ def _predict(batches: Iterable, model: ByteCNN | None):
 def predict_language(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; ``und`` with score 0 where text is null or has no letter.
 
-    The model sees a text's bytes only.  A null doc_id is not held out; a model of None predicts ``und``.
+    The model sees a text's bytes only: the same text gets the same answer in every row, repeated ones too.  Texts of any length are
+    read whole, window by window.  A null doc_id is not held out; a model of None (nothing to learn from) predicts ``und``; no
+    documents give no rows; further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     return rows.mapInArrow(lambda b: _predict(b, model), "doc_id long, held_out boolean, lang_pred string, score double")
