@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.functions.columns import agg_row, value
+from tidewell.functions.columns import agg_row, numeric_columns, value
 from tidewell.functions.quantiles import quantiles
-from tidewell.functions.stages import evenly
+from tidewell.functions.stages import evenly, stash
 
 
 def anomaly_score(df: DataFrame, columns: list[str], key: str, trees: int = 100, size: int = 256, contamination: float = 0.05, seed: int = 7) -> DataFrame:
@@ -102,7 +102,8 @@ def kmeans_clusters(df: DataFrame, features: list[str], ks: list[int] = (2, 3, 4
     raw = assemble(evenly(df.select(*features)), features, "_raw")
     if raw.isEmpty():
         return df.sparkSession.createDataFrame([], "cluster int, size long")
-    rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features").persist()
+    rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features")
+    rows = stash(rows, "scaled")  # read by every fit
     # a silhouette needs two clusters: points that are all alike have one
     several = rows.agg(F.count_distinct("features") > 1).first()[0]
     done = [(ClusteringEvaluator().evaluate(p) if several else 0.0, p) for k in (ks if several else ks[:1]) for p in [KMeans(k=k, seed=7).fit(rows).transform(rows)]]
@@ -225,11 +226,42 @@ def feature_importance(df: DataFrame, target: str, features: list[str], classifi
 
 def mutual_information(df: DataFrame, x: Column, y: Column) -> DataFrame:
     """mi (nats) of two discrete expressions."""
-    cells = df.groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"))
-    px, py = cells.groupBy("x").agg(F.sum("n").alias("nx")), cells.groupBy("y").agg(F.sum("n").alias("ny"))
-    total = cells.agg(F.sum("n").alias("t"))
-    j = cells.join(px, "x").join(py, "y").crossJoin(F.broadcast(total))  # one row of totals
-    return j.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"))
+    return _information(df.select(F.lit("x").alias("feature"), x.cast("string").alias("v"), y.cast("string").alias("y"))).select("mi")
+
+
+def _information(cells: DataFrame) -> DataFrame:
+    """feature, mi, n_values of rows (feature, v, y); nulls are values of their own."""
+    cells = cells.groupBy("feature", "v", "y").agg(F.count("*").alias("n"))
+    px = cells.groupBy("feature", "v").agg(F.sum("n").alias("nx")).toDF("_f", "_v", "nx")
+    py = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"), F.lit(1).alias("_one")).toDF("_g", "_y", "ny", "_one").drop("_one")
+    total = cells.groupBy("feature").agg(F.sum("n").alias("t"), F.count_distinct(F.struct("v")).alias("n_values")).withColumnRenamed("feature", "_h")  # a row a feature
+    j = cells.join(px, (F.col("feature") == F.col("_f")) & F.col("v").eqNullSafe(F.col("_v"))).join(py, (F.col("feature") == F.col("_g")) & F.col("y").eqNullSafe(F.col("_y")))
+    j = j.join(total, F.col("feature") == F.col("_h"))
+    return j.groupBy("feature").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"), F.first("n_values").alias("n_values"))
+
+
+def feature_dependence(df: DataFrame, target: str, features: list[str] | None = None, bins: int = 10) -> DataFrame:
+    """rank, feature, mi (nats), n_values: all features ranked by mutual information with ``target``, from one pass after one for the
+    quantile bins.
+
+    Numbers (a numeric target, too) with more than ``bins`` distinct values fall into bins between their quantiles, others go by value;
+    nulls are a value of their own.  Equal information is ranked by name.
+    """
+    features = features or [c for c in df.columns if c != target]
+    numbers = [c for c in dict.fromkeys([*features, target]) if c in set(numeric_columns(df))]
+    many = agg_row(df, {c: F.approx_count_distinct(c) for c in numbers}) if numbers else {}
+    wide = [c for c in numbers if many[c] > 4 * bins or many[c] > bins and df.select(c).distinct().count() > bins]
+    cuts = quantiles(df, {c: (value(df, c), [i / bins for i in range(1, bins)]) for c in wide}) if wide else {}
+
+    def coded(c: str) -> Column:
+        if c not in wide:
+            return F.col(c).cast("string")
+        edges = sorted(set(cuts[c] or []))
+        return F.when(value(df, c).isNotNull(), F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda x: x < F.col(c)))).cast("string")
+
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), coded(c).alias("v")) for c in features]))
+    found = _information(df.select(cells.alias("x"), coded(target).alias("y")).select("x.*", "y"))
+    return found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mi"), "feature"))).select("rank", "feature", "mi", "n_values")  # a row a feature
 
 
 def task_type_detect(df: DataFrame, target: str) -> DataFrame:
@@ -247,21 +279,6 @@ def suggest_target(df: DataFrame) -> DataFrame:
     return got.select("column", F.when(F.col("named"), "name").when(F.col("d") == 2, "binary").alias("reason")).where("reason IS NOT NULL")
 
 
-def cosine_topk(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """query, neighbour, similarity: the ``k`` nearest rows of ``base`` for a stated set of queries.
-
-    The queries are compared against all rows in blocks; each block keeps its own top k before the merge.
-    """
-    from tidewell.functions.columns import cosine
-
-    blocks = base.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(64)).alias("_b"))
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    pairs = blocks.join(asked, how="cross").where("query <> neighbour").select("query", "neighbour", "_b", cosine(F.col("_q"), F.col("_v")).alias("similarity"))
-    order = [F.desc("similarity"), "neighbour"]
-    part = pairs.withColumn("_r", F.row_number().over(W.partitionBy("query", "_b").orderBy(*order))).where(F.col("_r") <= k)
-    return part.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(*order))).where(F.col("_r") <= k).select("query", "neighbour", "similarity")
-
-
 def semantic_pattern_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """column and the shares of values that look like e-mail, phone, url, ip, currency, number."""
     from tidewell.functions.columns import long_form, share

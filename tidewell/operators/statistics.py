@@ -306,42 +306,6 @@ def simple_regression(df: DataFrame, y: str, x: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def logistic_glm(df: DataFrame, target: str, features: list[str]) -> DataFrame:
-    """feature, coef, odds_ratio, p."""
-    from pyspark.errors import UnsupportedOperationException
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(target, *features))
-    schema = "feature string, coef double, odds_ratio double, p double"
-    if rows.where(F.col(target).isNotNull()).isEmpty():
-        return df.sparkSession.createDataFrame([(f, None, None, None) for f in [*features, "intercept"]], schema)
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="_x", labelCol=target).fit(rows)
-    coefs = [*model.coefficients.toArray().tolist(), model.intercept]
-    try:
-        tests = model.summary.pValues
-    except UnsupportedOperationException:  # the fit fell back to a solver without standard errors (collinear or constant columns)
-        tests = [None] * len(coefs)
-    return df.sparkSession.createDataFrame([(f, c, math.exp(min(c, 700)), p) for f, c, p in zip([*features, "intercept"], coefs, tests)], schema)
-
-
-def regularised_cv(df: DataFrame, target: str, features: list[str], l1: float, alphas: list[float] = (0.01, 0.1, 1.0), folds: int = 3) -> DataFrame:
-    """Ridge (l1 = 0) or lasso (l1 = 1) with the penalty of least error over folds: feature, coef, alpha."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(target, *features))
-    rows = rows.where(F.col(target).isNotNull())
-    if len(rows.take(folds + 1)) <= folds:  # a fold each and one more
-        return df.sparkSession.createDataFrame([(f, None, None) for f in features], "feature string, coef double, alpha double")
-    lr = LinearRegression(featuresCol="_x", labelCol=target, elasticNetParam=l1)
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().addGrid(lr.regParam, list(alphas)).build(), evaluator=RegressionEvaluator(labelCol=target), numFolds=folds, seed=7)
-    best = cv.fit(rows).bestModel
-    return df.sparkSession.createDataFrame([(f, float(c), float(best.getRegParam())) for f, c in zip(features, best.coefficients.toArray())], "feature string, coef double, alpha double")
-
-
 def durbin_watson(df: DataFrame, residual: str, order: list[str], by: list[str] = ()) -> DataFrame:
     """dw within ``by``; the order is global if ``by`` is empty, so give a key for large tables."""
     d = F.col(residual) - F.lag(residual).over(W.partitionBy(*by).orderBy(*order))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.columns import luhn_valid as luhn
 from tidewell.operators import drift as R
 from tidewell.operators import learning as L
+from tidewell.operators import vectors as V
 from tidewell.plans.registry import query, read
 
 SCORE = "SELECT doc_id, quality AS y, ((doc_id * 37) % 101) / 202.0::DOUBLE + quality * 0.4::DOUBLE AS p FROM labels"
@@ -84,6 +85,16 @@ def mutual_information(spark, sf):
     return L.mutual_information(read(spark, sf, "documents"), F.col("source"), F.col("lang"))
 
 
+@query("""WITH e AS (SELECT quantile_cont(l_quantity, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS eq, quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS ep, quantile_cont(l_discount, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS ed FROM lineitem),
+t AS (SELECT l_returnflag AS y, len(list_filter(list_distinct(eq), lambda x: x < l_quantity))::VARCHAR AS q, len(list_filter(list_distinct(ep), lambda x: x < l_extendedprice))::VARCHAR AS p, len(list_filter(list_distinct(ed), lambda x: x < l_discount))::VARCHAR AS d, l_tax::VARCHAR AS x, l_linestatus AS s FROM lineitem, e),
+u AS (SELECT 'l_quantity' AS feature, q AS v, y FROM t UNION ALL SELECT 'l_extendedprice', p, y FROM t UNION ALL SELECT 'l_discount', d, y FROM t UNION ALL SELECT 'l_tax', x, y FROM t UNION ALL SELECT 'l_linestatus', s, y FROM t),
+c AS (SELECT feature, v, y, count(*)::DOUBLE AS n FROM u GROUP BY 1, 2, 3), m AS (SELECT *, sum(n) OVER (PARTITION BY feature, v) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS t FROM c),
+r AS (SELECT feature, sum(n / t * ln(n * t / (nx * ny))) AS mi, count(DISTINCT v) AS n_values FROM m GROUP BY 1)
+SELECT row_number() OVER (ORDER BY mi DESC, feature)::INT AS rank, feature, mi, n_values FROM r""")
+def feature_dependence(spark, sf):
+    return L.feature_dependence(read(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"])
+
+
 @query("SELECT count(DISTINCT l_returnflag) AS n_distinct, 'classification' AS task FROM lineitem")
 def task_type_detect(spark, sf):
     return L.task_type_detect(read(spark, sf, "lineitem"), "l_returnflag")
@@ -104,7 +115,7 @@ def pca_reconstruction(spark, sf):
 SELECT query, neighbour, round(similarity, 6) AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, neighbour) <= 5""")
 def cosine_similarity_topk(spark, sf):
     e = read(spark, sf, "embeddings")
-    return L.cosine_topk(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+    return V.cosine_topk(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderkey::VARCHAR AS s FROM orders) SELECT o_orderkey, list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(s, length(s) - i + 1, 1)::INT

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import regression as G
 from tidewell.operators import resampling as R
 from tidewell.operators import statistics as S
 from tidewell.operators import unit_roots as U
@@ -198,20 +199,43 @@ def ols(spark, sf):
     return S.ols(line(spark, sf), "net", ["l_extendedprice"]).select("feature", F.round("coef", 4).alias("coef"))
 
 
+@query("""WITH t AS (SELECT (l_extendedprice > 50000)::INT AS y, (l_quantity > 25)::INT AS x FROM lineitem), n AS (SELECT count(*) FILTER (x = 0 AND y = 0) AS a, count(*) FILTER (x = 0 AND y = 1) AS b, count(*) FILTER (x = 1 AND y = 0) AS c, count(*) FILTER (x = 1 AND y = 1) AS d FROM t),
+l AS (SELECT *, a * ln(a / (a + b)) + b * ln(b / (a + b)) + c * ln(c / (c + d)) + d * ln(d / (c + d)) AS ll FROM n)
+SELECT 'intercept' AS feature, ln(b / a) AS coef, sqrt(1 / a + 1 / b) AS se, ll AS log_likelihood, 4 - 2 * ll AS aic, 2 * ln(a + b + c + d) - 2 * ll AS bic FROM l
+UNION ALL SELECT 'x', ln(d / c) - ln(b / a), sqrt(1 / a + 1 / b + 1 / c + 1 / d), ll, 4 - 2 * ll, 2 * ln(a + b + c + d) - 2 * ll FROM l""")
+def logistic_odds(spark, sf):
+    """With one 0/1 feature the fit is the table's log odds."""
+    df = read(spark, sf, "lineitem").select((F.col("l_extendedprice") > 50000).cast("int").alias("y"), (F.col("l_quantity") > 25).cast("int").alias("x"))
+    return G.logistic_report(df, "y", ["x"]).select("feature", "coef", "se", "log_likelihood", "aic", "bic")
+
+
 @query()
 def logistic_glm(spark, sf):
     df = read(spark, sf, "lineitem").withColumn("y", (F.col("l_extendedprice") > 50000).cast("double"))
-    return S.logistic_glm(df.withColumn("x", F.col("l_quantity") / 50 + F.col("l_extendedprice") / 400000), "y", ["x", "l_discount"])
+    return G.logistic_report(df.withColumn("x", F.col("l_quantity") / 50 + F.col("l_extendedprice") / 400000), "y", ["x", "l_discount"])
 
 
-@query()
+@query("""WITH t AS (SELECT l_quantity AS a, l_discount AS b, l_extendedprice * (1 - l_discount) AS y, (l_orderkey % 5)::INT AS fold FROM lineitem), f AS (SELECT unnest(range(5)) AS fold UNION ALL SELECT NULL),
+s AS (SELECT f.fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, regr_sxx(y, a) AS aa, regr_sxx(y, b) AS bb, regr_sxy(b, a) AS ab, regr_sxy(y, a) AS ay, regr_sxy(y, b) AS yb FROM f JOIN t ON f.fold IS NULL OR t.fold <> f.fold GROUP BY 1),
+c AS (SELECT s.*, alpha, (ay * (bb + alpha) - yb * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS ca, (yb * (aa + alpha) - ay * ab) / ((aa + alpha) * (bb + alpha) - ab * ab) AS cb FROM s, (SELECT unnest([0.1, 1.0, 10.0]) AS alpha)),
+e AS (SELECT alpha, t.fold, avg(pow(y - my - ca * (a - ma) - cb * (b - mb), 2)) AS mse FROM c JOIN t USING (fold) GROUP BY 1, 2), k AS (SELECT alpha FROM e GROUP BY 1 ORDER BY avg(mse), alpha DESC LIMIT 1)
+SELECT unnest(['intercept', 'l_quantity', 'l_discount']) AS feature, unnest([my - ca * ma - cb * mb, ca, cb]) AS coef, alpha::DOUBLE AS alpha FROM c JOIN k USING (alpha) WHERE fold IS NULL""")
 def ridge_cv(spark, sf):
-    return S.regularised_cv(line(spark, sf), "net", ["l_quantity", "l_discount"], 0.0)
+    return G.regularised_cv(line(spark, sf), "net", ["l_quantity", "l_discount"], 0.0, fold=F.col("l_orderkey") % 5).drop("r2")
 
 
 @query()
 def lasso_cv(spark, sf):
-    return S.regularised_cv(line(spark, sf), "net", ["l_quantity", "l_discount"], 1.0)
+    return G.regularised_cv(line(spark, sf), "net", ["l_quantity", "l_discount"], 1.0)
+
+
+@query("""WITH t AS (SELECT l_extendedprice AS x, l_extendedprice * (1 - l_discount) AS y, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), s AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS xx, regr_syy(y, x) AS yy, regr_r2(y, x) AS r2, avg(x) AS mx FROM t),
+e AS (SELECT sum(e * e) AS rss, sum(pow(e - p, 2)) AS d FROM (SELECT e, lag(e) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, x) AS p FROM (SELECT y - a - b * x AS e, x, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM t, s))),
+u AS (SELECT *, -n / 2.0 * (ln(2 * pi() * rss / n) + 1) AS ll FROM s, e)
+SELECT unnest(['intercept', 'l_extendedprice']) AS feature, unnest([a, b]) AS coef, unnest([sqrt(rss / (n - 2) * (1.0 / n + mx * mx / xx)), sqrt(rss / (n - 2) / xx)]) AS se, n, r2, 1 - (1 - r2) * (n - 1) / (n - 2) AS adj_r2, 4 - 2 * ll AS aic, 2 * ln(n) - 2 * ll AS bic, (yy - rss) / (rss / (n - 2)) AS f, d / rss AS dw FROM u""")
+def ols_report(spark, sf):
+    out = G.ols_report(line(spark, sf), "net", ["l_extendedprice"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return out.select("feature", "coef", "se", "n", "r2", "adj_r2", "aic", "bic", "f", "dw")
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice - avg(o_totalprice) OVER () AS e FROM orders), d AS (SELECT *, e - lag(e) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS x FROM r)
