@@ -1,19 +1,19 @@
 """Helpers that the training-data operators share.
 
 Every operator takes and returns DataFrames.  Intermediate results that are read more than once are written as Parquet
-to the folder named by ``spark.checkpoint.dir`` (see :func:`stash`), so a lost executor costs a re-read, not a re-run.
+to the folder named by ``spark.checkpoint.dir`` (see ``stash``), so a lost executor costs a re-read, not a re-run.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.stages import evenly
+from tidewell.functions.stages import evenly, open_fs, read_part, stash
+from tidewell.functions.stages import shared_folder as new_dir
 
 #: A word is a run of anything but these bytes; ``bytes.split()`` cuts at the same six.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,27 +21,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a reader of it."""
-    path = new_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,27 +60,6 @@ def partition_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def open_fs(uri: str):
-    """The Arrow file system of a URI or local path, and the path in it."""
-    from pyarrow import fs
-
-    if "://" in uri or not uri.startswith("file:"):
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri[len("file:") :]
-
-
-def read_part(folder: str, column: str, value: int):
-    """In a task: the Arrow table of one value of a Parquet folder written by ``partitionBy(column)``; None if it has no rows."""
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    from pyarrow import fs as store
-
-    fs, path = open_fs(folder)
-    found = fs.get_file_info(store.FileSelector(f"{path}/{column}={value}", allow_not_found=True))
-    tables = [pq.read_table(fs.open_input_file(f.path)) for f in found if f.path.endswith(".parquet")]
-    return pa.concat_tables(tables) if tables else None
-
-
 def byte_list(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null becomes empty."""
     import pyarrow as pa
