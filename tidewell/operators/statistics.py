@@ -422,44 +422,6 @@ def seasonal_decompose(df: DataFrame, column: str, order: str, by: list[str], pe
     return rows.join(means, [*by, "_k"]).withColumn("resid", resid).drop("_i", "_n", "_k")
 
 
-def ar_forecast(df: DataFrame, column: str, order: str, by: list[str], p: int = 2, steps: int = 5) -> DataFrame:
-    """by, step, forecast, lo, hi: an AR(p) by least squares for each series of over 2 p + 2 values.
-
-    Each series' lag products are summed by aggregates over a window, so only its (p + 1) x (p + 1) sums and last ``p`` values
-    are brought together.
-    """
-    import numpy as np
-    import pandas as pd
-
-    w, all_ = W.partitionBy(*by).orderBy(order), W.partitionBy(*by)
-    rows = df.select(*by, order, F.avg(column).over(all_).alias("_m"), (F.col(column) - F.avg(column).over(all_)).cast("double").alias("_x0"))
-    rows = rows.select("*", *[F.lag("_x0", k).over(w).alias(f"_x{k}") for k in range(1, p + 1)])
-    terms = [F.lit(1.0), *[F.col(f"_x{k}") for k in range(1, p + 1)], F.col("_x0")]
-    full = F.col(f"_x{p}").isNotNull()
-    sums = F.array(*[F.sum(F.when(full, terms[i] * terms[j])) for i in range(p + 2) for j in range(p + 2)])
-    last = F.max_by(F.array(*[F.col(f"_x{k}") for k in range(p)]), F.col(order))
-    series = rows.groupBy(*by).agg(F.first("_m").alias("_m"), F.count("_x0").alias("_n"), sums.alias("_s"), last.alias("_last")).where(F.col("_n") > 2 * p + 2)
-
-    def solve(parts):
-        for part in parts:
-            out = []
-            for row in part.to_dict("records"):
-                m = np.array(row["_s"], float).reshape(p + 2, p + 2)
-                beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
-                left = row["_n"] - p - (p + 1)
-                sigma = math.sqrt(max(m[-1, -1] - beta @ m[:-1, -1], 0.0) / left) if left > 0 else float("nan")
-                past = list(row["_last"])
-                for s in range(1, steps + 1):
-                    y = float(beta[0] + sum(b * v for b, v in zip(beta[1:], past)))
-                    past = [y, *past[:-1]]
-                    half = 1.96 * sigma * math.sqrt(s)
-                    out.append({**{c: row[c] for c in by}, "step": s, "forecast": row["_m"] + y, "lo": row["_m"] + y - half, "hi": row["_m"] + y + half})
-            yield pd.DataFrame(out, columns=[*by, "step", "forecast", "lo", "hi"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by)
-    return series.mapInPandas(solve, f"{kinds}, step int, forecast double, lo double, hi double")
-
-
 def statistical_test_battery(df: DataFrame, columns: list[str], group: str, order: list[str] | None = None) -> DataFrame:
     """column, test, stat, p: normality, equality of variances and, where the rows have an ``order``, stationarity of every column."""
     parts = []

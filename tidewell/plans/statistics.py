@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import forecasts as A
 from tidewell.operators import regression as G
 from tidewell.operators import resampling as R
 from tidewell.operators import statistics as S
@@ -327,7 +328,7 @@ def seasonal_decompose_multiplicative(spark, sf):
 
 @query()
 def arima_forecast(spark, sf):
-    return S.ar_forecast(days(spark, sf), "v", "d", ["event_type"])
+    return A.ar_forecast(days(spark, sf), "v", ["d"], ["event_type"])
 
 
 @query()
