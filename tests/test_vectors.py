@@ -59,3 +59,14 @@ def test_features_are_ranked_by_information(spark):
     a, b = Counter(r[2] for r in rows), Counter(r[0] for r in rows)
     assert got["word"]["mi"] == pytest.approx(sum(c / n * math.log(c * n / (a[x] * b[t])) for (x, t), c in cells.items()))
     assert got["near"]["n_values"] == 11  # ten bins and null
+
+
+def test_semantic_types_by_values(spark):
+    n = 200
+    rows = [(f"http://x.org/{i}", f"10.0.{i % 9}.{i % 7}", ["EUR", "USD"][i % 2], f"u{i}@x.org", -33.8123456 + i / 977, (i % 90) / 91.0, i % 80, 1000 + i % 3, ["yes", "no"][i % 2], f"{i % 60}:{i % 50 + 10}", f"{i} Long Winding Garden Street", f"{10000 + i % 50}", " ".join(["word"] * 20) + str(i % 150), f"w{i % 40}", f"+49 170 {1000000 + i % 90}", None, i * 1.5 + 300) for i in range(n)]
+    names = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1 b2 b3 b4 b5 b6 b7 b8"
+    kinds = ["string"] * 4 + ["double"] * 2 + ["int"] * 2 + ["string"] * 8 + ["double"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {k}" for c, k in zip(names.split(), kinds)))
+    got = {r["column"]: r["semantic"] for r in learning.semantic_types(df).collect()}
+    want = "url ip_address currency_code email coordinates percentage age count boolean duration address zipcode text name phone unknown numeric"
+    assert got == dict(zip(names.split(), want.split()))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.functions.columns import agg_row, numeric_columns, value
+from tidewell.functions.columns import agg_row, long_form, numeric_columns, share, string_columns, value
 from tidewell.functions.quantiles import quantiles
 from tidewell.functions.stages import evenly, stash
 
@@ -279,24 +279,60 @@ def suggest_target(df: DataFrame) -> DataFrame:
     return got.select("column", F.when(F.col("named"), "name").when(F.col("d") == 2, "binary").alias("reason")).where("reason IS NOT NULL")
 
 
-def semantic_pattern_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column and the shares of values that look like e-mail, phone, url, ip, currency, number."""
-    from tidewell.functions.columns import long_form, share
-
-    # Shapes of semantic types.
-    shapes = {"email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$", "phone": r"^\+?[0-9][0-9 ().-]{6,}$", "url": r"^https?://", "ip": r"^([0-9]{1,3}\.){3}[0-9]{1,3}$", "currency": r"^[$€£¥₹] ?[0-9]", "number": r"^-?[0-9]+(\.[0-9]+)?$"}
-    return long_form(df, {c: [share(F.col(c).rlike(p)) for p in shapes.values()] for c in columns}, list(shapes))
+# Shapes of the values of semantic types, as the share of a column's known values that match decides.
+SHAPES = {
+    "email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$",
+    "phone": r"^\+?[0-9][0-9 ().-]{6,}$",
+    "url": r"^https?://",
+    "ip": r"^([0-9]{1,3}\.){3}[0-9]{1,3}$",
+    "currency": r"^[$€£¥₹] ?[0-9]",
+    "number": r"^-?[0-9]+(\.[0-9]+)?$",
+    "currency_code": r"^[A-Z]{3}$",
+    "duration": r"^([0-9]+:[0-9]{2}(:[0-9]{2})?|[0-9]+\s*(s|sec|min|h|hr|hours?))$",
+    "address": r"(?i)[0-9][\s\S]*[^\p{L}0-9_](st|street|rd|road|ave|avenue|blvd|ln|lane|dr|drive|nagar|colony)($|[^\p{L}0-9_])",
+    "zipcode": r"^[0-9]{5}(-[0-9]{4})?$",
+    "boolean": r"(?i)^(true|false|yes|no|y|n|t|f)$",
+}
+# Name parts of semantic types, the first match counts.
+NAMED = [
+    ("id", ["key", "_id", "uuid"]), ("age", ["age"]), ("amount", ["price", "amount", "cost", "total", "bal"]), ("date", ["date", "time", "ts"]), ("email", ["email"]), ("phone", ["phone"]),
+    ("currency_code", ["currency"]), ("country", ["nation", "country"]), ("percentage", ["pct", "percent", "discount", "tax"]), ("quantity", ["quantity", "qty", "count"]), ("name", ["name"]),
+    ("category", ["type", "status", "flag", "segment", "priority"]), ("text", ["text", "comment", "html"]), ("zipcode", ["zip", "postal", "postcode"]), ("score", ["score", "rating"]), ("url", ["url", "link"]),
+    ("coordinates", ["latitude", "longitude"]), ("address", ["address", "street"]), ("duration", ["duration", "elapsed"]),
+]
+
+
+def semantic_pattern_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column and, for each of SHAPES, the share of its known values that match; all text columns if none are given."""
+    columns = string_columns(df) if columns is None else columns
+    return long_form(df, {c: [share(F.col(c).rlike(p)) for p in SHAPES.values()] for c in columns}, list(SHAPES))
 
 
 def semantic_types(df: DataFrame) -> DataFrame:
-    """column, semantic: by name first, then by the share of value shapes and by cardinality."""
-    from tidewell.functions.columns import long_form, share
-
-    kinds = dict(df.dtypes)
-    # Name parts of semantic types, the first match counts.
-    named = [("id", ["key", "_id", "uuid"]), ("age", ["age"]), ("amount", ["price", "amount", "cost", "total", "bal"]), ("date", ["date", "time", "ts"]), ("email", ["email"]), ("phone", ["phone"]), ("currency_code", ["currency"]), ("country", ["nation", "country"]), ("percentage", ["pct", "percent", "discount", "tax"]), ("quantity", ["quantity", "qty", "count"]), ("name", ["name"]), ("category", ["type", "status", "flag", "segment", "priority"]), ("text", ["text", "comment", "html"])]
-    by_name = {c: next((t for t, parts in named if any(p in c.lower() for p in parts)), None) for c in df.columns}
-    text = lambda c: F.col(c).cast("string")
-    got = long_form(df, {c: [F.try_divide(F.count_distinct(c), F.count("*")), share(text(c).rlike(r"^[^@\s]+@[^@\s]+$")), F.lit(by_name[c]).cast("string"), F.lit(kinds[c])] for c in df.columns}, ["unique", "mail", "named", "dtype"])
-    rest = F.when(F.col("mail") > 0.7, "email").when(F.col("dtype").startswith("timestamp"), "date").when(F.col("dtype").isin("double", "float"), "numeric").when(F.col("unique") > 0.95, "id").when(F.col("unique") < 0.05, "category").otherwise("text")
-    return got.select("column", F.coalesce("named", rest).alias("semantic"))
+    """column, semantic: by name first, then by the shapes of its values, their range and number, all from one pass.
+
+    Labels beyond those of NAMED: ip_address, boolean, count, unknown (no values) and, for numbers of no other kind, numeric.
+    """
+    kinds, numbers = dict(df.dtypes), set(numeric_columns(df))
+    by_name = {c: next((t for t, parts in NAMED if any(p in c.lower() for p in parts)), None) for c in df.columns}
+    tested = ["email", "phone", "url", "ip", "currency_code", "duration", "address", "zipcode", "boolean"]
+    stats = {}
+    for c in df.columns:
+        text, x = F.col(c).cast("string"), value(df, c).cast("double") if c in numbers else F.lit(None).cast("double")
+        stats[c] = [
+            F.try_divide(F.count_distinct(c), F.count("*")), F.count(c), F.lit(by_name[c]).cast("string"), F.lit(kinds[c]), F.avg(F.length(text)), F.min(x), F.max(x), F.min(x == F.floor(x)),
+            # more than four digits behind the point, as places on a map have
+            share(F.abs(x * 10000 - F.round(x * 10000)) > 1e-6), *[share(text.rlike(SHAPES[k])) for k in tested],
+        ]
+    got = long_form(df, stats, ["unique", "known", "named", "dtype", "length", "least", "most", "whole", "fine", *tested])
+    number = F.col("least").isNotNull()
+    found = F.when(F.col("known") == 0, "unknown")
+    for shape, label in (("url", "url"), ("ip", "ip_address"), ("currency_code", "currency_code")):
+        found = found.when(F.col(shape) > 0.7, label)
+    found = found.when(F.col("dtype").startswith("timestamp") | F.col("dtype").startswith("date"), "date").when(F.col("dtype") == "boolean", "boolean").when(F.col("email") > 0.7, "email")
+    found = found.when(number & (F.col("least") < 0) & (F.col("least") >= -180) & (F.col("most") <= 180) & (F.col("fine") > 0.5), "coordinates")
+    found = found.when(number & (F.col("most") < 1) & (F.col("least") >= 0) & ~F.col("whole"), "percentage")
+    found = found.when(number & F.col("whole") & (F.col("unique") > 0.95), "id").when(number & F.col("whole") & (F.col("least") >= 0) & (F.col("most") < 200), "age").when(number & F.col("whole") & (F.col("unique") < 0.05), "count")
+    found = found.when(number, "numeric").when(F.col("zipcode") > 0.7, "zipcode").when(F.col("phone") > 0.7, "phone").when(F.col("boolean") > 0.7, "boolean").when(F.col("duration") > 0.5, "duration")
+    found = found.when((F.col("length") > 20) & (F.col("address") > 0.3), "address").when(F.col("unique") > 0.95, F.when(F.col("length") > 60, "text").otherwise("id")).when(F.col("unique") < 0.05, "category")
+    return got.select("column", F.coalesce("named", found.otherwise(F.when(F.col("length") > 60, "text").otherwise("name"))).alias("semantic"))

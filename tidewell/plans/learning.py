@@ -124,9 +124,12 @@ def luhn_valid(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", luhn(F.col("o_orderkey").cast("string")).alias("valid"))
 
 
-@query("SELECT 'url' AS \"column\", 0.0::DOUBLE AS email, 0.0::DOUBLE AS phone, avg(regexp_matches(url, '^https?://')::INT) AS url, 0.0::DOUBLE AS ip, 0.0::DOUBLE AS currency, 0.0::DOUBLE AS number FROM pages")
+_RATES = ", ".join(f"coalesce(avg(regexp_matches(v, '{p}')::INT), 0.0)::DOUBLE AS {k}" for k, p in L.SHAPES.items())
+
+
+@query(f"SELECT c AS \"column\", {_RATES} FROM (SELECT 'url' AS c, url AS v FROM pages UNION ALL SELECT 'html', html FROM pages) GROUP BY 1")
 def semantic_pattern_rates(spark, sf):
-    return L.semantic_pattern_rates(read(spark, sf, "pages"), ["url"])
+    return L.semantic_pattern_rates(read(spark, sf, "pages"))
 
 
 @query("SELECT * FROM (VALUES ('o_orderkey', 'id'), ('o_custkey', 'id'), ('o_orderstatus', 'category'), ('o_totalprice', 'amount'), ('o_orderdate', 'date'), ('o_orderpriority', 'category')) t(\"column\", semantic)")
