@@ -89,7 +89,7 @@ def adf_test(df: DataFrame, column: str, order: list[str], by: list[str] = (), l
     known = lambda c: F.coalesce(c, F.lit(0.0))  # noqa: E731  lags beyond a series' own are not used
     sums = F.array(*[F.sum(F.when(inner, known(terms[a]) * known(terms[b]))) for a in range(most + 3) for b in range(a, most + 3)])
     head = F.array_sort(F.collect_list(F.when(F.col("i") <= most + 2, F.struct("i", F.array(*[known(t) for t in terms]).alias("t")))))
-    series = rows.groupBy(*by).agg(F.first("n").alias("_n"), sums.alias("_s"), head.alias("_head"))
+    series = rows.groupBy(*by).agg(F.first("n").alias("_n"), sums.alias("_s"), head.alias("_head")).where("_n IS NOT NULL")  # without by and rows
 
     def solve(frames):
         size = most + 3
@@ -142,7 +142,7 @@ def kpss_test(df: DataFrame, column: str, order: list[str], by: list[str] = (),
         rows = over_rows_before(rows, order, by, ["e"], most, lambda w: {f"_e{k}": F.lag("e", k).over(w) for k in range(1, most + 1)}, ranges)
     rows = running_sum(rows, "e", order, by, "s", ranges)
     products = F.array(*[F.coalesce(F.sum(F.col("e") * F.col(f"_e{k}" if k else "e")), F.lit(0.0)) for k in range(most + 1)])
-    out = rows.groupBy(*by).agg(F.first("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), products.alias("g"))
+    out = rows.groupBy(*by).agg(F.first("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), products.alias("g")).where("n IS NOT NULL")
     if lags is None:
         first = F.floor(F.pow(F.col("n"), 2 / 9)).cast("int")
         spans = F.sequence(F.lit(1), F.greatest(first, F.lit(1)))
