@@ -178,16 +178,18 @@ def mann_whitney_u(df: DataFrame, column: str, group: str, a: str, b: str) -> Da
 def kruskal_wallis(df: DataFrame, column: str, group: str) -> DataFrame:
     """h with tie correction, dof, p."""
     ranks = average_ranks(df, column)
-    ties = agg_row(ranks, {"t": F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")), "n": F.sum("n")})
+    m = F.col("n").cast("double")  # cubes of counts leave the range of whole numbers at two million equal values
+    ties = agg_row(ranks, {"t": F.sum(m * m * m - m), "n": F.sum("n"), "values": F.count("*")})
     sums = rank_average(df.where(F.col(column).isNotNull()).select(group, column), column).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
-    g = agg_row(sums, {"s": F.sum(F.col("r") * F.col("r") / F.col("m")), "k": F.count("*")})
-    n = ties["n"]
+    n = ties["n"] or 0
+    off = F.col("r") / F.col("m") - (n + 1) / 2  # a group's mean rank, from the mean of all
+    g = agg_row(sums, {"s": F.sum(F.col("m") * off * off), "k": F.count("*")})
 
     def test():
-        h = (12 / (n * (n + 1)) * g["s"] - 3 * (n + 1)) / (1 - ties["t"] / (float(n) ** 3 - n))
+        h = 12 / (n * (n + 1)) * g["s"] / (1 - ties["t"] / (float(n) ** 3 - n))
         return h, float(g["k"] - 1), tails.chi2_upper(h, g["k"] - 1)
 
-    return _row(df, "h double, dof double, p double", g["k"] > 1 and ties["t"] < n**3 - n, test)
+    return _row(df, "h double, dof double, p double", g["k"] > 1 and ties["values"] > 1, test)
 
 
 def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
