@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import statistics
+from tidewell.operators import ordering, statistics
 
 
 def test_kruskal_wallis_of_many_equal_values(spark):
@@ -15,3 +15,11 @@ def test_kruskal_wallis_of_many_equal_values(spark):
     # two values: h is (n - 1) times the squared phi of the table 0 / 2 000 000, 1 000 000 / 2 000 000
     assert math.isclose(got["h"], (5e6 - 1) * (2e12) ** 2 / (1e6 * 4e6 * 2e6 * 3e6), rel_tol=1e-9) and got["dof"] == 1
     assert statistics.kruskal_wallis(rows.withColumn("x", F.lit(1.0)), "x", "g").first()["h"] is None
+
+
+def test_percent_change_from_zero(spark):
+    values = [0.0, 0.0, 5.0, 0.0, -2.0, None, 1.0, -0.0, 3.0]
+    rows = spark.createDataFrame([("u", i, v) for i, v in enumerate(values)], "u string, i long, v double")
+    for ranges in (None, 3):
+        got = [r["v_pct_change"] for r in ordering.percent_change(rows, "v", ["i"], ["u"], ranges).orderBy("i").collect()]
+        assert got[0] is None and math.isnan(got[1]) and got[2:] == [math.inf, -1.0, -math.inf, None, None, -1.0, -math.inf]

@@ -61,6 +61,12 @@ def corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: by zero it is infinite, or NaN for 0 / 0."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def long_form(df: DataFrame, parts: dict[str, list[Column]], names: list[str]) -> DataFrame:
     """Aggregates of many columns in one pass, as one row a column: parts[column] are its aggregate expressions."""
     wide = df.agg(*[e.alias(f"{i}_{j}") for i, es in enumerate(parts.values()) for j, e in enumerate(es)])

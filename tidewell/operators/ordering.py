@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewell.functions.columns import agg_row
+from tidewell.functions.columns import agg_row, ratio
 from tidewell.functions.ranges import by_ranges, range_cuts
 from tidewell.operators.halo import over_rows_before, over_seconds_before, running_sum
 
 
 def percent_change(df: DataFrame, column: str, order: list[str], by: list[str], ranges: int | None = None) -> DataFrame:
-    """Adds the change against the row before, as a share of it.  Here and below ``ranges`` asks for a split of keys into so many
+    """Adds the change against the row before, as a share of it (infinite or NaN if that is 0).  Here and below ``ranges`` asks for a split of keys into so many
     ranges; without it large keys are split (see ``halo``)."""
     def make(w):
         before = F.lag(column).over(w)
-        return {f"{column}_pct_change": F.try_divide(F.col(column) - before, before)}
+        return {f"{column}_pct_change": ratio(F.col(column) - before, before)}
 
     return over_rows_before(df, order, by, [column], 1, make, ranges)
 
