@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewell.operators import ordering, statistics
+from tidewell.streaming import closed, windows
 
 
 def test_kruskal_wallis_of_many_equal_values(spark):
@@ -23,3 +24,19 @@ def test_percent_change_from_zero(spark):
     for ranges in (None, 3):
         got = [r["v_pct_change"] for r in ordering.percent_change(rows, "v", ["i"], ["u"], ranges).orderBy("i").collect()]
         assert got[0] is None and math.isnan(got[1]) and got[2:] == [math.inf, -1.0, -math.inf, None, None, -1.0, -math.inf]
+
+
+def test_closed_windows_have_few_parts_of_state(spark, tmp_path):
+    rows = spark.range(100).select((F.col("id") * 3600).cast("timestamp").alias("ts"), F.col("id").cast("double").alias("value"))
+    rows.write.parquet(f"{tmp_path}/in/0")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        run = closed.ClosedWindows(f"{tmp_path}/out", "ts", 86400)
+        run.start(windows.stream_files(spark, f"{tmp_path}/in/*", rows.schema)).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [p for p in (tmp_path / "out" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(parts) == spark.sparkContext.defaultParallelism
+    assert run.read(spark, "gold").count() + run.open(spark).count() == 5 and run.totals(spark)["rows"] == 100

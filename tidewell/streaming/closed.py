@@ -33,7 +33,8 @@ class ClosedWindows:
 
     ``watch`` is a column of closed windows (an expression over ``n`` and ``aggs``); windows over ``limit`` sample deviations off
     the mean of the windows closed in earlier epochs are alerts.  ``max_errors`` epochs in a row whose gate fails stop the query.
-    A row without event time belongs to no window: it is late.
+    A row without event time belongs to no window: it is late.  The state has ``partitions`` parts, by default one a core and no more
+    than shuffles have: each task reports on every part of the state to the driver, so what it gets grows with their square.
     """
 
     base: str
@@ -46,6 +47,7 @@ class ClosedWindows:
     watch: str | None = None
     limit: float = 2.0
     max_errors: int = 10
+    partitions: int | None = None
 
     def _columns(self) -> list[str]:
         return ["start", "end", *self.by, "n", *self.aggs]
@@ -58,7 +60,14 @@ class ClosedWindows:
         windows = windows.select(F.struct(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *self.by, "n", *self.aggs).alias("closed"))
         both = windows.unionByName(marked.select(F.struct(*marked.columns).alias("row")), allowMissingColumns=True)
         writer = both.writeStream.foreachBatch(self._handle).option("checkpointLocation", f"{self.base}/checkpoint")
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        # a query takes the settings of its session as it starts, and their number of parts stays that of its checkpoint
+        conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+        shuffles = conf.get(name)
+        conf.set(name, str(self.partitions or min(int(shuffles), stream.sparkSession.sparkContext.defaultParallelism)))
+        try:
+            return writer.trigger(**(trigger or {"availableNow": True})).start()
+        finally:
+            conf.set(name, shuffles)
 
     def totals(self, spark: SparkSession, epoch: int | None = None) -> dict:
         """Running totals up to ``epoch`` (the last one, if none is given)."""
