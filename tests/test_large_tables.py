@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import ordering, statistics
+from tidewell.operators import cleaning, ordering, statistics
 from tidewell.streaming import closed, windows
 
 
@@ -40,3 +40,16 @@ def test_closed_windows_have_few_parts_of_state(spark, tmp_path):
     parts = [p for p in (tmp_path / "out" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
     assert len(parts) == spark.sparkContext.defaultParallelism
     assert run.read(spark, "gold").count() + run.open(spark).count() == 5 and run.totals(spark)["rows"] == 100
+
+
+def test_clean_pipeline_makes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return " a " if i % 3 else "n/a"
+
+    rows = spark.range(60).select(F.col("id"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("x"), text("id").alias("t"))
+    got = cleaning.clean_pipeline(rows).collect()
+    assert len(got) == 60 and {r["x"] for r in got} >= {30.0} and seen.value == 60

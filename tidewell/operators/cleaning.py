@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions.columns import FALSE_WORDS, NULL_STRINGS, NUMERIC_SENTINELS, STRING_SENTINELS, TRUE_WORDS, agg_row, any_of, numeric_columns, share, string_columns, value
 from tidewell.functions.quantiles import quantiles
+from tidewell.functions.stages import stash
 from tidewell.operators.halo import as_number, split
 from tidewell.operators.neighbours import nearest
 
@@ -332,7 +333,8 @@ def auto_correct(df: DataFrame, high_null: float = 0.9, skew: float = 2.0) -> Da
 
 def clean_pipeline(df: DataFrame, null_limit: float = 0.9) -> DataFrame:
     """Strip, unify nulls, de-duplicate, drop empty and constant columns, impute."""
-    df = drop_constant_columns(drop_high_null_columns(drop_duplicates(unify_nulls(strip_strings(df))), null_limit))
+    rows = stash(drop_duplicates(unify_nulls(strip_strings(df))), "distinct")  # shuffled once, read by every step
+    df = drop_constant_columns(drop_high_null_columns(rows, null_limit))
     numeric = set(numeric_columns(df))
     return impute_simple(df, {c: "median" if c in numeric else "mode" for c in df.columns if c in numeric or c in string_columns(df)})
 
