@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import cleaning, ordering, statistics
+from tidewell.functions import quantiles
+from tidewell.operators import cleaning, learning, ordering, statistics
 from tidewell.streaming import closed, windows
 
 
@@ -53,3 +54,22 @@ def test_clean_pipeline_makes_its_rows_once(spark):
     rows = spark.range(60).select(F.col("id"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("x"), text("id").alias("t"))
     got = cleaning.clean_pipeline(rows).collect()
     assert len(got) == 60 and {r["x"] for r in got} >= {30.0} and seen.value == 60
+
+
+def test_quantiles_of_few_values_take_one_pass(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("bracketed")
+
+    monkeypatch.setattr(quantiles, "_brackets", fail)
+    rows = spark.range(20_001).select((F.col("id") % 3).alias("x"))
+    assert quantiles.quantiles(rows, {"x": (F.col("x"), [0.0, 0.5, 1.0])}, limit=10_000)["x"] == [0.0, 1.0, 2.0]
+
+
+def test_feature_dependence_counts_numbers_as_numbers(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 2).alias("y"), (F.col("id") % 2).cast("int").alias("same"), (F.col("id") % 4 / 4).alias("quarter"), F.lit("t").alias("text"), F.when(F.col("id") % 8 > 0, F.col("id").cast("double")).alias("wide"), (F.col("id") % 3 + (1 << 60)).alias("big"))
+    kept, stash = [], learning.stash
+    monkeypatch.setattr(learning, "stash", lambda df, label: kept.append(label) or stash(df, label))
+    got = {r["feature"]: (r["mi"], r["n_values"]) for r in learning.feature_dependence(rows, "y").collect()}
+    assert kept == ["cells"]  # the rows are counted once, and the counts read from there
+    assert math.isclose(got["same"][0], math.log(2)) and math.isclose(got["quarter"][0], math.log(2)) and got["quarter"][1] == 4
+    assert abs(got["text"][0]) < 1e-12 and got["text"][1] == 1 and got["wide"][1] == 11 and got["big"][1] == 3

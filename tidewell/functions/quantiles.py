@@ -18,6 +18,8 @@ from tidewell.functions.columns import agg_row
 DIRECT = 2_000_000
 #: Ranks of approximate percentiles are off by n / ACCURACY at most.
 ACCURACY = 10_000
+#: Columns of at most about so many distinct values go through ``percentile`` however many rows they have.
+FEW = 10_000
 
 
 def _brackets(df: DataFrame, v: Column, n: int, qs: list[float], limit: int) -> list[float]:
@@ -51,10 +53,14 @@ def quantile_exprs(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]],
     """For each name an array of the quantiles of its column, to be used in an aggregate of ``df``: null without values."""
     cast = {k: (v.cast("double"), qs) for k, (v, qs) in wanted.items()}
     counts = agg_row(df, {k: F.count(v) for k, (v, _) in cast.items()}) if cast else {}
+    entries, large = dict(counts), [k for k in cast if counts[k] > limit]  # a buffer has one entry a distinct value
+    if large and limit >= FEW:
+        values = agg_row(df, {k: F.approx_count_distinct(cast[k][0]) for k in large})
+        entries |= {k: 2 * n for k, n in values.items() if n <= FEW}
     out, held = {}, 0
-    for k in sorted(cast, key=counts.__getitem__):
+    for k in sorted(cast, key=entries.__getitem__):
         v, qs = cast[k]
-        held += counts[k]
+        held += entries[k]
         out[k] = F.percentile(v, F.array(*map(F.lit, qs))) if held <= limit else F.array(*map(F.lit, _brackets(df, v, counts[k], qs, limit)))
     return out
 

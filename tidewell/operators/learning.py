@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -226,12 +227,12 @@ def feature_importance(df: DataFrame, target: str, features: list[str], classifi
 
 def mutual_information(df: DataFrame, x: Column, y: Column) -> DataFrame:
     """mi (nats) of two discrete expressions."""
-    return _information(df.select(F.lit("x").alias("feature"), x.cast("string").alias("v"), y.cast("string").alias("y"))).select("mi")
+    cells = df.select(F.lit("x").alias("feature"), x.cast("string").alias("v"), y.cast("string").alias("y"))
+    return _information(cells.groupBy("feature", "v", "y").agg(F.count("*").alias("n"))).select("mi")
 
 
 def _information(cells: DataFrame) -> DataFrame:
-    """feature, mi, n_values of rows (feature, v, y); nulls are values of their own."""
-    cells = cells.groupBy("feature", "v", "y").agg(F.count("*").alias("n"))
+    """feature, mi, n_values of distinct (feature, v, y) with their count n; nulls are values of their own."""
     px = cells.groupBy("feature", "v").agg(F.sum("n").alias("nx")).toDF("_f", "_v", "nx")
     py = cells.groupBy("feature", "y").agg(F.sum("n").alias("ny"), F.lit(1).alias("_one")).toDF("_g", "_y", "ny", "_one").drop("_one")
     total = cells.groupBy("feature").agg(F.sum("n").alias("t"), F.count_distinct(F.struct("v")).alias("n_values")).withColumnRenamed("feature", "_h")  # a row a feature
@@ -241,8 +242,8 @@ def _information(cells: DataFrame) -> DataFrame:
 
 
 def feature_dependence(df: DataFrame, target: str, features: list[str] | None = None, bins: int = 10) -> DataFrame:
-    """rank, feature, mi (nats), n_values: all features ranked by mutual information with ``target``, from one pass after one for the
-    quantile bins.
+    """rank, feature, mi (nats), n_values: all features ranked by mutual information with ``target``, from one pass over the numbers
+    and one over all else, after those for the quantile bins.
 
     Numbers (a numeric target, too) with more than ``bins`` distinct values fall into bins between their quantiles, others go by value;
     nulls are a value of their own.  Equal information is ranked by name.
@@ -253,14 +254,20 @@ def feature_dependence(df: DataFrame, target: str, features: list[str] | None =
     wide = [c for c in numbers if many[c] > 4 * bins or many[c] > bins and df.select(c).distinct().count() > bins]
     cuts = quantiles(df, {c: (value(df, c), [i / bins for i in range(1, bins)]) for c in wide}) if wide else {}
 
-    def coded(c: str) -> Column:
+    def coded(c: str, kind: str) -> Column:
         if c not in wide:
-            return F.col(c).cast("string")
-        edges = sorted(set(cuts[c] or []))
-        return F.when(value(df, c).isNotNull(), F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda x: x < F.col(c)))).cast("string")
-
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), coded(c).alias("v")) for c in features]))
-    found = _information(df.select(cells.alias("x"), coded(target).alias("y")).select("x.*", "y"))
+            return F.col(c).cast(kind)
+        return F.when(value(df, c).isNotNull(), sum(((F.col(c) > x).cast("int") for x in sorted(set(cuts[c] or []))), F.lit(0))).cast(kind)
+
+    # numbers are counted as numbers: rows of text cost several times as much; values that are no double go as text
+    plain = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "float", "double")}
+    parts = []
+    for kind, own in (("double", [c for c in features if c in plain or c in wide]), ("string", [c for c in features if c not in plain and c not in wide])):
+        if own:
+            cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), coded(c, kind).alias("v")) for i, c in enumerate(own)]))
+            counts = df.select(cells.alias("x"), coded(target, "string").alias("y")).groupBy("x.i", "x.v", "y").agg(F.count("*").alias("n"))
+            parts.append(counts.select(F.array(*map(F.lit, own))[F.col("i")].alias("feature"), F.col("v").cast("string").alias("v"), "y", "n"))
+    found = _information(stash(reduce(DataFrame.unionByName, parts), "cells"))
     return found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mi"), "feature"))).select("rank", "feature", "mi", "n_values")  # a row a feature
 
 
