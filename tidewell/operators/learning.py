@@ -76,7 +76,7 @@ def anomaly_score(df: DataFrame, columns: list[str], key: str, trees: int = 100,
             total += t[at, 5] + np.array([norm(int(m)) for m in t[at, 4]])
         return pd.Series(2 ** (-total / len(packed) / scale))
 
-    scored = rows.select(key, score(F.array(*columns)).alias("score"))
+    scored = stash(rows.select(key, score(F.array(*columns)).alias("score")), "scores")  # scored once, for the cut and for the result
     cut = scored.agg(F.percentile_approx("score", 1 - contamination)).first()[0]
     return scored.withColumn("is_anomaly", F.col("score") > cut)
 
