@@ -26,10 +26,18 @@ def shared_base(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def evenly(df: DataFrame) -> DataFrame:
+#: Rows a part of steps that keep each row as an object of some hundred bytes, as Spark ML's trees and k-means do.
+OBJECTS = 500_000
+
+
+def evenly(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df``, dealt out evenly if it comes from fewer files than there are cores, ahead of heavy work on its rows: a scan cuts
-    files between row groups only, so a small table would be one task.  Tables of more files are left as they lie."""
+    files between row groups only, so a small table would be one task.  Tables of more files are left as they lie.
+    With ``most`` a part has about so many rows at most, so what a task keeps of its rows does not grow with the table."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = -(-df.count() // most) if most else 0
+    if parts > cores:
+        return df.repartition(parts)
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 

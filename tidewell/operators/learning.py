@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from tidewell.functions.columns import agg_row, long_form, numeric_columns, share, string_columns, value
 from tidewell.functions.quantiles import quantiles
-from tidewell.functions.stages import evenly, stash
+from tidewell.functions.stages import OBJECTS, evenly, stash
 
 
 def anomaly_score(df: DataFrame, columns: list[str], key: str, trees: int = 100, size: int = 256, contamination: float = 0.05, seed: int = 7) -> DataFrame:
@@ -100,16 +100,18 @@ def kmeans_clusters(df: DataFrame, features: list[str], ks: list[int] = (2, 3, 4
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import StandardScaler
 
-    raw = assemble(evenly(df.select(*features)), features, "_raw")
+    raw = assemble(evenly(df.select(*features), OBJECTS), features, "_raw")
     if raw.isEmpty():
         return df.sparkSession.createDataFrame([], "cluster int, size long")
     rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features")
-    rows = stash(rows, "scaled")  # read by every fit
+    rows = rows.persist()  # read by every fit; files would be read several to a task
     # a silhouette needs two clusters: points that are all alike have one
     several = rows.agg(F.count_distinct("features") > 1).first()[0]
     done = [(ClusteringEvaluator().evaluate(p) if several else 0.0, p) for k in (ks if several else ks[:1]) for p in [KMeans(k=k, seed=7).fit(rows).transform(rows)]]
     best = max(done, key=lambda x: x[0])[1]
-    return best.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size"))
+    sizes = best.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size")).collect()  # one row a cluster
+    rows.unpersist()
+    return df.sparkSession.createDataFrame(sizes, "cluster int, size long")
 
 
 def automl_train(df: DataFrame, target: str, features: list[str], key: str, classification: bool = True, folds: int = 5) -> DataFrame:
@@ -218,7 +220,7 @@ def feature_importance(df: DataFrame, target: str, features: list[str], classifi
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = assemble(df.withColumn("_y", F.col(target).cast("double")), features).where("_y IS NOT NULL")
+    rows = assemble(evenly(df.select(*features, F.col(target).cast("double").alias("_y")), OBJECTS), features).where("_y IS NOT NULL")
     if rows.isEmpty():
         return df.sparkSession.createDataFrame([(f, None) for f in features], "feature string, importance double")
     model = (RandomForestClassifier if classification else RandomForestRegressor)(labelCol="_y", numTrees=20, seed=7).fit(rows)
