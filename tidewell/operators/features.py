@@ -95,9 +95,10 @@ def tfidf_vectorize(df: DataFrame, key: str, text: str, terms: int = 200) -> Dat
     """key, term, weight over the ``terms`` most frequent terms: (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), L2-normed by key."""
     n = df.count()
     words = evenly(df.select(key, text)).select(key, F.explode(F.expr(f"regexp_extract_all(lower({text}), '[a-z0-9_]{{2,}}', 0)")).alias("term"))
-    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    top = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(terms)
-    raw = tf.join(F.broadcast(top), "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    top = words.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(terms).select("term")
+    # only words that count are shuffled with their keys
+    tf = stash(words.join(F.broadcast(top), "term").groupBy(key, "term").agg(F.count("*").alias("tf")), "tf")
+    raw = tf.join(F.broadcast(tf.groupBy("term").agg(F.count("*").alias("df"))), "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))).alias("weight"))
 
 
