@@ -4,8 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import quantiles
-from tidewell.operators import cleaning, learning, ordering, statistics
+from tidewell.functions import quantiles, stages
+from tidewell.operators import cleaning, features, halo, learning, ordering, statistics
 from tidewell.streaming import closed, windows
 
 
@@ -73,3 +73,23 @@ def test_feature_dependence_counts_numbers_as_numbers(spark, monkeypatch):
     assert kept == ["cells"]  # the rows are counted once, and the counts read from there
     assert math.isclose(got["same"][0], math.log(2)) and math.isclose(got["quarter"][0], math.log(2)) and got["quarter"][1] == 4
     assert abs(got["text"][0]) < 1e-12 and got["text"][1] == 1 and got["wide"][1] == 11 and got["big"][1] == 3
+
+
+def test_parts_of_objects_do_not_grow(spark):
+    rows = spark.range(1000)
+    assert stages.evenly(rows, 100).rdd.getNumPartitions() == 10 and stages.evenly(rows, 1000).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+
+
+def test_tfidf_shuffles_its_terms_only(spark, monkeypatch):
+    kept, stash = [], features.stash
+    monkeypatch.setattr(features, "stash", lambda df, label: kept.append(stash(df, label)) or kept[-1])
+    rows = spark.createDataFrame([(1, "aa aa bb"), (1, "bb cc"), (2, "bb dd ee"), (3, None)], "k long, t string")
+    got = {(r["k"], r["term"]): r["weight"] for r in features.tfidf_vectorize(rows, "k", "t", 2).collect()}
+    assert sorted(tuple(r) for r in kept[0].collect()) == [(1, "aa", 2), (1, "bb", 2), (2, "bb", 1)]
+    a, b = (1 + math.log(2)) * (math.log(5 / 2) + 1), (1 + math.log(2)) * (math.log(5 / 3) + 1)
+    assert got.keys() == {(1, "aa"), (1, "bb"), (2, "bb")} and math.isclose(got[1, "aa"], a / math.hypot(a, b)) and got[2, "bb"] == 1.0
+
+
+def test_a_series_of_the_whole_table_uses_all_cores(spark):
+    rows = spark.range(250_000).withColumn("x", F.lit(1.0))
+    assert len(halo.split(rows, "id", [])[1]) == 2 and not halo.split(rows.where("id < 90000"), "id", [])[1]

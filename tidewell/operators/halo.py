@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 from tidewell.functions.columns import agg_row
 from tidewell.functions.ranges import by_ranges
 
-#: A key with more rows is split into ranges of about so many rows (of all keys together), up to MAX_RANGES of them.
-HOT_ROWS, MAX_RANGES = 2_000_000, 10_000
+#: A key with more rows is split into ranges of about so many rows (of all keys together), up to MAX_RANGES of them.  So is a key
+#: with more than LEAST_ROWS rows and more than a core's share of all, into ranges of such a share: it would leave cores idle.
+HOT_ROWS, MAX_RANGES, LEAST_ROWS = 2_000_000, 10_000, 100_000
 
 
 def as_number(df: DataFrame, column: str) -> Column | None:
@@ -35,7 +36,8 @@ def split(df: DataFrame, order: str, by: list[str], ranges: int | None = None, a
     if ranges is None and at is not None:
         sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
         got = agg_row(sizes, {"most": F.max("_n"), "all": F.sum("_n")})
-        ranges = min(MAX_RANGES, math.ceil(got["all"] / HOT_ROWS)) if (got["most"] or 0) > HOT_ROWS else 1
+        fair = min(HOT_ROWS, max(LEAST_ROWS, (got["all"] or 0) // df.sparkSession.sparkContext.defaultParallelism))
+        ranges = min(MAX_RANGES, math.ceil(got["all"] / fair)) if (got["most"] or 0) > fair else 1
     cuts: list[float] = []
     if at is not None and ranges > 1:
         shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
