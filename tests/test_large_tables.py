@@ -93,3 +93,39 @@ def test_tfidf_shuffles_its_terms_only(spark, monkeypatch):
 def test_a_series_of_the_whole_table_uses_all_cores(spark):
     rows = spark.range(250_000).withColumn("x", F.lit(1.0))
     assert len(halo.split(rows, "id", [])[1]) == 2 and not halo.split(rows.where("id < 90000"), "id", [])[1]
+
+
+def test_trees_of_many_equal_rows_are_fitted_on_counted_cells(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    kept, stash = [], learning.stash
+    monkeypatch.setattr(learning, "stash", lambda df, label: kept.append(label) or stash(df, label))
+    a, b, noise = F.col("id") % 5, F.floor(F.col("id") / 5) % 4, F.pmod(F.xxhash64("id"), F.lit(10))
+    rows = spark.range(12_000).select("id", a.alias("a"), (b * 1.5).alias("b"), F.when(noise == 0, 0).otherwise((a * b > 4).cast("int")).alias("y"))
+    got = {r["model"]: r for r in learning.automl_train(rows, "y", ["a", "b"], "id", folds=2, trees=4).collect()}
+    assert kept == ["cells", "draws"] and got.keys() == {"gbt", "forest", "linear"}
+    # few values: bins lose nothing, so boosting over cells gives what it gives over rows
+    split = learning.assemble(ordering.train_val_holdout_split(rows, "id").withColumn("y", F.col("y").cast("double")), ["a", "b"])
+    plain = GBTClassifier(labelCol="y", maxIter=10, seed=7).fit(split.where("split = 'train'"))
+    want = BinaryClassificationEvaluator(labelCol="y").evaluate(plain.transform(split.where("split = 'val'")))
+    assert math.isclose(got["gbt"]["val"], want, rel_tol=1e-6) and abs(got["forest"]["val"] - want) < 0.02
+    again = {r["model"]: r["val"] for r in learning.automl_train(rows.repartition(3), "y", ["a", "b"], "id", folds=2, trees=4, classification=False).collect()}
+    assert kept == ["cells", "draws"] * 2 and all(0.1 < v < 1 for v in again.values())
+
+
+def test_cells_hold_all_rows_and_draws_follow_their_counts(spark):
+    rows = spark.range(40_000).select((F.col("id") % 3).cast("double").alias("x0"), F.col("id").cast("double").alias("x1"), F.lit(2.0).alias("x2"), (F.col("id") % 2).alias("y"))
+    names = ["x0", "x1", "x2"]
+    cuts = learning.tree_cuts(rows, names)
+    assert cuts["x0"] == [0.5, 1.5] and len(cuts["x1"]) == 31 and cuts["x2"] == []
+    assert all(abs(q - k * 1250) < 20 for k, q in enumerate(cuts["x1"], 1))
+    cells = learning.tree_cells(rows, ["y"], names, cuts)
+    # bins are numbers, not names of categories, so trees cut them in order
+    assert not any(cells.schema[c].metadata for c in names)
+    found = cells.collect()
+    assert len(found) == 2 * 3 * 32 and sum(r["n"] for r in found) == 40_000 and all(150 < r["n"] < 270 for r in found)
+    drawn = [(r["n"], [r[f"w{t}"] for t in range(50)]) for r in learning.with_draws(cells, 50).orderBy("y", *names).collect()]
+    assert drawn == [(r["n"], [r[f"w{t}"] for t in range(50)]) for r in learning.with_draws(cells.repartition(3), 50).orderBy("y", *names).collect()]
+    z = [(w - n) / math.sqrt(n) for n, ws in drawn for w in ws]
+    assert abs(sum(z) / len(z)) < 0.05 and abs(sum(v * v for v in z) / len(z) - 1) < 0.08

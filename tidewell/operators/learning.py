@@ -114,48 +114,140 @@ def kmeans_clusters(df: DataFrame, features: list[str], ks: list[int] = (2, 3, 4
     return df.sparkSession.createDataFrame(sizes, "cluster int, size long")
 
 
-def automl_train(df: DataFrame, target: str, features: list[str], key: str, classification: bool = True, folds: int = 5) -> DataFrame:
+#: Bins of a feature that trees choose their cuts from, as by default in Spark.
+TREE_BINS = 32
+
+
+def tree_cuts(df: DataFrame, columns: list[str], bins: int = TREE_BINS) -> dict[str, list[float]]:
+    """At most ``bins`` - 1 ascending cuts a column, as Spark's trees choose them, but from all rows: between all values of a column
+    of few, else at the quantiles."""
+    many, cuts = agg_row(df, {c: F.approx_count_distinct(c) for c in columns}), {}
+    for c in columns:
+        values = sorted(r[0] for r in df.select(c).distinct().limit(bins + 1).collect()) if many[c] <= 2 * bins else []
+        if 0 < len(values) <= bins:
+            cuts[c] = [(x + y) / 2 for x, y in zip(values, values[1:])]
+    wide = [c for c in columns if c not in cuts]
+    found = agg_row(df, {c: F.percentile_approx(c, [k / bins for k in range(1, bins)], 10_000) for c in wide}) if wide else {}
+    return cuts | {c: sorted(set(found[c] or [])) for c in wide}
+
+
+def tree_cells(rows: DataFrame, keys: list[str], columns: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """keys, columns, n: one row for the n ``rows`` of equal keys with ``columns`` between the same cuts, whose numbers stand for them.
+
+    A tree that cuts at these places can't tell the rows of a cell apart, so it grows from cells with their counts as from the rows.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    names = [f"_b{i}" for i in range(len(columns))]
+    edges = [[-math.inf, *(cuts[c] or [0.0]), math.inf] for c in columns]
+    # as plain integers: the discretised columns are marked as nominal, and trees would cut them into any sets of bins
+    binned = Bucketizer(splitsArray=edges, inputCols=columns, outputCols=names).transform(rows).select(*keys, *[F.col(b).cast("int").alias(c) for b, c in zip(names, columns)])
+    return binned.groupBy(*keys, *columns).agg(F.count("*").cast("double").alias("n"))
+
+
+def with_draws(cells: DataFrame, trees: int, seed: int = 7) -> DataFrame:
+    """``cells`` with w0, w1, ...: how often the bootstrap sample of each tree holds a row of the cell.
+
+    Sampling with replacement counts a row by Poisson's law of mean 1, and so the n rows of a cell by that of mean n.  Draws are
+    seeded by the cell's hash, so they are repeatable.
+    """
+
+    @F.pandas_udf("array<double>")
+    def draw(n: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, k & ((1 << 63) - 1)]).poisson(m, trees).astype(float) for m, k in zip(n, h)])
+
+    drawn = cells.withColumn("_w", draw("n", F.xxhash64(*[c for c in cells.columns if c != "n"])))
+    return drawn.select(*cells.columns, *[F.col("_w")[t].alias(f"w{t}") for t in range(trees)])
+
+
+def automl_train(df: DataFrame, target: str, features: list[str], key: str, classification: bool = True, folds: int = 5, trees: int = 20) -> DataFrame:
     """model, val, holdout, gap, cv_mean, cv_std, gate: a race of boosted trees, forest and linear model on a 60/20/20 hash split.
 
     The training part is cut into ``folds`` by hash for cross-validation.  The gate asks for the least score, a gap between
     validation and holdout of at most 3 % and a deviation over the folds of at most 5 %.  Without two
     target values in every part there is nothing to fit: all scores are null.
+
+    Trees see no more of a feature than its bin.  Where rows are many times the cells of bins that they fall into, trees are fitted
+    to and judged on counted cells, whose number stops growing with the rows.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     from tidewell.operators.ordering import train_val_holdout_split
 
-    rows = train_val_holdout_split(assemble(evenly(df.select(key, target, *features)).na.drop("any"), features).withColumn(target, F.col(target).cast("double")), key)
-    rows = rows.select("features", target, "split", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(folds)).alias("fold")).persist()
+    names = [f"x{i}" for i in range(len(features))]
+    rows = train_val_holdout_split(assemble(evenly(df.select(key, target, *features), OBJECTS).na.drop("any"), features).withColumn(target, F.col(target).cast("double")), key)
+    fold_of = F.when(F.col("split") == "train", F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(folds)))
+    rows = rows.select("features", *[F.col(c).cast("double").alias(x) for c, x in zip(features, names)], target, "split", fold_of.alias("fold"), F.lit(1.0).alias("n")).persist()
     if classification:
-        models = {"gbt": GBTClassifier(labelCol=target, maxIter=10, seed=7), "forest": RandomForestClassifier(labelCol=target, numTrees=20, seed=7), "linear": LogisticRegression(labelCol=target)}
-        judge, least = BinaryClassificationEvaluator(labelCol=target), 0.55
+        models = {"gbt": GBTClassifier(labelCol=target, maxIter=10, seed=7), "forest": RandomForestClassifier(labelCol=target, numTrees=trees, seed=7), "linear": LogisticRegression(labelCol=target)}
+        judge, least = BinaryClassificationEvaluator(labelCol=target, weightCol="n"), 0.55
     else:
-        models = {"gbt": GBTRegressor(labelCol=target, maxIter=10, seed=7), "forest": RandomForestRegressor(labelCol=target, numTrees=20, seed=7), "linear": LinearRegression(labelCol=target)}
-        judge, least = RegressionEvaluator(labelCol=target, metricName="r2"), 0.10
-    train = rows.where("split = 'train'")
+        models = {"gbt": GBTRegressor(labelCol=target, maxIter=10, seed=7), "forest": RandomForestRegressor(labelCol=target, numTrees=trees, seed=7), "linear": LinearRegression(labelCol=target)}
+        judge, least = RegressionEvaluator(labelCol=target, metricName="r2", weightCol="n"), 0.10
     schema = "model string, val double, holdout double, gap double, cv_mean double, cv_std double, gate boolean"
-    parts = {r["split"]: r["d"] for r in rows.groupBy("split").agg(F.count_distinct(target).alias("d")).collect()}  # three rows
-    if len(parts) < 3 or min(parts.values()) < (2 if classification else 1) or parts["train"] < 2:
+    parts = {r["split"]: r for r in rows.groupBy("split").agg(F.count_distinct(target).alias("d"), F.count("*").alias("rows")).collect()}  # three rows
+    if len(parts) < 3 or min(r["d"] for r in parts.values()) < (2 if classification else 1) or parts["train"]["d"] < 2:
         rows.unpersist()
         return df.sparkSession.createDataFrame([(name, None, None, None, None, None, False) for name in models], schema)
 
+    cells = stash(tree_cells(rows, [target, "split", "fold"], names, tree_cuts(rows.where("split = 'train'"), names)), "cells")
+    size = cells.count()
+    # a forest over cells fits its trees one at a time, so cells are read that many times as often as rows would be
+    grouped = size * trees <= sum(r["rows"] for r in parts.values())
+    few, held = -(-size // OBJECTS), [rows]
+
+    def kept(cells: DataFrame) -> DataFrame:
+        held.append(assemble(cells.coalesce(few), names).drop(*names).persist())
+        return held[-1]
+
+    def without(fold: int) -> DataFrame:
+        """The training cells but those of a fold, added up."""
+        return kept(drawn.where(F.col("fold") != fold).groupBy(target, *names).agg(*[F.sum(c).alias(c) for c in ["n", *(f"w{t}" for t in range(trees))]]))
+
+    if grouped:
+        drawn = stash(with_draws(cells.where("split = 'train'").drop("split"), trees), "draws")
+        fitted_to, judged_on = {f: without(f) for f in range(-1, folds)}, kept(cells)
+        # Spark looks for cuts in a sample of as many rows as the square of maxBins: here, in all cells
+        bins = max(TREE_BINS, math.isqrt(size) + 1)
+
+    def grown(fold: int):
+        """A function that adds the predictions of a forest, each tree fitted to its own draws of the cells."""
+        one = models["forest"].copy({models["forest"].maxBins: bins})
+        one.setNumTrees(1).setBootstrap(False).setFeatureSubsetStrategy("sqrt" if classification else "onethird")
+        fits = [one.copy({one.seed: 7 + t, one.weightCol: f"w{t}"}).fit(fitted_to[fold]) for t in range(trees)]
+
+        def predict(to: DataFrame) -> DataFrame:
+            for t, tree in enumerate(fits):
+                if classification:
+                    tree.setProbabilityCol(f"_p{t}").setRawPredictionCol("")
+                to = tree.setPredictionCol("" if classification else f"_p{t}").transform(to)
+            votes = [vector_to_array(f"_p{t}")[1] if classification else F.col(f"_p{t}") for t in range(trees)]
+            return to.withColumn("rawPrediction" if classification else "prediction", reduce(Column.__add__, votes) / trees)
+
+        return predict
+
     def one(job: tuple[str, int]) -> list[float]:
         """Scores of a model on validation and holdout, or on a fold that it was not fitted on."""
         name, fold = job
-        if fold < 0:
-            fit = models[name].fit(train)
-            return [float(judge.evaluate(fit.transform(rows.where(f"split = '{s}'")))) for s in ("val", "holdout")]
-        return [float(judge.evaluate(models[name].fit(train.where(F.col("fold") != fold)).transform(train.where(F.col("fold") == fold))))]
-
-    jobs = [(name, fold) for name in models for fold in range(-1, folds)]
-    with ThreadPoolExecutor(4) as pool:  # small fits leave most of a cluster idle, so some run at a time
+        on_cells = grouped and name != "linear"
+        table = judged_on if on_cells else rows
+        train = table.where("split = 'train'")
+        if on_cells:
+            predict = grown(fold) if name == "forest" else models[name].copy({models[name].maxBins: bins, models[name].weightCol: "n"}).fit(fitted_to[fold]).transform
+        else:
+            predict = models[name].fit(train if fold < 0 else train.where(F.col("fold") != fold)).transform
+        return [float(judge.evaluate(predict(part))) for part in ([table.where(f"split = '{s}'") for s in ("val", "holdout")] if fold < 0 else [train.where(F.col("fold") == fold)])]
+
+    jobs = [(name, fold) for fold in range(-1, folds) for name in ("forest", "gbt", "linear")] if grouped else [(name, fold) for name in models for fold in range(-1, folds)]
+    with ThreadPoolExecutor(8 if grouped else 4) as pool:  # small fits leave most of a cluster idle, so some run at a time
         done = dict(zip(jobs, pool.map(one, jobs)))
-    rows.unpersist()
+    for table in held:
+        table.unpersist()
     out = []
     for name in models:
         (val, hold), cv = done[name, -1], np.array([done[name, f][0] for f in range(folds)])
