@@ -100,3 +100,23 @@ def test_battery_has_stationarity(series):
     _, df = series
     got = {r["test"]: r for r in statistics.statistical_test_battery(df.where("k IN ('noise', 'walk')"), ["v"], "k", ["k", "t"]).collect()}
     assert set(got) == {"dagostino", "levene", "adf"} and all(0 <= r["p"] <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("ranges", [None, 7, 300])
+def test_lags_grow_with_the_series(spark, ranges):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, 5000)
+    for t in range(32, 5000):
+        x[t] += 0.6 * x[t - 32]
+    x[0] = 1e4  # far from the mean of the other ranges
+    walk = np.cumsum(rng.normal(0, 1, 5000))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, walk))], "t long, v double, w double")
+    assert unit_roots.most_lags(5000) == 32 and unit_roots.most_lags(36_000_000) == 294
+    got = {r["column"]: r for r in unit_roots.adf_tests(df, ["v", "w"], ["t"], ranges=ranges).collect()}
+    for c, values in (("v", x), ("w", walk)):
+        stat, lags, used = brute_adf(values)
+        assert (got[c]["lags"], got[c]["n_used"]) == (lags, used) and got[c]["stat"] == pytest.approx(stat, rel=1e-6)
+    assert got["v"]["lags"] > 30
+    stat, lags = brute_kpss(walk)
+    found = unit_roots.kpss_test(df, "w", ["t"], ranges=ranges).first()
+    assert lags > 30 and found["lags"] == lags and found["stat"] == pytest.approx(stat, rel=1e-6)
