@@ -120,3 +120,10 @@ def test_lags_grow_with_the_series(spark, ranges):
     stat, lags = brute_kpss(walk)
     found = unit_roots.kpss_test(df, "w", ["t"], ranges=ranges).first()
     assert lags > 30 and found["lags"] == lags and found["stat"] == pytest.approx(stat, rel=1e-6)
+
+
+def test_rows_of_equal_order_make_no_dependence(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i // 10, float(v)) for i, v in enumerate(rng.normal(0, 1, 4000))], "t long, v double")
+    got = [unit_roots.adf_test(x, "v", ["t"], lags=1).first()["stat"] for x in (df, df.orderBy("v").repartition(3))]
+    assert got[0] == got[1] and abs(got[0] + math.sqrt(4000 / 2)) < 3  # of noise: one lag halves the rows' weight

@@ -83,13 +83,15 @@ def lag_products(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 def _range_sums(df: DataFrame, columns: list[str], order: list[str], by: list[str], most: int, ranges: int | None) -> DataFrame:
     """One row a range of a series and column (its number c) with known values: their number n, their mean m, the sum ``sq`` of squares
-    about it (ties of the order go by value), the lag products ``dd`` of changes, ``yd`` of levels (from m) before and changes, ``yy`` of levels, and the first and
+    about it, the lag products ``dd`` of changes, ``yd`` of levels (from m) before and changes, ``yy`` of levels, and the first and
     last ``most`` + 3 values."""
     import pandas as pd
 
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     rows, _ = split(df.select(*by, *order, *[number(c).alias(f"_c{i}") for i, c in enumerate(columns)]), order[0], by, ranges)
-    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_p").orderBy(*order, *[f"_c{i}" for i in range(len(columns))]))).select(*by, "_p", "_i", *[f"_c{i}" for i in range(len(columns))])
+    names = [f"_c{i}" for i in range(len(columns))]
+    # rows that the order leaves equal go by a hash: an order by their values would itself be a dependence
+    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_p").orderBy(*order, F.xxhash64(*order, *names), *names))).select(*by, "_p", "_i", *names)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema)
 
     def sums(keys, frame):
