@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewell.functions import quantiles, stages
-from tidewell.operators import cleaning, features, halo, learning, ordering, statistics
+from tidewell.operators import cleaning, features, halo, learning, ordering, statistics, unit_roots
 from tidewell.streaming import closed, windows
 
 
@@ -129,3 +129,15 @@ def test_cells_hold_all_rows_and_draws_follow_their_counts(spark):
     assert drawn == [(r["n"], [r[f"w{t}"] for t in range(50)]) for r in learning.with_draws(cells.repartition(3), 50).orderBy("y", *names).collect()]
     z = [(w - n) / math.sqrt(n) for n, ws in drawn for w in ws]
     assert abs(sum(z) / len(z)) < 0.05 and abs(sum(v * v for v in z) / len(z) - 1) < 0.08
+
+
+def test_battery_sorts_once_and_counts_equal_values(spark, monkeypatch):
+    sorts, split, kept, stash = [], unit_roots.split, {}, statistics.stash
+    monkeypatch.setattr(unit_roots, "split", lambda *a, **k: sorts.append(1) or split(*a, **k))
+    monkeypatch.setattr(statistics, "stash", lambda df, label: kept.setdefault(label, []).append(stash(df, label)) or kept[label][-1])
+    rows = spark.range(3000).select("id", (F.col("id") % 7 * F.col("id") % 11).cast("double").alias("a"), F.pmod(F.xxhash64("id"), F.lit(9)).cast("double").alias("b"), F.when(F.col("id") % 50 > 0, F.col("id") % 3).alias("g"))
+    got = {(r["column"], r["test"]): r["stat"] for r in statistics.statistical_test_battery(rows, ["a", "b"], "g", ["id"]).collect()}
+    assert len(sorts) == 1 and len(got) == 6
+    assert [x.count() for x in kept["counts"]] == [3 * 11, 3 * 9] and kept["counts"][0].agg(F.sum("_n")).first()[0] == 2940
+    far = rows.join(rows.groupBy("g").agg(F.median("a").alias("m")), "g").withColumn("z", F.abs(F.col("a") - F.col("m")))
+    assert math.isclose(got["a", "levene"], statistics.anova_oneway(far, "z", "g").first()["f"], rel_tol=1e-9)

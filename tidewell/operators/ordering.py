@@ -37,13 +37,13 @@ def dense_ranks(df: DataFrame, column: str, cuts: list[float], name: str = "rank
     return values.join(F.broadcast(base), "_p").select(column, place.alias(name))
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """Distinct values with their count and average rank: (by, column, n, rank).
+def average_ranks(df: DataFrame, column: str, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """Distinct values with their count and average rank: (by, column, n, rank).  A row counts as ``weight`` rows, if given.
 
     Ranks come from running counts over distinct values, dealt out by value ranges: each range's rows are summed first, so no
     task sees more than one range of distinct values.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     counts = by_ranges(counts, column, range_cuts(counts, [column])[column])
     sums = counts.groupBy(*by, "_p").agg(F.sum("n").alias("_m"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_m").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
@@ -54,9 +54,9 @@ def average_ranks(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     return out.select(*by, column, "n", (upto - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def group_medians(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+def group_medians(df: DataFrame, column: str, by: list[str], weight: str | None = None) -> DataFrame:
     """by, median of each group (null groups too), from ranks over distinct values: no group's values meet in one buffer."""
-    ranks = average_ranks(df.select(*by, F.col(column)), column, by)
+    ranks = average_ranks(df.select(*by, F.col(column), *([weight] if weight else [])), column, by, weight)
     sizes = ranks.groupBy(*by).agg(F.sum("n").alias("_n")).toDF(*[f"_k{i}" for i in range(len(by))], "_n")
     same = reduce(lambda a, i: a & F.col(by[i]).eqNullSafe(F.col(f"_k{i}")), range(len(by)), F.lit(True))
     first, last = F.col("rank") - (F.col("n") - 1) / 2, F.col("rank") + (F.col("n") - 1) / 2

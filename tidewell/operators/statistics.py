@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 
 from tidewell.functions import tails
 from tidewell.functions.columns import agg_row, corr, long_form, value
+from tidewell.functions.stages import stash
 from tidewell.operators import unit_roots
+from tidewell.operators.features import lookup
 from tidewell.operators.ordering import average_ranks, by_ranges, dense_ranks, group_medians, range_cuts, rank_average
 
 
@@ -151,7 +153,11 @@ def ttest_paired(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def anova_oneway(df: DataFrame, column: str, group: str) -> DataFrame:
-    parts = df.where(value(df, column).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(column).alias("m"), F.var_pop(column).alias("v"))
+    return _anova(df, df.where(value(df, column).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(column).alias("m"), F.var_pop(column).alias("v")))
+
+
+def _anova(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """From the groups' rows n, mean m and variance v."""
     g = agg_row(parts, {"k": F.count("*"), "n": F.sum("n"), "s": F.sum(F.col("n") * F.col("m")), "q": F.sum(F.col("n") * F.col("m") * F.col("m")), "within": F.sum(F.col("n") * F.col("v"))})
 
     def test():
@@ -200,9 +206,16 @@ def wilcoxon_signed_rank(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def levene_test(df: DataFrame, column: str, group: str) -> DataFrame:
-    """Brown-Forsythe form: an ANOVA on distances to the group's median."""
-    med = group_medians(df, column, [group]).toDF("_g", "_m")
-    return anova_oneway(df.join(med, F.col(group) == F.col("_g")).select(group, F.abs(F.col(column) - F.col("_m")).alias("_z")), "_z", group).select(F.col("f").alias("w"), "p")
+    """Brown-Forsythe form: an ANOVA on distances to the group's median.  Equal values of a group are counted once, for all steps."""
+    known = df.where(F.col(group).isNotNull() & F.col(column).isNotNull())
+    counts = stash(known.groupBy(group, column).agg(F.count("*").alias("_n")), "counts")
+    med = stash(group_medians(counts, column, [group], "_n"), "medians")
+    z = lookup(counts, med, group).select(group, F.abs(F.col(column) - F.col("median")).alias("_z"), "_n")
+    z = z.where(value(z, "_z").isNotNull())
+    means = stash(z.groupBy(group).agg(F.sum("_n").alias("n"), (F.sum(F.col("_n") * F.col("_z")) / F.sum("_n")).alias("m")), "means")
+    off = F.col("_z") - F.col("m")
+    parts = lookup(z, means, group).groupBy(group).agg(F.first("n").alias("n"), F.first("m").alias("m"), (F.sum(F.col("_n") * off * off) / F.first("n")).alias("v"))
+    return _anova(df, parts).select(F.col("f").alias("w"), "p")
 
 
 def dagostino_pearson(df: DataFrame, column: str) -> DataFrame:
@@ -426,10 +439,8 @@ def seasonal_decompose(df: DataFrame, column: str, order: str, by: list[str], pe
 
 def statistical_test_battery(df: DataFrame, columns: list[str], group: str, order: list[str] | None = None) -> DataFrame:
     """column, test, stat, p: normality, equality of variances and, where the rows have an ``order``, stationarity of every column."""
-    parts = []
+    parts = [unit_roots.adf_tests(df, columns, order).select("column", F.lit("adf").alias("test"), "stat", "p")] if order else []
     for c in columns:
         parts.append(dagostino_pearson(df, c).select(F.lit(c).alias("column"), F.lit("dagostino").alias("test"), F.col("k2").alias("stat"), "p"))
         parts.append(levene_test(df, c, group).select(F.lit(c).alias("column"), F.lit("levene").alias("test"), F.col("w").alias("stat"), "p"))
-        if order:
-            parts.append(unit_roots.adf_test(df, c, order).select(F.lit(c).alias("column"), F.lit("adf").alias("test"), "stat", "p"))
     return reduce(lambda a, b: a.unionByName(b), parts)
