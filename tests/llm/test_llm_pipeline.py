@@ -9,7 +9,8 @@ from test_llm_operators import brute_components, brute_fingerprint, brute_hits,
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewell.llm import mixing, quality, queries
+from tidewell.functions.stages import stash
+from tidewell.llm import mixing, quality, queries, simhash
 
 
 def brute_mix(docs, sizes_weights):
@@ -86,3 +87,16 @@ def test_stages_keep_columns_of_any_name(name, spark, sf):
 def test_each_stage_takes_raw_odd_rows(name, spark, sf, odd_docs):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert 0 < stage(spark, odd_docs, sf).count() <= odd_docs.count()
+
+@pytest.mark.parametrize("few", [True, False])
+def test_anchored_rows_are_never_broadcast(spark, monkeypatch, few):
+    """Spark sizes them by the fingerprints from which they are exploded, so at some sizes of input it took them for small."""
+    monkeypatch.setattr(simhash, "HOT_ANCHOR", 1)
+    if not few:
+        monkeypatch.setattr(simhash, "BROADCAST_ANCHORS", 0)
+    numbers = spark.range(20_000).select(F.when(F.col("id") < 64, F.col("id")).otherwise(F.xxhash64("id")).alias("fp"))
+    found = simhash.links(stash(numbers.withColumn("first", F.col("fp")), "classes"))
+    assert {r["count"] for r in simhash.components(found.where("a BETWEEN 0 AND 63")).groupBy("root").count().collect()} == {64}
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BuildLeft" not in plan and plan.count("BuildRight") == (2 if few else 0)

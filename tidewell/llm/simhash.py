@@ -22,6 +22,8 @@ MAX_BITS = 3
 WIDTH = 31
 #: An anchor that is home to more fingerprints than this is split.
 HOT_ANCHOR = 1024
+#: Split anchors are broadcast up to this many (8 bytes each); more are joined by shuffle.
+BROADCAST_ANCHORS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -160,7 +162,9 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the covering holds for up to 3 differing bits")
     rows = anchored(classes)
-    hot = rows.where("home").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ANCHOR).select("key")
+    # a thousandth of the fingerprints at most, read from a table: Spark takes ``rows`` for as small as its fingerprints, and would broadcast it
+    hot = stash(rows.where("home").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ANCHOR).select("key"), "hot")
+    hot, rows = (F.broadcast(hot), rows) if hot.count() <= BROADCAST_ANCHORS else (hot.hint("merge"), rows.hint("merge"))
     cold = rows.join(hot, "key", "left_anti").withColumn("sub", F.lit(0).cast("long"))
     split = rows.join(hot, "key").withColumn("sub", F.explode(F.transform(_quarters(F.col("key"), F.col("fp")), lambda x: x + 1)))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
