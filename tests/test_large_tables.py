@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.functions import quantiles, stages
@@ -141,3 +142,46 @@ def test_battery_sorts_once_and_counts_equal_values(spark, monkeypatch):
     assert [x.count() for x in kept["counts"]] == [3 * 11, 3 * 9] and kept["counts"][0].agg(F.sum("_n")).first()[0] == 2940
     far = rows.join(rows.groupBy("g").agg(F.median("a").alias("m")), "g").withColumn("z", F.abs(F.col("a") - F.col("m")))
     assert math.isclose(got["a", "levene"], statistics.anova_oneway(far, "z", "g").first()["f"], rel_tol=1e-9)
+
+
+def test_kmeans_fits_all_k_in_a_pass_and_counts_equal_rows(spark, monkeypatch):
+    kept, passes, totals, stash = [], [], learning._totals, learning.stash
+    monkeypatch.setattr(learning, "_totals", lambda *a: passes.append(1) or totals(*a))
+    monkeypatch.setattr(learning, "stash", lambda df, label: kept.append(stash(df, label)) or kept[-1])
+    blob = F.col("id") % 3
+    rows = spark.range(6000).select((blob * 10 + F.col("id") % 7 / 7).alias("a"), F.when(F.col("id") != 17, F.pmod(blob * 2, F.lit(3)) * 5.0 + F.col("id") % 4 / 4).alias("b"))
+    got = sorted(r["size"] for r in learning.kmeans_clusters(rows, ["a", "b"]).collect())
+    assert got == [1999, 2000, 2000] and len(passes) <= learning.ROUNDS + 2
+    blocks = [np.frombuffer(r["data"]).reshape(3, -1) for r in kept[0].collect()]
+    assert sum(b.shape[1] for b in blocks) == 3 * 7 * 4 and sum(b[-1].sum() for b in blocks) == 5999
+    few = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0), (3.0, 2.0), (None, 1.0), (math.nan, 1.0)], "a double, b double")
+    assert sorted(r["size"] for r in learning.kmeans_clusters(few, ["a", "b"]).collect()) == [1, 2]
+    assert [tuple(r) for r in learning.kmeans_clusters(few.where("a = 1"), ["a", "b"]).collect()] == [(0, 2)]
+    assert learning.kmeans_clusters(few.where("a > 9"), ["a", "b"]).count() == 0
+
+
+def test_kmeans_against_plain_sums_and_spark(spark):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1, (60, 2)) for c in ((0, 0), (6, 0), (0, 7), (9, 9))])
+    n = rng.integers(1, 4, len(x))
+    rows = spark.createDataFrame([(*map(float, p), float(m)) for p, m in zip(x, n)], "x0 double, x1 double, n double").repartition(3)
+    points = learning.packed(rows)
+    first = learning.starts(points, 2, 4)
+    assert np.array_equal(first, learning.starts(learning.packed(rows.repartition(5)), 2, 4)) and len({tuple(c) for c in first}) == 4
+    centres = learning.lloyd(points, {3: first[:3], 4: first})
+    ml = KMeans(k=4, seed=7, weightCol="n").fit(learning.assemble(rows, ["x0", "x1"]))
+    assert np.allclose(sorted(map(tuple, centres[4])), sorted(tuple(c) for c in ml.clusterCenters()), atol=1e-3)
+    sizes, scores = learning.silhouettes(points, centres)
+    whole = np.repeat(x, n, axis=0)
+    for k, c in centres.items():
+        label = ((whole[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        far = ((whole[:, None] - whole[None]) ** 2).sum(axis=2)
+        own = []
+        for i, j in enumerate(label):
+            mean = [far[i, label == m].mean() for m in range(k)]
+            a, b = mean[j] * (label == j).sum() / ((label == j).sum() - 1), min(v for m, v in enumerate(mean) if m != j)
+            own.append((b - a) / max(a, b))
+        assert np.array_equal(sizes[k], np.bincount(label, minlength=k)) and math.isclose(scores[k], np.mean(own), rel_tol=1e-9)
+    assert scores[4] > scores[3]

@@ -94,24 +94,168 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="skip").transform(df)
 
 
+#: A k-means fit takes so many rounds at most, and ends when no centre moves by more than TOLERANCE (of standardised features).
+ROUNDS, TOLERANCE = 20, 1e-4
+
+
 def kmeans_clusters(df: DataFrame, features: list[str], ks: list[int] = (2, 3, 4, 5)) -> DataFrame:
-    """cluster, size for the k of best silhouette."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import StandardScaler
-
-    raw = assemble(evenly(df.select(*features), OBJECTS), features, "_raw")
-    if raw.isEmpty():
-        return df.sparkSession.createDataFrame([], "cluster int, size long")
-    rows = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(raw).transform(raw).select("features")
-    rows = rows.persist()  # read by every fit; files would be read several to a task
+    """cluster, size for the k of best silhouette (of squared distances), on standardised features of the rows that have all.
+
+    All k are fitted side by side, so a pass over the points serves every one.  Where rows repeat, equal ones are one point with their
+    count.  Centres start by k-means++: the next one is drawn in proportion to the squared distance from those so far, by a race of
+    exponential times whose randomness is a hash of the point.
+    """
+    names = [f"x{i}" for i in range(len(features))]
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(x) for c, x in zip(features, names)]).dropna()
+    parts = {"n": F.count("*"), "different": F.approx_count_distinct(F.xxhash64(*names))}
+    got = agg_row(rows, parts | {f"{k}_{x}": f(x) for k, f in (("m", F.avg), ("s", F.stddev_samp), ("lo", F.min), ("hi", F.max)) for x in names})
     # a silhouette needs two clusters: points that are all alike have one
-    several = rows.agg(F.count_distinct("features") > 1).first()[0]
-    done = [(ClusteringEvaluator().evaluate(p) if several else 0.0, p) for k in (ks if several else ks[:1]) for p in [KMeans(k=k, seed=7).fit(rows).transform(rows)]]
-    best = max(done, key=lambda x: x[0])[1]
-    sizes = best.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("size")).collect()  # one row a cluster
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(sizes, "cluster int, size long")
+    if all(got[f"lo_{x}"] == got[f"hi_{x}"] for x in names):
+        return df.sparkSession.createDataFrame([(0, got["n"])] if got["n"] else [], "cluster int, size long")
+    if got["n"] >= 2 * got["different"]:
+        rows = rows.groupBy(*names).agg(F.count("*").alias("n"))
+    else:
+        rows = rows.withColumn("n", F.lit(1))
+    scaled = [((F.col(x) - got[f"m_{x}"]) * (1 / got[f"s_{x}"] if got[f"s_{x}"] else 0.0)).alias(x) for x in names]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    points = stash(packed(rows.select(*scaled, F.col("n").cast("double").alias("n"))).repartition(max(cores, -(-got["n"] // OBJECTS))), "points")
+    first = starts(points, len(names), max(ks))
+    centres = lloyd(points, {k: first[:k] for k in ks})
+    sizes, scores = silhouettes(points, centres)
+    best = max(ks, key=lambda k: scores[k])
+    return df.sparkSession.createDataFrame([(j, int(round(n))) for j, n in enumerate(sizes[best]) if n], "cluster int, size long")
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """data: the columns of some thousand rows each, one after the other, as doubles."""
+    import pyarrow as pa
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).tobytes()], pa.binary())], ["data"])
+
+    return points.mapInArrow(pack, "data binary")
+
+
+def _totals(points: DataFrame, width: int, make, size: int) -> np.ndarray:
+    """The sum of the ``size`` numbers ``make(x, n)`` over all blocks, with the points x as ``width`` rows and their counts n."""
+    import pyarrow as pa
+
+    def part(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                block = np.frombuffer(data).reshape(width + 1, -1)
+                total += make(block[:-1], block[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
+
+    out = np.zeros(size)
+    for r in points.mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # no more rows than numbers
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each point, by a hash of its coordinates."""
+    h = np.full(x.shape[1], salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+    for own in x:
+        h = (h ^ (own + 0.0).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+    return ((h >> np.uint64(11)) + 0.5) / (1 << 53)
+
+
+def starts(points: DataFrame, width: int, k: int) -> np.ndarray:
+    """The first ``k`` centres (fewer if fewer points differ), one pass each; those of a smaller k are the first of them."""
+    import pyarrow as pa
+
+    found = np.zeros((0, width))
+    while len(found) < k:
+
+        def race(batches, found=found):
+            best = (math.inf, [0.0] * width)
+            for batch in batches:
+                for data in batch.column(0).to_pylist():
+                    block = np.frombuffer(data).reshape(width + 1, -1)
+                    x, pull = block[:-1], block[-1]
+                    if len(found):
+                        pull = pull * np.min([((x - c[:, None]) ** 2).sum(axis=0) for c in found], axis=0)
+                    with np.errstate(divide="ignore"):
+                        times = -np.log(_uniform(x, len(found) + 1)) / pull
+                    i = int(np.argmin(times))
+                    best = min(best, (float(times[i]), x[:, i].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.list_(pa.float64()))], ["time", "x"])
+
+        won = points.mapInArrow(race, "time double, x array<double>").agg(F.min(F.struct("time", "x")).alias("w")).first()["w"]
+        if not math.isfinite(won["time"]):
+            break
+        found = np.vstack([found, won["x"]])
+    return found
+
+
+def _labels(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres * centres).sum(axis=1)[:, None] - 2 * (centres @ x), axis=0)
+
+
+def _by_cluster(labels: np.ndarray, k: int, weights: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.bincount(labels, w, k) for w in weights])
+
+
+def lloyd(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The centres of each k after Lloyd's rounds; a cluster that lost all points keeps its centre."""
+    centres, going = dict(centres), list(centres)
+    for _ in range(ROUNDS):
+        if not going:
+            break
+        now, width = [centres[k] for k in going], centres[going[0]].shape[1]
+
+        def make(x, n, now=now):
+            weights = [n, *(n * x)]
+            return np.concatenate([_by_cluster(_labels(x, c), len(c), weights) for c in now])
+
+        sums, at = _totals(points, width, make, sum(len(c) * (width + 1) for c in now)), 0
+        for k, c in zip(list(going), now):
+            own = sums[at : at + len(c) * (width + 1)].reshape(width + 1, -1)
+            at += own.size
+            centres[k] = np.where(own[0] > 0, own[1:] / np.maximum(own[0], 1), c.T).T
+            if (((centres[k] - c) ** 2).sum(axis=1) <= TOLERANCE**2).all():
+                going.remove(k)
+    return centres
+
+
+def silhouettes(points: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """For each k the clusters' sizes, and the mean over all rows of (b - a) / max(a, b), with the mean squared distances a to the others
+    of the own cluster and b to the nearest other cluster's; 0 for a row that is alone."""
+    width = next(iter(centres.values())).shape[1]
+
+    def stats(x, n):
+        weights = [n, n * (x * x).sum(axis=0), *(n * x)]
+        return np.concatenate([_by_cluster(_labels(x, c), len(c), weights) for c in centres.values()])
+
+    sums, at, own = _totals(points, width, stats, sum(len(c) * (width + 2) for c in centres.values())), 0, {}
+    for k, c in centres.items():
+        own[k] = sums[at : at + len(c) * (width + 2)].reshape(width + 2, -1)
+        at += own[k].size
+
+    def score(x, n):
+        out, norm = [], (x * x).sum(axis=0)
+        for k, c in centres.items():
+            size, rows = own[k][0], np.arange(x.shape[1])
+            some = np.maximum(size, 1)
+            far = np.maximum(norm + (own[k][1] / some)[:, None] - 2 * ((own[k][2:] / some).T @ x), 0.0)
+            far[size == 0] = np.inf
+            mine = _labels(x, c)
+            a = far[mine, rows] * size[mine] / np.maximum(size[mine] - 1, 1)
+            far[mine, rows] = np.inf
+            b = far.min(axis=0)
+            most = np.maximum(a, b)
+            usable = (size[mine] > 1) & (most > 0) & np.isfinite(most)
+            out.append(n[usable] @ ((b - a)[usable] / most[usable]))
+        return np.array(out)
+
+    found = _totals(points, width, score, len(centres))
+    return {k: own[k][0] for k in centres}, {k: found[i] / own[k][0].sum() for i, k in enumerate(centres)}
 
 
 #: Bins of a feature that trees choose their cuts from, as by default in Spark.
